@@ -33,7 +33,13 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/millrace-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.option("compression", "zstd").parquet(path)
+    tidy = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(tidy, "false")
+    spark.conf.set(tidy, "true")  # the shuffles behind a written table aren't read again
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(tidy, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -65,4 +71,4 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def input_bytes(df: DataFrame) -> int:
     """Size of what ``df`` reads, as Spark estimates it; it picks partition counts, never which rows count."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

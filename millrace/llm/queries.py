@@ -39,6 +39,14 @@ FROM marked GROUP BY doc_id
 """
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document; those with more than 2048 are marked."""
+    from .token_counts import token_counts
+
+    counts = token_counts(documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"))
+    return counts.withColumn("over_limit", F.col("n_tokens") > 2048)
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level token ids of all documents in sequences of at most 1024."""
     from .packing import pack
@@ -47,5 +55,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("tokens").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op3_token_counts, op10_packing)}
 ORACLES = {"op1_line_dedup": OP1_SQL}
