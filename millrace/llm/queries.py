@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, tokenizer_file
@@ -47,6 +47,30 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 2048)
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and the verdict of every document."""
+    from .quality import quality_rules
+
+    found = quality_rules(documents(spark, sf_dir))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
+
+
+def remainder(c: str, n: int) -> Column:
+    """crc32 of a column as text, modulo n; null stays null."""
+    return F.crc32(F.col(c).cast("string")) % n
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main language of every document, learned from three of four documents."""
+    from .language_id import identify, learn
+
+    docs = documents(spark, sf_dir)
+    held_out = F.coalesce(remainder("doc_id", 4) == 2, F.lit(False))
+    model = learn(docs.where(~held_out))
+    found = identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "lang_set")
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level token ids of all documents in sequences of at most 1024."""
     from .packing import pack
@@ -55,5 +79,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("tokens").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op3_token_counts, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op3_token_counts, op6_quality_rules, op7_language_id, op10_packing)}
 ORACLES = {"op1_line_dedup": OP1_SQL}
