@@ -39,6 +39,15 @@ FROM marked GROUP BY doc_id
 """
 
 
+def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E-mail and network addresses, card and phone numbers of every document."""
+    from .pii import find_personal_data
+
+    found = find_personal_data(documents(spark, sf_dir))
+    joined = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document; those with more than 2048 are marked."""
     from .token_counts import token_counts
@@ -71,6 +80,14 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "lang_set")
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slots of all documents when sources are mixed by the square roots of their bytes."""
+    from .mixing import mix
+
+    docs = documents(spark, sf_dir).select("doc_id", "source", F.octet_length("text").cast("long").alias("n_bytes"))
+    return mix(docs, size_col="n_bytes")
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level token ids of all documents in sequences of at most 1024."""
     from .packing import pack
@@ -79,5 +96,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("tokens").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op3_token_counts, op6_quality_rules, op7_language_id, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_personal_data, op3_token_counts, op6_quality_rules, op7_language_id, op9_mixing, op10_packing)}
 ORACLES = {"op1_line_dedup": OP1_SQL}
