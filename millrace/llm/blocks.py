@@ -16,6 +16,7 @@ from __future__ import annotations
 import pickle
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,13 +28,31 @@ PART_BYTES = 8 << 20
 CELL = "block long, part int, payload binary"
 
 
-def planes(a: np.ndarray) -> np.ndarray:
-    """Whole numbers below 2**32 as byte planes, which compress well."""
-    return np.ascontiguousarray(np.ascontiguousarray(a, "<u4").view(np.uint8).reshape(-1, 4).T)
+def planes(a: np.ndarray, kind: str = "<u4") -> np.ndarray:
+    """Whole numbers of ``kind`` as byte planes, which compress well."""
+    a = np.ascontiguousarray(a, kind)
+    return np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.dtype.itemsize).T)
 
 
 def unplanes(p: np.ndarray) -> np.ndarray:
-    return np.ascontiguousarray(p.T).view("<u4").ravel()
+    return np.ascontiguousarray(p.T).view(f"<u{len(p)}").ravel()
+
+
+def rising(a: np.ndarray) -> np.ndarray:
+    """Sorted 64-bit hashes as planes of their differences."""
+    return planes(np.diff(a, prepend=a.dtype.type(0)), "<u8")
+
+
+def unrising(p: np.ndarray) -> np.ndarray:
+    return np.cumsum(unplanes(p), dtype=np.uint64)
+
+
+def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of two, in order."""
+    x = a * np.uint64(0x9E3779B97F4A7C15) + (b ^ np.uint64(0xC2B2AE3D27D4EB4F))
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
 
 
 def dumps(*what) -> bytes:
@@ -43,6 +62,18 @@ def dumps(*what) -> bytes:
 loads = pickle.loads
 
 
+def runs(keys: np.ndarray, parts: int) -> list[tuple[int, slice]]:
+    """The parts that sorted keys fall into, with the run of each."""
+    found, first = np.unique(part_of(keys, parts), return_index=True)
+    return [(int(p), slice(int(a), int(b))) for p, a, b in zip(found, first, [*first[1:], len(keys)])]
+
+
+def table(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    """Cells as an Arrow batch."""
+    block, part, payload = zip(*rows)
+    return pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), pa.array(part, pa.int32()), pa.array(payload, pa.binary())], names=["block", "part", "payload"])
+
+
 def parts_for(df: DataFrame) -> int:
     """Parts in proportion to the input; where Spark has no estimate of its size, a few for each shuffle partition."""
     size = input_bytes(df)

@@ -80,6 +80,16 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "lang_set")
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Katz scores of all documents, learned from four of five."""
+    from .katz import katz_scores
+
+    docs = documents(spark, sf_dir)
+    held_out = F.coalesce(remainder("doc_id", 5) == 1, F.lit(False))
+    scores = katz_scores(docs, ~held_out)
+    return scores.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Slots of all documents when sources are mixed by the square roots of their bytes."""
     from .mixing import mix
@@ -96,5 +106,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("tokens").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_personal_data, op3_token_counts, op6_quality_rules, op7_language_id, op9_mixing, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_personal_data, op3_token_counts, op6_quality_rules, op7_language_id, op8_lm_scoring, op9_mixing, op10_packing)}
 ORACLES = {"op1_line_dedup": OP1_SQL}
