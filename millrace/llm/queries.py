@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,6 +58,13 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 2048)
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of 4-word shingles have a Jaccard similarity of 0.85 or more."""
+    from .ngram_join import near_duplicates
+
+    return near_duplicates(documents(spark, sf_dir), k=4, threshold=Fraction(85, 100))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and the verdict of every document."""
     from .quality import quality_rules
@@ -106,5 +115,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("tokens").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_personal_data, op3_token_counts, op6_quality_rules, op7_language_id, op8_lm_scoring, op9_mixing, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_personal_data, op3_token_counts, op5_ngram_join, op6_quality_rules, op7_language_id, op8_lm_scoring, op9_mixing, op10_packing)}
 ORACLES = {"op1_line_dedup": OP1_SQL}
