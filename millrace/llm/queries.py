@@ -58,6 +58,14 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 2048)
 
 
+def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every twentieth vector, by inner product."""
+    from .ann import search
+
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return search(vectors, F.col("vec_id") % 20 == 0, k=20)
+
+
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose sets of 4-word shingles have a Jaccard similarity of 0.85 or more."""
     from .ngram_join import near_duplicates
@@ -115,5 +123,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("tokens").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_personal_data, op3_token_counts, op5_ngram_join, op6_quality_rules, op7_language_id, op8_lm_scoring, op9_mixing, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_personal_data, op3_token_counts, op4_nearest, op5_ngram_join, op6_quality_rules, op7_language_id, op8_lm_scoring, op9_mixing, op10_packing)}
 ORACLES = {"op1_line_dedup": OP1_SQL}
