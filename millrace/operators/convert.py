@@ -13,7 +13,7 @@ def html_text(html: Column) -> Column:
     """Readable text of a page: title and headings as markdown headings, paragraphs apart, list items as dashes, code in
     fences; script, style, noscript, template and comments dropped; other tags give way to their content."""
     title = F.trim(F.regexp_replace(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1), r"\s+", " "))
-    c = F.regexp_replace(html, r"(?is)<!--.*?-->|<(script|style|noscript|template|head)\b[^>]*>.*?</\1\s*>", "")
+    c = F.regexp_replace(html, r"(?is)<!--.*?-->|<(script|style|noscript|template|title)\b[^>]*>.*?</\1\s*>", "")
     c = F.regexp_replace(c, r"\s+", " ")
     for level in range(1, 7):
         c = F.regexp_replace(c, rf"(?i) ?<h{level}\b[^>]*> ?", "\n\n" + "#" * level + " ")

@@ -39,7 +39,7 @@ def uploaded(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.format("binaryFile").load(path)
     name = F.regexp_extract("path", "([^/]*)$", 1)
     kind = document_kind(F.lit(""), name)
-    text = F.decode("content", F.lit("UTF-8"))
+    text = F.decode("content", "UTF-8")
     body = F.when(kind == "html", html_text(text)).when(kind.isin("markdown", "text"), text)
     return raw.select(name.alias("filename"), F.col("length").alias("size_bytes"), kind.alias("kind"), F.sha2("content", 256).alias("sha"), body.alias("body")).withColumn("title", title_of(F.col("body"), F.col("filename"), F.col("kind")))
 
