@@ -73,6 +73,23 @@ def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir), k=4, threshold=Fraction(85, 100))
 
 
+OP5_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, md5(array_to_string(w[i : i + 3], ' ') || ' ' || least(len(w), 4)) AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM w WHERE len(w) > 0)
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 85 * (x.n + y.n - shared)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS v, doc_id AS top FROM documents UNION SELECT e.b, r.top FROM r JOIN e ON e.a = r.v)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, t.component_id
+FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT v AS doc_id, min(top) AS component_id FROM r GROUP BY v) t USING (doc_id)
+"""
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and the verdict of every document."""
     from .quality import quality_rules
@@ -124,4 +141,4 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_personal_data, op3_token_counts, op4_nearest, op5_ngram_join, op6_quality_rules, op7_language_id, op8_lm_scoring, op9_mixing, op10_packing)}
-ORACLES = {"op1_line_dedup": OP1_SQL}
+ORACLES = {"op1_line_dedup": OP1_SQL, "op5_ngram_join": OP5_SQL}
