@@ -32,7 +32,7 @@ def parsed_issues(feed: DataFrame, json_col: str = "json") -> DataFrame:
 def issue_body(description, comments):
     """Description and comments as one markdown text; a comment's header has author and day, those there are."""
     head = lambda c: F.concat_ws(" ", F.lit("\n\n## Comment"), F.when(F.coalesce(c["author"], F.lit("")) != "", F.concat(F.lit("by "), c["author"])), F.when(parsed_time(c["created_at"]).isNotNull(), F.concat(F.lit("on "), F.date_format(parsed_time(c["created_at"]), "yyyy-MM-dd"))))
-    parts = F.transform(F.coalesce(comments, F.array().cast("array<struct<author:string,created_at:string,body:string>>")), lambda c: F.concat(head(c), F.lit("\n\n"), F.rtrim(F.coalesce(c["body"], F.lit("")))))
+    parts = F.transform(F.coalesce(comments, F.array().cast("array<struct<author:string,created_at:string,body:string>>")), lambda c: F.concat(head(c), F.lit("\n\n"), F.regexp_replace(F.coalesce(c["body"], F.lit("")), r"\n+\z", "")))
     return F.concat(F.regexp_replace(F.coalesce(description, F.lit("")), r"\n+\z", ""), F.array_join(parts, ""), F.lit("\n"))
 
 
