@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from .common import input_bytes
 
 #: Characters of text in a block, and bytes of input for each part of the hash space.
-BLOCK_CHARS = 12_000_000
-PART_BYTES = 8 << 20
+BLOCK_CHARS = 6_000_000
+PART_BYTES = 6 << 20
 CELL = "block long, part int, payload binary"
 
 
