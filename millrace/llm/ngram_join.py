@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 from fractions import Fraction
@@ -18,7 +19,7 @@ from .common import materialize
 
 #: Sizes of sets fall into classes whose bounds grow by this factor.
 CLASS_GROWTH = 1.6
-MEMO_WORDS, HELD_SETS = 500_000, 4_000
+MEMO_WORDS, HELD_KEYS, HELD_SHINGLES = 250_000, 700_000, 2_000_000
 _words: dict[bytes, int] = {}
 
 
@@ -76,10 +77,15 @@ class Regions:
         """No different set can be as near: even one member more or less is too many."""
         return Fraction(n, n + 1) < self.threshold
 
-    def keys(self, s: np.ndarray) -> np.ndarray:
+    def differing(self, n: int, other: int) -> int:
+        """The largest symmetric difference of two sets of these sizes within the distance."""
+        return math.floor((1 - self.threshold) / (1 + self.threshold) * (n + other))
+
+    def keys(self, s: np.ndarray) -> list[tuple[int, int, np.ndarray]]:
+        """For each class in which a set stands: the class, how many of its cells have members, and the regions' keys."""
         n = len(s)
         if n == 0 or self.alone(n):
-            return np.zeros(0, dtype=np.uint64)
+            return []
         c = 0
         while self._bound(c + 1) <= n:
             c += 1
@@ -91,11 +97,12 @@ class Regions:
             cell = (s >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)
             found, first = np.unique(cell, return_index=True)
             content = np.add.reduceat(blocks.mixed(s, np.full(n, np.uint64(at))), first)
-            out.append(blocks.mixed(content, found + np.uint64(at << 40)))
+            keys = blocks.mixed(content, found + np.uint64(at << 40))
             if m - len(found) >= m - d:
                 empty = np.setdiff1d(np.arange(m, dtype=np.uint64), found)
-                out.append(blocks.mixed(np.full(len(empty), np.uint64(0xE0E0)), empty + np.uint64(at << 40)))
-        return np.concatenate(out)
+                keys = np.concatenate((keys, blocks.mixed(np.full(len(empty), np.uint64(0xE0E0)), empty + np.uint64(at << 40))))
+            out.append((at, len(found), keys))
+        return out
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -121,12 +128,13 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, threshold: Fraction | float
     """Components of documents linked by Jaccard similarity of their distinct word ``k``-grams, exactly.
 
     Equal sets are one point of the metric space. Points are dealt to ``Regions`` so that each pair within the
-    distance shares one; regions with one point fall away, and what a region lists is linear in its points. In each
-    round a region's least point of another component is a pivot, and a point goes to the pivot it shares most regions
-    with: points that lie within the distance of their pivot, checked on the sets themselves, form a ball and join its
-    component. Rounds go on until none joins. Then the regions that still hold several components are joined
-    recursively: pivots of their balls against each other, and of two balls whose pivots are near enough for it by the
-    triangle inequality, those points whose distances to their pivots allow a link.
+    distance shares one, and more: a pair that shares fewer cells than its sizes demand is too far apart. Regions with
+    one point fall away, and what a region lists is linear in its points. In each round a region's least point of another
+    component is a pivot, and a point goes to the pivot it shares most cells with, if they are enough; points within the
+    distance of their pivot, checked on the sets themselves, form a ball and join its component. Rounds go on, over the
+    regions that still hold several components, until none joins. What is left is joined recursively: pivots of
+    balls against each other, and of two balls whose pivots are near enough for it by the triangle inequality, those
+    points whose distances to their pivots allow a link.
 
     Returns doc_id, n_shingles (long) and component_id (the smallest doc_id reachable, itself included), a row for each
     input row. A document without words has no shingles and is linked with nothing. Rows with one id count as one
@@ -140,20 +148,21 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, threshold: Fraction | float
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, made = TaskContext.get().partitionId() << 24, 0
-        ids, nodes, sizes, sets, keys, owners, known, held = [], [], [], [], [], [], set(), 0
+        ids, nodes, sizes, sets, keys, owners, stands, known, held = [], [], [], [], [], [], [], set(), 0
 
         def flush():
             nonlocal made, held
-            cells = [(first + made, -1, blocks.dumps(ids[:], nodes[:], sizes[:], sets[:]))]
+            cells = [(first + made, -1, blocks.dumps(ids[:], nodes[:], sizes[:], sets[:], stands[:]))]
             if keys:
-                every, owner = np.concatenate(keys), np.repeat(np.arange(len(owners)), [len(x) for x in keys])
+                every, owner = np.concatenate(keys), np.repeat(np.arange(len(keys)), [len(x) for x in keys])
+                classes = [c for _, c, _, _ in stands]
                 order = np.argsort(every)
                 every, owner = every[order], owner[order]
                 for p, r in blocks.runs(every, parts):
                     used, at = np.unique(owner[r], return_inverse=True)
-                    cells.append((first + made, p, blocks.dumps(blocks.rising(every[r]), blocks.planes(at), np.array(owners, np.int64)[used])))
+                    cells.append((first + made, p, blocks.dumps(blocks.rising(every[r]), blocks.planes(at), np.array(owners, np.int64)[used], np.array(classes)[used])))
             made, held = made + 1, 0
-            for x in (ids, nodes, sizes, sets, keys, owners):
+            for x in (ids, nodes, sizes, sets, keys, owners, stands):
                 x.clear()
             return blocks.table(cells)
 
@@ -168,12 +177,12 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, threshold: Fraction | float
                 sets.append(sid)
                 if sid is not None and sid not in known:
                     known.add(sid)
-                    x = regions.keys(s)
-                    if len(x):
+                    for c, full, x in regions.keys(s):
                         keys.append(x)
                         owners.append(sid)
+                        stands.append((sid, c, full, len(s)))
                         held += len(x)
-                if held > 1_500_000 or len(ids) >= 20_000:
+                if held > HELD_KEYS or len(ids) >= 20_000:
                     yield flush()
         if ids:
             yield flush()
@@ -181,86 +190,119 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, threshold: Fraction | float
     def points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for p in batch.column(0).to_pylist():
-                ids, nodes, sizes, sets = blocks.loads(p)
+                ids, nodes, sizes, sets, _ = blocks.loads(p)
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sets, pa.int64())], names=["doc_id", "node", "n", "sid"])
 
+    def standing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for p in batch.column(0).to_pylist():
+                rows = list(zip(*blocks.loads(p)[4])) or [[], [], [], []]
+                yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), *[pa.array(x, pa.int32()) for x in rows[1:]]], names=["sid", "class", "cells", "size"])
+
     def shared(pdf: pd.DataFrame) -> pd.DataFrame:
         """The rows of regions with two points or more."""
         got = [blocks.loads(p) for p in pdf["payload"]]
         keys = np.concatenate([blocks.unrising(g[0]) for g in got])
         sids = np.concatenate([g[2][blocks.unplanes(g[1]).astype(np.int64)] for g in got])
+        classes = np.concatenate([g[3][blocks.unplanes(g[1]).astype(np.int64)] for g in got])
         order = np.lexsort((sids, keys))
-        keys, sids = keys[order], sids[order]
+        keys, sids, classes = keys[order], sids[order], classes[order]
         once = np.concatenate(([True], (keys[1:] != keys[:-1]) | (sids[1:] != sids[:-1])))
-        keys, sids = keys[once], sids[once]
+        keys, sids, classes = keys[once], sids[once], classes[once]
         _, inverse, n = np.unique(keys, return_inverse=True, return_counts=True)
         many = n[inverse] > 1
-        return pd.DataFrame({"region": keys[many].view(np.int64), "sid": sids[many]})
+        return pd.DataFrame({"region": keys[many].view(np.int64), "class": classes[many], "sid": sids[many]})
 
     cells = materialize(rows.mapInArrow(gather, blocks.CELL), "sets")
     docs_of = cells.where("part < 0").select("payload").mapInArrow(points, "doc_id long, node long, n long, sid long")
-    members = materialize(cells.where("part >= 0").groupBy("part").applyInPandas(shared, "region long, sid long"), "regions")
+    members = materialize(cells.where("part >= 0").groupBy("part").applyInPandas(shared, "region long, class int, sid long"), "regions")
+    partnered = materialize(members.select("sid").distinct(), "points")
+    stands = cells.where("part < 0").select("payload").mapInArrow(standing, "sid long, class int, cells int, size int").join(partnered, "sid", "left_semi")
+    stands = materialize(stands.distinct(), "stands")
 
     # texts of the points that share a region, one for each; later steps need no other
-    picked = docs_of.join(members.select("sid").distinct(), "sid", "left_semi").groupBy("sid").agg(F.min("node").alias("node"))
+    picked = docs_of.join(partnered, "sid", "left_semi").groupBy("sid").agg(F.min("node").alias("node"))
     texts = materialize(picked.join(rows.select("node", "text"), "node").groupBy("sid").agg(F.first("text").alias("text")), "texts")
 
-    @F.pandas_udf("double")
-    def distance(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        """The Jaccard distance of two points; exactly 2 where they are not linked and it would round to a link."""
-        held: dict[int, np.ndarray] = {}
+    def distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The Jaccard distance d of pairs, from (a, text_a, b, text_b); links have at most ``reach``, others more."""
+        kept: dict[int, np.ndarray] = {}
+        size = 0
+
+        def of(sid: int, text: pa.Scalar) -> np.ndarray:
+            nonlocal size
+            if sid not in kept:
+                if size > HELD_SHINGLES:
+                    kept.clear()
+                    size = 0
+                kept[sid] = shingles(text.as_py(), k)
+                size += len(kept[sid])
+            return kept[sid]
 
-        def of(sid, text):
-            if sid not in held:
-                if len(held) >= HELD_SETS:
-                    held.clear()
-                held[sid] = shingles(text, k)
-            return held[sid]
-
-        for a, text_a, b, text_b in batches:
+        for batch in batches:
+            a, text_a, b, text_b = batch.columns
             out = []
-            for x, tx, y, ty in zip(a, text_a, b, text_b):
-                p, q = of(x, tx), of(y, ty)
+            for i, (x, y) in enumerate(zip(a.to_pylist(), b.to_pylist())):
+                q = of(y, text_b[i])
+                p = kept[x] if x in kept else shingles(text_a[i].as_py(), k)
                 both = len(np.intersect1d(p, q, assume_unique=True))
                 union = len(p) + len(q) - both
-                linked = down * both >= up * union
                 d = 1 - both / union
-                out.append(min(d, reach) if linked else max(d, math.nextafter(reach, 2)))
-            yield pd.Series(out, dtype=float)
+                out.append(min(d, reach) if down * both >= up * union else max(d, math.nextafter(reach, 2)))
+            yield pa.RecordBatch.from_arrays([a, b, pa.array(out, pa.float64())], names=["a", "b", "d"])
 
     def measured(pairs: DataFrame) -> DataFrame:
-        """Add d to pairs (a, b)."""
+        """Pairs (a, b) with d. Rows of a task are sorted by b, so a pivot's set is made once."""
         left = texts.select(F.col("sid").alias("a"), F.col("text").alias("text_a"))
         right = texts.select(F.col("sid").alias("b"), F.col("text").alias("text_b"))
-        joined = pairs.join(left, "a").join(right, "b")
-        return joined.select(*pairs.columns, distance("a", "text_a", "b", "text_b").alias("d"))
+        joined = pairs.select("a", "b").join(left, "a").join(right, "b")
+        return joined.select("a", "text_a", "b", "text_b").mapInArrow(distances, "a long, b long, d double")
+
+    def enough(counts: DataFrame) -> DataFrame:
+        """Of rows (a, b, class, n), those whose n shared cells could be those of a pair within the distance."""
+        for end in ("a", "b"):
+            counts = counts.join(stands.select(F.col("sid").alias(end), "class", F.col("cells").alias(f"cells_{end}"), F.col("size").alias(f"size_{end}")), [end, "class"])
+        differing = F.floor((F.col("size_a") + F.col("size_b")) * F.lit(down - up) / F.lit(down + up) + F.lit(1e-9))
+        return counts.where(F.col("n") >= F.greatest("cells_a", "cells_b") - differing).drop("cells_a", "cells_b", "size_a", "size_b")
+
+    def relabelled(labels: DataFrame, edges: DataFrame) -> DataFrame:
+        """Labels after edges (a, b) have joined components."""
+        ends = edges.select("a", "b")
+        for end in ("a", "b"):
+            ends = ends.join(labels.select(F.col("sid").alias(end), F.col("comp").alias(f"comp_{end}")), end)
+        joined = components(ends.select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b"))).select(F.col("v").alias("old"), F.col("comp").alias("new"))
+        return materialize(labels.join(joined, F.col("comp") == F.col("old"), "left").select("sid", F.coalesce("new", "comp").alias("comp")), "labels")
 
     linked = F.col("d") <= F.lit(reach)
-    labels = members.select("sid").distinct().select("sid", F.col("sid").alias("comp"))
-    links = balls = None
-    while True:
-        within = members.join(labels, "sid")
+    labels, alive = partnered.select("sid", F.col("sid").alias("comp")), members
+    past = docs.sparkSession.createDataFrame([], "a long, b long, d double, round int")
+    for number in itertools.count():
+        within = alive.join(labels, "sid")
         ends = within.groupBy("region").agg(F.min(F.struct("comp", "sid")).alias("lo"), F.max(F.struct("comp", "sid")).alias("hi")).where("lo.comp != hi.comp")
-        votes = within.join(ends, "region").select("sid", F.when(F.col("comp") != F.col("lo.comp"), F.col("lo.sid")).otherwise(F.col("hi.sid")).alias("pivot")).groupBy("sid", "pivot").agg(F.count("*").alias("n"))
-        nearest = votes.groupBy("sid").agg(F.min(F.struct((-F.col("n")).alias("n"), "pivot")).alias("best")).select(F.col("sid").alias("a"), F.col("best.pivot").alias("b"))
-        found = materialize(measured(nearest).where(linked), "links")
+        pivot = F.when(F.col("comp") != F.col("lo.comp"), F.col("lo.sid")).otherwise(F.col("hi.sid"))
+        alive = materialize(within.join(ends, "region").select("region", "class", "sid", "comp", pivot.alias("pivot")), "alive")
+        votes = alive.groupBy(F.col("sid").alias("a"), F.col("pivot").alias("b"), "class").agg(F.count("*").alias("n"))
+        able = enough(votes).join(past.where(~linked).select("a", "b"), ["a", "b"], "left_anti")
+        nearest = able.groupBy("a").agg(F.min(F.struct((-F.col("n")).alias("n"), "b")).alias("best")).select("a", F.col("best.b").alias("b"))
+        tested = materialize(measured(nearest).withColumn("round", F.lit(number)), "tested")
+        past = past.unionByName(tested)
+        found = tested.where(linked)
         if not found.limit(1).count():
             break
-        links = found if links is None else links.unionByName(found)
-        balls = found if balls is None else balls.unionByName(found.join(balls.select("a"), "a", "left_anti"))
-        labels = members.select("sid").distinct().join(components(links).withColumnRenamed("v", "sid"), "sid", "left").select("sid", F.coalesce("comp", "sid").alias("comp"))
-        labels = materialize(labels, "labels")
+        labels = relabelled(labels, found)
+        alive = alive.select("region", "class", "sid")
 
     # recursion: balls that share a region but no component
-    still = within.join(ends.select("region"), "region", "left_semi")
-    if balls is not None:
-        center = balls.select(F.col("a").alias("sid"), F.col("b").alias("pivot"), F.col("d").alias("r"))
-    else:
-        center = docs.sparkSession.createDataFrame([], "sid long, pivot long, r double")
-    entries = materialize(still.join(center, "sid", "left").select("region", "comp", F.coalesce("pivot", "sid").alias("pivot")).distinct(), "entries")
-    other = entries.select("region", F.col("comp").alias("comp_b"), F.col("pivot").alias("b"))
-    pairs = entries.withColumnRenamed("pivot", "a").join(other, "region").where("a < b and comp != comp_b").select("a", "b").distinct()
-    apart = materialize(measured(pairs), "pivots")
+    failed = past.where(~linked).select("a", "b", "d")
+    first = past.where(linked).groupBy("a").agg(F.min(F.struct("round", "b", "d")).alias("f"))
+    center = materialize(first.select(F.col("a").alias("sid"), F.col("f.b").alias("pivot"), F.col("f.d").alias("r")), "balls")
+    single = partnered.join(center.select("sid").unionByName(center.select(F.col("pivot").alias("sid"))), "sid", "left_anti").withColumn("single", F.lit(True))
+    entries = alive.drop("pivot").join(center, "sid", "left").select("region", "class", "comp", F.coalesce("pivot", "sid").alias("a")).distinct().join(single.withColumnRenamed("sid", "a"), "a", "left")
+    entries = materialize(entries, "entries")
+    other = entries.select("region", F.col("comp").alias("comp_b"), F.col("a").alias("b"), F.col("single").alias("single_b"))
+    pairs = entries.join(other, "region").where("a < b and comp != comp_b").groupBy("a", "b", "class").agg(F.count("*").alias("n"), F.max(F.col("single") & F.col("single_b")).alias("points"))
+    pairs = enough(pairs.where("points")).select("a", "b").unionByName(pairs.where("points is null").select("a", "b")).distinct()
+    apart = materialize(measured(pairs.join(failed.select("a", "b"), ["a", "b"], "left_anti")).unionByName(failed.select("a", "b", "d").join(pairs, ["a", "b"], "left_semi")), "pivots")
     inside = center.unionByName(center.select("pivot").distinct().select(F.col("pivot").alias("sid"), "pivot", F.lit(0.0).alias("r")))
     near = apart.where(~linked & (F.col("d") <= F.lit(3 * reach)))
     for end in ("a", "b"):
@@ -270,14 +312,14 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, threshold: Fraction | float
     comp_of = lambda c: labels.select(F.col("sid").alias(c), F.col("comp").alias(f"comp_{c}"))
     deep = deep.join(comp_of("a"), "a").join(comp_of("b"), "b").where("comp_a != comp_b").select("a", "b").distinct()
     last = materialize(apart.where(linked).select("a", "b").unionByName(measured(deep).where(linked).select("a", "b")), "links")
+    labels = relabelled(labels, last)
 
     # a document with several texts links them, and texts without a partner are components of their own
-    every = last if links is None else links.select("a", "b").unionByName(last)
     everyone = docs_of.where("sid is not null")
+    labels = everyone.select("sid").distinct().join(labels, "sid", "left").select("sid", F.coalesce("comp", "sid").alias("comp"))
     same = everyone.where("doc_id is not null").groupBy("doc_id").agg(F.min("sid").alias("a"), F.max("sid").alias("b")).where("a != b")
-    more = everyone.join(same.select("doc_id", "a"), "doc_id").select("a", F.col("sid").alias("b"))
-    comps = components(every.unionByName(more)).withColumnRenamed("v", "sid")
-    placed = materialize(everyone.join(comps, "sid", "left").select("doc_id", "n", F.coalesce("comp", "sid").alias("comp")), "placed")
+    labels = relabelled(labels, everyone.join(same.select("doc_id", "a"), "doc_id").select("a", F.col("sid").alias("b")))
+    placed = materialize(everyone.join(labels, "sid").select("doc_id", "n", "comp"), "placed")
     least = placed.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     done = placed.join(least, "comp").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return done.unionByName(docs_of.where("sid is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
