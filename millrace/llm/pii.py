@@ -69,18 +69,17 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def loose_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Spans that look like an identifier of a kind but don't meet its base shape; none overlaps a base span."""
+    """Spans that look like an identifier of a kind but don't meet its base shape; none overlaps a base span.
+
+    A number is given once for each kind that its shape and count of digits allow.
+    """
     out = []
     for m in LOOSE_NUMBER.finditer(text):
         if m.end() - m.start() < 7:
             continue
         s, d = m.group(), digits_of(m.group())
-        if re.fullmatch(r"[0-9]{1,3}(?: ?\[?\.\]? ?[0-9]{1,3}){3}", s):
-            out.append((1, m.start(), m.end()))
-        elif 13 <= len(d) <= 19:
-            out.append((2, m.start(), m.end()))
-        elif 7 <= len(d) <= 12:
-            out.append((3, m.start(), m.end()))
+        allowed = (bool(re.fullmatch(r"[0-9]{1,3}(?: ?\[?\.\]? ?[0-9]{1,3}){3}", s)), 13 <= len(d) <= 19, 7 <= len(d) <= 15)
+        out += [(k, m.start(), m.end()) for k, yes in enumerate(allowed, 1) if yes]
     for m in LOOSE_AT.finditer(text):
         start = m.start()
         while start > 0 and m.start() - start < 64 and text[start - 1] in LOCAL:
@@ -114,7 +113,9 @@ def find_personal_data(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     looser look-alikes are patterns; the two make a graph of (pattern, instance) edges, grouped before anything else.
     For ``rounds`` rounds, a pattern's confidence is the mean confidence of its distinct instances, one doubtful instance
     added, and a look-alike's is the chance that not all its patterns err, of those with at least ``least_instances``
-    seed instances. Look-alikes that end at ``confidence`` or above are added; base finds always stay.
+    instances that are seeds or reached ``confidence`` in the round before: what a round finds induces the patterns of
+    the next. Look-alikes that end at ``confidence`` or above are added, each as its most trusted kind (the first of
+    KINDS on ties); base finds always stay.
 
     Returns doc_id, n_email, n_ip, n_card, n_phone (long, base finds), base and spans (arrays of kind, start, end in
     code points, by kind as in KINDS and start), a row for each input row. Null or empty text has none; repeated or
@@ -143,11 +144,13 @@ def find_personal_data(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     trust = edges.where("not seed").select("kind", "instance").distinct().withColumn("trust", F.lit(0.0))
     for _ in range(rounds):
         weighed = edges.join(trust, ["kind", "instance"], "left").withColumn("trust", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("trust", F.lit(0.0))))
-        patterns = weighed.groupBy("kind", "pattern").agg(F.sum("trust").alias("s"), F.count("*").alias("n"), F.count_if("seed").alias("seeds")).where(F.col("seeds") >= least_instances)
+        patterns = weighed.groupBy("kind", "pattern").agg(F.sum("trust").alias("s"), F.count("*").alias("n"), F.count_if(F.col("trust") >= confidence).alias("trusted")).where(F.col("trusted") >= least_instances)
         good = patterns.select("kind", "pattern", (F.col("s") / (F.col("n") + 1)).alias("c"))
         doubt = F.exp(F.sum(F.log(F.greatest(1 - F.col("c"), F.lit(1e-9)))))
         trust = materialize(edges.where("not seed").join(good, ["kind", "pattern"]).groupBy("kind", "instance").agg((1 - doubt).alias("trust")), "trust")
-    added = each.where("not seed").join(trust.where(F.col("trust") >= confidence), ["kind", "instance"]).groupBy("row").agg(F.collect_list(F.struct("kind", "start", "end")).alias("added"))
+    trusted = each.where("not seed").join(trust.where(F.col("trust") >= confidence), ["kind", "instance"])
+    one_kind = trusted.groupBy("row", "start", "end").agg(F.max_by("kind", F.struct("trust", -F.col("kind"))).alias("kind"))
+    added = one_kind.groupBy("row").agg(F.collect_list(F.struct("kind", "start", "end")).alias("added"))
 
     plain = lambda m: F.struct(m["kind"].alias("kind"), m["start"].alias("start"), m["end"].alias("end"))
     base = F.transform(F.filter("mentions", lambda m: m["seed"]), plain)

@@ -78,6 +78,23 @@ def test_personal_data_bootstraps(spark):
     assert not pii.find_personal_data(spark.createDataFrame(unseen, H.DOCS)).where(F.size("spans") > 0).count()
 
 
+def test_personal_data_found_in_one_round_induces_the_next(spark):
+    rows = [(i, f"you can call my number {'+1 (555) 010-%04d' % i} tonight", "en", "s", 1) for i in range(30)]
+    for i in range(100, 112):  # twelve unseen numbers in the seeds' context and, once more each, in one without any seed
+        rows += [(i, f"you can call my number 555 010 7{i} tonight", "en", "s", 1), (i + 100, f"please fax paper to 555 010 7{i} before noon", "en", "s", 1)]
+    rows += [(300, "please fax paper to 555 010 9999 before noon", "en", "s", 1), (301, "please bring 555 010 9998 stones", "en", "s", 1)]
+    got = {r.doc_id: r for r in pii.find_personal_data(spark.createDataFrame(rows, H.DOCS)).collect()}
+    assert [s.kind for s in got[300].spans] == ["phone"] and not got[301].spans
+
+
+def test_personal_data_kinds_by_context(spark):
+    rows = [(i, f"you can call my number {'+1 (555) 010-%04d' % i} tonight", "en", "s", 1) for i in range(30)]
+    rows += [(100, "you can call my number 0049 170 5550 1077 tonight", "en", "s", 1)]  # 15 digits: a card's count too
+    got = {r.doc_id: r for r in pii.find_personal_data(spark.createDataFrame(rows, H.DOCS)).collect()}
+    assert [s.kind for s in got[100].spans] == ["phone"]
+    assert pii.loose_spans("0049 170 5550 1077", []) == [(2, 0, 18), (3, 0, 18)]
+
+
 def test_token_counts(spark, folder):
     from tokenizers import Tokenizer
 
