@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -75,8 +76,6 @@ def _distance(v: pd.Series, center: pd.Series, inverse: pd.Series) -> pd.Series:
 
 def chi2(p: float, k: int) -> float:
     """Quantile of the chi-squared distribution, by Wilson and Hilferty."""
-    from statistics import NormalDist
-
     return k * (1 - 2 / (9 * k) + NormalDist().inv_cdf(p) * math.sqrt(2 / (9 * k))) ** 3
 
 
@@ -101,13 +100,17 @@ def _shape(rows: DataFrame, keys: list[str]) -> DataFrame:
     return sums.select(*keys, "center", inverse("s").alias("inverse"))
 
 
-def robust_distance(rows: DataFrame, keys: list[str], *, share: float = 0.75, steps: int = 4) -> DataFrame:
-    """Add ``d2``: the squared Mahalanobis distance of ``v`` to its group's minimum-covariance-determinant estimate.
+def robust_distance(rows: DataFrame, keys: list[str], *, share: float = 0.75, steps: int = 4, tail: float = 0.01) -> DataFrame:
+    """Add ``d2``, the squared Mahalanobis distance of ``v`` to its group's minimum-covariance-determinant estimate, and
+    ``cut``, beyond which ``tail`` of the group's regular rows are expected.
 
     Concentration steps over all rows: from the half nearest to the medians on, each step fits center and covariance
     to the ``share`` of the group's rows nearest to the last fit, which never raises the determinant. Fits are sums for
     each group and thresholds are mergeable quantile sketches, so no group is gathered in one task; groups join back by
-    their one row. Distances are scaled so that their median is that of a chi-squared variable.
+    their one row. The cut carries a log-normal tail on from the group's own median and upper quartile, which up to a
+    quarter of outliers don't reach, and is fitted once more to the rows within it, as outliers widen the first one; it
+    is never below the chi-squared quantile. Distances are scaled so that the median of the rows within is that of a
+    chi-squared variable.
     """
     p = len(FEATURES)
     on = lambda a, b: a.join(b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]).drop(*[f"_{k}" for k in keys])
@@ -120,16 +123,25 @@ def robust_distance(rows: DataFrame, keys: list[str], *, share: float = 0.75, st
         limit = current.groupBy(*keys).agg(F.percentile_approx("d2", F.lit(share), F.lit(2000)).alias("limit"))
         inner = on(current, renamed(limit)).where(F.col("d2") <= F.col("limit"))
         current = materialize(on(current.drop("d2"), renamed(_shape(inner, keys))).select(*columns, _distance("v", "center", "inverse").alias("d2")), "distance")
-    middle = current.groupBy(*keys).agg(F.percentile_approx("d2", F.lit(0.5), F.lit(2000)).alias("middle"))
-    return on(current, renamed(middle)).select(*columns, (F.col("d2") * F.lit(chi2(0.5, p)) / F.greatest("middle", F.lit(1e-9))).alias("d2"))
+    reach = NormalDist().inv_cdf(1 - tail) / NormalDist().inv_cdf(0.75)
+
+    def fitted(part: DataFrame) -> DataFrame:
+        quartiles = part.groupBy(*keys).agg(F.percentile_approx("d2", F.array(F.lit(0.5), F.lit(0.75)), F.lit(2000)).alias("q"))
+        middle, upper = (F.greatest(F.col("q")[i], F.lit(1e-9)) for i in range(2))
+        cut = F.greatest(F.pow(upper / middle, F.lit(reach)), F.lit(chi2(1 - tail, p) / chi2(0.5, p)))
+        return renamed(quartiles.select(*keys, middle.alias("middle"), (middle * cut).alias("limit")))
+
+    regular = on(current, fitted(current)).where(F.col("d2") <= F.col("limit")).select(*columns, "d2")
+    scale = F.lit(chi2(0.5, p)) / F.col("middle")
+    return on(current, fitted(regular)).select(*columns, (F.col("d2") * scale).alias("d2"), (F.col("limit") * scale).alias("cut"))
 
 
-def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", min_words: int = 50, max_repeat: int = 50, least_group: int = 200, tail: float = 1e-9, slack: float = 3.5) -> DataFrame:
+def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", min_words: int = 50, max_repeat: int = 50, least_group: int = 200, tail: float = 0.01) -> DataFrame:
     """Base counts of every whole text, and whether it is kept.
 
     base_failed: fewer than ``min_words`` words, or over ``max_repeat`` percent of them in 3-word windows found twice
     or more. The others are outliers where their transformed statistics lie further from the robust center of their
-    (language, source) than the chi-squared quantile of ``1 - tail``, times ``slack`` for tails heavier than normal.
+    (language, source) than a cut from that group's own distances, which ``tail`` of its regular documents exceed.
     Groups of fewer than ``least_group`` documents that pass the base rules are judged with their language, and
     languages that small with all documents.
 
@@ -148,8 +160,8 @@ def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
         F.when(F.col("n") >= least_group, F.to_json(F.struct("lang", "source"))).when(F.col("n_lang") >= least_group, F.to_json(F.struct("lang"))).otherwise(F.lit("all")).alias("judged"),
     )
     grouped = passed.join(level, F.col("lang").eqNullSafe(F.col("_l")) & F.col("source").eqNullSafe(F.col("_s"))).drop("_l", "_s")
-    judged = robust_distance(grouped, ["judged"])
-    keep = F.col("d2") <= F.lit(slack * chi2(1 - tail, len(FEATURES)))
+    judged = robust_distance(grouped, ["judged"], tail=tail)
+    keep = F.col("d2") <= F.col("cut")
     columns = ["doc_id", *BASE, "base_failed"]
     done = judged.select(*columns, F.col("d2").alias("distance"), keep.alias("kept"))
     return done.unionByName(rows.where("base_failed").select(*columns, F.lit(None).cast("double").alias("distance"), F.lit(False).alias("kept")))

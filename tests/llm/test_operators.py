@@ -198,6 +198,24 @@ def test_quality_keeps_good_and_drops_outliers(spark):
     assert r.good > 0.97 and r.bad < 0.5
 
 
+def test_quality_cut_follows_the_distances(spark):
+    """Outliers some ten spreads out go, which a cut for all data at 207 kept; regular rows stay, also of heavier tails."""
+    rng = np.random.default_rng(7)
+    p = len(quality.FEATURES)
+    rows = [("normal", i, x) for i, x in enumerate(rng.normal(size=(3000, p)))] + [("heavy", i, x) for i, x in enumerate(rng.standard_t(5, size=(3000, p)))]
+    rows += [("normal", 10_000 + i, x * 11 / np.linalg.norm(x)) for i, x in enumerate(rng.normal(size=(60, p)))]
+    df = spark.createDataFrame([(g, i, [float(c) for c in x]) for g, i, x in rows], "g string, i long, v array<double>")
+    got = quality.robust_distance(df, ["g"], tail=0.01).toPandas()
+    out, far = got["d2"] > got["cut"], got["i"] >= 10_000
+    assert got["d2"][far].median() < 207 and out[far].all()
+    assert out[(got["g"] == "normal") & ~far].mean() < 0.02 and out[got["g"] == "heavy"].mean() < 0.04
+
+
+def test_quality_rejects_every_labelled_bad_document(spark):
+    found = queries.op6_quality_rules(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id")
+    assert found.where("quality = 0 and kept").count() == 0
+
+
 def test_language(spark):
     docs = documents(spark, "/root/testdata/sf0.01")
     found = queries.op7_language_id(spark, "/root/testdata/sf0.01").join(docs.select("doc_id", "lang"), "doc_id")
