@@ -40,13 +40,24 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Put all documents in the order of the mixture; the table's files follow it."""
+    """Put all documents in the order of the mixture.
+
+    Reading the files back doesn't keep an order; it follows from the rows alone, so ``packed`` finds it again.
+    """
     return mix(docs).orderBy("mix_slot", "mix_start", "doc_id").select(*COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 1024 tokens: a row for each piece of a document, with its token ids."""
-    return pack(docs, "doc_id", "text", tokenizer_file("byte_bpe_50k.json"), capacity=1024)
+    """Sequences of at most 1024 tokens in the order of the mixture: a row for each piece of a document, with its token
+    ids and its document's mix_slot.
+
+    The mixture depends on ids, sources and sizes only and is computed again here, whatever files the rows come from.
+    Documents are dealt by ranges of (mix_slot, mix_start), so that sequence ids, which rise with the partition, follow
+    the mixture: from one group of packed fragments to the next exactly, within a group as the differencing deals them.
+    """
+    order = ["mix_slot", "mix_start", "doc_id"]
+    ranged = mix(docs).select("doc_id", "text", "mix_slot", "mix_start").repartitionByRange(*order).sortWithinPartitions(*order)
+    return pack(ranged, "doc_id", "text", tokenizer_file("byte_bpe_50k.json"), capacity=1024, carry="mix_slot")
 
 
 STAGES = [("language", language), ("shared_lines", shared_lines), ("near_copies", near_copies), ("mixed", mixed), ("packed", packed)]

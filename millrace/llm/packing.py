@@ -131,7 +131,7 @@ def windows_of(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, int]:
         windows += 1
 
 
-def pack(docs: DataFrame, id_col: str | Column, text_col: str | Column, tokenizer_path: str, *, capacity: int = 1024, fragment: int = 256, group: int = 640, end_id: int = 0) -> DataFrame:
+def pack(docs: DataFrame, id_col: str | Column, text_col: str | Column, tokenizer_path: str, *, capacity: int = 1024, fragment: int = 256, group: int = 640, end_id: int = 0, carry: str | None = None) -> DataFrame:
     """Pack every document's token ids, each followed by ``end_id``, into sequences of at most ``capacity``.
 
     A document gives as many whole windows as it fills; its remainder is cut into fragments of at most ``fragment``
@@ -139,7 +139,8 @@ def pack(docs: DataFrame, id_col: str | Column, text_col: str | Column, tokenize
     differencing. Nothing is shuffled and a task holds one group of fragments at a time.
 
     Returns a row for each piece: doc_id, start, length, tokens (the ids as little-endian uint32 bytes), doc_tokens,
-    sequence_id (unique, not consecutive), offset. A null or empty text is the end id alone; rows with equal or null
+    sequence_id (unique, not consecutive, rising with the partition and the groups within), offset, and the document's
+    value of the whole-number column ``carry`` where one is named. A null or empty text is the end id alone; rows with equal or null
     ids are packed each for itself; an empty table gives no rows. Sequences aren't filled with padding here.
     """
     import pyspark.sql.functions as F
@@ -148,6 +149,8 @@ def pack(docs: DataFrame, id_col: str | Column, text_col: str | Column, tokenize
     schema = "doc_id long, start long, length long, tokens binary, doc_tokens long, sequence_id long, offset long"
     names = ["doc_id", "start", "length", "tokens", "doc_tokens", "sequence_id", "offset"]
     arrow = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("tokens", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
+    if carry:
+        schema, names, arrow = f"{schema}, `{carry}` long", [*names, carry], arrow.append(pa.field(carry, pa.int64()))
     if not 1 <= fragment <= capacity:
         raise ValueError("fragment must be from 1 to capacity")
 
@@ -168,8 +171,8 @@ def pack(docs: DataFrame, id_col: str | Column, text_col: str | Column, tokenize
             for i in order:
                 if dealt[i] != last:
                     last, offset = dealt[i], 0
-                doc, start, ids, total = waiting[i]
-                rows.append((doc, start, int(sizes[i]), ids, total, first + made + int(last), offset))
+                doc, start, ids, total, *more = waiting[i]
+                rows.append((doc, start, int(sizes[i]), ids, total, first + made + int(last), offset, *more))
                 offset += int(sizes[i])
             made += windows
             waiting.clear()
@@ -180,18 +183,18 @@ def pack(docs: DataFrame, id_col: str | Column, text_col: str | Column, tokenize
             return table
 
         for batch in batches:
-            texts = batch.column(1)
+            texts, carried = batch.column(1), batch.column(2).to_pylist() if carry else None
             held = 0
             for k, doc in enumerate(batch.column(0).to_pylist()):
                 ids = encode(texts[k].as_py() or "") + end
-                total, at = len(ids) // 4, 0
+                total, at, more = len(ids) // 4, 0, (carried[k],) if carry else ()
                 while total - at >= capacity:
-                    rows.append((doc, at, capacity, ids[4 * at : 4 * (at + capacity)], total, first + made, 0))
+                    rows.append((doc, at, capacity, ids[4 * at : 4 * (at + capacity)], total, first + made, 0, *more))
                     made += 1
                     at += capacity
                 while at < total:
                     size = min(fragment, total - at)
-                    waiting.append((doc, at, ids[4 * at : 4 * (at + size)], total))
+                    waiting.append((doc, at, ids[4 * at : 4 * (at + size)], total, *more))
                     at += size
                 if len(waiting) >= group:
                     deal()
@@ -205,4 +208,4 @@ def pack(docs: DataFrame, id_col: str | Column, text_col: str | Column, tokenize
             deal()
             yield out()
 
-    return docs.select(as_col(id_col).cast("long").alias("doc_id"), as_col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(as_col(id_col).cast("long").alias("doc_id"), as_col(text_col).cast("string").alias("text"), *[F.col(c).cast("long") for c in [carry] if c]).mapInArrow(run, schema)

@@ -48,3 +48,22 @@ def test_all_stages(spark, folder):
     assert set(pieces["doc_id"]) <= {r.doc_id for r in documents(spark, folder).collect()}
     assert (pieces.groupby("doc_id")["length"].sum() == pieces.groupby("doc_id")["doc_tokens"].first()).all()
     assert pieces.groupby("sequence_id")["length"].sum().max() <= 1024
+
+
+def test_sequences_follow_the_mixture_over_several_files(spark, folder, tmp_path, monkeypatch):
+    from millrace.llm import mixing
+
+    monkeypatch.setattr(mixing, "LEAST_BLOCK", 1 << 12)
+    docs = documents(spark, folder)
+    path = str(tmp_path / "mixed")
+    P.mixed(spark, docs, folder).repartition(7, "doc_id").write.parquet(path)  # files in another order
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(coalesce, "false")  # the table is too small for several partitions otherwise
+    try:
+        got = P.packed(spark, spark.read.parquet(path), folder).toPandas()
+    finally:
+        spark.conf.unset(coalesce)
+    slots = {r.doc_id: r.mix_slot for r in mixing.mix(docs).collect()}
+    assert (got["mix_slot"] == got["doc_id"].map(slots)).all() and got["mix_slot"].nunique() > 20
+    ranges = got.groupby(got["sequence_id"] // 2**40)["mix_slot"].agg(["min", "max"])
+    assert len(ranges) > 1 and (ranges["max"].to_numpy()[:-1] <= ranges["min"].to_numpy()[1:]).all()
