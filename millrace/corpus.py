@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .functions.english import query_lexemes
 from .functions.headline import headline
 from .functions.text import meta_line, source_id, split_source_id, strip_marks, titled
 from .options import SearchOptions, checked_query
@@ -33,16 +34,16 @@ class Corpus:
         """At most ``options.limit`` hits: named records with score 1, then hybrid hits, each source once, with rank,
         title, url, snippet, score and, for named records, the body."""
         q = checked_query(q)
-        terms = list(dict.fromkeys(re.findall("[a-z0-9]+", q.lower())))
+        terms = query_lexemes(q)
         named = self.named(q)
-        ranked = plans.hybrid(self.chunks, self.sources.select("source_id", "source_type", "project", "updated_at"), self.embedder(q), terms, options, as_of=as_of)
+        ranked = plans.hybrid(self.chunks, self.sources.select("source_id", "source_type", "project", "updated_at"), self.embedder(q), terms, options, as_of=as_of, stemmed=True)
         hits = plans.merged(named, ranked, options.limit).select("source_id", "score")
         best = ranked.select("source_id", "chunk_id")
         hits = hits.join(named.withColumn("is_named", F.lit(True)), "source_id", "left").join(best, "source_id", "left")
         hits = hits.join(self.chunks.select("chunk_id", "text"), "chunk_id", "left").join(self.sources, "source_id")
         rank = F.row_number().over(Window.orderBy(F.coalesce("is_named", F.lit(False)).desc(), F.coalesce("ord", F.lit(0)), F.desc("score"), "source_id"))
         text = F.when(F.col("is_named"), F.coalesce(F.nullif("body", F.lit("")), "title")).otherwise(F.col("text"))
-        return hits.select(rank.alias("rank"), "source_id", "source_type", "source_key", "project", "title", "url", "updated_at", headline(text, terms).alias("snippet"), "score", F.when(F.col("is_named"), F.col("body")).alias("body"))
+        return hits.select(rank.alias("rank"), "source_id", "source_type", "source_key", "project", "title", "url", "updated_at", headline(text, terms, stemmed=True).alias("snippet"), "score", F.when(F.col("is_named"), F.col("body")).alias("body"))
 
     def prompt(self, q: str, options: SearchOptions = SearchOptions(), *, max_chars: int = 12000) -> str:
         """The context and the question, as a text within the budget: the one row that comes to the driver."""

@@ -3,22 +3,26 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .english import STOP_WORDS, stem
+
 _TOKEN = re.compile("[a-z0-9]+")
 
 
-def snippet(text: str, terms: frozenset[str], most: int, lead: int) -> str:
-    """``most`` words around the place with most matches, those marked.
+def snippet(text: str, terms: frozenset[str], most: int, lead: int, form: Callable[[str], str] = str) -> str:
+    """``most`` words around the place with most matches, those marked; ``form`` turns a token into what terms are.
 
     Places are the words that match, each with up to ``lead`` words before it; the earliest of the best is taken, and
     the beginning where none matches. Two pointers run over the matches once.
     """
     words = text.split()
-    hits = [i for i, w in enumerate(words) if not terms.isdisjoint(_TOKEN.findall(w.lower()))]
+    hits = [i for i, w in enumerate(words) if not terms.isdisjoint(map(form, _TOKEN.findall(w.lower())))]
     best, start, end = 0, 0, 0
     for k, i in enumerate(hits):
         first = max(0, i - lead)
@@ -33,12 +37,13 @@ def snippet(text: str, terms: frozenset[str], most: int, lead: int) -> str:
     return " ".join(f"<mark>{w}</mark>" if i in marked else w for i, w in enumerate(words[start : start + most], start))
 
 
-def headline(text: Column, terms: list[str], most: int = 40, lead: int = 5) -> Column:
-    """A snippet of each text for lower-cased query words; null for a null text."""
+def headline(text: Column, terms: list[str], most: int = 40, lead: int = 5, *, stemmed: bool = False) -> Column:
+    """A snippet of each text for lower-cased query words, or lexemes if ``stemmed``; null for a null text."""
     wanted = frozenset(terms)
 
     @F.pandas_udf("string")
     def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: None if t is None else snippet(t, wanted, most, lead))
+        form = cache(lambda w: "" if w in STOP_WORDS else stem(w)) if stemmed else str  # each word once a batch
+        return s.map(lambda t: None if t is None else snippet(t, wanted, most, lead, form))
 
     return run(text)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine
 from ..options import SearchOptions
-from ..sources.corpus import postings
+from ..sources.corpus import lexeme_postings, postings
 
 PLACES = 9  # scores are rounded before they are compared, so that ties don't hang on the order of a sum
 
@@ -35,11 +35,13 @@ def cover_density(found: DataFrame, terms: list[str], *, id_col: str = "chunk_id
     return covers.groupBy(id_col).agg(F.round(F.sum(F.lit(0.1) / (1 + noise)), PLACES).alias("f_score"))
 
 
-def text_hits(chunks: DataFrame, terms: list[str], k: int = 50) -> DataFrame:
-    """The ``k`` chunks with the highest cover density of all terms; none for an empty query."""
+def text_hits(chunks: DataFrame, terms: list[str], k: int = 50, *, stemmed: bool = False) -> DataFrame:
+    """The ``k`` chunks with the highest cover density of all terms, which are lexemes if ``stemmed``; none for an empty
+    query."""
     if not terms:
         return chunks.select("chunk_id", F.lit(0.0).alias("f_score")).where(F.lit(False))
-    return cover_density(postings(chunks, terms), terms).orderBy(F.desc("f_score"), "chunk_id").limit(k)
+    found = lexeme_postings(chunks, terms) if stemmed else postings(chunks, terms)
+    return cover_density(found, terms).orderBy(F.desc("f_score"), "chunk_id").limit(k)
 
 
 def fuse(vector: DataFrame, text: DataFrame, weights: tuple[float, float]) -> DataFrame:
@@ -81,10 +83,10 @@ def recency(score: Column, updated: Column, as_of: Column, decay_days: float) ->
     return F.round(score * (1 + 0.05 * F.exp(-age / F.lit(float(decay_days)))), PLACES)
 
 
-def hybrid(chunks: DataFrame, sources: DataFrame, query: list[float], terms: list[str], options: SearchOptions, *, as_of: Column | None = None) -> DataFrame:
+def hybrid(chunks: DataFrame, sources: DataFrame, query: list[float], terms: list[str], options: SearchOptions, *, as_of: Column | None = None, stemmed: bool = False) -> DataFrame:
     """Ranked hits, one for each source. ``chunks`` has chunk_id, source_id, embedding, text; ``sources`` source_id and
     what the filters name. Only the candidates are joined to chunks and sources."""
-    fused = fuse(vector_hits(chunks, query, options.candidates), text_hits(chunks, terms, options.candidates), options.weights())
+    fused = fuse(vector_hits(chunks, query, options.candidates), text_hits(chunks, terms, options.candidates, stemmed=stemmed), options.weights())
     of = fused.join(chunks.select("chunk_id", "source_id"), "chunk_id").join(sources, "source_id").where(allowed(options))
     best = best_per_source(of).orderBy(F.desc("score"), "source_id").limit(options.candidates)
     if as_of is not None:

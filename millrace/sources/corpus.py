@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.english import lexemes
 from ..functions.text import first_line, tokens
 
 EPOCH = "2024-01-01 00:00:00"
@@ -37,3 +38,15 @@ def postings(chunks: DataFrame, terms: list[str], *, id_col: str = "chunk_id", t
     numbered = F.transform(tokens(F.col(text_col)), lambda t, i: F.struct(t.alias("term"), i.alias("position")))
     hits = F.filter(numbered, lambda p: p["term"].isin(*terms))
     return chunks.select(F.col(id_col), F.posexplode(hits).alias("nth", "p")).select(id_col, "p.term", "p.position", "nth")
+
+
+def lexeme_postings(chunks: DataFrame, terms: list[str], *, id_col: str = "chunk_id", text_col: str = "text") -> DataFrame:
+    """As ``postings``, but ``terms`` are lexemes, and so is each posting's term; positions are among all tokens.
+
+    Each distinct word is stemmed once; only words of the query's lexemes are joined to their places.
+    """
+    words = chunks.select(F.explode(F.array_distinct(tokens(F.col(text_col)))).alias("word"))
+    wanted = lexemes(words).where(F.col("lexeme").isin(*terms))
+    places = chunks.select(F.col(id_col), F.posexplode(tokens(F.col(text_col))).alias("position", "word"))
+    nth = F.row_number().over(Window.partitionBy(id_col).orderBy("position")) - 1
+    return places.join(wanted, "word").select(id_col, F.col("lexeme").alias("term"), "position").withColumn("nth", nth)

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from millrace.corpus import Corpus
 from millrace.filters import parsed
+from millrace.functions.english import query_lexemes
 from millrace.operators.embed import hash_vector
 from millrace.operators.feed import extracted_links, issue_body, parsed_issues
 from millrace.options import SearchOptions
+from millrace.plans import search as plans
 
 T = dt.datetime(2024, 1, 1)
 ROWS = [
@@ -38,6 +40,13 @@ def test_own_content_wins_and_is_marked(corpus):
     assert row.source_id == "page:7" and "<mark>search</mark>" in row.snippet and row.score == pytest.approx(1.0)
 
 
+def test_questions_match_by_lexemes(corpus):
+    row = corpus.search("how do I restart the searches when they are slow").orderBy("rank").first()
+    assert row.source_id == "page:7" and "<mark>search</mark>" in row.snippet and "<mark>the</mark>" not in row.snippet
+    hits = plans.text_hits(corpus.chunks, query_lexemes("how do I restart the searches"), stemmed=True).collect()
+    assert [r.chunk_id for r in hits] == [2] and not plans.text_hits(corpus.chunks, ["restart", "searches"]).count()
+
+
 def test_filters_do_not_leak(corpus):
     only = corpus.search("search index", SearchOptions(source_types=("confluence",))).collect()
     assert {r.source_type for r in only} == {"confluence"}
