@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import itertools
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from fractions import Fraction
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import blocks
@@ -19,7 +17,9 @@ from .common import materialize
 
 #: Sizes of sets fall into classes whose bounds grow by this factor.
 CLASS_GROWTH = 1.6
-MEMO_WORDS, HELD_KEYS, HELD_SHINGLES = 250_000, 700_000, 2_000_000
+#: Regions of up to this many points are joined pair by pair, larger ones are split by pivots; after DEPTH splits all are.
+SMALL, DEPTH = 32, 8
+MEMO_WORDS, HELD_SHINGLES = 250_000, 2_000_000
 _words: dict[bytes, int] = {}
 
 
@@ -42,12 +42,6 @@ def shingles(text: str | None, k: int) -> np.ndarray:
     return np.unique(s)
 
 
-def set_id(s: np.ndarray) -> int:
-    import xxhash
-
-    return xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63)
-
-
 class Regions:
     """Where two different sets within the distance ``1 - threshold`` must meet.
 
@@ -61,6 +55,7 @@ class Regions:
 
     def __init__(self, threshold: Fraction):
         self.threshold = threshold
+        self.up, self.down = threshold.numerator, threshold.denominator
         self.bounds = [1]
 
     def _bound(self, c: int) -> int:
@@ -68,21 +63,29 @@ class Regions:
             self.bounds.append(max(self.bounds[-1] + 1, math.ceil(self.bounds[-1] * CLASS_GROWTH)))
         return self.bounds[c]
 
+    def differing(self, total: int) -> int:
+        """The largest symmetric difference of two sets within the distance, from the sum of their sizes."""
+        return (self.down - self.up) * total // (self.down + self.up)
+
+    def near(self, difference: int, total: int) -> bool:
+        return (self.down + self.up) * difference <= (self.down - self.up) * total
+
+    def largest(self, n: int) -> int:
+        """The largest set that can be within the distance of one of n members."""
+        return n * self.down // self.up
+
     def cells(self, c: int) -> tuple[int, int]:
         """The number of cells of a class, and the number in which sets of it may differ."""
-        d = math.floor((1 - self.threshold) / (1 + self.threshold) * 2 * (self._bound(c + 1) - 1))
+        d = self.differing(2 * (self._bound(c + 1) - 1))
         return d + 1 + max(6, d // 6), d
 
     def alone(self, n: int) -> bool:
         """No different set can be as near: even one member more or less is too many."""
         return Fraction(n, n + 1) < self.threshold
 
-    def differing(self, n: int, other: int) -> int:
-        """The largest symmetric difference of two sets of these sizes within the distance."""
-        return math.floor((1 - self.threshold) / (1 + self.threshold) * (n + other))
-
     def keys(self, s: np.ndarray) -> list[tuple[int, int, np.ndarray]]:
-        """For each class in which a set stands: the class, how many of its cells have members, and the regions' keys."""
+        """For each of the one or two classes in which a set stands: the class, the least number of regions of it that a
+        set within the distance shares there, and the regions' keys."""
         n = len(s)
         if n == 0 or self.alone(n):
             return []
@@ -91,19 +94,35 @@ class Regions:
             c += 1
         out = []
         for at in (c, c + 1):
-            if at > c and Fraction(n, self._bound(at)) < self.threshold:
+            if at > c and self.largest(n) < self._bound(at):
                 break
             m, d = self.cells(at)
             cell = (s >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)
             found, first = np.unique(cell, return_index=True)
             content = np.add.reduceat(blocks.mixed(s, np.full(n, np.uint64(at))), first)
             keys = blocks.mixed(content, found + np.uint64(at << 40))
-            if m - len(found) >= m - d:
+            if len(found) <= d:
                 empty = np.setdiff1d(np.arange(m, dtype=np.uint64), found)
                 keys = np.concatenate((keys, blocks.mixed(np.full(len(empty), np.uint64(0xE0E0)), empty + np.uint64(at << 40))))
-            out.append((at, len(found), keys))
+            most = self.differing(n + min(self.largest(n), self._bound(at + 1) - 1))
+            out.append((at, max(1, len(found) - most), keys))
         return out
 
+    def prefix(self, n: int, center: int, delta: int, ball: bool) -> int:
+        """How many members of its difference from a pivot a set has to show so that it meets every partner.
+
+        ``n``, ``center`` and ``delta`` are the sizes of the set, the pivot and their difference; of two partners, one at
+        least is outside the pivot's ball. Differences X and Y of partners share at least (|X| + |Y| - D) / 2 members,
+        where |Y| >= |X| - D by the triangle inequality, and |Y| > (1 - T) / (1 + T) (y + center) outside the ball.
+        """
+        u, w = self.down - self.up, self.down + self.up
+        if ball:
+            shared = (w * delta + u * (center - n)) // (2 * w) + 1
+        else:
+            most = self.differing(n + self.largest(n))
+            shared = max(delta - most, -(-(delta + 1 - most) // 2))
+        return max(0, delta - max(1, shared) + 1)
+
 
 def components(edges: DataFrame) -> DataFrame:
     """(v, comp): the least vertex reachable over edges (a, b), for every vertex in an edge.
@@ -124,202 +143,237 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, *, k: int = 5, threshold: Fraction | float = Fraction(4, 5), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Components of documents linked by Jaccard similarity of their distinct word ``k``-grams, exactly.
+class Kept(dict):
+    """Shingle sets of pivots by id; it is emptied when it holds too many members."""
+
+    held = 0
+
+    def of(self, key: int, text: pa.Scalar, k: int) -> np.ndarray:
+        if key not in self:
+            if self.held > HELD_SHINGLES:
+                self.clear()
+                self.held = 0
+            self[key] = shingles(text.as_py(), k)
+            self.held += len(self[key])
+        return self[key]
+
+
+def numbers(cell: pa.Scalar) -> np.ndarray:
+    return np.frombuffer(cell.as_py(), np.uint64)
+
+
+def arrow(columns: dict[str, pa.Array]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+
+def binary(arrays: Sequence[np.ndarray]) -> pa.Array:
+    return pa.array([a.tobytes() for a in arrays], pa.binary())
 
-    Equal sets are one point of the metric space. Points are dealt to ``Regions`` so that each pair within the
-    distance shares one, and more: a pair that shares fewer cells than its sizes demand is too far apart. Regions with
-    one point fall away, and what a region lists is linear in its points. In each round a region's least point of another
-    component is a pivot, and a point goes to the pivot it shares most cells with, if they are enough; points within the
-    distance of their pivot, checked on the sets themselves, form a ball and join its component. Rounds go on, over the
-    regions that still hold several components, until none joins. What is left is joined recursively: pivots of
-    balls against each other, and of two balls whose pivots are near enough for it by the triangle inequality, those
-    points whose distances to their pivots allow a link.
-
-    Returns doc_id, n_shingles (long) and component_id (the smallest doc_id reachable, itself included), a row for each
-    input row. A document without words has no shingles and is linked with nothing. Rows with one id count as one
-    document, which links by any of its texts; rows without id take part, and have a null component_id if no row in
-    reach has an id. An empty table gives no rows. ``near_duplicates`` links at similarity >= ``threshold``.
+
+def lists(arrays: Sequence[np.ndarray]) -> pa.Array:
+    """A column of lists of 64-bit numbers."""
+    ends = np.concatenate(([0], np.cumsum([len(a) for a in arrays]))).astype(np.int32)
+    flat = np.concatenate([*arrays, np.zeros(0, np.uint64)]).astype(np.uint64).view(np.int64)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+
+
+SETS = "row long, stand int, n long, s1 long, s2 long, need int, keys array<long>"
+BALLS = "region string, pivot long, pivot_n long, x long, n long, delta long, ball boolean, plus binary, minus binary"
+
+
+def _sets(rows: DataFrame, k: int, regions: Regions) -> DataFrame:
+    """Rows (id, text, rest) with their number, the size and 128-bit hash of their set, and its regions.
+
+    Every row comes with stand 0; where its set stands in two classes, one with stand 1 has the second class's regions and
+    no id, text or rest.
     """
-    bound = threshold if isinstance(threshold, Fraction) else Fraction(str(threshold))
-    up, down, reach = bound.numerator, bound.denominator, 1 - float(bound)
-    regions, parts = Regions(bound), blocks.parts_for(docs)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("node", F.xxhash64(F.lit(1), "doc_id", "text"))
+    kinds = rows.schema.fields
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kinds)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, made = TaskContext.get().partitionId() << 24, 0
-        ids, nodes, sizes, sets, keys, owners, stands, known, held = [], [], [], [], [], [], [], set(), 0
-
-        def flush():
-            nonlocal made, held
-            cells = [(first + made, -1, blocks.dumps(ids[:], nodes[:], sizes[:], sets[:], stands[:]))]
-            if keys:
-                every, owner = np.concatenate(keys), np.repeat(np.arange(len(keys)), [len(x) for x in keys])
-                classes = [c for _, c, _, _ in stands]
-                order = np.argsort(every)
-                every, owner = every[order], owner[order]
-                for p, r in blocks.runs(every, parts):
-                    used, at = np.unique(owner[r], return_inverse=True)
-                    cells.append((first + made, p, blocks.dumps(blocks.rising(every[r]), blocks.planes(at), np.array(owners, np.int64)[used], np.array(classes)[used])))
-            made, held = made + 1, 0
-            for x in (ids, nodes, sizes, sets, keys, owners, stands):
-                x.clear()
-            return blocks.table(cells)
+        import xxhash
 
+        first, made = TaskContext.get().partitionId() << 33, 0
+        known: set[bytes] = set()
         for batch in batches:
-            texts, node = batch.column(1), batch.column(2).to_pylist()
-            for i, doc in enumerate(batch.column(0).to_pylist()):
+            texts, n = batch.column(1), batch.num_rows
+            size, found, needs, keys, again = np.zeros(n, np.int64), [], [], [], []
+            for i in range(n):
                 s = shingles(texts[i].as_py(), k)
-                sid = set_id(s) if len(s) else None
-                ids.append(doc)
-                nodes.append(node[i])
-                sizes.append(len(s))
-                sets.append(sid)
-                if sid is not None and sid not in known:
+                size[i] = len(s)
+                sid = xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None
+                found.append(sid)
+                stands = [] if sid is None or sid in known else regions.keys(s)
+                needs.append(stands[0][1] if stands else None)
+                keys.append(stands[0][2] if stands else np.zeros(0, np.uint64))
+                again += [(i, *x[1:]) for x in stands[1:]]
+                if stands:
+                    if len(known) > MEMO_WORDS:
+                        known.clear()
                     known.add(sid)
-                    for c, full, x in regions.keys(s):
-                        keys.append(x)
-                        owners.append(sid)
-                        stands.append((sid, c, full, len(s)))
-                        held += len(x)
-                if held > HELD_KEYS or len(ids) >= 20_000:
-                    yield flush()
-        if ids:
-            yield flush()
-
-    def points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for p in batch.column(0).to_pylist():
-                ids, nodes, sizes, sets, _ = blocks.loads(p)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sets, pa.int64())], names=["doc_id", "node", "n", "sid"])
+            ids = np.arange(first + made, first + made + n)
+            made += n
+            half = lambda at: pa.array([None if x is None else int.from_bytes(x[at : at + 8], "little", signed=True) for x in found], pa.int64())
+            own = {"row": pa.array(ids), "stand": pa.array(np.zeros(n, np.int32)), "n": pa.array(size), "s1": half(0), "s2": half(8), "need": pa.array(needs, pa.int32()), "keys": lists(keys)}
+            yield arrow(own | dict(zip(batch.schema.names, batch.columns)))
+            if again:
+                at, needs, keys = zip(*again)
+                m = len(at)
+                own = {"row": pa.array(ids[list(at)]), "stand": pa.array(np.ones(m, np.int32)), **{c: pa.nulls(m, pa.int64()) for c in ("n", "s1", "s2")}, "need": pa.array(needs, pa.int32()), "keys": lists(keys)}
+                yield arrow(own | {f.name: pa.nulls(m, f.type) for f in batch.schema})
+
+    return rows.mapInArrow(gather, f"{SETS}, {schema}")
+
+
+def _assigned(sets: DataFrame, rows: DataFrame) -> DataFrame:
+    """(x, pivot): the pivots in whose Voronoi regions each point takes part.
+
+    ``rows`` gives the point of each row. A point that stands in fewer occupied regions than a partner must share has no
+    partner and goes. The pivot of a region is its most central point, that whose regions hold most points. A point
+    belongs to the pivot that it shares most regions with and, as partners may have another, to every pivot but those that
+    have fewer than half of what partners must share: whatever two partners leave out, a region of both stays.
+    """
+    keyed = sets.select((F.col("row") * 2 + F.col("stand")).alias("at"), F.explode("keys").alias("key"))
+    often = materialize(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "often")
+    members = materialize(keyed.join(often.hint("shuffle_hash"), "key"), "members")
+    row_of = members.select("key", F.expr("at div 2").alias("row"), F.expr("cast(at % 2 as int)").alias("stand"))
+    found = row_of.join(rows.select("row", "point"), "row").select("key", "point", "stand").distinct()
+    found = materialize(found, "standing")
+    occupied = found.groupBy("key").agg(F.count("*").alias("points")).where("points > 1")
+    needs = sets.where("need is not null").select(F.col("row").alias("point"), "stand", "need")
+    strong = found.join(occupied, "key").groupBy("point", "stand").agg(F.count("*").alias("n"), F.sum("points").alias("central"))
+    strong = strong.join(needs, ["point", "stand"]).where("n >= need").select("point", "stand", "need", "central")
+    alive = materialize(found.join(strong, ["point", "stand"]), "alive")
+    pivots = alive.groupBy("key").agg(F.max(F.struct("central", (-F.col("point")).alias("p"))).alias("best"), F.count("*").alias("points")).where("points > 1")
+    votes = alive.join(pivots.select("key", (-F.col("best.p")).alias("pivot")), "key").where("point != pivot")
+    votes = votes.groupBy("point", "stand", "need", "pivot").agg(F.count("*").alias("n"))
+    rising = Window.partitionBy("point", "stand").orderBy("n", "pivot")
+    kept = votes.withColumn("left_out", F.sum("n").over(rising)).where("left_out > (need - 1) div 2")
+    return materialize(kept.select(F.col("point").alias("x"), "pivot").distinct(), "assigned")
+
+
+def near_duplicates(docs: DataFrame, *, k: int = 5, threshold: Fraction | float = Fraction(4, 5), id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = ()) -> DataFrame:
+    """Components of documents linked by Jaccard similarity of their distinct word ``k``-grams, exactly.
 
-    def standing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Equal sets (by a 128-bit hash) are one point of the metric space. ``Regions`` tells points that can't have a partner,
+    and where partners meet; their most central points are pivots, and points go to the Voronoi regions of their
+    pivots, on a border to several. A point is measured against its pivot once: those within the distance are its ball and
+    link to it. Every other pair of a region is judged by the differences of its points from the pivot, which have no part
+    in what the region has in common: |x - y| is the symmetric difference of the two differences. By the triangle
+    inequality partners share part of their differences, so that each shows only a prefix of its own, and points that
+    show one member alike are a region of the next level. Small ones are joined pair by pair; in large ones a pivot is
+    chosen again, and so on. Regions with no point outside the ball need no join.
+
+    Returns doc_id, n_shingles (long), component_id (the smallest doc_id reachable, itself included) and the columns of
+    ``carry``, and, if any are named, first (boolean: one row of each component, that with the smallest doc_id, those
+    without id last); a row for each input row. Ids may be of any type with an order; clashing names of other columns
+    don't matter. A null or empty text, or one without words, has no shingles, is linked with nothing, and is first. Rows
+    with one id count as one document, which links by any of its texts; rows without id take part, and have a null
+    component_id if no row in reach has an id. Long texts are taken whole. An empty table gives no rows. Links are at
+    similarity >= ``threshold``; texts are held alike where all their shingles have equal 64-bit hashes.
+    """
+    bound = threshold if isinstance(threshold, Fraction) else Fraction(str(threshold))
+    regions = Regions(bound)
+    rest = [F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carry)]).alias("rest")] if carry else []
+    sets = materialize(_sets(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *rest), k, regions), "sets")
+    each = sets.where("stand = 0")
+    worded = each.where("n > 0").select("row", "id", "n", "s1", "s2")
+    points = worded.groupBy("s1", "s2").agg(F.min("row").alias("point"))
+    rows = materialize(worded.join(points, ["s1", "s2"]), "points")
+    assigned = _assigned(sets, rows)
+
+    def against(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """What points have more and less than their pivots."""
+        kept = Kept()
         for batch in batches:
-            for p in batch.column(0).to_pylist():
-                rows = list(zip(*blocks.loads(p)[4])) or [[], [], [], []]
-                yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), *[pa.array(x, pa.int32()) for x in rows[1:]]], names=["sid", "class", "cells", "size"])
-
-    def shared(pdf: pd.DataFrame) -> pd.DataFrame:
-        """The rows of regions with two points or more."""
-        got = [blocks.loads(p) for p in pdf["payload"]]
-        keys = np.concatenate([blocks.unrising(g[0]) for g in got])
-        sids = np.concatenate([g[2][blocks.unplanes(g[1]).astype(np.int64)] for g in got])
-        classes = np.concatenate([g[3][blocks.unplanes(g[1]).astype(np.int64)] for g in got])
-        order = np.lexsort((sids, keys))
-        keys, sids, classes = keys[order], sids[order], classes[order]
-        once = np.concatenate(([True], (keys[1:] != keys[:-1]) | (sids[1:] != sids[:-1])))
-        keys, sids, classes = keys[once], sids[once], classes[once]
-        _, inverse, n = np.unique(keys, return_inverse=True, return_counts=True)
-        many = n[inverse] > 1
-        return pd.DataFrame({"region": keys[many].view(np.int64), "class": classes[many], "sid": sids[many]})
-
-    cells = materialize(rows.mapInArrow(gather, blocks.CELL), "sets")
-    docs_of = cells.where("part < 0").select("payload").mapInArrow(points, "doc_id long, node long, n long, sid long")
-    members = materialize(cells.where("part >= 0").groupBy("part").applyInPandas(shared, "region long, class int, sid long"), "regions")
-    partnered = materialize(members.select("sid").distinct(), "points")
-    stands = cells.where("part < 0").select("payload").mapInArrow(standing, "sid long, class int, cells int, size int").join(partnered, "sid", "left_semi")
-    stands = materialize(stands.distinct(), "stands")
-
-    # texts of the points that share a region, one for each; later steps need no other
-    picked = docs_of.join(partnered, "sid", "left_semi").groupBy("sid").agg(F.min("node").alias("node"))
-    texts = materialize(picked.join(rows.select("node", "text"), "node").groupBy("sid").agg(F.first("text").alias("text")), "texts")
-
-    def distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The Jaccard distance d of pairs, from (a, text_a, b, text_b); links have at most ``reach``, others more."""
-        kept: dict[int, np.ndarray] = {}
-        size = 0
-
-        def of(sid: int, text: pa.Scalar) -> np.ndarray:
-            nonlocal size
-            if sid not in kept:
-                if size > HELD_SHINGLES:
-                    kept.clear()
-                    size = 0
-                kept[sid] = shingles(text.as_py(), k)
-                size += len(kept[sid])
-            return kept[sid]
-
+            xs, pivots, text_x, text_p = batch.columns
+            out = []
+            for i, pivot in enumerate(pivots.to_pylist()):
+                p, s = kept.of(pivot, text_p[i], k), shingles(text_x[i].as_py(), k)
+                plus, minus = np.setdiff1d(s, p, assume_unique=True), np.setdiff1d(p, s, assume_unique=True)
+                out.append((str(pivot), pivot, len(p), len(s), len(plus) + len(minus), regions.near(len(plus) + len(minus), len(s) + len(p)), plus, minus))
+            region, pivot, pivot_n, n, delta, ball, plus, minus = zip(*out) if out else [()] * 8
+            ints = lambda v: pa.array(v, pa.int64())
+            yield arrow({"region": pa.array(region, pa.string()), "pivot": ints(pivot), "pivot_n": ints(pivot_n), "x": xs, "n": ints(n), "delta": ints(delta), "ball": pa.array(ball, pa.bool_()), "plus": binary(plus), "minus": binary(minus)})
+
+    def shown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The prefix of each difference, in an order that all points of a pivot share: what they have more first."""
         for batch in batches:
-            a, text_a, b, text_b = batch.columns
+            *same, center, plus, minus = batch.columns
+            n, delta, ball = (same[i].to_pylist() for i in (2, 3, 4))
             out = []
-            for i, (x, y) in enumerate(zip(a.to_pylist(), b.to_pylist())):
-                q = of(y, text_b[i])
-                p = kept[x] if x in kept else shingles(text_a[i].as_py(), k)
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                union = len(p) + len(q) - both
-                d = 1 - both / union
-                out.append(min(d, reach) if down * both >= up * union else max(d, math.nextafter(reach, 2)))
-            yield pa.RecordBatch.from_arrays([a, b, pa.array(out, pa.float64())], names=["a", "b", "d"])
-
-    def measured(pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b) with d. Rows of a task are sorted by b, so a pivot's set is made once."""
-        left = texts.select(F.col("sid").alias("a"), F.col("text").alias("text_a"))
-        right = texts.select(F.col("sid").alias("b"), F.col("text").alias("text_b"))
-        joined = pairs.select("a", "b").join(left, "a").join(right, "b")
-        return joined.select("a", "text_a", "b", "text_b").mapInArrow(distances, "a long, b long, d double")
-
-    def enough(counts: DataFrame) -> DataFrame:
-        """Of rows (a, b, class, n), those whose n shared cells could be those of a pair within the distance."""
-        for end in ("a", "b"):
-            counts = counts.join(stands.select(F.col("sid").alias(end), "class", F.col("cells").alias(f"cells_{end}"), F.col("size").alias(f"size_{end}")), [end, "class"])
-        differing = F.floor((F.col("size_a") + F.col("size_b")) * F.lit(down - up) / F.lit(down + up) + F.lit(1e-9))
-        return counts.where(F.col("n") >= F.greatest("cells_a", "cells_b") - differing).drop("cells_a", "cells_b", "size_a", "size_b")
-
-    def relabelled(labels: DataFrame, edges: DataFrame) -> DataFrame:
-        """Labels after edges (a, b) have joined components."""
-        ends = edges.select("a", "b")
+            for i, c in enumerate(center.to_pylist()):
+                length = regions.prefix(n[i], c, delta[i], ball[i])
+                more, less = numbers(plus[i]), numbers(minus[i])
+                out.append(np.concatenate((more[:length], less[: max(0, length - len(more))])))
+            yield arrow(dict(zip(("region", "x", "n", "delta", "ball"), same)) | {"members": lists(out)})
+
+    def moved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Differences from a new pivot, from both points' differences from the old one."""
+        for batch in batches:
+            region, pivot, pivot_n, x, n, plus_p, minus_p, plus_x, minus_x = batch.columns
+            totals, out = np.array(pivot_n) + np.array(n), []
+            for i, total in enumerate(totals.tolist()):
+                pp, mp, px, mx = (numbers(v[i]) for v in (plus_p, minus_p, plus_x, minus_x))
+                less = lambda a, b: np.setdiff1d(a, b, assume_unique=True)
+                plus, minus = np.sort(np.concatenate((less(px, pp), less(mp, mx)))), np.sort(np.concatenate((less(pp, px), less(mx, mp))))
+                out.append((len(plus) + len(minus), regions.near(len(plus) + len(minus), total), plus, minus))
+            delta, ball, plus, minus = zip(*out) if out else [()] * 4
+            yield arrow({"region": region, "pivot": pivot, "pivot_n": pivot_n, "x": x, "n": n, "delta": pa.array(delta, pa.int64()), "ball": pa.array(ball, pa.bool_()), "plus": binary(plus), "minus": binary(minus)})
+
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pairs of one pivot that are within the distance."""
+        for batch in batches:
+            a, b, n_a, n_b, *sides = batch.columns
+            totals, good = (np.array(n_a) + np.array(n_b)).tolist(), []
+            for i, total in enumerate(totals):
+                pa_, ma, pb, mb = (numbers(v[i]) for v in sides)
+                good.append(regions.near(len(np.setxor1d(pa_, pb, assume_unique=True)) + len(np.setxor1d(ma, mb, assume_unique=True)), total))
+            keep = pa.array(good, pa.bool_())
+            yield arrow({"a": a.filter(keep), "b": b.filter(keep)})
+
+    picked = assigned.select(F.col("x").alias("row")).unionByName(assigned.select(F.col("pivot").alias("row"))).distinct()
+    texts = materialize(each.select("row", "text").join(picked, "row"), "texts")
+    pairs = assigned.join(texts.select(F.col("row").alias("x"), F.col("text").alias("text_x")), "x").join(texts.select(F.col("row").alias("pivot"), F.col("text").alias("text_p")), "pivot")
+    balls = materialize(pairs.select("x", "pivot", "text_x", "text_p").mapInArrow(against, BALLS), "balls")
+    edges = balls.where("ball").select(F.col("x").alias("a"), F.col("pivot").alias("b"))
+
+    for depth in range(DEPTH + 1):
+        open_ = balls.groupBy("region").agg(F.count("*").alias("m"), F.count_if(~F.col("ball")).alias("out")).where("m > 1 and out > 0").select("region")
+        cast = balls.join(open_, "region").select("region", "x", "n", "delta", "ball", "pivot_n", "plus", "minus").mapInArrow(shown, "region string, x long, n long, delta long, ball boolean, members array<long>")
+        cast = materialize(cast.select("region", "x", "n", "delta", "ball", F.explode("members").alias("e")), "shown")
+        cells = cast.groupBy("region", "e").agg(F.count("*").alias("m"), F.count_if(~F.col("ball")).alias("out"), F.min(F.struct("delta", "x")).alias("least")).where("m > 1 and out > 0")
+        cells = materialize(cells, "cells")
+        some = cast.join(cells.where(F.col("m") <= SMALL) if depth < DEPTH else cells, ["region", "e"]).select("region", "e", "x", "n", "delta", "ball")
+        other = some.select("region", "e", *[F.col(c).alias(f"{c}_b") for c in ("x", "n", "delta", "ball")])
+        differing = (F.col("n") + F.col("n_b")) * F.lit(regions.down - regions.up)
+        near = some.join(other, ["region", "e"]).where("x < x_b and not (ball and ball_b)").where(F.abs(F.col("delta") - F.col("delta_b")) * F.lit(regions.down + regions.up) <= differing)
+        near = near.select("region", F.col("x").alias("a"), F.col("x_b").alias("b")).distinct()
         for end in ("a", "b"):
-            ends = ends.join(labels.select(F.col("sid").alias(end), F.col("comp").alias(f"comp_{end}")), end)
-        joined = components(ends.select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b"))).select(F.col("v").alias("old"), F.col("comp").alias("new"))
-        return materialize(labels.join(joined, F.col("comp") == F.col("old"), "left").select("sid", F.coalesce("new", "comp").alias("comp")), "labels")
-
-    linked = F.col("d") <= F.lit(reach)
-    labels, alive = partnered.select("sid", F.col("sid").alias("comp")), members
-    past = docs.sparkSession.createDataFrame([], "a long, b long, d double, round int")
-    for number in itertools.count():
-        within = alive.join(labels, "sid")
-        ends = within.groupBy("region").agg(F.min(F.struct("comp", "sid")).alias("lo"), F.max(F.struct("comp", "sid")).alias("hi")).where("lo.comp != hi.comp")
-        pivot = F.when(F.col("comp") != F.col("lo.comp"), F.col("lo.sid")).otherwise(F.col("hi.sid"))
-        alive = materialize(within.join(ends, "region").select("region", "class", "sid", "comp", pivot.alias("pivot")), "alive")
-        votes = alive.groupBy(F.col("sid").alias("a"), F.col("pivot").alias("b"), "class").agg(F.count("*").alias("n"))
-        able = enough(votes).join(past.where(~linked).select("a", "b"), ["a", "b"], "left_anti")
-        nearest = able.groupBy("a").agg(F.min(F.struct((-F.col("n")).alias("n"), "b")).alias("best")).select("a", F.col("best.b").alias("b"))
-        tested = materialize(measured(nearest).withColumn("round", F.lit(number)), "tested")
-        past = past.unionByName(tested)
-        found = tested.where(linked)
-        if not found.limit(1).count():
+            near = near.join(balls.select("region", F.col("x").alias(end), F.col("n").alias(f"n_{end}"), F.col("plus").alias(f"plus_{end}"), F.col("minus").alias(f"minus_{end}")), ["region", end])
+        found = near.select("a", "b", "n_a", "n_b", "plus_a", "minus_a", "plus_b", "minus_b").mapInArrow(linked, "a long, b long")
+        edges = edges.unionByName(materialize(found, "links"))
+        large = cells.where(F.col("m") > SMALL) if depth < DEPTH else cells.limit(0)
+        if depth == DEPTH or not large.limit(1).count():
             break
-        labels = relabelled(labels, found)
-        alive = alive.select("region", "class", "sid")
-
-    # recursion: balls that share a region but no component
-    failed = past.where(~linked).select("a", "b", "d")
-    first = past.where(linked).groupBy("a").agg(F.min(F.struct("round", "b", "d")).alias("f"))
-    center = materialize(first.select(F.col("a").alias("sid"), F.col("f.b").alias("pivot"), F.col("f.d").alias("r")), "balls")
-    single = partnered.join(center.select("sid").unionByName(center.select(F.col("pivot").alias("sid"))), "sid", "left_anti").withColumn("single", F.lit(True))
-    entries = alive.drop("pivot").join(center, "sid", "left").select("region", "class", "comp", F.coalesce("pivot", "sid").alias("a")).distinct().join(single.withColumnRenamed("sid", "a"), "a", "left")
-    entries = materialize(entries, "entries")
-    other = entries.select("region", F.col("comp").alias("comp_b"), F.col("a").alias("b"), F.col("single").alias("single_b"))
-    pairs = entries.join(other, "region").where("a < b and comp != comp_b").groupBy("a", "b", "class").agg(F.count("*").alias("n"), F.max(F.col("single") & F.col("single_b")).alias("points"))
-    pairs = enough(pairs.where("points")).select("a", "b").unionByName(pairs.where("points is null").select("a", "b")).distinct()
-    apart = materialize(measured(pairs.join(failed.select("a", "b"), ["a", "b"], "left_anti")).unionByName(failed.select("a", "b", "d").join(pairs, ["a", "b"], "left_semi")), "pivots")
-    inside = center.unionByName(center.select("pivot").distinct().select(F.col("pivot").alias("sid"), "pivot", F.lit(0.0).alias("r")))
-    near = apart.where(~linked & (F.col("d") <= F.lit(3 * reach)))
-    for end in ("a", "b"):
-        member = inside.select(F.col("pivot").alias(end), F.col("sid").alias(f"m{end}"), F.col("r").alias(f"r{end}"))
-        near = near.join(member, end, "left").withColumns({f"m{end}": F.coalesce(f"m{end}", end), f"r{end}": F.coalesce(f"r{end}", F.lit(0.0))})
-    deep = near.where((F.col("d") <= F.lit(reach + 1e-9) + F.col("ra") + F.col("rb")) & (F.col("ra") + F.col("rb") > 0)).select(F.col("ma").alias("a"), F.col("mb").alias("b"))
-    comp_of = lambda c: labels.select(F.col("sid").alias(c), F.col("comp").alias(f"comp_{c}"))
-    deep = deep.join(comp_of("a"), "a").join(comp_of("b"), "b").where("comp_a != comp_b").select("a", "b").distinct()
-    last = materialize(apart.where(linked).select("a", "b").unionByName(measured(deep).where(linked).select("a", "b")), "links")
-    labels = relabelled(labels, last)
-
-    # a document with several texts links them, and texts without a partner are components of their own
-    everyone = docs_of.where("sid is not null")
-    labels = everyone.select("sid").distinct().join(labels, "sid", "left").select("sid", F.coalesce("comp", "sid").alias("comp"))
-    same = everyone.where("doc_id is not null").groupBy("doc_id").agg(F.min("sid").alias("a"), F.max("sid").alias("b")).where("a != b")
-    labels = relabelled(labels, everyone.join(same.select("doc_id", "a"), "doc_id").select("a", F.col("sid").alias("b")))
-    placed = materialize(everyone.join(labels, "sid").select("doc_id", "n", "comp"), "placed")
-    least = placed.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    done = placed.join(least, "comp").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return done.unionByName(docs_of.where("sid is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+        dealt = cast.join(large.select("region", "e", F.col("least.x").alias("pivot")), ["region", "e"]).where("x != pivot").select("region", "pivot", "x").distinct()
+        for end in ("x", "pivot"):
+            side = balls.select("region", F.col("x").alias(end), F.col("n").alias(f"n_{end}"), F.col("plus").alias(f"plus_{end}"), F.col("minus").alias(f"minus_{end}"))
+            dealt = dealt.join(side, ["region", end])
+        dealt = dealt.select(F.concat_ws("/", "region", "pivot").alias("region"), "pivot", F.col("n_pivot").alias("pivot_n"), "x", F.col("n_x").alias("n"), "plus_pivot", "minus_pivot", "plus_x", "minus_x")
+        balls = materialize(dealt.mapInArrow(moved, BALLS), "balls")
+        edges = edges.unionByName(balls.where("ball").select(F.col("x").alias("a"), F.col("pivot").alias("b")))
+
+    same = rows.where("id is not null").groupBy("id").agg(F.min("point").alias("a"), F.max("point").alias("b")).where("a != b").select("id", "a")
+    edges = edges.unionByName(rows.join(same, "id").select("a", F.col("point").alias("b")))
+    labels = components(edges).select(F.col("v").alias("point"), "comp")
+    placed = materialize(rows.join(labels, "point", "left").select("row", "id", "n", "s1", "s2", F.coalesce("comp", "point").alias("comp")), "placed")
+    order = F.struct(F.col("id").isNull().alias("without"), "id", "s1", "s2", "row")
+    least = placed.groupBy("comp").agg(F.min("id").alias("component_id"), F.min(order).alias("least"))
+    done = placed.join(least, "comp").select("row", "id", "n", "component_id", (F.col("row") == F.col("least.row")).alias("first"))
+    bare = each.where("n = 0").select("row", "id", "n", F.col("id").alias("component_id"), F.lit(True).alias("first"))
+    done = done.unionByName(bare)
+    if not carry:
+        return done.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
+    done = each.select("row", "rest").join(done, "row")
+    return done.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", "first", *[F.col(f"rest.c{i}").alias(c) for i, c in enumerate(carry)])

@@ -170,10 +170,48 @@ def test_regions_never_miss(spark):
             b = np.unique(np.concatenate((a[drop:], rng.integers(0, 1 << 63, int(rng.integers(0, most + 1)), dtype=np.uint64))))
             both = len(np.intersect1d(a, b))
             if 0 < both and Fraction(both, len(a) + len(b) - both) >= bound and len(np.setxor1d(a, b)):
-                mine, theirs = ({c: (full, k) for c, full, k in r.keys(x)} for x in (a, b))
-                need = {c: max(mine[c][0], theirs[c][0]) - r.differing(len(a), len(b)) for c in mine.keys() & theirs.keys()}
-                got = {c: len(np.intersect1d(mine[c][1], theirs[c][1])) for c in need}
-                assert any(got[c] >= max(1, need[c]) for c in need)
+                mine, theirs = ({c: (need, k) for c, need, k in r.keys(x)} for x in (a, b))
+                shared = {c: len(np.intersect1d(mine[c][1], theirs[c][1])) for c in mine.keys() & theirs.keys()}
+                assert any(n >= max(mine[c][0], theirs[c][0]) for c, n in shared.items())
+
+
+def edited(words, rng, edits, vocab):
+    """The words after some of them have been replaced, dropped or doubled."""
+    w = list(words)
+    for _ in range(edits):
+        at, kind = rng.randrange(len(w)), rng.random()
+        w[at : at + 1] = [rng.choice(vocab)] if kind < 0.6 else [] if kind < 0.8 else [w[at], w[at]]
+    return w
+
+
+def test_join_of_many_variants(spark, monkeypatch):
+    """Variants of one text about as far from each other as the threshold, in regions that have to be split again."""
+    rng = random.Random(4)
+    vocab = [f"w{i}" for i in range(3000)]
+    texts = []
+    for size in (40, 90, 160):
+        base = rng.choices(vocab, k=size)
+        families = [edited(base, rng, n, vocab) for n in (0, size // 20, size // 12, size // 8)]
+        for f in families:  # sub-families share edits, so that differences from the pivot are alike, too
+            texts += [" ".join(edited(f, rng, rng.choice([0, 1, 2, size // 25, size // 12]), vocab)) for _ in range(30)]
+    rows = list(enumerate(texts))
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for small in (2, 32):
+        monkeypatch.setattr(ngram_join, "SMALL", small)
+        for k, bound in ((4, Fraction(85, 100)), (5, Fraction(4, 5))):
+            want = H.components({i: H.shingles(t, k) for i, t in rows}, bound.numerator, bound.denominator)
+            assert len(set(want.values())) > 20
+            got = ngram_join.near_duplicates(df.repartition(6), k=k, threshold=bound).collect()
+            assert {r.doc_id: r.component_id for r in got} == want
+
+
+def test_join_keeps_one_row_of_each_component(spark):
+    t = [" ".join(f"{p}{i}" for i in range(30)) for p in "abc"]
+    rows = [(2, t[0], 1), (1, t[0], 2), (1, t[1], 3), (None, t[1], 4), (None, t[2], 5), (None, t[2], 6), (7, None, 7), (7, "", 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n int")
+    got = ngram_join.near_duplicates(df, carry=["doc_id", "text", "n"]).where("first").collect()
+    assert sum(r.n in (2, 3) for r in got) == 1 and sum(r.n in (5, 6) for r in got) == 1 and {7, 8} <= {r.n for r in got} and len(got) == 4
 
 
 def test_quality_counts(spark):
