@@ -17,8 +17,9 @@ from .common import materialize
 
 #: Sizes of sets fall into classes whose bounds grow by this factor.
 CLASS_GROWTH = 1.6
-#: Regions of up to this many points are joined pair by pair, larger ones are split by pivots; after DEPTH splits all are.
-SMALL, DEPTH = 32, 8
+#: Regions of up to this many points are joined within a task, larger ones are split by pivots. Shared members are
+#: counted in so many columns at a time.
+SMALL, COLUMNS = 256, 16_384
 MEMO_WORDS, HELD_SHINGLES = 250_000, 2_000_000
 _words: dict[bytes, int] = {}
 
@@ -177,6 +178,50 @@ def lists(arrays: Sequence[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
 
 
+def within(group: list[list], regions: Regions) -> list[tuple[int, int]]:
+    """Links that join the points of a region, of rows (x, n, ball, plus, minus): no more than it takes to connect them.
+
+    Points of the ball are linked already. Shared members are counted for all pairs at once, some columns at a time.
+    """
+    x, n, ball = ([r[i].as_py() for r in group] for i in range(3))
+    if len(group) < 2 or all(ball):
+        return []
+    members = [np.concatenate((numbers(r[3]), numbers(r[4]))) for r in group]
+    size = np.array([len(v) for v in members])
+    owner = np.repeat(np.arange(len(group)), size)
+    found, column = np.unique(np.concatenate(members), return_inverse=True)
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    shared = np.zeros((len(group), len(group)), np.float32)
+    for at in range(0, len(found), COLUMNS):
+        a, b = np.searchsorted(column, (at, at + COLUMNS))
+        held = np.zeros((len(group), min(COLUMNS, len(found) - at)), np.float32)
+        held[owner[a:b], column[a:b] - at] = 1
+        shared += held @ held.T
+    differ = size[:, None] + size[None, :] - 2 * shared.astype(np.int64)
+    total = np.array(n)[:, None] + np.array(n)[None, :]
+    near = (regions.down + regions.up) * differ <= (regions.down - regions.up) * total
+    root = list(range(len(group)))
+    first = ball.index(True) if any(ball) else 0
+
+    def top(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for i, inside in enumerate(ball):
+        if inside:
+            root[i] = first
+    links = []
+    for i, j in zip(*np.nonzero(np.triu(near, 1))):
+        a, b = top(i), top(j)
+        if a != b:
+            root[max(a, b)] = min(a, b)
+            links.append((x[i], x[j]))
+    return links
+
+
 SETS = "row long, stand int, n long, s1 long, s2 long, need int, keys array<long>"
 BALLS = "region string, pivot long, pivot_n long, x long, n long, delta long, ball boolean, plus binary, minus binary"
 
@@ -261,8 +306,9 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, threshold: Fraction | float
     link to it. Every other pair of a region is judged by the differences of its points from the pivot, which have no part
     in what the region has in common: |x - y| is the symmetric difference of the two differences. By the triangle
     inequality partners share part of their differences, so that each shows only a prefix of its own, and points that
-    show one member alike are a region of the next level. Small ones are joined pair by pair; in large ones a pivot is
-    chosen again, and so on. Regions with no point outside the ball need no join.
+    show one member alike are a region of the next level. Small ones are joined in one task; in large ones a pivot is
+    chosen again, and so on; a region has fewer points than the one before. Regions with no point outside the ball need
+    no join.
 
     Returns doc_id, n_shingles (long), component_id (the smallest doc_id reachable, itself included) and the columns of
     ``carry``, and, if any are named, first (boolean: one row of each component, that with the smallest doc_id, those
@@ -321,16 +367,22 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, threshold: Fraction | float
             delta, ball, plus, minus = zip(*out) if out else [()] * 4
             yield arrow({"region": region, "pivot": pivot, "pivot_n": pivot_n, "x": x, "n": n, "delta": pa.array(delta, pa.int64()), "ball": pa.array(ball, pa.bool_()), "plus": binary(plus), "minus": binary(minus)})
 
-    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Pairs of one pivot that are within the distance."""
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Links between the points of each small region; its rows follow each other."""
+        group, key = [], None
         for batch in batches:
-            a, b, n_a, n_b, *sides = batch.columns
-            totals, good = (np.array(n_a) + np.array(n_b)).tolist(), []
-            for i, total in enumerate(totals):
-                pa_, ma, pb, mb = (numbers(v[i]) for v in sides)
-                good.append(regions.near(len(np.setxor1d(pa_, pb, assume_unique=True)) + len(np.setxor1d(ma, mb, assume_unique=True)), total))
-            keep = pa.array(good, pa.bool_())
-            yield arrow({"a": a.filter(keep), "b": b.filter(keep)})
+            region, member, *rest = batch.columns
+            left, right = [], []
+            for i, at in enumerate(zip(region.to_pylist(), member.to_pylist())):
+                if at != key:
+                    for a, b in within(group, regions):
+                        left.append(a)
+                        right.append(b)
+                    group, key = [], at
+                group.append([c[i] for c in rest])
+            yield arrow({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
+        left, right = zip(*found) if (found := within(group, regions)) else ((), ())
+        yield arrow({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
 
     picked = assigned.select(F.col("x").alias("row")).unionByName(assigned.select(F.col("pivot").alias("row"))).distinct()
     texts = materialize(each.select("row", "text").join(picked, "row"), "texts")
@@ -338,23 +390,18 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, threshold: Fraction | float
     balls = materialize(pairs.select("x", "pivot", "text_x", "text_p").mapInArrow(against, BALLS), "balls")
     edges = balls.where("ball").select(F.col("x").alias("a"), F.col("pivot").alias("b"))
 
-    for depth in range(DEPTH + 1):
+    while True:
         open_ = balls.groupBy("region").agg(F.count("*").alias("m"), F.count_if(~F.col("ball")).alias("out")).where("m > 1 and out > 0").select("region")
         cast = balls.join(open_, "region").select("region", "x", "n", "delta", "ball", "pivot_n", "plus", "minus").mapInArrow(shown, "region string, x long, n long, delta long, ball boolean, members array<long>")
         cast = materialize(cast.select("region", "x", "n", "delta", "ball", F.explode("members").alias("e")), "shown")
         cells = cast.groupBy("region", "e").agg(F.count("*").alias("m"), F.count_if(~F.col("ball")).alias("out"), F.min(F.struct("delta", "x")).alias("least")).where("m > 1 and out > 0")
         cells = materialize(cells, "cells")
-        some = cast.join(cells.where(F.col("m") <= SMALL) if depth < DEPTH else cells, ["region", "e"]).select("region", "e", "x", "n", "delta", "ball")
-        other = some.select("region", "e", *[F.col(c).alias(f"{c}_b") for c in ("x", "n", "delta", "ball")])
-        differing = (F.col("n") + F.col("n_b")) * F.lit(regions.down - regions.up)
-        near = some.join(other, ["region", "e"]).where("x < x_b and not (ball and ball_b)").where(F.abs(F.col("delta") - F.col("delta_b")) * F.lit(regions.down + regions.up) <= differing)
-        near = near.select("region", F.col("x").alias("a"), F.col("x_b").alias("b")).distinct()
-        for end in ("a", "b"):
-            near = near.join(balls.select("region", F.col("x").alias(end), F.col("n").alias(f"n_{end}"), F.col("plus").alias(f"plus_{end}"), F.col("minus").alias(f"minus_{end}")), ["region", end])
-        found = near.select("a", "b", "n_a", "n_b", "plus_a", "minus_a", "plus_b", "minus_b").mapInArrow(linked, "a long, b long")
-        edges = edges.unionByName(materialize(found, "links"))
-        large = cells.where(F.col("m") > SMALL) if depth < DEPTH else cells.limit(0)
-        if depth == DEPTH or not large.limit(1).count():
+        some = cast.join(cells.where(F.col("m") <= SMALL), ["region", "e"]).select("region", "e", "x")
+        some = some.join(balls.select("region", "x", "n", "ball", "plus", "minus"), ["region", "x"]).select("region", "e", "x", "n", "ball", "plus", "minus")
+        some = some.repartition("region", "e").sortWithinPartitions("region", "e", "x")
+        edges = edges.unionByName(materialize(some.mapInArrow(joined, "a long, b long"), "links"))
+        large = cells.where(F.col("m") > SMALL)
+        if not large.limit(1).count():
             break
         dealt = cast.join(large.select("region", "e", F.col("least.x").alias("pivot")), ["region", "e"]).where("x != pivot").select("region", "pivot", "x").distinct()
         for end in ("x", "pivot"):
