@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,13 +13,19 @@ ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: The white space that separates words and is stripped from lines: space and U+0009 to U+000D.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 
+_written: list[str] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, set here only where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where that is unset, a new one on a single
+    machine; on a cluster an error, as executors would not see each other's files."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         import tempfile
 
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+
         found = "file://" + tempfile.mkdtemp(prefix="millrace-")
         spark.conf.set("spark.checkpoint.dir", found)
         spark.sparkContext.setCheckpointDir(found)
@@ -29,7 +36,8 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` once as a Parquet table in the shared folder and read it back.
 
     This cuts lineage, survives lost executors, and pins down whatever depends on how rows were dealt (partition
-    ids, sampled range bounds). The tables of an application lie under one folder; ``drop_tables`` removes them.
+    ids, sampled range bounds). The tables of an application lie under one folder; ``drop_tables`` removes them, or those
+    written since a ``mark``.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/millrace-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
@@ -40,14 +48,22 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
         df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(tidy, before)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_tables(spark: SparkSession) -> None:
-    """Delete the tables that ``materialize`` wrote in this application, when their readers are done."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/millrace-{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def mark() -> int:
+    """How many tables have been written so far."""
+    return len(_written)
+
+
+def drop_tables(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
+    """Delete the tables written since a mark but for the last ``keep``, when their readers are done."""
+    gone = _written[since : len(_written) - keep]
+    for p in gone:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    del _written[since : len(_written) - keep]
 
 
 def ascii_lower(c: Column) -> Column:
