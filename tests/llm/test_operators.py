@@ -122,6 +122,57 @@ def test_nearest_recall_and_scores(spark, folder):
     assert hit / total >= 0.9
 
 
+def recall(x, ids, got, queries, k=20):
+    hit = 0
+    for i in queries:
+        s = x @ x[i]
+        s[i] = -np.inf
+        mine = got[got["query_id"] == ids[i]].sort_values("rank")
+        assert list(mine["rank"]) == list(range(1, k + 1)) and np.allclose(mine["score"], s[np.searchsorted(ids, mine["vec_id"])])
+        hit += len(set(ids[np.lexsort((ids, -s))[:k]]) & set(mine["vec_id"]))
+    return hit / (k * len(queries))
+
+
+def clustered(seed=3, clusters=120, each=30, d=32):
+    rng = np.random.default_rng(seed)
+    centers = rng.standard_normal((clusters, d))
+    x = (centers[:, None] + 0.3 * rng.standard_normal((clusters, each, d))).reshape(-1, d)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def test_nearest_over_several_blocks(spark, monkeypatch):
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").orderBy("vec_id").toPandas()
+    x, ids = np.stack(rows["embedding"]).astype(float), rows["vec_id"].to_numpy()
+    monkeypatch.setattr(ann, "BLOCK_ROWS", 300)
+    monkeypatch.setattr(ann, "BLOCK_QUERIES", 40)
+    got = queries.op4_nearest(spark, "/root/testdata/sf0.1").toPandas()
+    assert recall(x, ids, got, np.flatnonzero(ids % 20 == 0)) >= 0.9
+
+
+def test_nearest_probes_few_of_clustered_vectors(spark, monkeypatch):
+    x = clustered()
+    ids = np.arange(len(x))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    seen = []
+    plain = ann.probed
+    monkeypatch.setattr(ann, "probed", lambda *a: seen.append(plain(*a)) or seen[-1])
+    got = ann.search(df, F.col("vec_id") % 20 == 0, k=20).toPandas()
+    asked = np.flatnonzero(ids % 20 == 0)
+    assert recall(x, ids, got, asked) >= 0.9
+    assert len(seen) == 1 and seen[0].count() < 0.1 * len(x) * len(asked)
+    codes = ann.fit(x, float(np.linalg.norm(x, axis=1).max()), 20, len(x))
+    near = ann.hamming(ann.words(codes.bits(x[asked], True)), ann.words(codes.bits(x))) <= codes.radius
+    assert seen[0].count() == near.sum()  # every code within the radius, and no other
+
+
+def test_nearest_equal_vectors(spark):
+    x = np.concatenate((clustered(clusters=10), np.repeat(clustered(9, 1, 1), 300, axis=0)))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann.search(df, F.col("vec_id").isin(300, 301, 599), k=20).toPandas()
+    for q, want in ((300, range(301, 321)), (301, [300, *range(302, 321)]), (599, range(300, 320))):
+        assert list(got[got["query_id"] == q].sort_values("rank")["vec_id"]) == list(want)
+
+
 def test_nearest_few_and_bad_vectors(spark):
     rows = [(0, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [0.5, 0.5]), (3, [2.0, 0.0]), (4, None), (5, [0.0, 0.0]), (6, [None, 1.0]), (7, [float("nan"), 1.0]), (8, [1.0]), (9, [float("inf"), 0.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
@@ -197,7 +248,7 @@ def test_join_of_many_variants(spark, monkeypatch):
     rows = list(enumerate(texts))
     rng.shuffle(rows)
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    for small in (2, 32):
+    for small in (2, 256):
         monkeypatch.setattr(ngram_join, "SMALL", small)
         for k, bound in ((4, Fraction(85, 100)), (5, Fraction(4, 5))):
             want = H.components({i: H.shingles(t, k) for i, t in rows}, bound.numerator, bound.denominator)
@@ -236,14 +287,52 @@ def test_quality_keeps_good_and_drops_outliers(spark):
     assert r.good > 0.97 and r.bad < 0.5
 
 
+def plain_mcd(x, share, start):
+    """Concentration steps on rows in memory, until nothing moves."""
+    center, inverse = np.median(x, axis=0), np.diag(1 / quality.FLOORS) if start is None else start
+    last = None
+    while True:
+        d = np.einsum("ni,ij,nj->n", x - center, inverse, x - center)
+        inner = np.argsort(d, kind="stable")[: int(np.ceil(share * len(x)))]
+        if last is not None and set(inner) == last:
+            return center, np.cov(x[inner].T, bias=True) + np.diag(quality.FLOORS)
+        last = set(inner)
+        center = x[inner].mean(axis=0)
+        inverse = np.linalg.inv(np.cov(x[inner].T, bias=True) + np.diag(quality.FLOORS))
+
+
+def test_quality_fits_against_plain_estimate(spark):
+    rng = np.random.default_rng(11)
+    turn = rng.normal(size=(quality.P, quality.P)) * 0.3
+    x = rng.normal(size=(1200, quality.P)) @ turn
+    x[:150] = rng.normal(3, 0.1, size=(150, quality.P))
+    df = spark.createDataFrame([("all", [float(c) for c in r]) for r in x], "k0 string, v array<double>")
+    got = quality.fits(df, "k0", share=0.75).first()
+    q = np.quantile(x, [0.25, 0.75], axis=0)
+    both = [plain_mcd(x, 0.75, s) for s in (None, np.diag(1 / (quality.FLOORS + (q[1] - q[0]) ** 2 / 1.82)))]
+    center, cov = min(both, key=lambda f: np.linalg.slogdet(f[1])[1])
+    assert np.allclose(got.center, center, atol=0.02) and np.allclose(np.reshape(got["cov"], cov.shape), cov, atol=0.02)
+
+
+def test_quality_small_groups_are_drawn_to_their_language(spark):
+    rng = np.random.default_rng(2)
+    rows = [("all", "en", "big", x) for x in rng.normal(size=(2000, quality.P))] + [("all", "en", "small", x) for x in rng.normal(0.5, 1, size=(12, quality.P))]
+    rows.append(("all", "en", "small", np.full(quality.P, 9.0)))
+    df = spark.createDataFrame([(*k, [float(c) for c in x]) for *k, x in rows], "k0 string, k1 string, k2 string, v array<double>")
+    got = quality.robust_distance(df, ["k0", "k1", "k2"]).toPandas()
+    out, small = got["d2"] > got["cut"], got["k2"] == "small"
+    far = got["v"].map(lambda v: v[0] == 9.0)
+    assert out[far].all() and out[small & ~far].sum() <= 1 and out[~small].mean() < 0.03
+
+
 def test_quality_cut_follows_the_distances(spark):
     """Outliers some ten spreads out go, which a cut for all data at 207 kept; regular rows stay, also of heavier tails."""
     rng = np.random.default_rng(7)
     p = len(quality.FEATURES)
     rows = [("normal", i, x) for i, x in enumerate(rng.normal(size=(3000, p)))] + [("heavy", i, x) for i, x in enumerate(rng.standard_t(5, size=(3000, p)))]
     rows += [("normal", 10_000 + i, x * 11 / np.linalg.norm(x)) for i, x in enumerate(rng.normal(size=(60, p)))]
-    df = spark.createDataFrame([(g, i, [float(c) for c in x]) for g, i, x in rows], "g string, i long, v array<double>")
-    got = quality.robust_distance(df, ["g"], tail=0.01).toPandas()
+    df = spark.createDataFrame([("all", g, i, [float(c) for c in x]) for g, i, x in rows], "k0 string, g string, i long, v array<double>")
+    got = quality.robust_distance(df, ["k0", "g"], tail=0.01).toPandas()
     out, far = got["d2"] > got["cut"], got["i"] >= 10_000
     assert got["d2"][far].median() < 207 and out[far].all()
     assert out[(got["g"] == "normal") & ~far].mean() < 0.02 and out[got["g"] == "heavy"].mean() < 0.04
@@ -268,6 +357,18 @@ def test_language(spark):
     assert row.lang_set == ["en", "de"] and 0.4 < row.score < 0.8
 
 
+def test_mixture_against_plain_search():
+    """Expectation-maximisation finds the likeliest proportions, which a fine grid finds by trying all."""
+    rng = np.random.default_rng(5)
+    p = rng.dirichlet(np.full(60, 0.3), 3).T.astype(np.float32) + 1e-6
+    for true in ((1, 0, 0), (0.7, 0.3, 0), (0.4, 0.35, 0.25)):
+        w = rng.multinomial(4000, (p @ np.array(true)) / (p @ np.array(true)).sum()).astype(np.float32)
+        mix, value = language_id.proportions(p, w, np.full(3, 1 / 3, np.float32), steps=500)
+        grid = [(i / 50, j / 50, (50 - i - j) / 50) for i in range(51) for j in range(51 - i)]
+        best = max(grid, key=lambda m: float(w @ np.log(p @ np.array(m) + 1e-30)))
+        assert np.abs(mix - best).max() < 0.04 and value >= float(w @ np.log(p @ np.array(best) + 1e-30)) - 10.0
+
+
 def test_trigrams_over_chunks(monkeypatch):
     text = "Straße und Haus, été 😀 " * 40
     whole = language_id.trigram_counts(text, 12)
@@ -330,32 +431,76 @@ def test_katz_small_blocks(spark, monkeypatch):
     assert alone.score == 0 and alone.train_tokens == 0
 
 
-def test_schedule():
-    weights = {"a": 0.5, "b": 0.3, "c": 0.15, "d": 0.05}
-    blocks = {"a": 100, "b": 60, "c": 30, "d": 10}
-    out = mixing.schedule(blocks, weights)
-    assert len(out) == 200 and {s: [i for x, i in out if x == s] for s in blocks} == {s: list(range(n)) for s, n in blocks.items()}
+def flat(segments):
+    out = []
+    for at, pattern, repeats in segments:
+        assert at == len(out)
+        out += pattern * repeats
+    return out
+
+
+def flow(share, blocks, t):
+    """Blocks of each source after t slots of the ideal mixture, source by source used up."""
+    had, left = dict.fromkeys(blocks, Fraction(0)), Fraction(t)
+    active = [s for s in blocks if blocks[s]]
+    while active and left:
+        rate = sum(share[s] for s in active)
+        step = min(left, *((blocks[s] - had[s]) * rate / share[s] for s in active))
+        for s in active:
+            had[s] += step * share[s] / rate
+        left -= step
+        active = [s for s in active if had[s] < blocks[s]]
+    return had
+
+
+@pytest.mark.parametrize("blocks", [{"a": 100, "b": 60, "c": 30, "d": 10}, {"a": 7, "b": 150, "c": 33, "d": 9}, {"a": 900, "b": 20, "c": 400, "d": 1}])
+def test_schedule(blocks):
+    share = {"a": 50, "b": 30, "c": 15, "d": 5}
+    segments = mixing.schedule(blocks, share)
+    out = flat(segments)
+    assert Counter(out) == Counter(blocks)
     done = Counter()
-    for t, (s, _) in enumerate(out, 1):
+    for t, s in enumerate(out, 1):
         done[s] += 1
-        assert all(abs(done[x] - w * t) < 1 for x, w in weights.items())
-    early = mixing.schedule({"a": 2, "b": 40}, {"a": 0.5, "b": 0.5})
-    assert [s for s, _ in early[4:]] == ["b"] * 38
+        assert all(abs(done[x] - n) < 1 for x, n in flow(share, blocks, t).items())
+    if blocks["a"] == 900:
+        assert any(x.repeats > 1 for x in segments)  # periods that recur are not run through
+
+
+def test_schedule_of_few_and_many():
+    assert flat(mixing.schedule({"a": 2, "b": 40}, {"a": 1, "b": 1}))[4:] == ["b"] * 38
     assert mixing.schedule({}, {}) == []
+    long = mixing.schedule({"a": 10**9, "b": 10**9 // 2}, {"a": 3, "b": 2})
+    assert sum(len(x.pattern) * x.repeats for x in long) == 10**9 * 3 // 2 and sum(len(x.pattern) for x in long) < 200
+    assert mixing.shares({"a": 1.0, "b": 3.0}) == {"a": 4096, "b": 12288} and mixing.shares({"a": 1e-12, "b": 1.0})["a"] == 1
+
+
+def test_slots(spark):
+    segments = mixing.schedule({"a": 900, "b": 20, "c": 400}, {"a": 5, "b": 3, "c": 2})
+    got = {(r["_source"], r.mix_block): r.mix_slot for r in mixing.slots(spark, segments).collect()}
+    seen = Counter()
+    for t, s in enumerate(flat(segments)):
+        assert got[(s, seen[s])] == t
+        seen[s] += 1
+    assert len(got) == 1320
 
 
-def test_mixing(spark, folder, monkeypatch):
-    monkeypatch.setattr(mixing, "LEAST_BLOCK", 1 << 12)
+def test_mixing(spark, folder):
+    block = 1 << 12
     weights = {f"src{i}": 1.0 + (i == 3) for i in range(20)}
     docs = documents(spark, folder)
-    rows = mixing.mix(docs, weights).orderBy("mix_slot", "mix_start").collect()
+    rows = mixing.mix(docs, weights, block=block).orderBy("mix_slot", "mix_start").collect()
     assert sorted(r.doc_id for r in rows) == sorted(r.doc_id for r in docs.collect())
-    size, block = Counter(), max(1 << 12, math.ceil(sum(len(r.text.encode()) for r in rows) / mixing.SLOTS))
+    size = Counter()
     for r in sorted(rows, key=lambda r: (r.source, r.mix_block, r.mix_start)):
         assert r.mix_block == size[r.source] // block and r.mix_start == size[r.source] % block
         size[r.source] += len(r.text.encode())
-    plan = {k: t for t, k in enumerate(mixing.schedule({s: -(-n // block) for s, n in size.items()}, weights))}
-    assert all(plan[(r.source, r.mix_block)] == r.mix_slot for r in rows)
+    share = mixing.shares({s: weights.get(s, 1.0) for s in size})
+    numbered, seen = {}, Counter()
+    for t, s in enumerate(flat(mixing.schedule({s: -(-n // block) for s, n in size.items()}, share))):
+        numbered[(s, seen[s])] = t
+        seen[s] += 1
+    assert all(numbered[(r.source, r.mix_block)] == r.mix_slot for r in rows)
 
 
 def test_packing(spark, folder):

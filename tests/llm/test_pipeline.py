@@ -1,5 +1,6 @@
 """The pipeline's stages, each on its own input and all together."""
 
+import functools
 from fractions import Fraction
 
 import pytest
@@ -32,6 +33,14 @@ def test_near_copies_against_brute_force(spark, folder):
     assert got == sorted(i for i, c in comp.items() if i == c)
 
 
+def test_near_copies_of_repeated_and_missing_ids(spark):
+    t = [" ".join(f"{p}{i}" for i in range(30)) for p in "abc"]
+    rows = [(1, t[0]), (1, t[1]), (None, t[1]), (None, t[2]), (None, t[2]), (5, t[2] + " x"), (7, None), (8, "")]
+    df = spark.createDataFrame([(*r, "en", "s", n) for n, r in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(r.n_chars for r in P.near_copies(spark, df, "").collect())
+    assert len(got) == 4 and got[0] in (0, 1) and got[1:] == [5, 6, 7]
+
+
 def test_language_keeps_clean_documents(spark, folder):
     docs = documents(spark, folder)
     assert P.language(spark, docs, folder).count() >= 0.99 * docs.count()
@@ -53,7 +62,7 @@ def test_all_stages(spark, folder):
 def test_sequences_follow_the_mixture_over_several_files(spark, folder, tmp_path, monkeypatch):
     from millrace.llm import mixing
 
-    monkeypatch.setattr(mixing, "LEAST_BLOCK", 1 << 12)
+    monkeypatch.setattr(P, "mix", functools.partial(mixing.mix, block=1 << 12))
     docs = documents(spark, folder)
     path = str(tmp_path / "mixed")
     P.mixed(spark, docs, folder).repartition(7, "doc_id").write.parquet(path)  # files in another order
@@ -63,7 +72,7 @@ def test_sequences_follow_the_mixture_over_several_files(spark, folder, tmp_path
         got = P.packed(spark, spark.read.parquet(path), folder).toPandas()
     finally:
         spark.conf.unset(coalesce)
-    slots = {r.doc_id: r.mix_slot for r in mixing.mix(docs).collect()}
+    slots = {r.doc_id: r.mix_slot for r in P.mix(docs).collect()}
     assert (got["mix_slot"] == got["doc_id"].map(slots)).all() and got["mix_slot"].nunique() > 20
     ranges = got.groupby(got["sequence_id"] // 2**40)["mix_slot"].agg(["min", "max"])
     assert len(ranges) > 1 and (ranges["max"].to_numpy()[:-1] <= ranges["min"].to_numpy()[1:]).all()
