@@ -65,103 +65,161 @@ def _statistics(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield out
 
 
-@F.pandas_udf(T.DoubleType())
-def _distance(v: pd.Series, center: pd.Series, inverse: pd.Series) -> pd.Series:
-    if not len(v):
-        return pd.Series([], dtype=float)
-    d = np.stack(v.to_numpy()) - np.stack(center.to_numpy())
-    m = np.stack(inverse.to_numpy()).reshape(len(d), d.shape[1], d.shape[1])
-    return pd.Series(np.einsum("ni,nij,nj->n", d, m, d))
-
-
 def chi2(p: float, k: int) -> float:
     """Quantile of the chi-squared distribution, by Wilson and Hilferty."""
     return k * (1 - 2 / (9 * k) + NormalDist().inv_cdf(p) * math.sqrt(2 / (9 * k))) ** 3
 
 
-def _shape(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Center and inverse covariance (with the floor of FEATURES) of ``v`` for each group: sums, which combine before
-    the shuffle, then a small matrix for each group."""
-    p, floors = len(FEATURES), np.diag([s * s for s in FEATURES.values()])
-    pairs = [(i, j) for i in range(p) for j in range(i, p)]
-    x = [F.col("v")[i] for i in range(p)]
-    sums = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.array(*[F.avg(c) for c in x]).alias("center"), F.array(*[F.covar_pop(x[i], x[j]) for i, j in pairs]).alias("s"))
+P = len(FEATURES)
+FLOORS = np.array([s * s for s in FEATURES.values()])
+PAIRS = [(i, j) for i in range(P) for j in range(i, P)]
+FIT = "center array<double>, cov array<double>, inverse array<double>, logdet double"
+
+
+def shrunk(n: float, center: np.ndarray, cov: np.ndarray, parent: tuple[np.ndarray, np.ndarray] | None, prior: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Center, covariance, its inverse and the log of its determinant: of n rows and ``prior`` rows like the parent's fit.
+
+    The floors are added to the rows' own covariance, so that no direction is without spread.
+    """
+    cov = cov + np.diag(FLOORS)
+    if parent is not None:
+        weight = prior / (n + prior)
+        center, cov = (1 - weight) * center + weight * parent[0], (1 - weight) * cov + weight * parent[1]
+    return center, cov, np.linalg.inv(cov), float(np.linalg.slogdet(cov)[1])
+
+
+def distance(v: Column, center: Column, inverse: Column) -> Column:
+    """The squared Mahalanobis distance, written out so that it is compiled."""
+    d = [v[i] - center[i] for i in range(P)]
+    return sum((d[i] * d[j] * inverse[i * P + j] * F.lit(1.0 if i == j else 2.0) for i, j in PAIRS), F.lit(0.0))
 
-    @F.pandas_udf("array<double>")
-    def inverse(s: pd.Series) -> pd.Series:
+
+def _starts(rows: DataFrame, key: str) -> DataFrame:
+    """Two fits to start from for each group: its medians with the floors, and with its quartile ranges added to them."""
+    quartiles = [F.percentile_approx(F.col("v")[i], F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.lit(2000)).alias(f"q{i}") for i in range(P)]
+
+    @F.pandas_udf(f"array<struct<start:int,{FIT.replace(' array', ':array').replace(' double', ':double').replace(', ', ',')}>>")
+    def made(q: pd.Series) -> pd.Series:
         out = []
-        for values in s:
-            m = np.zeros((p, p))
-            for (i, j), value in zip(pairs, values):
-                m[i, j] = m[j, i] = value
-            out.append(np.linalg.inv(m + floors).ravel())
+        for x in q:
+            m = np.stack([np.asarray(r, float) for r in x])
+            both = []
+            for start, spread in enumerate((FLOORS, FLOORS + (m[:, 2] - m[:, 0]) ** 2 / 1.82)):
+                both.append({"start": start, "center": m[:, 1], "cov": np.diag(spread).ravel(), "inverse": np.diag(1 / spread).ravel(), "logdet": float(np.log(spread).sum())})
+            out.append(both)
         return pd.Series(out, dtype=object)
 
-    return sums.select(*keys, "center", inverse("s").alias("inverse"))
+    found = rows.groupBy(key).agg(*quartiles).select(key, F.array(*[f"q{i}" for i in range(P)]).alias("q"))
+    return found.select(key, F.explode(made("q")).alias("f")).select(key, "f.*")
 
 
-def robust_distance(rows: DataFrame, keys: list[str], *, share: float = 0.75, steps: int = 4, tail: float = 0.01) -> DataFrame:
-    """Add ``d2``, the squared Mahalanobis distance of ``v`` to its group's minimum-covariance-determinant estimate, and
-    ``cut``, beyond which ``tail`` of the group's regular rows are expected.
+def fits(rows: DataFrame, key: str, parent: str | None = None, parents: DataFrame | None = None, *, share: float = 0.75, prior: float = 100.0, steps: int = 20) -> DataFrame:
+    """(key, center, cov, inverse, logdet): the minimum-covariance-determinant estimate of ``v`` for every value of ``key``.
 
-    Concentration steps over all rows: from the half nearest to the medians on, each step fits center and covariance
-    to the ``share`` of the group's rows nearest to the last fit, which never raises the determinant. Fits are sums for
-    each group and thresholds are mergeable quantile sketches, so no group is gathered in one task; groups join back by
-    their one row. The cut carries a log-normal tail on from the group's own median and upper quartile, which up to a
-    quarter of outliers don't reach, and is fitted once more to the rows within it, as outliers widen the first one; it
-    is never below the chi-squared quantile. Distances are scaled so that the median of the rows within is that of a
-    chi-squared variable.
+    From each start, concentration steps fit center and covariance to the ``share`` of the group's rows nearest to the last
+    fit, until no determinant moves any more; the start that ends with the least determinant counts. A group's estimate is
+    shrunk towards its parent's, ``prior`` rows strong, in every step (a regularised determinant, which steps don't
+    raise either). Rows are read as often as there are steps; groups are sums and mergeable sketches, never gathered.
     """
-    p = len(FEATURES)
-    on = lambda a, b: a.join(b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]).drop(*[f"_{k}" for k in keys])
-    renamed = lambda df: df.withColumnsRenamed({k: f"_{k}" for k in keys})
-    columns = rows.columns
-    medians = rows.groupBy(*keys).agg(F.array(*[F.percentile_approx(F.col("v")[i], F.lit(0.5), F.lit(2000)) for i in range(p)]).alias("median"))
-    spread = sum(((F.col("v")[i] - F.col("median")[i]) / F.lit(s)) ** 2 for i, s in enumerate(FEATURES.values()))
-    current = materialize(on(rows, renamed(medians)).select(*columns, spread.alias("d2")), "distance")
+    current = materialize(_starts(rows, key), "fits")
     for _ in range(steps):
-        limit = current.groupBy(*keys).agg(F.percentile_approx("d2", F.lit(share), F.lit(2000)).alias("limit"))
-        inner = on(current, renamed(limit)).where(F.col("d2") <= F.col("limit"))
-        current = materialize(on(current.drop("d2"), renamed(_shape(inner, keys))).select(*columns, _distance("v", "center", "inverse").alias("d2")), "distance")
+        with_fit = rows.join(current.select(key, "start", "center", "inverse"), key)
+        near = with_fit.withColumn("d2", distance(F.col("v"), F.col("center"), F.col("inverse"))).drop("center", "inverse")
+        limit = near.groupBy(key, "start").agg(F.percentile_approx("d2", F.lit(share), F.lit(2000)).alias("limit"))
+        inner = near.join(limit, [key, "start"]).where(F.col("d2") <= F.col("limit"))
+        x = [F.col("v")[i] for i in range(P)]
+        own = [F.count("*").alias("n"), F.array(*[F.avg(c) for c in x]).alias("m"), F.array(*[F.covar_pop(x[i], x[j]) for i, j in PAIRS]).alias("s")]
+        sums = inner.groupBy(key, "start").agg(*own, *([F.first(parent).alias("_parent")] if parent else []))
+        if parents is not None:
+            up = parents.select(F.col(parent).alias("_parent"), F.col("center").alias("up_center"), F.col("cov").alias("up_cov"))
+            sums = sums.join(up, "_parent")
+        else:
+            sums = sums.withColumns({"up_center": F.lit(None).cast("array<double>"), "up_cov": F.lit(None).cast("array<double>")})
+
+        @F.pandas_udf(FIT)
+        def fitted(n: pd.Series, m: pd.Series, s: pd.Series, up_center: pd.Series, up_cov: pd.Series) -> pd.DataFrame:
+            out = []
+            for count, center, values, uc, us in zip(n, m, s, up_center, up_cov):
+                cov = np.zeros((P, P))
+                for (i, j), value in zip(PAIRS, values):
+                    cov[i, j] = cov[j, i] = value
+                over = None if uc is None else (np.asarray(uc, float), np.asarray(us, float).reshape(P, P))
+                center, cov, inverse, logdet = shrunk(count, np.asarray(center, float), cov, over, prior)
+                out.append((center, cov.ravel(), inverse.ravel(), logdet))
+            return pd.DataFrame(out, columns=["center", "cov", "inverse", "logdet"])
+
+        before = current.select(key, "start", F.col("logdet").alias("before"))
+        new = sums.select(key, "start", fitted("n", "m", "s", "up_center", "up_cov").alias("f")).select(key, "start", "f.*")
+        current = materialize(new.join(before, [key, "start"]), "fits")
+        moved = current.agg(F.max(F.abs(F.col("logdet") - F.col("before")))).first()[0]
+        if moved is None or moved < 1e-4:
+            break
+    best = current.groupBy(key).agg(F.min_by(F.struct("center", "cov", "inverse", "logdet"), F.struct("logdet", "start")).alias("f"))
+    return materialize(best.select(key, "f.*"), "fits")
+
+
+def robust_distance(rows: DataFrame, keys: list[str], *, share: float = 0.75, prior: float = 100.0, tail: float = 0.01) -> DataFrame:
+    """Add ``d2``, the squared Mahalanobis distance of ``v`` to its group's ``fits``, and ``cut``, beyond which ``tail`` of the
+    group's regular rows are expected. ``keys`` are key columns from the widest group to the narrowest, which is judged.
+
+    The cut carries a log-normal tail on from the median and upper quartile of the group's distances, which up to a
+    quarter of outliers don't reach, and is fitted once more to the rows within it, as outliers widen the first one; it
+    is never below the chi-squared quantile. Quartiles of small groups are drawn towards those of the wider ones, ``prior``
+    rows strong. Distances are scaled so that the median of the rows within is that of a chi-squared variable.
+    """
+    parents, up = None, None
+    for key in keys:
+        parents, up = fits(rows, key, up, parents, share=share, prior=prior), key
+    columns, own = rows.columns, keys[-1]
+    judged = rows.join(parents.select(own, "center", "inverse"), own)
+    judged = judged.withColumn("d2", distance(F.col("v"), F.col("center"), F.col("inverse"))).select(*columns, "d2")
     reach = NormalDist().inv_cdf(1 - tail) / NormalDist().inv_cdf(0.75)
 
     def fitted(part: DataFrame) -> DataFrame:
-        quartiles = part.groupBy(*keys).agg(F.percentile_approx("d2", F.array(F.lit(0.5), F.lit(0.75)), F.lit(2000)).alias("q"))
-        middle, upper = (F.greatest(F.col("q")[i], F.lit(1e-9)) for i in range(2))
-        cut = F.greatest(F.pow(upper / middle, F.lit(reach)), F.lit(chi2(1 - tail, p) / chi2(0.5, p)))
-        return renamed(quartiles.select(*keys, middle.alias("middle"), (middle * cut).alias("limit")))
-
-    regular = on(current, fitted(current)).where(F.col("d2") <= F.col("limit")).select(*columns, "d2")
-    scale = F.lit(chi2(0.5, p)) / F.col("middle")
-    return on(current, fitted(regular)).select(*columns, (F.col("d2") * scale).alias("d2"), (F.col("limit") * scale).alias("cut"))
-
-
-def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", min_words: int = 50, max_repeat: int = 50, least_group: int = 200, tail: float = 0.01) -> DataFrame:
+        quartiles = None
+        for key in keys:
+            above = keys[: keys.index(key)][-1:]
+            both = F.percentile_approx("d2", F.array(F.lit(0.5), F.lit(0.75)), F.lit(2000))
+            logs = F.transform(both, lambda x: F.log(F.greatest(x, F.lit(1e-9))))
+            here = part.groupBy(key).agg(F.count("*").alias("n"), logs.alias("q"), *[F.first(c).alias(c) for c in above])
+            if quartiles is not None:
+                weight = F.col("n") / (F.col("n") + F.lit(prior))
+                mix = F.zip_with("q", "up_q", lambda a, b: weight * a + (1 - weight) * b)
+                here = here.join(quartiles.withColumnRenamed("q", "up_q"), above).select(key, mix.alias("q"))
+            quartiles = here.select(key, "q")
+        middle, upper = (F.exp(F.col("q")[i]) for i in range(2))
+        cut = F.greatest(F.pow(upper / middle, F.lit(reach)), F.lit(chi2(1 - tail, P) / chi2(0.5, P)))
+        return quartiles.select(own, middle.alias("middle"), (middle * cut).alias("limit"))
+
+    regular = judged.join(materialize(fitted(judged), "cuts"), own).where(F.col("d2") <= F.col("limit")).select(*columns, "d2")
+    scale = F.lit(chi2(0.5, P)) / F.col("middle")
+    last = materialize(fitted(regular), "cuts")
+    return judged.join(last, own).select(*columns, (F.col("d2") * scale).alias("d2"), (F.col("limit") * scale).alias("cut"))
+
+
+def quality_rules(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source",
+    min_words: int = 50, max_repeat: int = 50, prior: float = 100.0, tail: float = 0.01,
+) -> DataFrame:
     """Base counts of every whole text, and whether it is kept.
 
     base_failed: fewer than ``min_words`` words, or over ``max_repeat`` percent of them in 3-word windows found twice
     or more. The others are outliers where their transformed statistics lie further from the robust center of their
-    (language, source) than a cut from that group's own distances, which ``tail`` of its regular documents exceed.
-    Groups of fewer than ``least_group`` documents that pass the base rules are judged with their language, and
-    languages that small with all documents.
+    (language, source) than a cut from that group's own distances, which ``tail`` of its regular documents exceed. Every
+    group is judged by its own estimate; those are drawn towards the language's, and these towards that of all documents, by
+    as much as ``prior`` documents weigh, so that a group of any size has one.
 
     Returns doc_id, the five base counts (long), base_failed, distance (squared; null where base_failed), kept; a row
-    for each input row. Null language or source is a group of its own; null or empty text has no words and fails;
-    repeated rows are judged each; an empty table gives no rows. Statistics cover all rows that pass the base rules.
+    for each input row, whatever other columns there are. Null language or source is a group of its own; null or empty text
+    has no words and fails; very long texts are counted whole; repeated rows are judged each; an empty table gives no rows.
+    Statistics cover all rows that pass the base rules.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(source_col).cast("string").alias("source"), _statistics(F.col(text_col).cast("string")).alias("s"))
+    lang, source = F.col(lang_col).cast("string"), F.col(source_col).cast("string")
+    groups = [F.lit("all").alias("k0"), F.to_json(F.struct(lang.alias("l"))).alias("k1"), F.to_json(F.struct(lang.alias("l"), source.alias("s"))).alias("k2")]
+    rows = docs.select(F.col(id_col).alias("doc_id"), *groups, _statistics(F.col(text_col).cast("string")).alias("s"))
     failed: Column = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat * F.col("n_words"))
-    rows = materialize(rows.select("doc_id", "lang", "source", "s.*").withColumn("base_failed", failed), "statistics")
-    passed = rows.where(~F.col("base_failed"))
-    sizes = passed.groupBy("lang", "source").agg(F.count("*").alias("n"))
-    by_lang = sizes.groupBy("lang").agg(F.sum("n").alias("n_lang")).withColumnRenamed("lang", "_l")
-    level = sizes.join(by_lang, F.col("lang").eqNullSafe(F.col("_l"))).select(
-        F.col("lang").alias("_l"), F.col("source").alias("_s"),
-        F.when(F.col("n") >= least_group, F.to_json(F.struct("lang", "source"))).when(F.col("n_lang") >= least_group, F.to_json(F.struct("lang"))).otherwise(F.lit("all")).alias("judged"),
-    )
-    grouped = passed.join(level, F.col("lang").eqNullSafe(F.col("_l")) & F.col("source").eqNullSafe(F.col("_s"))).drop("_l", "_s")
-    judged = robust_distance(grouped, ["judged"], tail=tail)
-    keep = F.col("d2") <= F.col("cut")
+    rows = materialize(rows.select("doc_id", "k0", "k1", "k2", "s.*").withColumn("base_failed", failed), "statistics")
+    judged = robust_distance(rows.where(~F.col("base_failed")), ["k0", "k1", "k2"], prior=prior, tail=tail)
     columns = ["doc_id", *BASE, "base_failed"]
-    done = judged.select(*columns, F.col("d2").alias("distance"), keep.alias("kept"))
+    done = judged.select(*columns, F.col("d2").alias("distance"), (F.col("d2") <= F.col("cut")).alias("kept"))
     return done.unionByName(rows.where("base_failed").select(*columns, F.lit(None).cast("double").alias("distance"), F.lit(False).alias("kept")))
