@@ -2,70 +2,169 @@
 
 from __future__ import annotations
 
+import bisect
 import heapq
 import math
+from collections import Counter
 from collections.abc import Iterator
+from fractions import Fraction
+from typing import NamedTuple
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import materialize
 
-#: Blocks grow with the input so that a schedule has about this many slots; no block is smaller than LEAST_BLOCK.
-SLOTS, LEAST_BLOCK, MAX_SOURCES = 20_000, 1 << 16, 1_000_000
+#: Bytes of a block, and the number of shares that sources' weights are rounded to: at least this many, and 16 a source.
+BLOCK, SHARES = 1 << 16, 1 << 14
 
 
-def schedule(blocks: dict[str, int], weights: dict[str, float]) -> list[tuple[str, int]]:
-    """The (source, block) of each slot.
+class Segment(NamedTuple):
+    """Slots from ``slot`` on: the sources of ``pattern``, ``repeats`` times over."""
 
-    With weight w (of a sum of 1), block i of a source may start at slot floor(i / w) and has to end by
-    ceil((i + 1) / w). In each slot the released block with the earliest deadline runs, the heavier source and then the
-    name first. As the weights sum to one, every deadline is met, and after t slots a source has had more than w t - 1
-    and fewer than w t + 1 blocks. When a source has run out, the others start anew from that slot, by their weights.
+    slot: int
+    pattern: list[str]
+    repeats: int
+
+
+def shares(weights: dict[str, float]) -> dict[str, int]:
+    """Weights as whole shares, one at least."""
+    total, parts = sum(weights.values()), max(SHARES, 16 * len(weights))
+    return {s: max(1, round(w / total * parts)) for s, w in weights.items()}
+
+
+class Fluid:
+    """The ideal mixture, in which every source flows by its share until its blocks are used up.
+
+    At virtual time v a source with a shares and n blocks has had min(n, a v) blocks, and the slots so far are the sum over
+    sources: a line between the times at which sources end.
+    """
+
+    def __init__(self, blocks: dict[str, int], share: dict[str, int]):
+        self.share = share
+        order = sorted((Fraction(n, share[s]), s) for s, n in blocks.items())
+        self.ends = [v for v, _ in order]
+        self.rate, self.gone = [sum(share[s] for s in blocks)], [0]
+        for _, s in order:
+            self.rate.append(self.rate[-1] - share[s])
+            self.gone.append(self.gone[-1] + blocks[s])
+
+    def phase(self, i: int, s: str, guess: int) -> int:
+        """How many sources have ended before the flow reaches block ``i`` of ``s``."""
+        a = self.share[s]
+        above = guess == 0 or i * self.ends[guess - 1].denominator > self.ends[guess - 1].numerator * a
+        if above and i * self.ends[guess].denominator <= self.ends[guess].numerator * a:
+            return guess
+        return bisect.bisect_left(self.ends, Fraction(i, a))
+
+    def end(self, p: int) -> int:
+        """The first slot at or after the end of a phase."""
+        return self.gone[p] + math.ceil(self.rate[p] * self.ends[p])
+
+    def floor(self, i: int, s: str, p: int) -> int:
+        return self.gone[p] + self.rate[p] * i // self.share[s]
+
+    def ceil(self, i: int, s: str, p: int) -> int:
+        return self.gone[p] - (-self.rate[p] * i // self.share[s])
+
+
+def schedule(blocks: dict[str, int], share: dict[str, int]) -> list[Segment]:
+    """The source of every slot; a source's blocks come in their order.
+
+    A block is released at the slot at which its source's flow reaches its beginning and has to end by that at which the
+    flow reaches its end. In each slot the released block with the earliest deadline runs, the larger share and then
+    the name first. The flow itself fits these windows, so every deadline is met: at any time a source has had less than
+    one block more or less than its flow, also over the ends of others, as windows follow the flow through them.
+
+    Between two ends, windows recur with as many slots as there are shares. When the schedule has come to the same state
+    after such a period, the periods that follow are the same and are not run through.
     """
-    scale = max(weights.values(), default=1.0)
-    whole = {s: max(1, round(weights[s] / scale * 1_000_000_000)) for s in blocks if blocks[s] > 0}
-    done = dict.fromkeys(whole, 0)
-    out: list[tuple[str, int]] = []
-    while whole:
-        total, begun, first = sum(whole.values()), len(out), dict(done)
-        waiting = [(0, s) for s in sorted(whole)]
-        ready: list[tuple[int, int, str]] = []
-        ended = None
-        while ended is None:
-            now = len(out) - begun
-            while waiting and waiting[0][0] <= now:
-                _, s = heapq.heappop(waiting)
-                i = done[s] - first[s]
-                heapq.heappush(ready, (-(-(i + 1) * total // whole[s]), -whole[s], s))
-            _, _, s = heapq.heappop(ready)
-            out.append((s, done[s]))
-            done[s] += 1
-            if done[s] == blocks[s]:
-                ended = s
-            else:
-                heapq.heappush(waiting, ((done[s] - first[s]) * total // whole[s], s))
-        del whole[ended]
-    return out
-
-
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, *, id_col: str = "doc_id", source_col: str = "source", size_col: str | None = None, text_col: str = "text", temperature: float = 2.0) -> DataFrame:
+    blocks = {s: n for s, n in blocks.items() if n > 0}
+    share = {s: share[s] for s in blocks}
+    fluid, done, out, segments, now, begun = Fluid(blocks, share), dict.fromkeys(blocks, 0), [], [], 0, 0
+    waiting: list[tuple[int, str]] = []
+    ready: list[tuple[int, int, str]] = []
+
+    total, phase, mark = sum(blocks.values()), 0, 0
+
+    def enter(s: str) -> None:
+        i = done[s]
+        if i < blocks[s]:
+            heapq.heappush(waiting, (fluid.floor(i, s, fluid.phase(i, s, phase)), s))
+
+    for s in blocks:
+        enter(s)
+    end = fluid.end(0) if blocks else 0
+    while now < total:
+        while waiting and waiting[0][0] <= now:
+            _, s = heapq.heappop(waiting)
+            i = done[s] + 1
+            heapq.heappush(ready, (fluid.ceil(i, s, fluid.phase(i, s, phase)), -share[s], s))
+        s = heapq.heappop(ready)[2]
+        out.append(s)
+        done[s] += 1
+        now += 1
+        enter(s)
+        if now >= end and now < total:
+            while now >= end:
+                phase += 1
+                end = fluid.end(phase)
+            mark = now
+        elif now - mark == (period := fluid.rate[phase]):
+            repeats, mark = (end - now) // period - 2, now
+            if repeats > 0:
+                pattern = out[-period:]
+                if all(n == share[x] for x, n in Counter(pattern).items()):
+                    segments += [Segment(begun, out, 1), Segment(now, pattern, repeats)]
+                    now += repeats * period
+                    begun, mark, out, waiting, ready = now, now, [], [], []
+                    for x in set(pattern):
+                        done[x] += repeats * share[x]
+                    for x in done:
+                        enter(x)
+    return [*segments, Segment(begun, out, 1)] if out else segments
+
+
+def slots(spark: SparkSession, segments: list[Segment]) -> DataFrame:
+    """(_source, mix_block, mix_slot) of a schedule; what recurs is expanded by Spark."""
+    done: Counter = Counter()
+    rows = []
+    for at, pattern, repeats in segments:
+        places: dict[str, list[int]] = {}
+        for j, s in enumerate(pattern):
+            places.setdefault(s, []).append(j)
+        rows += [(s, done[s], at, len(pattern), repeats, p) for s, p in places.items()]
+        for s, p in places.items():
+            done[s] += len(p) * repeats
+    plan = spark.createDataFrame(rows, "_source string, first long, slot long, length long, repeats long, places array<int>")
+    each = plan.withColumn("each", F.size("places")).withColumn("r", F.explode(F.sequence(F.lit(0), F.col("repeats") - 1)))
+    each = each.select("*", F.posexplode("places").alias("j", "place"))
+    block = F.col("first") + F.col("r") * F.col("each") + F.col("j")
+    return each.select("_source", block.alias("mix_block"), (F.col("slot") + F.col("r") * F.col("length") + F.col("place")).alias("mix_slot"))
+
+
+def mix(
+    docs: DataFrame, weights: dict[str, float] | None = None, *, id_col: str = "doc_id", source_col: str = "source",
+    size_col: str | None = None, text_col: str = "text", temperature: float = 2.0, block: int = BLOCK,
+) -> DataFrame:
     """Deal all documents into one sequence in which sources follow their target weights.
 
-    Documents of a source stand in the order of a hash of their id and are cut into blocks of equal bytes (a document
+    Documents of a source stand in the order of a hash of their id and are cut into blocks of ``block`` bytes (a document
     belongs to the block in which it starts). ``schedule`` gives each block its slot. Without ``weights``, a source
     weighs its bytes to the power 1 / ``temperature``; one that ``weights`` leaves out weighs as much as the least.
-    Nothing is dropped or repeated: when a source ends, the others go on by their weights.
+    Weights are rounded to whole ``shares``. Nothing is dropped or repeated: when a source ends, the others go on by their
+    shares.
 
-    Running sums come from range partitions over (source, hash), so a source with most rows is spread over many tasks;
-    only a row for each source, and the slots, bounded by SLOTS plus the number of sources, are on the driver.
+    Running sums come from range partitions over (source, hash), so a source with most rows is spread over many tasks. A
+    row for each source, and the periods of the schedule, are on the driver: their number follows the number of sources,
+    not of rows.
 
     Returns the input's columns and mix_slot, mix_block, mix_start (long; replacing such columns): by (mix_slot,
     mix_start) is the mixed order, mix_start being bytes from the start of the block. ``size_col`` gives bytes if the text is
-    not at hand. Null sizes count 0, a null source is a source, rows with null or equal ids stay each; an empty table
-    gives no rows.
+    not at hand. Null sizes count 0, a null source is a source, rows with null or equal ids stay each; long texts may be
+    longer than their block; an empty table gives no rows.
     """
     spark = docs.sparkSession
     size = F.col(size_col).cast("long") if size_col else F.octet_length(F.col(text_col)).cast("long")
@@ -92,22 +191,18 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, *, id_col: str
     sums = dealt.groupBy("_source", "_part").agg(F.sum("_size").alias("n"))
     earlier = Window.partitionBy("_source").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select("_source", "_part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_offset"))
-    totals = {r["_source"]: r["n"] for r in sums.groupBy("_source").agg(F.sum("n").alias("n")).limit(MAX_SOURCES + 1).collect()}
-    if len(totals) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    block = max(LEAST_BLOCK, math.ceil(sum(totals.values()) / SLOTS))
+    totals = {r["_source"]: r["n"] for r in sums.groupBy("_source").agg(F.sum("n").alias("n")).collect()}
     if weights is None:
         target = {s: max(n, 1) ** (1 / temperature) for s, n in totals.items()}
     else:
         least = min((w for w in weights.values() if w > 0), default=1.0)
         target = {s: max(weights.get(s[1:], least) if s != "null" else least, least * 1e-6) for s in totals}
-    slots = schedule({s: max(1, -(-n // block)) for s, n in totals.items()}, target)
-    plan = spark.createDataFrame([(s, i, t) for t, (s, i) in enumerate(slots)], "_source string, mix_block long, mix_slot long")
+    plan = slots(spark, schedule({s: max(1, -(-n // block)) for s, n in totals.items()}, shares(target) if target else {}))
 
     at = F.col("_offset") + F.col("_before")
     number = F.expr(f"_at div {block}L")
     ends = spark.createDataFrame([(s, max(0, -(-n // block) - 1)) for s, n in totals.items()], "_source string, _last long")
-    placed = dealt.join(offsets, ["_source", "_part"]).withColumn("_at", at).join(F.broadcast(ends), "_source")
+    placed = dealt.join(offsets, ["_source", "_part"]).withColumn("_at", at).join(ends, "_source")
     placed = placed.withColumn("mix_block", F.least(number, F.col("_last")))  # an empty document may start where its source ends
-    placed = placed.join(F.broadcast(plan), ["_source", "mix_block"], "left")
+    placed = placed.join(plan, ["_source", "mix_block"], "left")
     return placed.select(*[F.col(f"`{c}`") for c in columns], "mix_slot", "mix_block", (F.col("_at") - F.col("mix_block") * F.lit(block)).alias("mix_start"))
