@@ -11,8 +11,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: The model has languages x buckets cells; buckets shrink with many languages so that it stays below MODEL_CELLS.
-BUCKET_BITS, MODEL_CELLS, MAX_LANGUAGES = 15, 1 << 22, 4096
+#: Trigrams are hashed to so many bits for any number of languages; with MAX_LANGUAGES the model has 64 MB, which bounds
+#: what is broadcast.
+BUCKET_BITS, MAX_LANGUAGES = 15, 512
 CHUNK = 1 << 20
 _alpha: list[np.ndarray] = []
 
@@ -56,6 +57,8 @@ def learn(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang") ->
     """Trigram likelihoods of each language, from every row that has text and a language.
 
     Tasks count into one dense vector for each language; what leaves a task is bounded by the model, not by its rows.
+    More than MAX_LANGUAGES labels are refused with a ValueError. Rows without text or label teach nothing; repeated rows
+    count each; without any row the model has no language. Long texts are counted whole, in chunks.
     """
     rows = docs.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
     languages = sorted(r.lang for r in rows.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect())
@@ -63,7 +66,7 @@ def learn(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang") ->
         raise ValueError(f"more than {MAX_LANGUAGES} language labels")
     if not languages:
         return LanguageModel([])
-    bits = min(BUCKET_BITS, (MODEL_CELLS // len(languages)).bit_length() - 1)
+    bits = BUCKET_BITS
     number = {name: i for i, name in enumerate(languages)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,9 +130,11 @@ def identify(docs: DataFrame, model: LanguageModel, *, text_col: str = "text", p
     """Add lang_pred (the largest language, `und` without text or letter or model), score (its proportion, 0 for
     `und`), lang_set and lang_share (arrays, largest first) to the rows; they replace columns of these names.
 
-    Only the text is read. Every row stays, whatever its id; an empty table gives no rows.
+    Only the text is read, whole, however long. Every row stays, whatever its id, and repeated rows get equal results;
+    other columns keep their names but for those four; an empty table gives no rows. Of equally likely languages the
+    first by name is the prediction.
     """
-    held = docs.sparkSession.sparkContext.broadcast(model)  # bounded by MODEL_CELLS
+    held = docs.sparkSession.sparkContext.broadcast(model)  # bounded by MAX_LANGUAGES
 
     @F.pandas_udf("lang_pred string, score double, lang_set array<string>, lang_share array<double>")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
