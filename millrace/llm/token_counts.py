@@ -6,16 +6,18 @@ import os
 import re
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import blocks
 from .common import materialize
 
 #: How the word-end vocabulary splits normalised text before merges (fixed value, from the tokenizer's file).
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"""
+#: Characters of text in a block of documents.
+BLOCK_CHARS = 12_000_000
 _loaded: dict[str, tuple] = {}
 
 
@@ -50,89 +52,84 @@ def pieces(words: list[str], path: str) -> np.ndarray:
 def token_counts(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Tokens and UTF-8 bytes of every whole text under a tokenizer that splits words before it merges.
 
-    One pass over the texts gives per-document pre-token frequencies, held per block of documents as numbers of the
-    block's distinct pre-tokens. The distinct pre-tokens of all blocks meet by hash, each is encoded once and its
-    number of pieces goes back to the blocks, where it is joined to the frequencies and summed. Ids of texts are never
-    made, and a word in every document is sent once for each block.
+    One pass over the texts gives per-document pre-token frequencies, held for each block of neighbouring documents as
+    numbers of the block's distinct pre-tokens. These are rows (block, number, pre-token): a pre-token is encoded once for
+    the corpus, its number of pieces is joined to the rows that hold it, and a block sums pieces times frequencies for each
+    of its documents. Ids of texts are never made; a word in every document is a row for each block, and rows follow the
+    number of blocks, whose size is fixed.
 
-    Returns doc_id, n_bytes, n_tokens (long), a row for each input row. A null or empty text has none of both; null and
-    repeated ids keep their rows; an empty table gives no rows.
+    Returns doc_id (of its type), n_bytes, n_tokens (long), a row for each input row; other columns don't matter, whatever
+    their names. A null or empty text has none of both; long texts are counted whole; null and repeated ids keep their
+    rows; an empty table gives no rows.
     """
-    from pyspark.sql import functions as F
-
-    parts = blocks.parts_for(docs)
-    arrow = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("payload", pa.binary())])
+    kind = docs.schema[id_col].dataType.simpleString()
 
     def gather(batches):
-        import xxhash
-
         first, made = TaskContext.get().partitionId() << 24, 0
         number: dict[str, int] = {}
         ids, sizes, extra, runs, each, often, chars = [], [], [], [], [], [], 0
 
         def flush():
             nonlocal made, chars
-            words = list(number)
-            raw = [w.encode() for w in words]
-            part = blocks.part_of(np.fromiter(map(xxhash.xxh64_intdigest, raw), np.uint64, len(raw)), parts)
-            cells = []
-            order = np.argsort(part, kind="stable")
-            found, run = np.unique(part[order], return_index=True)
-            for p, mine in zip(found, np.split(order, run[1:])):
-                cells.append((int(p), blocks.dumps(blocks.planes(np.array([len(raw[i]) for i in mine])), b"".join([raw[i] for i in mine]))))
             join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-            state = blocks.dumps(ids[:], np.array(sizes), np.array(extra), np.array(runs), blocks.planes(join(each)), blocks.planes(join(often)), part.astype(np.int32))
-            cells.append((-1, state))
-            out = pa.RecordBatch.from_arrays([pa.array([first + made] * len(cells), pa.int64()), pa.array([c[0] for c in cells], pa.int32()), pa.array([c[1] for c in cells], pa.binary())], schema=arrow)
+            own_ids = pa.concat_arrays(ids)
+            state = blocks.dumps(np.array(sizes), np.array(extra), np.array(runs), blocks.planes(join(each)), blocks.planes(join(often)))
+            block, n = first + made, len(number)
             made, chars = made + 1, 0
+            yield _rows(block, pa.array([-1], pa.int32()), pa.array([None], pa.string()), pa.array([state], pa.binary()), [own_ids])
+            nothing = pa.nulls(n, pa.binary()), [None] * n
+            yield _rows(block, pa.array(np.arange(n, dtype=np.int32)), pa.array(list(number), pa.string()), nothing[0], nothing[1])
             number.clear()
             for x in (ids, sizes, extra, runs, each, often):
                 x.clear()
-            return out
 
+        def _rows(block, at, word, payload, of):
+            listed = pa.array([None if x is None else x.to_pylist() for x in of], pa.list_(id_type))
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(at), block)), at, word, payload, listed], names=["block", "at", "word", "payload", "ids"])
+
+        id_type = None
         for batch in batches:
-            texts = batch.column(1)
-            for k, doc in enumerate(batch.column(0).to_pylist()):
+            texts, id_type = batch.column(1), batch.schema.types[0]
+            begun = 0
+            for k in range(batch.num_rows):
                 text = texts[k].as_py() or ""
                 words, n = pretokens(text, tokenizer_path)
                 for w in set(words).difference(number):
                     number[w] = len(number)
                 which, count = np.unique(np.fromiter(map(number.__getitem__, words), np.int64, len(words)), return_counts=True)
-                ids.append(doc)
                 sizes.append(len(text) if text.isascii() else len(text.encode()))
                 extra.append(n)
                 runs.append(len(which))
                 each.append(which)
                 often.append(count)
                 chars += len(text)
-                if chars >= blocks.BLOCK_CHARS:
-                    yield flush()
+                if chars >= BLOCK_CHARS:
+                    ids.append(batch.column(0).slice(begun, k + 1 - begun))
+                    begun = k + 1
+                    yield from flush()
+            if begun < batch.num_rows:
+                ids.append(batch.column(0).slice(begun))
         if ids:
-            yield flush()
-
-    def encode(asked, payloads):
-        seen: dict[bytes, int] = {}
-        wanted = []
-        for p in payloads:
-            lengths, raw = blocks.loads(p)
-            ends = np.cumsum(blocks.unplanes(lengths)).tolist()
-            wanted.append([seen.setdefault(raw[a:b], len(seen)) for a, b in zip([0, *ends], ends)])
-        n = pieces([w.decode() for w in seen], tokenizer_path)
-        return [blocks.dumps(blocks.planes(n[w])) for w in wanted]
-
-    def total(block, state, answers):
-        ids, sizes, extra, runs, each, often, part = blocks.loads(state)
-        of = np.zeros(len(part), dtype=np.int64)
-        order, at = np.argsort(part, kind="stable"), 0
-        for _, payload in answers.get("pieces", []):
-            n = blocks.unplanes(blocks.loads(payload)[0])
-            of[order[at : at + len(n)]] = n
-            at += len(n)
-        assert at == len(of), "an answer is missing"
+            yield from flush()
+
+    def encode(batches):
+        for batch in batches:
+            words = batch.column(0)
+            yield pa.RecordBatch.from_arrays([words, pa.array(pieces(words.to_pylist(), tokenizer_path), pa.int32())], names=["word", "n"])
+
+    def total(left: pa.Table, right: pa.Table) -> pa.Table:
+        sizes, extra, runs, each, often = blocks.loads(left.column("payload")[0].as_py())
+        of = np.zeros(right.num_rows, dtype=np.int64)
+        of[right.column("at").to_numpy()] = right.column("n").to_numpy()
         sums = np.concatenate(([0], np.cumsum(of[blocks.unplanes(each)] * blocks.unplanes(often).astype(np.int64))))
         ends = np.concatenate(([0], np.cumsum(runs))).astype(np.int64)
-        return pd.DataFrame({"doc_id": pd.array(ids, dtype="Int64"), "n_bytes": sizes, "n_tokens": sums[ends[1:]] - sums[ends[:-1]] + extra})
-
-    cells = materialize(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(gather, blocks.CELL), "pretokens")
-    answers = blocks.labelled("pieces", blocks.answer(cells.where("part >= 0"), encode))
-    return blocks.meet(cells.where("part < 0"), answers, total, "doc_id long, n_bytes long, n_tokens long")
+        n_tokens = sums[ends[1:]] - sums[ends[:-1]] + extra
+        return pa.table({"doc_id": left.column("ids")[0].values, "n_bytes": pa.array(sizes, pa.int64()), "n_tokens": pa.array(n_tokens, pa.int64())})
+
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    cells = materialize(rows.mapInArrow(gather, f"block long, at int, word string, payload binary, ids array<{kind}>"), "pretokens")
+    held = cells.where("word is not null").select("block", "at", "word")
+    counted = held.select("word").distinct().mapInArrow(encode, "word string, n int")
+    known = held.join(counted, "word").select(F.col("block").alias("of"), "at", "n")
+    states = cells.where("at < 0").select("block", "payload", "ids")
+    return states.groupBy("block").cogroup(known.groupBy("of")).applyInArrow(total, f"doc_id {kind}, n_bytes long, n_tokens long")
