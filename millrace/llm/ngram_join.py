@@ -311,7 +311,7 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, threshold: Fraction | float
     no join.
 
     Returns doc_id, n_shingles (long), component_id (the smallest doc_id reachable, itself included) and the columns of
-    ``carry``, and, if any are named, first (boolean: one row of each component, that with the smallest doc_id, those
+    ``carry`` other than these, and, if any are named, first (boolean: one row of each component, that with the smallest doc_id, those
     without id last); a row for each input row. Ids may be of any type with an order; clashing names of other columns
     don't matter. A null or empty text, or one without words, has no shingles, is linked with nothing, and is first. Rows
     with one id count as one document, which links by any of its texts; rows without id take part, and have a null
@@ -320,6 +320,7 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, threshold: Fraction | float
     """
     bound = threshold if isinstance(threshold, Fraction) else Fraction(str(threshold))
     regions = Regions(bound)
+    carry = [c for c in carry if c not in ("doc_id", "n_shingles", "component_id", "first")]
     rest = [F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carry)]).alias("rest")] if carry else []
     sets = materialize(_sets(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *rest), k, regions), "sets")
     each = sets.where("stand = 0")
