@@ -7,7 +7,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import documents, materialize, tokenizer_file
+from millrace.llm.common import documents, drop_tables, mark, materialize, tokenizer_file
 from millrace.llm.language_id import identify, learn
 from millrace.llm.line_dedup import line_dedup
 from millrace.llm.mixing import mix
@@ -31,12 +31,13 @@ def shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document, that with the smallest doc_id, of each group linked by a similarity of 0.8 or more."""
-    found = near_duplicates(docs, k=5, threshold=Fraction(4, 5))
-    gone = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    rest = docs.join(gone, "doc_id", "left_anti")
-    once = rest.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return once.unionByName(rest.where("doc_id is null")).select(*COLUMNS)
+    """Keep one document, that with the smallest doc_id, of each group linked by a similarity of 0.8 or more.
+
+    Rows are decided on, not ids: of rows with one id, which count as linked, one stays, by the hash of its shingles; rows
+    without id go where one with an id is in their group. Documents without words stay.
+    """
+    found = near_duplicates(docs, k=5, threshold=Fraction(4, 5), carry=COLUMNS)
+    return found.where("first").select(*COLUMNS)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,8 +67,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each but the last is written to the shared folder and read again."""
-    docs = documents(spark, sf_dir)
+    """All stages over documents; each but the last is written to the shared folder and read again, and all tables written
+    before are deleted then."""
+    docs, before = documents(spark, sf_dir), mark()
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name)
+        drop_tables(spark, before, keep=1)
     return STAGES[-1][1](spark, docs, sf_dir)
