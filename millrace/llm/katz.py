@@ -1,4 +1,4 @@
-"""Language-model scores: a Katz bigram model with Good-Turing discounts, gathered from and read by blocks of documents."""
+"""Language-model scores: a Katz backoff model with Good-Turing discounts, gathered from and read by blocks of documents."""
 
 from __future__ import annotations
 
@@ -59,32 +59,6 @@ class Unigrams:
         return np.where(c > 0, discounted(c, self.d) * self.scale, self.unknown)
 
 
-def _sum_up(asked: list[int], payloads: list[bytes]) -> list[bytes]:
-    """Total counts of every key over all blocks, in each block's order; one of the blocks, the first, owns the key."""
-    got = [blocks.loads(p) for p in payloads]
-    keys = np.concatenate([blocks.unrising(k) for k, _ in got])
-    counts = np.concatenate([blocks.unplanes(c) for _, c in got]).astype(np.int64)
-    _, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
-    order = np.argsort(inverse, kind="stable")
-    sums = np.add.reduceat(counts[order], np.concatenate(([0], np.cumsum(np.bincount(inverse))[:-1]))) if len(keys) else counts
-    owner = np.zeros(len(keys), dtype=bool)
-    owner[first] = True
-    total, out, at = sums[inverse], [], 0
-    for k, _ in got:
-        n = k.shape[1]
-        out.append(blocks.dumps(blocks.planes(total[at : at + n], "<u8"), np.packbits(owner[at : at + n]), n))
-        at += n
-    return out
-
-
-def _totals(answers: list[tuple[int, bytes]]) -> tuple[np.ndarray, np.ndarray]:
-    """Totals and ownership of a block's keys in their order."""
-    got = [blocks.loads(p) for _, p in answers]
-    if not got:
-        return np.zeros(0, np.int64), np.zeros(0, bool)
-    return np.concatenate([blocks.unplanes(t).astype(np.int64) for t, _, _ in got]), np.concatenate([np.unpackbits(o, count=n).astype(bool) for _, o, n in got])
-
-
 def _counts_of_counts(answers: DataFrame) -> tuple[int, list[int]]:
     """All occurrences, and the number of types seen 0, 1, ... DISCOUNTED + 1 times; the last item is all types seen."""
     width = DISCOUNTED + 2
@@ -93,8 +67,8 @@ def _counts_of_counts(answers: DataFrame) -> tuple[int, list[int]]:
         n, occurrences = np.zeros(width + 1, dtype=np.int64), 0
         for batch in batches:
             for p in batch.column(0).to_pylist():
-                t, owner, size = blocks.loads(p)
-                mine = blocks.unplanes(t).astype(np.int64)[np.unpackbits(owner, count=size).astype(bool)]
+                (t, _), owner = blocks.told([(0, p)], 2)
+                mine = t[owner]
                 occurrences += int(mine.sum())
                 mine = mine[mine > 0]
                 n[:width] += np.bincount(mine[mine < width], minlength=width)
@@ -106,33 +80,69 @@ def _counts_of_counts(answers: DataFrame) -> tuple[int, list[int]]:
     return row["all"] or 0, [row[f"n{i}"] or 0 for i in range(width + 1)]
 
 
-def _pairs(state) -> tuple:
-    """A block's token stream as word numbers with their histories (the number of words stands for a text's start), its
-    distinct pairs in the order of their hashes, which of them each token is, and where each is first met."""
-    hashes, stream, sizes = state
-    before = np.concatenate(([len(hashes)], stream[:-1]))
-    before[np.concatenate(([0], np.cumsum(sizes)[:-1]))] = len(hashes)
-    keys, first, inverse = np.unique(blocks.mixed(np.append(hashes, START)[before], hashes[stream]), return_index=True, return_inverse=True)
-    return before, keys, first, inverse
+class Grams:
+    """The distinct grams of a block, order by order: 1 are words.
 
+    ``keys`` are their hashes in order, ``inverse`` says which each token ends, ``first`` where each is first met,
+    ``before`` which gram of the order below is each token's history: its number there, or the number of them for the
+    start of a text.
+    """
 
-def katz_scores(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Score every whole text under a Katz bigram model learned from the rows where ``train`` holds.
-
-    Words are runs of anything but ASCII white space, A-Z lower-cased; a text is its words and an end, the first word
-    having the start as its history. Count tables of words and of pairs lie in hash ranges (the parts of
-    ``blocks``): every block of documents sends the counts of its distinct words and pairs and gets the corpus-wide
-    ones back. A seen pair has its discounted count over its history's; an unseen one backs off to the word, weighted so
-    that each history's distribution sums to one. The weights are summed over the distinct pairs of a history by the
-    same exchange, each pair counting once, and go back to the blocks that met an unseen pair.
+    def __init__(self, hashes: np.ndarray, stream: np.ndarray, sizes: np.ndarray, order: int):
+        starts = np.concatenate(([0], np.cumsum(sizes)[:-1])).astype(np.int64)
+        self.starts, self.keys, self.inverse, self.first, self.before = starts, [hashes], [stream], [None], [None]
+        words, gram, start = hashes[stream], hashes[stream], START
+        for _ in range(2, order + 1):
+            below = np.concatenate(([len(self.keys[-1])], self.inverse[-1][:-1]))
+            below[starts] = len(self.keys[-1])
+            history = np.concatenate(([start], gram[:-1]))
+            history[starts] = start
+            gram = blocks.mixed(history, words)
+            keys, first, inverse = np.unique(gram, return_index=True, return_inverse=True)
+            self.keys.append(keys)
+            self.first.append(first)
+            self.inverse.append(inverse)
+            self.before.append(below)
+            start = blocks.mixed(np.array([start]), np.array([START]))[0]
+
+    @staticmethod
+    def of(payload: bytes, order: int) -> tuple["Grams", tuple]:
+        ids, sizes, taught, hashes, tokens, end = blocks.loads(payload)
+        sizes = np.array(sizes)
+        return Grams(blocks.unrising(hashes), blocks.unplanes(tokens).astype(np.int64), sizes, order), (ids, sizes, np.array(taught), end)
+
+
+def katz_scores(docs: DataFrame, train: Column, *, order: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Score every whole text under a Katz model of ``order`` words learned from the rows where ``train`` holds.
+
+    Words are runs of anything but ASCII white space, A-Z lower-cased; a text is its words and an end, the first words
+    having the start in their history. Grams of each order are counted over the corpus in hash ranges (``blocks``): every
+    block of documents sends the counts of its distinct grams and gets the corpus-wide ones back. A token is evaluated
+    recursively: a seen gram has its discounted count over its history's; an unseen one backs off to the gram without
+    its first word, times a weight of its history, so that each history's distribution sums to one; at the bottom are
+    words. The weights are sums over the distinct seen grams of a history, each counting once in the block that owns
+    it, and go by the same exchange to the blocks that met an unseen gram; only histories that occur outside the training
+    rows, where alone grams are unseen, take part.
 
     Returns doc_id, n_tokens, n_known (tokens seen in training), train_tokens (long), base_score (add-half unigram) and
-    score (log10), a row for each input row. A null or empty text is the end alone; null and repeated ids keep their
-    rows; without any training row every word is equally unknown and scores 0; an empty table gives no rows.
+    score (log10), a row for each input row; other columns don't matter, whatever their names. Ids are whole numbers. A null
+    or empty text is the end alone; very long texts are read whole, as a block of their own if need be; null and repeated
+    ids keep their rows; without any training row every word is equally unknown and scores 0; an empty table gives no rows.
     """
-    parts = blocks.parts_for(docs)
+    levels = blocks.levels_for(docs)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
 
+    def counted(block: int, grams: Grams, sizes: np.ndarray, taught: np.ndarray, k: int) -> list:
+        """Cells of the grams of order ``k``: training counts, and how often held-out tokens have one as their history."""
+        learned, n = np.repeat(taught, sizes), len(grams.keys[k - 1])
+        counts = np.bincount(grams.inverse[k - 1][learned], minlength=n)
+        uses = np.zeros(n, np.int64)
+        if k < order:
+            follows = ~learned
+            follows[grams.starts] = False  # a text's first token has the start as its history
+            uses = np.bincount(grams.inverse[k - 1][np.flatnonzero(follows) - 1], minlength=n)
+        return blocks.asks(block, grams.keys[k - 1], [counts, uses])
+
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
@@ -143,14 +153,13 @@ def katz_scores(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_
         def flush():
             nonlocal made, chars
             hashes = np.fromiter(map(xxhash.xxh64_intdigest, number), np.uint64, len(number))
-            order = np.argsort(hashes)
-            rank = np.empty(len(order), dtype=np.int64)
-            rank[order] = np.arange(len(order))
-            hashes, tokens = hashes[order], rank[np.concatenate(stream)]
-            counts = np.bincount(tokens[np.repeat(taught, sizes)], minlength=len(hashes))
-            state = blocks.dumps(ids[:], np.array(sizes), np.array(taught), blocks.rising(hashes), blocks.planes(tokens), int(rank[0]))
-            cells = [(first + made, -1, state)]
-            cells += [(first + made, p, blocks.dumps(blocks.rising(hashes[r]), blocks.planes(counts[r]))) for p, r in blocks.runs(hashes, parts)]
+            sort = np.argsort(hashes)
+            rank = np.empty(len(sort), dtype=np.int64)
+            rank[sort] = np.arange(len(sort))
+            hashes, tokens = hashes[sort], rank[np.concatenate(stream)]
+            block = first + made
+            state = blocks.dumps(ids[:], sizes[:], taught[:], blocks.rising(hashes), blocks.planes(tokens), int(rank[0]))
+            cells = [(block, -1, state), *counted(block, Grams(hashes, tokens, np.array(sizes), 1), np.array(sizes), np.array(taught), 1)]
             made, chars = made + 1, 0
             number.clear()
             number[END_WORD] = 0
@@ -177,76 +186,90 @@ def katz_scores(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_
         if ids:
             yield flush()
 
-    def pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block, payload in zip(batch.column(0).to_pylist(), batch.column(1)):
-                _, sizes, taught, hashes, tokens, _ = blocks.loads(payload.as_py())
-                _, keys, _, inverse = _pairs((blocks.unrising(hashes), blocks.unplanes(tokens).astype(np.int64), sizes))
-                counts = np.bincount(inverse[np.repeat(taught, sizes)], minlength=len(keys))
-                yield blocks.table([(block, p, blocks.dumps(blocks.rising(keys[r]), blocks.planes(counts[r]))) for p, r in blocks.runs(keys, parts)])
+    def gram_counts(k: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for block, payload in zip(batch.column(0).to_pylist(), batch.column(1)):
+                    grams, (_, sizes, taught, _) = Grams.of(payload.as_py(), k)
+                    yield blocks.table(counted(block, grams, sizes, taught, k))
+
+        return run
 
     cells = materialize(rows.mapInArrow(gather, blocks.CELL), "words")
-    states = cells.where("part < 0")
-    words = materialize(blocks.answer(cells.where("part >= 0"), _sum_up), "word-counts")
-    pairs = materialize(blocks.answer(states.select("block", "payload").mapInArrow(pair_counts, blocks.CELL), _sum_up), "pair-counts")
-    total, n_words = _counts_of_counts(words)
-    vocabulary = n_words[-1]
-    unigrams, pair_d = Unigrams(total, n_words), discounts(_counts_of_counts(pairs)[1])
-
-    def seen_part(block, state, answers):
-        ids, sizes, taught, hashes, tokens, end = blocks.loads(state)
-        hashes, tokens = blocks.unrising(hashes), blocks.unplanes(tokens).astype(np.int64)
-        c, _ = _totals(answers.get("words", []))
-        before, keys, first, inverse = _pairs((hashes, tokens, sizes))
-        cp, owned = _totals(answers.get("pairs", []))
-        assert len(c) == len(hashes) and len(cp) == len(keys), "an answer is missing"
-        starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-        history = np.append(c, c[end])  # the start is met as often as the end
-        p_word = unigrams(c)
-        left, right = before[first], tokens[first]
+    states = cells.where("part < 0").select("block", "payload")
+    answers = [materialize(blocks.sums(cells.where("part >= 0"), levels), "counts-1")]
+    for k in range(2, order + 1):
+        answers.append(materialize(blocks.sums(states.mapInArrow(gram_counts(k), blocks.CELL), levels), f"counts-{k}"))
+    found = [_counts_of_counts(a) for a in answers]
+    total, n_words = found[0]
+    vocabulary, unigrams, factors = n_words[-1], Unigrams(total, n_words), [discounts(n) for _, n in found]
+
+    def seen_part(block, state, told):
+        """What a block knows without backoff weights, and its share of and wish for those."""
+        grams, (ids, sizes, taught, end) = Grams.of(state, order)
+        got = [blocks.told(told.get(str(k), []), 2) for k in range(1, order + 1)]
+        count, uses, owned = [g[0][0] for g in got], [g[0][1] for g in got], [g[1] for g in got]
+        assert all(len(c) == len(k) for c, k in zip(count, grams.keys)), "an answer is missing"
+        tokens, starts = grams.inverse[0], grams.starts
+        p = [unigrams(count[0])]
         with np.errstate(divide="ignore", invalid="ignore"):
-            p_pair = discounted(cp, pair_d) / (history[left] + RESERVE)
-            log_pair = np.where(cp > 0, np.log10(p_pair), np.log10(p_word)[right])
-            base = np.log10((c + 0.5) / (total + 0.5 * (vocabulary + 1)))
-        known = np.add.reduceat((c > 0)[tokens].astype(np.int64), starts)
-        doc_base, doc_log = np.add.reduceat(base[tokens], starts), np.add.reduceat(log_pair[inverse], starts)
-        # what waits for a backoff weight: (document, history) pairs of unseen pairs after seen histories
-        wait = (cp[inverse] == 0) & (history[before] > 0)
-        width = len(history)
-        which, often = np.unique(np.repeat(np.arange(len(sizes)), sizes)[wait] * width + before[wait], return_counts=True)
-        mine = owned & (cp > 0)
-        seen, lower = np.bincount(left[mine], p_pair[mine], width), np.bincount(left[mine], p_word[right[mine]], width)
-        wanted = np.zeros(width, dtype=bool)
-        wanted[which % width] = True
-        asked = np.nonzero(wanted | (np.bincount(left[mine], minlength=width) > 0))[0]
-        names = np.append(hashes, START)
-        asked = asked[np.argsort(names[asked])]
-        place = np.full(width, -1)
-        place[asked[wanted[asked]]] = np.arange(int(wanted.sum()))
-        out = [(block, -1, blocks.dumps(ids, sizes, known, doc_base, doc_log, which // width, place[which % width], often))]
-        out += [(block, p, blocks.dumps(blocks.rising(names[asked[r]]), seen[asked[r]], lower[asked[r]], wanted[asked[r]])) for p, r in blocks.runs(names[asked], parts)]
+            base = np.log10((count[0] + 0.5) / (total + 0.5 * (vocabulary + 1)))
+            log_p = np.log10(p[0])[tokens]
+        best = np.ones(len(tokens), np.int64)
+        history = [None]
+        for k in range(2, order + 1):
+            texts = count[0][end]  # the start is met as often as the end
+            history.append(np.append(count[k - 2], texts))
+            over = history[-1][grams.before[k - 1][grams.first[k - 1]]]
+            p.append(discounted(count[k - 1], factors[k - 1]) / (over + RESERVE))
+            seen = (count[k - 1] > 0)[grams.inverse[k - 1]]
+            best[seen] = k
+            with np.errstate(divide="ignore"):
+                log_p = np.where(seen, np.log10(p[-1])[grams.inverse[k - 1]], log_p)
+        known = np.add.reduceat((count[0] > 0)[tokens].astype(np.int64), starts)
+        doc_base, doc_log = np.add.reduceat(base[tokens], starts), np.add.reduceat(log_p, starts)
+        of_doc = np.repeat(np.arange(len(sizes)), sizes)
+        waits, keys, values, wanted = [], [], [], []
+        for k in range(2, order + 1):
+            before, width = grams.before[k - 1], len(history[k - 1])
+            wait = (best < k) & (history[k - 1][before] > 0)
+            which, often = np.unique(of_doc[wait] * width + before[wait], return_counts=True)
+            mine = owned[k - 1] & (count[k - 1] > 0)
+            left = before[grams.first[k - 1]]
+            asked = np.append(uses[k - 2] > 0, True)
+            mine &= asked[left]
+            seen = np.bincount(left[mine], p[k - 1][mine], width)
+            lower = np.bincount(left[mine], p[k - 2][grams.inverse[k - 2][grams.first[k - 1]]][mine], width)
+            want = np.zeros(width, bool)
+            want[which % width] = True
+            own = np.flatnonzero(want | (np.bincount(left[mine], minlength=width) > 0))
+            names = blocks.mixed(np.append(grams.keys[k - 2], START), np.full(width, k, np.uint64))
+            waits.append((which // width, names[which % width], often))
+            keys.append(names[own])
+            values.append((seen[own], lower[own]))
+            wanted.append(want[own])
+        out = [(block, -1, blocks.dumps(ids, sizes, known, doc_base, doc_log, waits))]
+        if keys and sum(map(len, keys)):
+            every = np.concatenate(keys)
+            sort = np.argsort(every)
+            columns = [np.concatenate([v[c] for v in values])[sort] for c in range(2)]
+            out += blocks.asks(block, every[sort], columns, np.concatenate(wanted)[sort])
+            out.append((block, -2, blocks.dumps(blocks.rising(every[sort][np.concatenate(wanted)[sort]]))))
         return pd.DataFrame(out, columns=["block", "part", "payload"])
 
-    def weigh(asked, payloads):
-        got = [blocks.loads(p) for p in payloads]
-        _, inverse = np.unique(np.concatenate([blocks.unrising(k) for k, *_ in got]), return_inverse=True)
-        seen = np.bincount(inverse, np.concatenate([s for _, s, _, _ in got]))
-        lower = np.bincount(inverse, np.concatenate([s for _, _, s, _ in got]))
-        weight = np.log10(np.maximum(1 - seen, 1e-12) / np.maximum(1 - lower, 1e-12))
-        out, at = [], 0
-        for _, s, _, wanted in got:
-            out.append(blocks.dumps(weight[inverse[at : at + len(s)]][wanted]))
-            at += len(s)
-        return out
-
-    def whole(block, state, answers):
-        ids, sizes, known, doc_base, doc_log, doc, place, often = blocks.loads(state)
-        weights = [blocks.loads(p)[0] for _, p in answers.get("weights", [])]
-        if len(doc):
-            doc_log = doc_log + np.bincount(doc, np.concatenate(weights)[place] * often, len(sizes))
+    def whole(block, state, told):
+        ids, sizes, known, doc_base, doc_log, waits = blocks.loads(state)
+        names = [blocks.unrising(blocks.loads(x)[0]) for _, x in told.get("names", [])]
+        if names and len(names[0]):
+            (seen, lower), _ = blocks.told(told["weights"], 2)
+            weight = np.log10(np.maximum(1 - seen, 1e-12) / np.maximum(1 - lower, 1e-12))
+            for doc, name, often in waits:
+                doc_log = doc_log + np.bincount(doc, weight[np.searchsorted(names[0], name)] * often, len(sizes))
         return pd.DataFrame({"doc_id": pd.array(ids, dtype="Int64"), "n_tokens": sizes, "n_known": known, "train_tokens": total, "base_score": doc_base, "score": doc_log})
 
-    told = blocks.labelled("words", words).unionByName(blocks.labelled("pairs", pairs))
+    told = blocks.labelled("1", answers[0])
+    for k in range(2, order + 1):
+        told = told.unionByName(blocks.labelled(str(k), answers[k - 1]))
     partial = materialize(blocks.meet(states, told, seen_part, blocks.CELL), "seen")
-    weights = blocks.labelled("weights", blocks.answer(partial.where("part >= 0"), weigh))
-    return blocks.meet(partial.where("part < 0"), weights, whole, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    weights = blocks.labelled("weights", blocks.sums(partial.where("part >= 0"), levels)).unionByName(blocks.labelled("names", partial.where("part = -2")))
+    return blocks.meet(partial.where("part = -1"), weights, whole, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")

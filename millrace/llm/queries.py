@@ -114,13 +114,17 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "lang_set")
 
 
+#: Words of a gram in the language model.
+KATZ_ORDER = 3
+
+
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Katz scores of all documents, learned from four of five."""
     from .katz import katz_scores
 
     docs = documents(spark, sf_dir)
     held_out = F.coalesce(remainder("doc_id", 5) == 1, F.lit(False))
-    scores = katz_scores(docs, ~held_out)
+    scores = katz_scores(docs, ~held_out, order=KATZ_ORDER)
     return scores.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 

@@ -1,5 +1,6 @@
 """Every operator on awkward rows, empty tables, and against plain versions."""
 
+import functools
 import hashlib
 import math
 import random
@@ -377,60 +378,100 @@ def test_trigrams_over_chunks(monkeypatch):
     assert language_id.trigram_counts("12 !", 12) is None
 
 
-def plain_katz(rows):
+def plain_katz(rows, order):
+    """Katz backoff word by word, from counts in memory."""
     tok = lambda t: [*H.words(t), katz.END_WORD]
-    uni, pairs = Counter(), Counter()
+    counts = [Counter() for _ in range(order + 1)]
+
+    def grams(w, k):
+        padded = [None] * (k - 1) + w
+        return [tuple(padded[i : i + k]) for i in range(len(w))]
+
     for _, t, train in rows:
         if train:
-            w = tok(t)
-            uni.update(w)
-            pairs.update(zip([None, *w[:-1]], w))
-    n, v = sum(uni.values()), len(uni)
+            for k in range(1, order + 1):
+                counts[k].update(grams(tok(t), k))
+    n, v = sum(counts[1].values()), len(counts[1])
     types = lambda c: [0, *(sum(x == r for x in c.values()) for r in range(1, 8))]
-    p = katz.Unigrams(n, types(uni))
-    d = katz.discounts(types(pairs))
-    word = lambda w: float(p(np.array([uni[w]]))[0])
-    dis = lambda c: c * (d[c] if c <= katz.DISCOUNTED else 1)
-    total = lambda h: (uni[katz.END_WORD] if h is None else uni[h]) + katz.RESERVE
-    after = {}
-    for (h, w), c in pairs.items():
-        after.setdefault(h, {})[w] = c
-    alpha = {h: (1 - sum(map(dis, ws.values())) / total(h)) / (1 - sum(map(word, ws))) for h, ws in after.items()}
-    for h, ws in list(after.items())[:5]:
-        whole = sum(map(dis, ws.values())) / total(h) + alpha[h] * (sum(word(w) for w in uni if w not in ws) + p.unknown)
-        assert abs(whole - 1) < 1e-9
+    words = katz.Unigrams(n, types(counts[1]))
+    factor = [None, None, *(katz.discounts(types(counts[k])) for k in range(2, order + 1))]
+    texts = counts[1][(katz.END_WORD,)]
+    after = [None, None, *({} for _ in range(2, order + 1))]
+    for k in range(2, order + 1):
+        for g in counts[k]:
+            after[k].setdefault(g[:-1], []).append(g[-1])
+
+    def met(h):
+        return texts if h[-1] is None else counts[len(h)][h]
+
+    @functools.cache
+    def alpha(h):
+        k = len(h) + 1
+        lower = sum(p((*h[1:], w)) for w in after[k][h])
+        return (1 - sum(p((*h, w)) for w in after[k][h])) / (1 - lower)
+
+    @functools.cache
+    def p(g):
+        k = len(g)
+        if k == 1:
+            return float(words(np.array([counts[1][g]]))[0])
+        c = counts[k][g]
+        if c:
+            return c * (factor[k][c] if c <= katz.DISCOUNTED else 1) / (met(g[:-1]) + katz.RESERVE)
+        return (alpha(g[:-1]) if met(g[:-1]) else 1.0) * p(g[1:])
+
+    for k in range(2, order + 1):
+        for h in list(after[k])[:5]:
+            unseen = words.unknown * (1.0 if k == 2 else 0.0)
+            whole = sum(p((*h, *w)) for w in counts[1])
+            if k == 2:
+                whole += alpha(h) * unseen
+                assert abs(whole - 1) < 1e-9
+            else:
+                unknown = ("no such word",)
+                assert abs(whole + p((*h, *unknown)) - 1) < 1e-9
     out = {}
     for i, t, _ in rows:
-        w, s = tok(t), 0.0
-        for h, x in zip([None, *w[:-1]], w):
-            c = pairs[(h, x)]
-            s += math.log10(dis(c) / total(h) if c else alpha.get(h, 1.0) * word(x))
-        out[i] = (len(w), sum(uni[x] > 0 for x in w), n, sum(math.log10((uni[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w), s)
+        w = tok(t)
+        score = sum(math.log10(p(g)) for g in grams(w, order))
+        base = sum(math.log10((counts[1][(x,)] + 0.5) / (n + 0.5 * (v + 1))) for x in w)
+        out[i] = (len(w), sum(counts[1][(x,)] > 0 for x in w), n, base, score)
     return out
 
 
 def test_katz(spark, folder):
     rows = [(r.doc_id, r.text, zlib.crc32(str(r.doc_id).encode()) % 5 != 1) for r in documents(spark, folder).collect()]
-    want = plain_katz(rows)
+    want = plain_katz(rows, queries.KATZ_ORDER)
     for r in queries.op8_lm_scoring(spark, folder).collect():
         assert (r.n_tokens, r.n_known, r.train_tokens) == want[r.doc_id][:3]
         assert r.base_score == pytest.approx(want[r.doc_id][3], rel=1e-9) and r.score == pytest.approx(want[r.doc_id][4], rel=1e-9)
         assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 1)
 
 
-def test_katz_small_blocks(spark, monkeypatch):
+@pytest.mark.parametrize("order,levels", [(1, 1), (2, 1), (3, 1), (3, 3), (4, 2)])
+def test_katz_small_blocks(spark, monkeypatch, order, levels):
     from millrace.llm import blocks
 
     rows = [(i, " ".join(random.Random(i).choices("a b c d e f g".split(), k=12)), i % 3 != 0) for i in range(60)]
     df = spark.createDataFrame(rows, "doc_id long, text string, train boolean").repartition(3)
     monkeypatch.setattr(blocks, "BLOCK_CHARS", 200)
-    got = {r.doc_id: r.score for r in katz.katz_scores(df, F.col("train")).collect()}
-    want = plain_katz(rows)
-    assert all(got[i] == pytest.approx(want[i][4], rel=1e-9) for i in got)
-    alone = katz.katz_scores(df, F.lit(False)).first()
+    monkeypatch.setattr(blocks, "FAN", 4)
+    monkeypatch.setattr(blocks, "levels_for", lambda df: levels)
+    got = {r.doc_id: r.score for r in katz.katz_scores(df, F.col("train"), order=order).collect()}
+    want = plain_katz(rows, order)
+    assert len(got) == 60 and all(got[i] == pytest.approx(want[i][4], rel=1e-9) for i in got)
+    alone = katz.katz_scores(df, F.lit(False), order=order).first()
     assert alone.score == 0 and alone.train_tokens == 0
 
 
+def test_levels_follow_the_input(spark, monkeypatch):
+    from millrace.llm import blocks
+
+    for size, levels in ((1 << 20, 1), (1 << 29, 1), (40 << 30, 2), (100 << 40, 4), (1 << 60, 1)):
+        monkeypatch.setattr(blocks, "input_bytes", lambda df: size)
+        assert blocks.levels_for(None) == levels
+
+
 def flat(segments):
     out = []
     for at, pattern, repeats in segments:
