@@ -8,21 +8,24 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .filters import parsed
 from .functions.english import query_lexemes
 from .functions.headline import headline
 from .functions.text import meta_line, source_id, split_source_id, strip_marks, titled
 from .options import SearchOptions, checked_query
 from .plans import search as plans
+from .sources.corpus import stored_postings
 
 KEY = re.compile(r"(?<![A-Za-z0-9_])[A-Z][A-Z0-9_]+-[0-9]+(?![A-Za-z0-9_])")
 
 
 class Corpus:
     """``sources`` has source_id, source_type, source_key, project, title, url, body, updated_at; ``chunks`` has chunk_id,
-    source_id, embedding, text. ``embedder`` turns a question into a vector."""
+    source_id, embedding, text. ``embedder`` turns a question into a vector. ``postings`` is the place of the chunks'
+    stored lexemes (``sources.corpus.write_postings``); without it each question reads all texts."""
 
-    def __init__(self, sources: DataFrame, chunks: DataFrame, embedder: Callable[[str], list[float]]):
-        self.sources, self.chunks, self.embedder = sources, chunks, embedder
+    def __init__(self, sources: DataFrame, chunks: DataFrame, embedder: Callable[[str], list[float]], postings: str | None = None):
+        self.sources, self.chunks, self.embedder, self.postings = sources, chunks, embedder, postings
 
     def named(self, q: str, most: int = 5) -> DataFrame:
         """Records whose keys a question names, in its order; filters don't hold for them."""
@@ -32,36 +35,57 @@ class Corpus:
 
     def search(self, q: str, options: SearchOptions = SearchOptions(), *, as_of: Column | None = None) -> DataFrame:
         """At most ``options.limit`` hits: named records with score 1, then hybrid hits, each source once, with rank,
-        title, url, snippet, score and, for named records, the body."""
+        title, url, snippet, score and, for named records, the body.
+
+        Filters written in the question (``filters.parsed``) join those of the options. Newer sources are raised, as of now
+        unless ``as_of`` says otherwise. Where named records fill the limit, nothing else is looked up.
+        """
         q = checked_query(q)
-        terms = query_lexemes(q)
-        named = self.named(q)
-        ranked = plans.hybrid(self.chunks, self.sources.select("source_id", "source_type", "project", "updated_at"), self.embedder(q), terms, options, as_of=as_of, stemmed=True)
-        hits = plans.merged(named, ranked, options.limit).select("source_id", "score")
-        best = ranked.select("source_id", "chunk_id")
-        hits = hits.join(named.withColumn("is_named", F.lit(True)), "source_id", "left").join(best, "source_id", "left")
-        hits = hits.join(self.chunks.select("chunk_id", "text"), "chunk_id", "left").join(self.sources, "source_id")
-        rank = F.row_number().over(Window.orderBy(F.coalesce("is_named", F.lit(False)).desc(), F.coalesce("ord", F.lit(0)), F.desc("score"), "source_id"))
-        text = F.when(F.col("is_named"), F.coalesce(F.nullif("body", F.lit("")), "title")).otherwise(F.col("text"))
-        return hits.select(rank.alias("rank"), "source_id", "source_type", "source_key", "project", "title", "url", "updated_at", headline(text, terms, stemmed=True).alias("snippet"), "score", F.when(F.col("is_named"), F.col("body")).alias("body"))
+        found = parsed(q)
+        options = options.also(found.sources, found.projects + found.spaces, found.after)
+        text = checked_query(found.text)
+        terms = query_lexemes(text)
+        named = self.named(text)
+        keys = set(KEY.findall(text))
+        if len(keys) >= options.limit and named.limit(options.limit).count() == options.limit:
+            hits = named.orderBy("ord").limit(options.limit)
+            hits = hits.select("source_id", F.lit(1.0).alias("score"), F.lit(0).alias("part"), "ord", F.lit(None).cast("string").alias("text"))
+        else:
+            stored = stored_postings(self.chunks.sparkSession, self.postings, terms) if self.postings and terms else None
+            of = self.sources.select("source_id", "source_type", "project", "updated_at")
+            ranked = plans.hybrid(self.chunks, of, self.embedder(text), terms, options, as_of=as_of, stemmed=True, stored=stored)
+            hits = plans.merged(named, ranked.select("source_id", "chunk_id", "score"), options.limit)
+            hits = hits.join(self.chunks.select("chunk_id", "text"), "chunk_id", "left").select("source_id", "score", "part", "ord", "text")
+        hits = hits.join(self.sources, "source_id")
+        is_named = F.col("part") == 0
+        rank = F.row_number().over(Window.orderBy("part", "ord", F.desc("score"), "source_id"))
+        shown = F.when(is_named, F.coalesce(F.nullif("body", F.lit("")), "title")).otherwise(F.col("text"))
+        columns = ["source_id", "source_type", "source_key", "project", "title", "url", "updated_at"]
+        snippet = headline(shown, terms, stemmed=True).alias("snippet")
+        return hits.select(rank.alias("rank"), *columns, snippet, "score", F.when(is_named, F.col("body")).alias("body"))
 
-    def prompt(self, q: str, options: SearchOptions = SearchOptions(), *, max_chars: int = 12000) -> str:
-        """The context and the question, as a text within the budget: the one row that comes to the driver."""
-        hits = self.search(q, options)
+    def _prompt(self, q: str, hits: DataFrame, max_chars: int) -> str:
         none = F.lit(None).cast("string")
         head = F.concat(titled(F.col("title")), F.lit(" — "), F.coalesce("url", F.lit("")), F.lit("\n"), meta_line(none, none, none, F.col("updated_at")))
-        row = plans.context(hits.select(F.lit(1).alias("query_id"), "rank", head.alias("head"), strip_marks(F.col("snippet")).alias("snippet"), "body"), max_chars).first()
+        entries = hits.select(F.lit(1).alias("query_id"), "rank", head.alias("head"), strip_marks(F.col("snippet")).alias("snippet"), "body")
+        row = plans.context(entries, max_chars).first()
         return f"Context:\n{row['context'] if row else ''}\nQuestion: {q}"
 
-    def ask(self, q: str, complete: Callable[[str], str], options: SearchOptions = SearchOptions()) -> tuple[str, DataFrame]:
-        """A model's answer, and its citations."""
-        return complete(self.prompt(q, options)), self.search(q, options).drop("body")
+    def prompt(self, q: str, options: SearchOptions = SearchOptions(), *, max_chars: int = 12000) -> str:
+        """The context and the question, as a text within the budget: the one row that comes to the driver."""
+        return self._prompt(q, self.search(q, options), max_chars)
+
+    def ask(self, q: str, complete: Callable[[str], str], options: SearchOptions = SearchOptions(), *, max_chars: int = 12000) -> tuple[str, DataFrame]:
+        """A model's answer, and its citations, both from one search; its rows, at most 50, are held on the driver."""
+        found = self.search(q, options)
+        hits = self.sources.sparkSession.createDataFrame(found.collect(), found.schema)
+        return complete(self._prompt(q, hits, max_chars)), hits.drop("body")
 
     def projects(self, source_type: str | None = None) -> DataFrame:
         rows = self.sources.where(F.col("project").isNotNull())
         return (rows.where(F.col("source_type") == source_type) if source_type else rows).select("project").distinct().orderBy("project")
 
     def source(self, identifier: str) -> DataFrame:
-        """The source with an id such as jira:PLAT-1; none for what isn't one."""
+        """The source with an id such as jira:ZOO-1; none for what isn't one."""
         kind, key = split_source_id(F.lit(identifier))
         return self.sources.where((F.col("source_type") == kind) & (F.col("source_key") == key)).withColumn("id", source_id(F.col("source_type"), F.col("source_key")))

@@ -11,7 +11,7 @@ TOKEN_PATTERN = r"([a-z0-9]+)"
 
 
 def ticket_keys(text: Column, most: int = 5) -> Column:
-    """Keys such as PLAT-482 in order of appearance, each once, at most ``most`` (a feature of the shortcut)."""
+    """Keys such as ZX-731 in order of appearance, each once, at most ``most`` (a feature of the shortcut)."""
     return F.slice(F.array_distinct(F.regexp_extract_all(text, F.lit(KEY_PATTERN), F.lit(1))), 1, most)
 
 

@@ -29,11 +29,22 @@ def parsed_issues(feed: DataFrame, json_col: str = "json") -> DataFrame:
     return rows.select(*feed.columns, key.alias("key"), title.alias("title"), project.alias("project"), at.alias("updated_at"), F.map_concat(given, add).alias("extra"), links.alias("links"), F.col("_i.description").alias("description"), F.col("_i.comments").alias("comments"), error.alias("error"))
 
 
+def comment_text(c):
+    """A comment under its heading, which has author and day where they are known."""
+    field = lambda name: F.coalesce(c[name], F.lit(""))
+    author = F.when(F.trim(field("author")) != "", F.concat(F.lit("by "), c["author"]))
+    at = parsed_time(c["created_at"])
+    day = F.when(at.isNotNull(), F.concat(F.lit("on "), F.date_format(at, "yyyy-MM-dd")))
+    return F.concat(F.concat_ws(" ", F.lit("\n\n## Comment"), author, day), F.lit("\n\n"), F.regexp_replace(field("body"), r"\n+\z", ""))
+
+
 def issue_body(description, comments):
-    """Description and comments as one markdown text; a comment's header has author and day, those there are."""
-    head = lambda c: F.concat_ws(" ", F.lit("\n\n## Comment"), F.when(F.coalesce(c["author"], F.lit("")) != "", F.concat(F.lit("by "), c["author"])), F.when(parsed_time(c["created_at"]).isNotNull(), F.concat(F.lit("on "), F.date_format(parsed_time(c["created_at"]), "yyyy-MM-dd"))))
-    parts = F.transform(F.coalesce(comments, F.array().cast("array<struct<author:string,created_at:string,body:string>>")), lambda c: F.concat(head(c), F.lit("\n\n"), F.regexp_replace(F.coalesce(c["body"], F.lit("")), r"\n+\z", "")))
-    return F.concat(F.regexp_replace(F.coalesce(description, F.lit("")), r"\n+\z", ""), F.array_join(parts, ""), F.lit("\n"))
+    """Description and comments as one markdown text."""
+    text = F.regexp_replace(F.coalesce(description, F.lit("")), r"\n+\z", "")
+    none = F.array().cast("array<struct<author:string,created_at:string,body:string>>")
+    parts = F.transform(F.coalesce(comments, none), lambda c: F.concat(comment_text(c), F.lit("\n")))
+    whole = F.concat(F.when(text != "", F.concat(text, F.lit("\n"))).otherwise(""), F.array_join(parts, ""))
+    return F.concat(F.regexp_replace(whole, r"\n+\z", ""), F.lit("\n"))
 
 
 def extracted_links(issues: DataFrame) -> DataFrame:

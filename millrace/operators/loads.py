@@ -35,9 +35,15 @@ def cascade(children: DataFrame, parents: DataFrame, key: list[str]) -> DataFram
 
 
 def known_and_new(incoming: DataFrame, stored: DataFrame, hash_col: str = "sha") -> tuple[DataFrame, DataFrame]:
-    """Incoming rows whose hash is stored already, and one row for each of the other hashes (the smallest by all columns)."""
+    """Incoming rows whose hash is stored already, and one row for each of the other hashes (the smallest by all columns).
+
+    A hash that comes in twice is new once: what is loaded first makes the others known.
+    """
     have = stored.select(hash_col).distinct()
-    new = incoming.join(have, hash_col, "left_anti")
+    rest = [c for c in incoming.columns if c != hash_col]
+    least = F.min(F.struct(*[F.col(f"`{c}`") for c in rest])).alias("_least")
+    new = incoming.join(have, hash_col, "left_anti").groupBy(hash_col).agg(least)
+    new = new.select(*[F.col(hash_col) if c == hash_col else F.col(f"_least.`{c}`").alias(c) for c in incoming.columns])
     return incoming.join(have, hash_col, "left_semi"), new
 
 

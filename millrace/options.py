@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 
 @dataclass(frozen=True)
@@ -21,6 +21,11 @@ class SearchOptions:
     def weights(self) -> tuple[float, float]:
         return (0.6, 0.4) if self.vector_weight == 0 and self.text_weight == 0 else (self.vector_weight, self.text_weight)
 
+    def also(self, source_types: list[str], projects: list[str], updated_after: str | None) -> SearchOptions:
+        """These options with more filters; what both name is allowed, and a time in both is the later one."""
+        later = max(filter(None, (self.updated_after, updated_after)), default=None)
+        return replace(self, source_types=(*self.source_types, *source_types), projects=(*self.projects, *projects), updated_after=later)
+
     def __post_init__(self):
         if not 1 <= self.limit <= 50:
             raise ValueError("limit must be from 1 to 50")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine
 from ..options import SearchOptions
-from ..sources.corpus import lexeme_postings, postings
+from ..sources.corpus import lexeme_table, ordered, postings
 
 PLACES = 9  # scores are rounded before they are compared, so that ties don't hang on the order of a sum
 
@@ -35,12 +35,15 @@ def cover_density(found: DataFrame, terms: list[str], *, id_col: str = "chunk_id
     return covers.groupBy(id_col).agg(F.round(F.sum(F.lit(0.1) / (1 + noise)), PLACES).alias("f_score"))
 
 
-def text_hits(chunks: DataFrame, terms: list[str], k: int = 50, *, stemmed: bool = False) -> DataFrame:
+def text_hits(chunks: DataFrame, terms: list[str], k: int = 50, *, stemmed: bool = False, stored: DataFrame | None = None) -> DataFrame:
     """The ``k`` chunks with the highest cover density of all terms, which are lexemes if ``stemmed``; none for an empty
-    query."""
+    query. ``stored`` gives the terms' postings (chunk_id, term, position) where they are kept; else texts are read."""
     if not terms:
         return chunks.select("chunk_id", F.lit(0.0).alias("f_score")).where(F.lit(False))
-    found = lexeme_postings(chunks, terms) if stemmed else postings(chunks, terms)
+    if stored is not None:
+        found = ordered(stored)
+    else:
+        found = ordered(lexeme_table(chunks, terms=terms)) if stemmed else postings(chunks, terms)
     return cover_density(found, terms).orderBy(F.desc("f_score"), "chunk_id").limit(k)
 
 
@@ -83,22 +86,30 @@ def recency(score: Column, updated: Column, as_of: Column, decay_days: float) ->
     return F.round(score * (1 + 0.05 * F.exp(-age / F.lit(float(decay_days)))), PLACES)
 
 
-def hybrid(chunks: DataFrame, sources: DataFrame, query: list[float], terms: list[str], options: SearchOptions, *, as_of: Column | None = None, stemmed: bool = False) -> DataFrame:
-    """Ranked hits, one for each source. ``chunks`` has chunk_id, source_id, embedding, text; ``sources`` source_id and
-    what the filters name. Only the candidates are joined to chunks and sources."""
-    fused = fuse(vector_hits(chunks, query, options.candidates), text_hits(chunks, terms, options.candidates, stemmed=stemmed), options.weights())
+def hybrid(
+    chunks: DataFrame, sources: DataFrame, query: list[float], terms: list[str], options: SearchOptions, *,
+    as_of: Column | None = None, stemmed: bool = False, stored: DataFrame | None = None,
+) -> DataFrame:
+    """Ranked hits, one for each source. ``chunks`` has chunk_id, source_id, embedding, text; ``sources`` source_id,
+    updated_at and what the filters name. Only the candidates are joined to chunks and sources. Newer sources are raised,
+    as of now unless ``as_of`` says otherwise."""
+    text = text_hits(chunks, terms, options.candidates, stemmed=stemmed, stored=stored)
+    fused = fuse(vector_hits(chunks, query, options.candidates), text, options.weights())
     of = fused.join(chunks.select("chunk_id", "source_id"), "chunk_id").join(sources, "source_id").where(allowed(options))
     best = best_per_source(of).orderBy(F.desc("score"), "source_id").limit(options.candidates)
-    if as_of is not None:
-        best = best.withColumn("score", recency(F.col("score"), F.col("updated_at"), as_of, options.decay_days))
-    return best
+    now = F.current_timestamp() if as_of is None else as_of
+    raised = best.withColumn("score", recency(F.col("score"), F.col("updated_at"), now, options.decay_days))
+    return raised.orderBy(F.desc("score"), "source_id")
 
 
 def merged(named: DataFrame, ranked: DataFrame, limit: int, key: str = "source_id") -> DataFrame:
-    """Named records first in their order, then ranked hits not among them, ``limit`` in all. ``named`` has ``ord``."""
-    rest = ranked.join(named.select(key), key, "left_anti").select(key, "score", F.lit(1).alias("part"), F.lit(0).alias("ord"))
+    """Named records first in their order, then ranked hits not among them, ``limit`` in all. ``named`` has ``ord``.
+
+    What else ``ranked`` has is null for named records; part is 0 for those and 1 for the rest.
+    """
+    rest = ranked.join(named.select(key), key, "left_anti").withColumns({"part": F.lit(1), "ord": F.lit(0)})
     first = named.select(key, F.lit(1.0).alias("score"), F.lit(0).alias("part"), "ord")
-    return first.unionByName(rest).orderBy("part", "ord", F.desc("score"), key).limit(limit)
+    return first.unionByName(rest, allowMissingColumns=True).orderBy("part", "ord", F.desc("score"), key).limit(limit)
 
 
 def context(hits: DataFrame, max_chars: int = 12000, max_body: int = 4000) -> DataFrame:

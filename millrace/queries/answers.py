@@ -113,7 +113,7 @@ def chunk_pages(spark: SparkSession, folder: str) -> DataFrame:
 def chunk_issues(spark: SparkSession, folder: str) -> DataFrame:
     """Chunks of conversations as issues: the first message is the description, the others comments."""
     m = table(spark, folder, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("m"))
-    said = F.transform(F.slice("m", 2, F.size("m")), lambda x: F.struct(x["role"].alias("author"), x["text"].alias("body")))
+    said = F.transform(F.slice("m", 2, F.size("m")), lambda x: F.struct(x["role"].alias("author"), F.lit(None).cast("string").alias("created_at"), x["text"].alias("body")))
     issues = m.select(F.concat(F.lit("C-"), F.col("conv_id").cast("string")).alias("key"), F.lit("Conversation").alias("title"), F.col("m")[0]["text"].alias("description"), F.when(F.size("m") > 1, said).alias("comments"))
     return chunking.issue_chunks(issues, ChunkOptions(120, 15))
 

@@ -15,12 +15,110 @@ from ..sources import feeds
 from ..sources.corpus import table
 from ..streaming.sync import shared_folder
 from .registry import register
+from .search import ERIN, ERST
 
 QUERIES: dict = {}
 SQL: dict = {}
 query = register(QUERIES, SQL)
 
-LINES_SQL = "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents), p AS (SELECT doc_id, n, trim(line) AS line FROM l WHERE trim(line) <> '') "
+LINES_SQL = """WITH l AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents
+), p AS (SELECT doc_id, n, trim(line) AS line FROM l WHERE trim(line) <> '') """
+#: One tree with every kind of node, and one page with every kind of element; {d} is the number of the document.
+TREE_NODES = """{"type":"heading","attrs":{"level":2},"content":[{"type":"text","text":"Doc {d}"}]},
+{"type":"heading","attrs":{"level":"deep"},"content":[{"type":"text","text":"Odd level"}]},
+{"type":"paragraph","content":[{"type":"text","text":"bold","marks":[{"type":"strong"}]},{"type":"text","text":" "},
+ {"type":"text","text":"x","marks":[{"type":"code"}]},{"type":"text","text":" "},{"type":"text","text":"slanted","marks":[{"type":"em"}]},
+ {"type":"hardBreak"},{"type":"text","text":"all","marks":[{"type":"link","attrs":{"href":"u/{d}"}},{"type":"em"},{"type":"strong"},{"type":"code"}]}]},
+{"type":"paragraph","content":[{"type":"mention","attrs":{"text":"@Kim"}},{"type":"mention","attrs":{"displayName":"Lee"}},{"type":"mention"},
+ {"type":"text","text":" "},{"type":"inlineCard","attrs":{"url":"u/{d}"}},{"type":"emoji","attrs":{"shortName":":tea:"}}]},
+{"type":"blockquote","content":[{"type":"paragraph","content":[{"type":"text","text":"said"}]},{"type":"paragraph","content":[{"type":"text","text":"twice"}]}]},
+{"type":"panel","attrs":{"panelType":"caution"},"content":[{"type":"paragraph","content":[{"type":"text","text":"mind"}]},{"type":"rule"}]},
+{"type":"bulletList","content":[{"type":"listItem","content":[{"type":"paragraph","content":[{"type":"text","text":"one"}]},
+  {"type":"orderedList","content":[{"type":"listItem","content":[{"type":"paragraph","content":[{"type":"text","text":"inner"}]}]}]}]},
+ {"type":"listItem","content":[{"type":"paragraph","content":[{"type":"text","text":"two"}]},{"type":"codeBlock","attrs":{"language":"go"},"content":[{"type":"text","text":"f()"}]}]}]},
+{"type":"mediaSingle"},{"type":"unheardOf","content":[{"type":"paragraph","content":[{"type":"text","text":"un"}]},{"type":"paragraph","content":[{"type":"text","text":"known"}]}]},
+{"type":"table","content":[{"type":"tableRow","content":[{"type":"tableCell","content":[{"type":"paragraph","content":[{"type":"text","text":"a|b"}]}]}]},
+ {"type":"tableRow","content":[{"type":"tableHeader","content":[{"type":"paragraph","content":[{"type":"text","text":"h"}]}]},{"type":"tableHeader","content":[]}]}]}"""
+TREE_TEXT = """## Doc {d}
+
+# Odd level
+
+**bold** `x` *slanted*  
+[***`all`***](u/{d})
+
+@Kim@Lee@user [u/{d}](u/{d}):tea:
+
+> said
+
+> twice
+
+> **Caution:** mind
+
+> ---
+
+- one
+  1. inner
+- two
+```go
+f()
+```
+
+
+un
+
+known
+
+| h |  |
+| --- | --- |
+| a\\|b |  |
+
+"""
+PAGE_HTML = """<h1>Doc {d}</h1><p>Plain <strong>bold</strong>, <em>slanted</em>, <code>x</code>, <a href="u/{d}">all</a><br/>and&nbsp;on.</p>
+<ac:structured-macro ac:name="toc"/><ac:structured-macro ac:name="note"><ac:rich-text-body><p>mind</p></ac:rich-text-body></ac:structured-macro>
+<ac:structured-macro ac:name="code"><ac:parameter ac:name="language">go</ac:parameter><ac:plain-text-body><![CDATA[f() < {d}
+]]></ac:plain-text-body></ac:structured-macro>
+<blockquote><p>said</p><p>twice</p></blockquote><ol><li>one<ul><li><p>inner</p></li></ul></li><li>two</li></ol>
+<p><ac:link><ri:page ri:content-id="{d}"/></ac:link> <ac:link><ri:page ri:content-title="Home" ri:space-key="S"/></ac:link> <ac:link><ri:user/></ac:link></p>
+<ac:structured-macro ac:name="other"><ac:rich-text-body><p>kept</p></ac:rich-text-body></ac:structured-macro>
+<table><tbody><tr><th>h</th><th>i</th></tr><tr><td>a|b</td></tr></tbody></table>"""
+PAGE_TEXT = """# Doc {d}
+
+Plain **bold**, *slanted*, `x`, [all](u/{d})  
+and on.
+
+> **Note:** mind
+
+```go
+f() < {d}
+```
+
+> said
+
+> twice
+
+1. one
+  - inner
+2. two
+
+⟦pg-id:{d}|page {d}⟧ ⟦pg-title:S|Home|Home⟧ @user
+
+kept
+
+| h | i |
+| --- | --- |
+| a\\|b |  |
+
+"""
+
+
+def _numbered(text: str) -> str:
+    """SQL for a text with the number of the document in it."""
+    return "replace('" + text.replace("'", "''").replace("\\\\", "\\") + "', '{d}', CAST(doc_id AS VARCHAR))"
+
+
+def _with_number(text: str):
+    return F.replace(F.lit(text.replace("\\\\", "\\")), F.lit("{d}"), F.col("doc_id").cast("string"))
 
 
 def _paragraphs(spark: SparkSession, folder: str) -> DataFrame:
@@ -28,28 +126,24 @@ def _paragraphs(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").select("doc_id", lines.alias("lines"))
 
 
-@query(LINES_SQL + "SELECT doc_id, md5('## Doc ' || doc_id || chr(10) || chr(10) || '**bold** `x`' || chr(10) || chr(10) || string_agg(line, chr(10) || chr(10) ORDER BY n) || chr(10)) AS markdown_md5 FROM p GROUP BY doc_id")
+@query(LINES_SQL + f"SELECT doc_id, md5({_numbered(TREE_TEXT)} || string_agg(line, chr(10) || chr(10) ORDER BY n) || chr(10)) AS markdown_md5 FROM p GROUP BY doc_id")
 def tree_to_markdown(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents as JSON trees, rendered as markdown."""
-    mark = lambda m: F.named_struct(F.lit("type"), F.lit(m))
-    text = lambda c, m="": F.named_struct(F.lit("type"), F.lit("text"), F.lit("text"), c, F.lit("marks"), F.array(mark(m)))
-    node = lambda kind, content, level=0: F.named_struct(F.lit("type"), F.lit(kind), F.lit("attrs"), F.named_struct(F.lit("level"), F.lit(level)), F.lit("content"), content)
+    """Documents as JSON trees with every kind of node, rendered as markdown."""
     d = _paragraphs(spark, folder).where(F.size("lines") > 0)
-    head = node("heading", F.array(text(F.concat(F.lit("Doc "), F.col("doc_id").cast("string")))), 2)
-    bold = node("paragraph", F.array(text(F.lit("bold"), "strong"), text(F.lit(" ")), text(F.lit("x"), "code")))
-    body = F.transform("lines", lambda x: node("paragraph", F.array(text(x))))
-    tree = F.to_json(F.named_struct(F.lit("type"), F.lit("doc"), F.lit("content"), F.concat(F.array(head), F.array(bold), body)))
-    return d.select("doc_id", F.md5(markup.tree_markdown(tree)).alias("markdown_md5"))
+    text = lambda c: F.struct(F.lit("text").alias("type"), c.alias("text"))
+    body = F.to_json(F.transform("lines", lambda x: F.struct(F.lit("paragraph").alias("type"), F.array(text(x)).alias("content"))))
+    tree = F.concat(F.lit('{"type":"doc","content":['), _with_number(TREE_NODES), F.lit(","), F.expr("substring(b, 2)"), F.lit("}"))
+    return d.withColumn("b", body).select("doc_id", F.md5(markup.tree_markdown(tree)).alias("markdown_md5"))
 
 
-@query(LINES_SQL + "SELECT doc_id, md5('# Doc' || chr(10) || chr(10) || '> **Note:** mind' || chr(10) || chr(10) || string_agg('- ' || line, chr(10) ORDER BY n) || chr(10)) AS markdown_md5 FROM p GROUP BY doc_id")
+@query(LINES_SQL + f"SELECT doc_id, md5({_numbered(PAGE_TEXT)} || string_agg('- ' || line, chr(10) ORDER BY n) || chr(10)) AS markdown_md5 FROM p GROUP BY doc_id")
 def storage_to_markdown(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents as storage XHTML, rendered as markdown."""
+    """Documents as storage XHTML with every kind of element, rendered as markdown."""
     from ..functions.text import html_escaped
 
     d = _paragraphs(spark, folder).where(F.size("lines") > 0)
     items = F.array_join(F.transform("lines", lambda x: F.concat(F.lit("<li><p>"), html_escaped(x), F.lit("</p></li>"))), "")
-    page = F.concat(F.lit('<h1>Doc</h1><ac:structured-macro ac:name="note"><ac:rich-text-body><p>mind</p></ac:rich-text-body></ac:structured-macro><ac:structured-macro ac:name="toc"/><ul>'), items, F.lit("</ul>"))
+    page = F.concat(_with_number(PAGE_HTML), F.lit("<ul>"), items, F.lit("</ul>"))
     return d.select("doc_id", F.md5(markup.storage_markdown(page)).alias("markdown_md5"))
 
 
@@ -71,10 +165,11 @@ def headlines(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").select("doc_id", headline(F.col("text"), ["the", "of"]).alias("snippet"))
 
 
-@query()
+@query(f"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM documents)
+SELECT doc_id FROM t GROUP BY doc_id HAVING count(*) FILTER (w IN {ERST}) > 0 AND count(*) FILTER (w IN {ERIN}) > 0""")
 def fts_stemmed(spark: SparkSession, folder: str) -> DataFrame:
     """Documents that hold all lexemes of an English question, stop words aside; words are stemmed once each."""
-    wanted = query_lexemes("the erring and renting tions")
+    wanted = query_lexemes("the ersted and the erines of erst")
     words = table(spark, folder, "documents").select("doc_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("word"))
     hits = lexemes(words).where(F.col("lexeme").isin(*wanted))
     found = words.join(hits, "word").groupBy("doc_id").agg(F.countDistinct("lexeme").alias("n"))
@@ -133,5 +228,5 @@ SELECT p.id, coalesce(max(depth), 0) AS depth, coalesce(sum(top)::BIGINT, 0) AS
 def ancestor_chains(spark: SparkSession, folder: str) -> DataFrame:
     """All ancestors of each page, root first, by doubling joins; half of a page's number is its parent's."""
     pages = table(spark, folder, "documents").where("doc_id > 0").select(F.col("doc_id").alias("id"), F.expr("nullif(doc_id div 2, 0)").alias("parent_id"))
-    chain = feeds.ancestors(pages, most=32)
-    return chain.select("id", F.size("path").alias("depth"), F.aggregate("path", F.lit(0).cast("long"), lambda s, x: s + x).alias("total"))
+    chain = feeds.ancestors(pages)
+    return chain.where("complete").select("id", F.size("path").alias("depth"), F.aggregate("path", F.lit(0).cast("long"), lambda s, x: s + x).alias("total"))

@@ -58,9 +58,9 @@ def sha_existing(spark: SparkSession, folder: str) -> DataFrame:
     return loads.known_and_new(*_uploads(spark, folder))[0].select("doc_id", "sha")
 
 
-@query(UPLOADS_SQL + "SELECT doc_id, sha FROM n WHERE sha NOT IN (SELECT sha FROM s)")
+@query(UPLOADS_SQL + "SELECT min(doc_id) AS doc_id, sha FROM n WHERE sha NOT IN (SELECT sha FROM s) GROUP BY sha")
 def sha_new(spark: SparkSession, folder: str) -> DataFrame:
-    """Incoming documents to process."""
+    """Incoming documents to process, one of each content."""
     return loads.known_and_new(*_uploads(spark, folder))[1].select("doc_id", "sha")
 
 

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.english import query_lexemes
 from ..functions.text import ticket_keys, tokens
 from ..functions.vectors import cosine
 from ..options import SearchOptions
 from ..plans import search as plans
-from ..sources.corpus import chunks, postings, sources, table
+from ..sources.corpus import chunks, postings, sources, stored_postings, table, write_postings
+from ..tables import new_folder
 from .registry import register
 
 QUERIES: dict = {}
@@ -27,7 +29,7 @@ src AS (
          TIMESTAMP '2024-01-01 00:00:00' + to_hours(doc_id) AS updated_at, text
   FROM documents
 ), chunk AS (
-  SELECT vec_id AS chunk_id, label, CAST(embedding AS DOUBLE[]) AS e, d.text, d.doc_id
+  SELECT vec_id AS chunk_id, vec_id // 4 * 4 AS source_id, CAST(embedding AS DOUBLE[]) AS e, d.text, d.doc_id
   FROM embeddings JOIN documents d ON vec_id = d.doc_id
 ), vec AS (
   SELECT chunk_id, round(list_cosine_similarity(e, (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0)), 9) AS v_score FROM chunk
@@ -36,9 +38,10 @@ src AS (
 )"""
 TEXT_SQL = """
 tok AS (
-  SELECT {id}, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term,
-         unnest(range(len(regexp_extract_all(lower(text), '[a-z0-9]+')))) AS position
-  FROM {rows}
+  SELECT {id}, {term} AS term, position FROM (
+    SELECT {id}, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS word,
+           unnest(range(len(regexp_extract_all(lower(text), '[a-z0-9]+')))) AS position
+    FROM {rows})
 ), post AS (
   SELECT *, row_number() OVER (PARTITION BY {id} ORDER BY position) AS nth FROM tok WHERE term IN ('the', 'of')
 ), lasts AS (
@@ -53,19 +56,20 @@ tok AS (
 ), fts_hits AS (
   SELECT * FROM fts ORDER BY f_score DESC, {id} LIMIT 50
 )"""
-HYBRID_SQL = f"""WITH {CORPUS_SQL}, {TEXT_SQL.format(id="chunk_id", rows="chunk")}, fused AS (
+HYBRID_SQL = f"""WITH {CORPUS_SQL}, {TEXT_SQL.format(id="chunk_id", rows="chunk", term="word")}, fused AS (
   SELECT coalesce(v.chunk_id, f.chunk_id) AS chunk_id, coalesce(v_score, 0) AS v_score, coalesce(f_score, 0) AS f_score,
          round(coalesce(v_score, 0) * 0.6::DOUBLE + coalesce(f_score / (SELECT max(f_score) FROM fts_hits), 0) * 0.4::DOUBLE, 9) AS score
   FROM vector_hits v FULL JOIN fts_hits f ON v.chunk_id = f.chunk_id
 ), joined AS (
-  SELECT c.label AS source_id, f.*, s.project, s.updated_at
-  FROM fused f JOIN chunk c USING (chunk_id) JOIN src s ON s.doc_id = c.chunk_id
+  SELECT c.source_id, f.*, s.project, s.updated_at
+  FROM fused f JOIN chunk c USING (chunk_id) JOIN src s ON s.doc_id = c.source_id
   WHERE {{where}}
 ), best AS (
-  SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY score DESC, chunk_id) AS n FROM joined
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY score DESC, chunk_id) AS n FROM joined)
+  WHERE n = 1 ORDER BY score DESC, source_id LIMIT 50
 )
 """
-OUT_SQL = "SELECT source_id, chunk_id, round(v_score, 6) AS v_score, round(f_score, 6) AS f_score, round(score, 6) AS score FROM best WHERE n = 1"
+OUT_SQL = "SELECT source_id, chunk_id, round(v_score, 6) AS v_score, round(f_score, 6) AS f_score, round(score, 6) AS score FROM best"
 
 
 def query_vector(spark: SparkSession, folder: str) -> list[float]:
@@ -74,14 +78,8 @@ def query_vector(spark: SparkSession, folder: str) -> list[float]:
 
 
 def _hits(spark: SparkSession, folder: str, options: SearchOptions, as_of=None) -> DataFrame:
-    c = chunks(spark, folder).withColumn("source_id", F.struct("label", "chunk_id"))
-    s = sources(spark, folder)
-    fused = plans.fuse(plans.vector_hits(c, query_vector(spark, folder), options.candidates), plans.text_hits(c, TERMS, options.candidates), options.weights())
-    joined = fused.join(c.select("chunk_id", F.col("label").alias("source_id")), "chunk_id").join(s, F.col("chunk_id") == s.doc_id).where(plans.allowed(options))
-    best = plans.best_per_source(joined)
-    if as_of is not None:
-        best = best.withColumn("score", plans.recency(F.col("score"), F.col("updated_at"), as_of, options.decay_days))
-    return best
+    of = sources(spark, folder).select(F.col("doc_id").alias("source_id"), "source_type", "project", "updated_at")
+    return plans.hybrid(chunks(spark, folder), of, query_vector(spark, folder), TERMS, options, as_of=as_of)
 
 
 def _out(df: DataFrame) -> DataFrame:
@@ -91,16 +89,16 @@ def _out(df: DataFrame) -> DataFrame:
 @query(HYBRID_SQL.format(where="true") + OUT_SQL)
 def hybrid_search(spark: SparkSession, folder: str) -> DataFrame:
     """The flagship: vector and text candidates fused, the best chunk of each source."""
-    return _out(_hits(spark, folder, SearchOptions()))
+    return _out(_hits(spark, folder, SearchOptions(decay_days=0)))
 
 
 @query(HYBRID_SQL.format(where=f"project IN {PROJECTS} AND updated_at > TIMESTAMP '{AFTER}' AND source_type IN ('document')") + OUT_SQL)
 def hybrid_filtered(spark: SparkSession, folder: str) -> DataFrame:
     """Filters on source type, project and time, after the candidates are cut."""
-    return _out(_hits(spark, folder, SearchOptions(projects=PROJECTS, updated_after=AFTER, source_types=("document",))))
+    return _out(_hits(spark, folder, SearchOptions(decay_days=0, projects=PROJECTS, updated_after=AFTER, source_types=("document",))))
 
 
-@query(HYBRID_SQL.format(where="true") + f"SELECT source_id, chunk_id, round(round(score * (1 + 0.05::DOUBLE * exp(-greatest(0, epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(updated_at)) / 86400e6 / 180::DOUBLE)), 9), 6) AS score FROM best WHERE n = 1")
+@query(HYBRID_SQL.format(where="true") + f"SELECT source_id, chunk_id, round(round(score * (1 + 0.05::DOUBLE * exp(-greatest(0, epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(updated_at)) / 86400e6 / 180::DOUBLE)), 9), 6) AS score FROM best")
 def hybrid_recency(spark: SparkSession, folder: str) -> DataFrame:
     """The same with newer sources raised by up to 5 %, as of a fixed time."""
     hits = _hits(spark, folder, SearchOptions(), F.lit(AS_OF).cast("timestamp_ntz"))
@@ -113,13 +111,30 @@ def vector_top50(spark: SparkSession, folder: str) -> DataFrame:
     return plans.vector_hits(chunks(spark, folder), query_vector(spark, folder)).select("chunk_id", F.round("v_score", 6).alias("v_score"))
 
 
-@query(f"WITH {TEXT_SQL.format(id='doc_id', rows='documents')} SELECT doc_id, round(f_score, 6) AS f_score FROM fts_hits")
+@query(f"WITH {TEXT_SQL.format(id='doc_id', rows='documents', term='word')} SELECT doc_id, round(f_score, 6) AS f_score FROM fts_hits")
 def fts_top50(spark: SparkSession, folder: str) -> DataFrame:
     """The 50 documents with the highest cover density of two words."""
     found = plans.cover_density(postings(table(spark, folder, "documents"), TERMS, id_col="doc_id"), TERMS, id_col="doc_id")
     return found.orderBy(F.desc("f_score"), "doc_id").limit(50).select("doc_id", F.round("f_score", 6).alias("f_score"))
 
 
+#: The words of the tables that have these two lexemes (fixed values).
+ERST = ('erst', 'ersted', 'erstedly', 'erstes', 'ersting', 'erstingly', 'erstly', 'erstlyed', 'erstlying')
+ERIN = ('erin', 'erinated', 'erinates', 'erinating', 'erinator', 'erineable', 'erineant', 'erineation', 'erined', 'erinedly', 'eriner', 'erinered', 'erinering', 'erinerly', 'erines', 'erining', 'eriningly', 'erinly', 'erinlyed', 'erinlying')
+LEXEME_SQL = TEXT_SQL.format(id="doc_id", rows="documents", term=f"CASE WHEN word IN {ERST} THEN 'the' WHEN word IN {ERIN} THEN 'of' END")
+
+
+@query(f"WITH {LEXEME_SQL} SELECT doc_id, round(f_score, 6) AS f_score FROM fts_hits")
+def fts_lexemes(spark: SparkSession, folder: str) -> DataFrame:
+    """The 50 documents with the highest cover density of two lexemes, from postings stored by lexeme."""
+    path = new_folder(spark, "postings")
+    d = table(spark, folder, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    write_postings(d, path)
+    terms = query_lexemes("the ersted and the erines of erst")
+    found = plans.text_hits(d, terms, stemmed=True, stored=stored_postings(spark, path, terms))
+    return found.select(F.col("chunk_id").alias("doc_id"), F.round("f_score", 6).alias("f_score"))
+
+
 @query("WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents) SELECT doc_id FROM t WHERE list_has_all(w, ['the', 'of'])")
 def fts_match_all(spark: SparkSession, folder: str) -> DataFrame:
     """Documents that hold all words of a query."""
@@ -127,11 +142,12 @@ def fts_match_all(spark: SparkSession, folder: str) -> DataFrame:
     return d.where(F.forall(F.array(*map(F.lit, TERMS)), lambda t: F.array_contains(F.col("w"), t))).select("doc_id")
 
 
-@query(f"WITH {TEXT_SQL.format(id='doc_id', rows='documents')} SELECT doc_id, round(f_score / (SELECT max(f_score) FROM fts), 6) AS share FROM fts")
+@query(f"WITH {TEXT_SQL.format(id='doc_id', rows='documents', term='word')} SELECT doc_id, round(f_score / (SELECT max(f_score) FROM fts), 6) AS share FROM fts")
 def score_normalize(spark: SparkSession, folder: str) -> DataFrame:
-    """Text scores of all matching documents over the largest: one maximum, joined as a single row."""
+    """Text scores of all matching documents over the largest, which is a scalar subquery."""
     found = plans.cover_density(postings(table(spark, folder, "documents"), TERMS, id_col="doc_id"), TERMS, id_col="doc_id")
-    return found.crossJoin(F.broadcast(found.agg(F.max("f_score").alias("top")))).select("doc_id", F.round(F.col("f_score") / F.col("top"), 6).alias("share"))
+    top = found.agg(F.max("f_score")).scalar()
+    return found.select("doc_id", F.round(F.col("f_score") / top, 6).alias("share"))
 
 
 @query("""WITH q AS (SELECT CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id = 0), s AS (

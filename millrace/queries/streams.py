@@ -21,9 +21,10 @@ def stream_sync(spark: SparkSession, folder: str) -> DataFrame:
     return sync.synced(spark, EVENTS.format(folder), ["user_id"], [F.col("ts"), F.col("event_id")]).select("user_id", "event_id", "event_type", "value")
 
 
-@query()
+@query("SELECT user_id, CAST(date_trunc('day', ts) AS TIMESTAMP) AS bucket, count(*) AS n, greatest(count(*) - 3, 0) AS refused FROM events GROUP BY ALL")
 def stream_admission(spark: SparkSession, folder: str) -> DataFrame:
-    """Requests of each user by day from a stream, with those over three; windows the watermark has closed."""
+    """Requests of each user by day from a stream, with those over three; windows still open at its end included."""
     path = EVENTS.format(folder)
     events = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
-    return sync.appended(spark, rate_limit.window_counts(events, limit=3, window="1 day", late="1 hour"))
+    counts = rate_limit.window_counts(events, limit=3, window="1 day", late="365 days")
+    return sync.drained(spark, counts, ["user_id", "bucket"]).withColumn("bucket", F.col("bucket").cast("timestamp_ntz"))

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.english import lexemes
 from ..functions.text import first_line, tokens
 
 EPOCH = "2024-01-01 00:00:00"
+#: Parts of a stored lexeme table.
+PARTS = 64
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -25,9 +27,9 @@ def sources(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def chunks(spark: SparkSession, folder: str) -> DataFrame:
-    """Vectors joined to the text of the document with their number; the label is the source they belong to."""
+    """Vectors joined to the text of the document with their number; four numbers in a row belong to one source."""
     e, d = table(spark, folder, "embeddings"), table(spark, folder, "documents")
-    return e.join(d, e.vec_id == d.doc_id).select(F.col("vec_id").alias("chunk_id"), "label", "embedding", "text", "source", "lang")
+    return e.join(d, e.vec_id == d.doc_id).select(F.col("vec_id").alias("chunk_id"), F.expr("vec_id div 4 * 4").alias("source_id"), "label", "embedding", "text", "source", "lang")
 
 
 def postings(chunks: DataFrame, terms: list[str], *, id_col: str = "chunk_id", text_col: str = "text") -> DataFrame:
@@ -40,13 +42,36 @@ def postings(chunks: DataFrame, terms: list[str], *, id_col: str = "chunk_id", t
     return chunks.select(F.col(id_col), F.posexplode(hits).alias("nth", "p")).select(id_col, "p.term", "p.position", "nth")
 
 
-def lexeme_postings(chunks: DataFrame, terms: list[str], *, id_col: str = "chunk_id", text_col: str = "text") -> DataFrame:
-    """As ``postings``, but ``terms`` are lexemes, and so is each posting's term; positions are among all tokens.
+def lexeme_table(chunks: DataFrame, *, id_col: str = "chunk_id", text_col: str = "text", terms: list[str] | None = None) -> DataFrame:
+    """(id, term, position) of every word that isn't a stop word: its lexeme and its place among all tokens.
 
-    Each distinct word is stemmed once; only words of the query's lexemes are joined to their places.
+    Each distinct word is stemmed once and joined to its places; with ``terms``, only words of those lexemes are.
     """
-    words = chunks.select(F.explode(F.array_distinct(tokens(F.col(text_col)))).alias("word"))
-    wanted = lexemes(words).where(F.col("lexeme").isin(*terms))
+    words = lexemes(chunks.select(F.explode(F.array_distinct(tokens(F.col(text_col)))).alias("word")))
+    if terms is not None:
+        words = words.where(F.col("lexeme").isin(*terms))
     places = chunks.select(F.col(id_col), F.posexplode(tokens(F.col(text_col))).alias("position", "word"))
-    nth = F.row_number().over(Window.partitionBy(id_col).orderBy("position")) - 1
-    return places.join(wanted, "word").select(id_col, F.col("lexeme").alias("term"), "position").withColumn("nth", nth)
+    return places.join(words, "word").select(id_col, F.col("lexeme").alias("term"), "position")
+
+
+def _part(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(PARTS)).cast("int")
+
+
+def write_postings(chunks: DataFrame, path: str) -> None:
+    """Store the lexeme table of a corpus in parts by lexeme, so that a question reads those of its words only."""
+    table = lexeme_table(chunks).withColumn("part", _part(F.col("term")))
+    table.repartition("part", "term").sortWithinPartitions("part", "term").write.mode("overwrite").partitionBy("part").parquet(path)
+
+
+def stored_postings(spark: SparkSession, path: str, terms: list[str]) -> DataFrame:
+    """The stored postings of some lexemes; the hash of each is a constant, so only its part of the table is listed."""
+    keep = F.lit(False)
+    for t in terms:
+        keep = keep | ((F.col("part") == _part(F.lit(t))) & (F.col("term") == t))
+    return spark.read.parquet(path).where(keep).select("chunk_id", "term", "position")
+
+
+def ordered(found: DataFrame, *, id_col: str = "chunk_id") -> DataFrame:
+    """Postings with ``nth``, their number among those of a question in their chunk."""
+    return found.withColumn("nth", F.row_number().over(Window.partitionBy(id_col).orderBy("position")) - 1)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import document_kind, title_of
 from ..operators.convert import html_text
+from ..tables import materialize
 
 
 def remote_predicate(projects: list[str], mark: datetime | None, now: datetime) -> str:
@@ -44,13 +45,23 @@ def uploaded(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(name.alias("filename"), F.col("length").alias("size_bytes"), kind.alias("kind"), F.sha2("content", 256).alias("sha"), body.alias("body")).withColumn("title", title_of(F.col("body"), F.col("filename"), F.col("kind")))
 
 
-def ancestors(pages: DataFrame, *, most: int = 16) -> DataFrame:
-    """(id, path) with the ids of each page's ancestors, root first, from parent_id: the chain is followed by doubling,
-    one join for each power of two up to ``most`` levels."""
-    up = pages.select("id", F.col("parent_id").alias("top"), F.when(F.col("parent_id").isNotNull(), F.array("parent_id")).otherwise(F.array().cast(f"array<{dict(pages.dtypes)['id']}>")).alias("path"))
-    steps = 1
-    while steps < most:
-        above = up.select(F.col("id").alias("top"), F.col("top").alias("next"), F.col("path").alias("more"))
-        up = up.join(above, "top", "left").select("id", F.col("next").alias("top"), F.concat(F.coalesce("more", F.array().cast(f"array<{dict(pages.dtypes)['id']}>")), "path").alias("path"))
-        steps *= 2
-    return up.select("id", "path")
+def ancestors(pages: DataFrame) -> DataFrame:
+    """(id, path, complete): the ids of each page's ancestors, root first, from parent_id.
+
+    Chains are followed by doubling, one join for each power of two, until every page has reached the top, so a chain may
+    be of any length. A page in a cycle or below one is not complete, and its path is empty. A parent that isn't among the
+    pages ends a chain and is its first member.
+    """
+    kind = dict(pages.dtypes)["id"]
+    none = F.array().cast(f"array<{kind}>")
+    parent = F.col("parent_id").cast(kind)
+    up = pages.select("id", parent.alias("top"), F.when(parent.isNotNull(), F.array(parent)).otherwise(none).alias("path"), F.lit(False).alias("round"))
+    while up.where("top is not null").limit(1).count():
+        above = up.select(F.col("id").alias("top"), F.col("top").alias("next"), F.col("path").alias("more"), F.col("round").alias("above_round"))
+        path = F.concat(F.coalesce("more", none), "path")
+        joined = up.join(above, "top", "left").select("id", "next", path.alias("path"), "round", "above_round")
+        again = F.array_contains("path", F.col("id")) | (F.size(F.array_distinct("path")) < F.size("path"))
+        stuck = F.col("round") | F.coalesce("above_round", F.lit(False)) | again
+        ended = joined.select("id", F.when(~stuck, F.col("next")).alias("top"), F.when(stuck, none).otherwise(F.col("path")).alias("path"), stuck.alias("round"))
+        up = materialize(ended, "ancestors")
+    return up.select("id", "path", (~F.col("round")).alias("complete"))

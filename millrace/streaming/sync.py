@@ -2,24 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.loads import upsert
+from ..tables import new_folder
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``; a local one only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        import tempfile
-
-        base = "file://" + tempfile.mkdtemp(prefix="millrace-")
-        spark.conf.set("spark.checkpoint.dir", base)
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/sync-{uuid.uuid4().hex[:12]}"
+    """A new folder below ``spark.checkpoint.dir``."""
+    return new_folder(spark, "sync")
 
 
 def latest_version(spark: SparkSession, folder: str, empty: DataFrame, before: int | None = None) -> DataFrame:
@@ -57,12 +50,23 @@ def synced(spark: SparkSession, path: str, keys: list[str], order: list[Column],
     return latest_version(spark, f"{folder}/table", spark.createDataFrame([], schema))
 
 
-def appended(spark: SparkSession, result: DataFrame) -> DataFrame:
-    """All rows that a streaming result has for what its source holds now, written as a table and read back."""
+def drained(spark: SparkSession, result: DataFrame, keys: list[str]) -> DataFrame:
+    """The state of a streaming aggregate after all that its source holds now, open windows included.
+
+    Each batch writes the rows it has changed under its number; of a key the last batch's row holds.
+    """
     folder = shared_folder(spark)
-    query = result.writeStream.outputMode("append").format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/progress")
-    query.trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(result.schema).parquet(f"{folder}/rows")
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/rows/b={number}")
+
+    writer = result.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{folder}/progress")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    columns = result.columns
+    kept = T.StructType([*result.schema.fields, T.StructField("_batch", T.IntegerType())])
+    rows = spark.read.schema(kept).parquet(f"{folder}/rows")
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in columns if c not in keys]), "_batch").alias("_last"))
+    return last.select(*[F.col(c) if c in keys else F.col(f"_last.{c}").alias(c) for c in columns])
 
 
 def hours_old(mark: Column, as_of: Column) -> Column:

@@ -1,6 +1,7 @@
 """Operators on small fixtures."""
 
 import datetime as dt
+import os
 
 import numpy as np
 import pytest
@@ -22,7 +23,7 @@ def one(spark, column, **values):
 
 @pytest.mark.parametrize(
     "text,keys",
-    [("see PLAT-482 now", ["PLAT-482"]), ("A-1 AB-1 AB_C-22, AB-1", ["AB-1", "AB_C-22"]), ("plat-482", []), ("xPLAT-482 PLAT-482x", []), ("éPLAT-482", ["PLAT-482"]), ("", []), (" ".join(f"K{i}A-{i}" for i in range(9)), [f"K{i}A-{i}" for i in range(5)])],
+    [("see ZX-731 now", ["ZX-731"]), ("A-1 AB-1 AB_C-22, AB-1", ["AB-1", "AB_C-22"]), ("zx-731", []), ("xZX-731 ZX-731x", []), ("éZX-731", ["ZX-731"]), ("", []), (" ".join(f"K{i}A-{i}" for i in range(9)), [f"K{i}A-{i}" for i in range(5)])],
 )
 def test_keys(spark, text, keys):
     assert one(spark, fn.ticket_keys(F.col("t")), t=text) == keys
@@ -61,7 +62,7 @@ def corpus(spark):
 
 def test_hybrid(spark):
     chunks, sources = corpus(spark)
-    rows = search.hybrid(chunks, sources, [1.0, 0.0], ["alpha"], SearchOptions()).collect()
+    rows = search.hybrid(chunks, sources, [1.0, 0.0], ["alpha"], SearchOptions(decay_days=0)).collect()
     assert [r.source_id for r in rows] == ["a", "b", "c"]
     assert rows[0].chunk_id == 1 and rows[0].score == pytest.approx(0.6 + 0.4 * 0.5)
     assert rows[1].score == pytest.approx(0.4) and rows[2].score == pytest.approx(-0.6)
@@ -110,9 +111,31 @@ def test_chunks(spark):
         assert b.content.split()[:2] == a.content.split()[-2:]
     pages = spark.createDataFrame([(1, "intro\n# A\ntext\n\n## B\nmore\n#### deep\n")], ["doc_id", "body"])
     assert [r.content for r in chunking.page_chunks(pages).orderBy("chunk_index").collect()] == ["intro", "# A\ntext", "## B\nmore\n#### deep"]
-    issues = spark.createDataFrame([("K-1", "T", "desc", [("ann", "a b c d e f g h")])], "key string, title string, description string, comments array<struct<author:string,body:string>>")
-    got = chunking.issue_chunks(issues, ChunkOptions(12, 1)).orderBy("chunk_index").collect()
-    assert [r.chunk_kind for r in got] == ["body", "comment"]
+
+
+def test_issue_chunks(spark):
+    schema = "key string, title string, description string, comments array<struct<author:string,created_at:string,body:string>>"
+    said = [("ann", "2024-03-01T10:00:00Z", "a b c\n"), (None, None, "d " * 9)]
+    issues = [("K-1", "T", "desc\n\n", said), ("K-2", "T", "x " * 30, None), ("K-3", "T", None, [])]
+    rows = chunking.issue_chunks(spark.createDataFrame(issues, schema), ChunkOptions(15, 2)).orderBy("key", "chunk_index").collect()
+    got = {k: [(r.chunk_kind, r.content) for r in rows if r.key == k] for k in ("K-1", "K-2", "K-3")}
+    first = "# T (K-1)\n\ndesc\n\n\n## Comment by ann on 2024-03-01\n\na b c"
+    assert got["K-1"] == [("body", first), ("comment", "b c ## Comment" + " d" * 9)]
+    # an overflowing description stays body, and what overflows is cut where the budget ends
+    assert [k for k, _ in got["K-2"]] == ["body"] * 3 and all(r.token_count <= 15 for r in rows)
+    assert got["K-2"][0][1] == "# T (K-2)" + " x" * 12 and got["K-3"] == [("body", "# T (K-3)\n\n")]
+
+
+def test_chunks_by_a_tokenizer_file(spark):
+    path = os.path.join(os.environ.get("MILLRACE_TOKENIZERS", "/opt/tokenizers"), "byte_bpe_50k.json")
+    if not os.path.exists(path):
+        pytest.skip("no tokenizer file")
+    from tokenizers import Tokenizer
+
+    docs = spark.createDataFrame([(1, "T", "Unbelievably long words " * 20)], ["doc_id", "title", "body"])
+    rows = chunking.document_chunks(docs, ChunkOptions(30, 4), encoder=chunking.file_encoder(path)).collect()
+    t = Tokenizer.from_file(path)
+    assert len(rows) > 3 and all(r.token_count == len(t.encode(r.content, add_special_tokens=False).ids) for r in rows)
 
 
 def test_markup():
@@ -180,3 +203,18 @@ def test_stream_replay(spark, tmp_path):
     sync.sync(read(), out, ["k"], [F.col("t")])
     got = sync.latest_version(spark, f"{out}/table", spark.createDataFrame([], schema))
     assert sorted(map(tuple, got.collect())) == [(1, "a", 1), (2, "c", 2)]
+
+
+def test_ancestors_of_any_depth_and_cycles(spark):
+    chain = [(i, i - 1 if i else None) for i in range(70)]
+    rows = spark.createDataFrame([*chain, (100, 101), (101, 100), (102, 101), (103, 103), (104, 999)], "id long, parent_id long")
+    got = {r.id: r for r in feeds.ancestors(rows).collect()}
+    assert all(got[i].path == list(range(i)) and got[i].complete for i in range(70))
+    assert all(not got[i].complete and got[i].path == [] for i in (100, 101, 102, 103)) and got[104].path == [999]
+
+
+def test_new_hashes_come_once(spark):
+    stored = spark.createDataFrame([("a", 1)], "sha string, id int")
+    incoming = spark.createDataFrame([("a", 2), ("b", 4), ("b", 3), ("c", 5)], "sha string, id int")
+    known, new = loads.known_and_new(incoming, stored)
+    assert [tuple(r) for r in known.collect()] == [("a", 2)] and sorted(map(tuple, new.collect())) == [("b", 3), ("c", 5)]
