@@ -32,8 +32,8 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write ``df`` once as a Parquet table in the shared folder and read it back.
+def materialize(df: DataFrame, name: str = "table", by: str | None = None) -> DataFrame:
+    """Write ``df`` once as a Parquet table in the shared folder, a folder for each value of ``by``, and read it back.
 
     This cuts lineage, survives lost executors, and pins down whatever depends on how rows were dealt (partition
     ids, sampled range bounds). The tables of an application lie under one folder; ``drop_tables`` removes them, or those
@@ -45,7 +45,7 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     before = spark.conf.get(tidy, "false")
     spark.conf.set(tidy, "true")  # the shuffles behind a written table aren't read again
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        (df.write.partitionBy(by) if by else df.write).option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(tidy, before)
     _written.append(path)
@@ -57,12 +57,22 @@ def mark() -> int:
     return len(_written)
 
 
+def _delete(spark: SparkSession, p: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def drop_part(spark: SparkSession, table: str, part: str) -> None:
+    """Delete a part such as ``kind=1`` of the table of this name that was written last."""
+    found = [p for p in _written if p.rpartition("/")[2].startswith(f"{table}-")]
+    _delete(spark, f"{found[-1]}/{part}")
+
+
 def drop_tables(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
     """Delete the tables written since a mark but for the last ``keep``, when their readers are done."""
     gone = _written[since : len(_written) - keep]
     for p in gone:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, p)
     del _written[since : len(_written) - keep]
 
 

@@ -13,13 +13,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import blocks
-from .common import materialize
+from .common import drop_part, materialize
 
 #: Sizes of sets fall into classes whose bounds grow by this factor.
 CLASS_GROWTH = 1.6
 #: Regions of up to this many points are joined within a task, larger ones are split by pivots. Shared members are
 #: counted in so many columns at a time.
 SMALL, COLUMNS = 256, 16_384
+#: Regions are looked up in so many passes over their keys, each with as much less on disk.
+PASSES = 2
 MEMO_WORDS, HELD_SHINGLES = 250_000, 2_000_000
 _words: dict[bytes, int] = {}
 
@@ -222,16 +224,13 @@ def within(group: list[list], regions: Regions) -> list[tuple[int, int]]:
     return links
 
 
-SETS = "row long, stand int, n long, s1 long, s2 long, need int, keys array<long>"
+SETS = "kind int, row long, stand int, n long, s1 long, s2 long, need int, keys array<long>"
 BALLS = "region string, pivot long, pivot_n long, x long, n long, delta long, ball boolean, plus binary, minus binary"
 
 
 def _sets(rows: DataFrame, k: int, regions: Regions) -> DataFrame:
-    """Rows (id, text, rest) with their number, the size and 128-bit hash of their set, and its regions.
-
-    Every row comes with stand 0; where its set stands in two classes, one with stand 1 has the second class's regions and
-    no id, text or rest.
-    """
+    """Rows (id, text, rest) with their number, the size and 128-bit hash of their set (kind 0), and a row for each class
+    in which the set stands, with its regions (kind 1)."""
     kinds = rows.schema.fields
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kinds)
 
@@ -242,35 +241,32 @@ def _sets(rows: DataFrame, k: int, regions: Regions) -> DataFrame:
         known: set[bytes] = set()
         for batch in batches:
             texts, n = batch.column(1), batch.num_rows
-            size, found, needs, keys, again = np.zeros(n, np.int64), [], [], [], []
+            size, found, stands = np.zeros(n, np.int64), [], []
             for i in range(n):
                 s = shingles(texts[i].as_py(), k)
                 size[i] = len(s)
                 sid = xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None
                 found.append(sid)
-                stands = [] if sid is None or sid in known else regions.keys(s)
-                needs.append(stands[0][1] if stands else None)
-                keys.append(stands[0][2] if stands else np.zeros(0, np.uint64))
-                again += [(i, *x[1:]) for x in stands[1:]]
-                if stands:
+                if sid is not None and sid not in known:
                     if len(known) > MEMO_WORDS:
                         known.clear()
                     known.add(sid)
+                    stands += [(i, c, *x[1:]) for c, x in enumerate(regions.keys(s))]
             ids = np.arange(first + made, first + made + n)
             made += n
             half = lambda at: pa.array([None if x is None else int.from_bytes(x[at : at + 8], "little", signed=True) for x in found], pa.int64())
-            own = {"row": pa.array(ids), "stand": pa.array(np.zeros(n, np.int32)), "n": pa.array(size), "s1": half(0), "s2": half(8), "need": pa.array(needs, pa.int32()), "keys": lists(keys)}
-            yield arrow(own | dict(zip(batch.schema.names, batch.columns)))
-            if again:
-                at, needs, keys = zip(*again)
+            own = {"row": pa.array(ids), "stand": pa.nulls(n, pa.int32()), "n": pa.array(size), "s1": half(0), "s2": half(8), "need": pa.nulls(n, pa.int32())}
+            yield arrow({"kind": pa.array(np.zeros(n, np.int32))} | own | {"keys": pa.nulls(n, pa.list_(pa.int64()))} | dict(zip(batch.schema.names, batch.columns)))
+            if stands:
+                at, stand, needs, keys = zip(*stands)
                 m = len(at)
-                own = {"row": pa.array(ids[list(at)]), "stand": pa.array(np.ones(m, np.int32)), **{c: pa.nulls(m, pa.int64()) for c in ("n", "s1", "s2")}, "need": pa.array(needs, pa.int32()), "keys": lists(keys)}
-                yield arrow(own | {f.name: pa.nulls(m, f.type) for f in batch.schema})
+                own = {"row": pa.array(ids[list(at)]), "stand": pa.array(stand, pa.int32()), **{c: pa.nulls(m, pa.int64()) for c in ("n", "s1", "s2")}, "need": pa.array(needs, pa.int32()), "keys": lists(keys)}
+                yield arrow({"kind": pa.array(np.ones(m, np.int32))} | own | {f.name: pa.nulls(m, f.type) for f in batch.schema})
 
     return rows.mapInArrow(gather, f"{SETS}, {schema}")
 
 
-def _assigned(sets: DataFrame, rows: DataFrame) -> DataFrame:
+def _assigned(stands: DataFrame, rows: DataFrame) -> DataFrame:
     """(x, pivot): the pivots in whose Voronoi regions each point takes part.
 
     ``rows`` gives the point of each row. A point that stands in fewer occupied regions than a partner must share has no
@@ -278,14 +274,19 @@ def _assigned(sets: DataFrame, rows: DataFrame) -> DataFrame:
     belongs to the pivot that it shares most regions with and, as partners may have another, to every pivot but those that
     have fewer than half of what partners must share: whatever two partners leave out, a region of both stays.
     """
-    keyed = sets.select((F.col("row") * 2 + F.col("stand")).alias("at"), F.explode("keys").alias("key"))
-    often = materialize(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "often")
-    members = materialize(keyed.join(often.hint("shuffle_hash"), "key"), "members")
+    members = None
+    for part in range(PASSES):
+        of_part = F.filter("keys", lambda key: F.pmod(key, F.lit(PASSES)) == part) if PASSES > 1 else F.col("keys")
+        keyed = stands.select((F.col("row") * 2 + F.col("stand")).alias("at"), F.explode(of_part).alias("key"))
+        often = materialize(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "often")
+        held = materialize(keyed.join(often.hint("shuffle_hash"), "key"), "members")
+        members = held if members is None else members.unionByName(held)
     row_of = members.select("key", F.expr("at div 2").alias("row"), F.expr("cast(at % 2 as int)").alias("stand"))
     found = row_of.join(rows.select("row", "point"), "row").select("key", "point", "stand").distinct()
     found = materialize(found, "standing")
     occupied = found.groupBy("key").agg(F.count("*").alias("points")).where("points > 1")
-    needs = sets.where("need is not null").select(F.col("row").alias("point"), "stand", "need")
+    needs = stands.select(F.col("row").alias("point"), "stand", "need")
+    needs = materialize(needs.join(found.select("point", "stand").distinct(), ["point", "stand"]), "needs")
     strong = found.join(occupied, "key").groupBy("point", "stand").agg(F.count("*").alias("n"), F.sum("points").alias("central"))
     strong = strong.join(needs, ["point", "stand"]).where("n >= need").select("point", "stand", "need", "central")
     alive = materialize(found.join(strong, ["point", "stand"]), "alive")
@@ -321,13 +322,15 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, threshold: Fraction | float
     bound = threshold if isinstance(threshold, Fraction) else Fraction(str(threshold))
     regions = Regions(bound)
     carry = [c for c in carry if c not in ("doc_id", "n_shingles", "component_id", "first")]
-    rest = [F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carry)]).alias("rest")] if carry else []
-    sets = materialize(_sets(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *rest), k, regions), "sets")
-    each = sets.where("stand = 0")
+    others = [c for c in carry if c != text_col]
+    rest = [F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)]).alias("rest")] if others else []
+    sets = materialize(_sets(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *rest), k, regions), "sets", by="kind")
+    each = sets.where("kind = 0")
     worded = each.where("n > 0").select("row", "id", "n", "s1", "s2")
     points = worded.groupBy("s1", "s2").agg(F.min("row").alias("point"))
     rows = materialize(worded.join(points, ["s1", "s2"]), "points")
-    assigned = _assigned(sets, rows)
+    assigned = _assigned(sets.where("kind = 1").select("row", "stand", "need", "keys"), rows)
+    drop_part(docs.sparkSession, "sets", "kind=1")  # most of what is written, and not read again
 
     def against(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """What points have more and less than their pivots."""
@@ -423,5 +426,6 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, threshold: Fraction | float
     done = done.unionByName(bare)
     if not carry:
         return done.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
-    done = each.select("row", "rest").join(done, "row")
-    return done.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", "first", *[F.col(f"rest.c{i}").alias(c) for i, c in enumerate(carry)])
+    kept = {c: F.col(f"rest.c{i}") for i, c in enumerate(others)} | {text_col: F.col("text")}
+    done = each.select("row", "text", *(["rest"] if others else [])).join(done, "row")
+    return done.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", "first", *[kept[c].alias(c) for c in carry])

@@ -249,13 +249,12 @@ def test_join_of_many_variants(spark, monkeypatch):
     rows = list(enumerate(texts))
     rng.shuffle(rows)
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    for small in (2, 256):
+    for small, k, bound in ((2, 4, Fraction(85, 100)), (256, 5, Fraction(4, 5))):
         monkeypatch.setattr(ngram_join, "SMALL", small)
-        for k, bound in ((4, Fraction(85, 100)), (5, Fraction(4, 5))):
-            want = H.components({i: H.shingles(t, k) for i, t in rows}, bound.numerator, bound.denominator)
-            assert len(set(want.values())) > 20
-            got = ngram_join.near_duplicates(df.repartition(6), k=k, threshold=bound).collect()
-            assert {r.doc_id: r.component_id for r in got} == want
+        want = H.components({i: H.shingles(t, k) for i, t in rows}, bound.numerator, bound.denominator)
+        assert len(set(want.values())) > 20
+        got = ngram_join.near_duplicates(df.repartition(6), k=k, threshold=bound).collect()
+        assert {r.doc_id: r.component_id for r in got} == want
 
 
 def test_join_keeps_one_row_of_each_component(spark):
