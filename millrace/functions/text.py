@@ -140,3 +140,22 @@ def blob_key(c: Column) -> Column:
     """A trimmed relative key; null if it climbs."""
     t = F.trim(c)
     return F.when(~F.contains(t, F.lit("..")) & (t != ""), F.regexp_replace(t, "^/+", ""))
+
+
+def light_html(c: Column, citations: int = 0) -> Column:
+    """Escaped text with code fences, inline code, bold, italics, paragraphs and line breaks, and [^N] as links to citations;
+    with a number of ``citations``, only to those there are."""
+    known = "|".join(str(n) for n in range(citations, 0, -1))
+    note = rf"\[\^(0*(?:{known}))\]" if citations else r"\[\^([0-9]+)\]"
+    t = F.regexp_replace(html_escaped(c), r"(?s)```[a-zA-Z0-9_-]*\n(.+?)\n?```", "<pre><code>$1</code></pre>")
+    t = F.regexp_replace(t, note, '<sup><a href="#cite-$1">[$1]</a></sup>')
+    t = F.regexp_replace(t, r"`([^`\n]+)`", "<code>$1</code>")
+    t = F.regexp_replace(t, r"\*\*([^*]+)\*\*", "<strong>$1</strong>")
+    t = F.regexp_replace(t, r"(^|[^*])\*([^*\n]+)\*", "$1<em>$2</em>")
+    parts = F.filter(F.transform(F.split(t, "\n\n"), lambda b: F.regexp_replace(b, r"\A\s+|\s+\z", "")), lambda b: b != "")
+
+    def html(b: Column) -> Column:
+        plain = F.concat(F.lit("<p>"), F.replace(b, F.lit("\n"), F.lit("<br>")), F.lit("</p>\n"))
+        return F.when(F.startswith(b, F.lit("<pre>")), F.concat(b, F.lit("\n"))).otherwise(plain)
+
+    return F.array_join(F.transform(parts, html), "")

@@ -23,6 +23,11 @@ def hash_vector(text: str, dimension: int) -> np.ndarray:
     return (v / max(np.linalg.norm(v), 1e-12)).astype(np.float32)
 
 
+def hash_batch(texts: list[str], dimension: int) -> list[np.ndarray]:
+    """An embedder by hashes."""
+    return [hash_vector(t, dimension) for t in texts]
+
+
 def embed(rows: DataFrame, embedder: Callable[[list[str]], list], *, text_col: str = "text", dimension: int, batch: int = 96) -> DataFrame:
     """Add ``embedding``: ``embedder`` gets at most ``batch`` texts at once and has to give as many vectors, of the given
     dimension, in order. Tasks run side by side and are repeated by Spark when they fail."""

@@ -286,6 +286,16 @@ def tree_markdown(c: Column) -> Column:
     return run(c)
 
 
+def trees_markdown(c: Column) -> Column:
+    """Markdown of each tree of an array."""
+
+    @F.pandas_udf("array<string>")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda trees: None if trees is None else [_tree(t) for t in trees])
+
+    return run(c)
+
+
 def storage_markdown(c: Column) -> Column:
     """Markdown of storage XHTML."""
 

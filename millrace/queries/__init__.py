@@ -1,8 +1,8 @@
 """Registered queries with their SQL: each takes (spark, folder) and reads the given tables."""
 
-from . import answers, documents, ingest, scalars, search, streams
+from . import answers, corpus_loads, documents, ingest, scalars, search, streams
 
-MODULES = (search, ingest, scalars, answers, documents, streams)
+MODULES = (search, ingest, corpus_loads, scalars, answers, documents, streams)
 
 
 def queries():

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import meta_line, titled
-from ..operators import chunking
+from ..operators import chunking, records
 from ..operators.convert import html_text
 from ..options import ChunkOptions
 from ..plans.search import context
@@ -43,7 +43,23 @@ def active_thread(spark: SparkSession, folder: str) -> DataFrame:
 @query("SELECT o_orderkey, CASE WHEN o_custkey = 7 THEN 'renamed' ELSE o_orderpriority END AS title FROM orders")
 def guarded_rename(spark: SparkSession, folder: str) -> DataFrame:
     """A new title only for rows of one owner."""
-    return table(spark, folder, "orders").select("o_orderkey", F.when(F.col("o_custkey") == 7, "renamed").otherwise(F.col("o_orderpriority")).alias("title"))
+    o = table(spark, folder, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("owner"), F.col("o_orderpriority").alias("title"))
+    blank = records.owned(o, F.lit(8)).withColumn("title", F.lit(" "))
+    changes = o.withColumn("owner", F.lit(7).cast(o.schema["owner"].dataType)).withColumn("title", F.lit(" renamed ")).unionByName(blank)
+    return records.renamed(o, changes).select(F.col("id").alias("o_orderkey"), "title")
+
+
+@query("""WITH m AS (SELECT conv_id, turn, TIMESTAMP '2024-01-01' + to_hours(turn) AS told FROM conversations),
+c AS (SELECT conv_id, max(told) AS last FROM m WHERE turn < 2 GROUP BY 1)
+SELECT c.conv_id, greatest(c.last, max(m.told)) AS updated_at, count(*) AS messages FROM c JOIN m USING (conv_id) GROUP BY c.conv_id, c.last""")
+def conversation_append(spark: SparkSession, folder: str) -> DataFrame:
+    """Conversations after more messages came in: their time moves to that of the last."""
+    at = F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, cast(turn as int))")
+    m = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text", at.alias("created_at"))
+    stored = m.where("turn < 2")
+    known = stored.groupBy("conv_id").agg(F.max("created_at").alias("updated_at"))
+    moved, messages = records.append_messages(known, stored, m.where("turn >= 2"))
+    return moved.join(messages.groupBy("conv_id").agg(F.count("*").alias("messages")), "conv_id")
 
 
 CONTEXT_SQL = r"""WITH RECURSIVE h AS (

@@ -180,11 +180,7 @@ def fts_stemmed(spark: SparkSession, folder: str) -> DataFrame:
 def hash_embeddings(spark: SparkSession, folder: str) -> DataFrame:
     """Test vectors of all documents."""
     d = table(spark, folder, "documents").select("doc_id", "text")
-    return embed.embed(d, partial(_hash_batch, dimension=32), dimension=32).drop("text")
-
-
-def _hash_batch(texts: list[str], dimension: int) -> list:
-    return [embed.hash_vector(t, dimension) for t in texts]
+    return embed.embed(d, partial(embed.hash_batch, dimension=32), dimension=32).drop("text")
 
 
 @query("""WITH c AS (SELECT DISTINCT md5('m|' || text) AS key FROM documents WHERE lang = 'en')

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as fn
 from ..functions import vectors
+from ..operators import records
 from ..sources.corpus import table
 from .registry import register
 
@@ -118,17 +119,43 @@ def tokens_and_names(spark: SparkSession, folder: str) -> DataFrame:
     return e.select("user_id", "event_id", fn.bearer_token(header).alias("token"), fn.blob_key(key).alias("key"), fn.safe_filename(F.concat(F.lit('a"\n'), number)).alias("name"))
 
 
-@query("SELECT c_custkey, sha256('rag_' || c_name) AS hash, substr(sha256('rag_' || c_name), 1, 8) AS prefix, c_acctbal < 0 AS revoked FROM customer")
+@query("""SELECT c_custkey, sha256('tok_' || c_name) AS hash, substr(sha256('tok_' || c_name), 1, 8) AS prefix,
+  CASE WHEN c_custkey % 5 = 0 THEN TIMESTAMP '2024-01-01' WHEN c_acctbal < 0 THEN TIMESTAMP '2024-06-01' END AS revoked_at, u.used AS last_used_at
+FROM customer LEFT JOIN (SELECT o_custkey, max(CAST(o_orderdate AS TIMESTAMP)) AS used FROM orders GROUP BY 1) u ON u.o_custkey = c_custkey""")
 def access_tokens(spark: SparkSession, folder: str) -> DataFrame:
-    """Stored tokens: only hashes, looked up by hash, revoked softly."""
-    c = table(spark, folder, "customer").select("c_custkey", F.sha2(F.concat(F.lit("rag_"), F.col("c_name")), 256).alias("hash"), (F.col("c_acctbal") < 0).alias("revoked"))
-    return c.select("c_custkey", "hash", F.substring("hash", 1, 8).alias("prefix"), "revoked")
-
-
-@query("SELECT c_custkey, c_mktsegment FROM customer WHERE sha256('rag_' || c_name) IN (SELECT sha256('rag_' || c_name) FROM customer WHERE c_acctbal >= 0 AND c_mktsegment = 'BUILDING')")
+    """Stored tokens: only hashes; revoked once, an earlier time stays; the time of the last use."""
+    none = F.lit(None).cast("timestamp_ntz")
+    before = F.when(F.col("c_custkey") % 5 == 0, F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"))
+    c = table(spark, folder, "customer").withColumn("id", F.col("c_custkey"))
+    tokens = c.select("id", F.sha2(F.concat(F.lit("tok_"), F.col("c_name")), 256).alias("hash"), before.alias("revoked_at"), none.alias("last_used_at"))
+    done = records.revoked(tokens, c.where("c_acctbal < 0"), F.lit("2024-06-01 00:00:00").cast("timestamp_ntz"))
+    uses = table(spark, folder, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderdate").cast("timestamp_ntz").alias("used_at"))
+    done = records.touched(done, uses)
+    return done.select(F.col("id").alias("c_custkey"), "hash", F.substring("hash", 1, 8).alias("prefix"), "revoked_at", "last_used_at")
+
+
+@query("""WITH h AS (SELECT sha256('tok_' || c_name) AS hash FROM customer), p AS (SELECT DISTINCT substr(sha256(n_name), 1, 2) AS prefix FROM nation)
+SELECT prefix, min(hash) AS hash FROM p JOIN h ON starts_with(hash, prefix) GROUP BY prefix HAVING count(*) = 1
+UNION ALL SELECT substr(hash, 1, 12), hash FROM h""")
+def unique_prefix(spark: SparkSession, folder: str) -> DataFrame:
+    """Tokens found by the beginning of their hash, where only one has it."""
+    h = table(spark, folder, "customer").select(F.sha2(F.concat(F.lit("tok_"), F.col("c_name")), 256).alias("hash"))
+    asked = table(spark, folder, "nation").select(F.substring(F.sha2("n_name", 256), 1, 2).alias("prefix"))
+    return records.by_unique_prefix(h, asked.unionByName(h.select(F.substring("hash", 1, 12).alias("prefix"))), key="hash")
+
+
+@query("""SELECT doc_id, '<p>' || lang || ' &lt;b&gt; <strong>bold</strong> and <em>thin</em><br><code>x</code> <sup><a href="#cite-1">[1]</a></sup> [^9]</p>'
+  || chr(10) || '<pre><code>a &lt; ' || doc_id || '</code></pre>' || chr(10) AS html FROM documents""")
+def light_markdown(spark: SparkSession, folder: str) -> DataFrame:
+    """Answers as HTML: escaped, with code, bold, italics and links to the citations there are."""
+    text = F.concat(F.col("lang"), F.lit(" <b> **bold** and *thin*\n`x` [^1] [^9]\n\n```py\na < "), F.col("doc_id").cast("string"), F.lit("\n```\n"))
+    return table(spark, folder, "documents").select("doc_id", fn.light_html(text, 3).alias("html"))
+
+
+@query("SELECT c_custkey, c_mktsegment FROM customer WHERE sha256('tok_' || c_name) IN (SELECT sha256('tok_' || c_name) FROM customer WHERE c_acctbal >= 0 AND c_mktsegment = 'BUILDING')")
 def token_lookup(spark: SparkSession, folder: str) -> DataFrame:
     """Owners of presented tokens that aren't revoked: an equi join on hashes."""
-    c = table(spark, folder, "customer").select("c_custkey", "c_mktsegment", "c_acctbal", F.sha2(F.concat(F.lit("rag_"), F.col("c_name")), 256).alias("hash"))
+    c = table(spark, folder, "customer").select("c_custkey", "c_mktsegment", "c_acctbal", F.sha2(F.concat(F.lit("tok_"), F.col("c_name")), 256).alias("hash"))
     return c.join(c.where("c_acctbal >= 0 and c_mktsegment = 'BUILDING'").select("hash"), "hash", "left_semi").select("c_custkey", "c_mktsegment")
 
 

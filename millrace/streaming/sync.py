@@ -24,6 +24,15 @@ def latest_version(spark: SparkSession, folder: str, empty: DataFrame, before: i
     return spark.read.schema(empty.schema).parquet(f"{folder}/v={max(found)}") if found else empty
 
 
+def drop_versions(spark: SparkSession, folder: str, before: int) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for s in fs.listStatus(path):
+        name = s.getPath().getName()
+        if name.startswith("v=") and int(name[2:]) < before:
+            fs.delete(s.getPath(), True)
+
+
 def sync(stream: DataFrame, folder: str, keys: list[str], order: list[Column]) -> None:
     """Take what a stream has now into the next versions of the table in ``folder``.
 
@@ -37,15 +46,17 @@ def sync(stream: DataFrame, folder: str, keys: list[str], order: list[Column]) -
     def load(batch: DataFrame, number: int) -> None:
         before = latest_version(spark, f"{folder}/table", empty, number)
         upsert(before, batch, keys, order).write.mode("overwrite").parquet(f"{folder}/table/v={number}")
+        drop_versions(spark, f"{folder}/table", number - 1)  # the one before stays, for a batch that is replayed
 
     writer = stream.writeStream.foreachBatch(load).option("checkpointLocation", f"{folder}/progress")
     writer.trigger(availableNow=True).start().awaitTermination()
 
 
-def synced(spark: SparkSession, path: str, keys: list[str], order: list[Column], files_per_batch: int = 4) -> DataFrame:
-    """The table after all files of ``path`` came in as a stream."""
+def synced(spark: SparkSession, path: str, keys: list[str], order: list[Column], files_per_batch: int = 4, folder: str | None = None) -> DataFrame:
+    """The table after all files of ``path`` came in as a stream. A later run with the same ``folder`` goes on from the mark
+    kept there and takes new files only."""
     schema = spark.read.parquet(path).schema
-    folder = shared_folder(spark)
+    folder = folder or shared_folder(spark)
     sync(spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path), folder, keys, order)
     return latest_version(spark, f"{folder}/table", spark.createDataFrame([], schema))
 

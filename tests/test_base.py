@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text as fn
 from millrace.functions.english import query_lexemes, stem
+from millrace.functions import vectors
 from millrace.functions.headline import snippet
 from millrace.operators import chunking, embed, loads, markup, page_links
 from millrace.options import ChunkOptions, SearchOptions, checked_query
@@ -218,3 +219,22 @@ def test_new_hashes_come_once(spark):
     incoming = spark.createDataFrame([("a", 2), ("b", 4), ("b", 3), ("c", 5)], "sha string, id int")
     known, new = loads.known_and_new(incoming, stored)
     assert [tuple(r) for r in known.collect()] == [("a", 2)] and sorted(map(tuple, new.collect())) == [("b", 3), ("c", 5)]
+
+
+def test_vector_bytes(spark):
+    rows = spark.createDataFrame([(1, [1.0, -2.5]), (2, []), (3, None)], "k int, v array<float>")
+    got = {r.k: r for r in rows.select("k", vectors.vector_bytes(F.col("v")).alias("b")).withColumn("v", vectors.vector_of_bytes(F.col("b"))).collect()}
+    assert bytes(got[1].b) == np.array([1.0, -2.5], "<f4").tobytes() and got[1].v == [1.0, -2.5] and got[2].b is None and got[3].v is None
+    assert one(spark, vectors.vector_of_bytes(F.col("b")), b=b"abcde") is None
+
+
+def test_a_later_run_goes_on_from_the_kept_mark(spark, tmp_path):
+    schema = "k long, v string, t long"
+    spark.createDataFrame([(1, "a", 1)], schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    out = f"file://{tmp_path}/out"
+    assert [tuple(r) for r in sync.synced(spark, str(tmp_path / "in"), ["k"], [F.col("t")], folder=out).collect()] == [(1, "a", 1)]
+    for n in (2, 3):
+        spark.createDataFrame([(n, "b", n)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        got = sync.synced(spark, str(tmp_path / "in"), ["k"], [F.col("t")], folder=out)
+        assert got.count() == n
+    assert len([p for p in os.listdir(tmp_path / "out" / "table") if p.startswith("v=")]) == 2  # older versions are gone
