@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import xxhash
@@ -82,18 +84,29 @@ def loose_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int,
         out += [(k, m.start(), m.end()) for k, yes in enumerate(allowed, 1) if yes]
     for m in LOOSE_AT.finditer(text):
         start = m.start()
-        while start > 0 and m.start() - start < 64 and text[start - 1] in LOCAL:
+        while start > 0 and text[start - 1] in LOCAL:
             start -= 1
         if start < m.start() and (host := LOOSE_HOST.match(text, m.end())) and ("@" in m.group() or host.end() - host.start() > len(host.group().split(" ")[0].split("[")[0].split("(")[0]) or "." in host.group()):
             out.append((0, start, host.end()))
     taken = sorted((a, b) for _, a, b in base)
-    return [(k, a, b) for k, a, b in out if not any(a < y and x < b for x, y in taken)]
+    starts, ends = [a for a, _ in taken], list(accumulate((b for _, b in taken), max))
+
+    def free(a: int, b: int) -> bool:
+        n = bisect_left(starts, b)  # base spans that begin before b; the furthest of their ends decides
+        return n == 0 or ends[n - 1] <= a
+
+    return [(k, a, b) for k, a, b in out if free(a, b)]
 
 
 def contexts(text: str, start: int, end: int) -> list[str]:
-    """Lexical patterns of a span: the two words before it, and the word before with the word after it."""
-    left = [w.lower() for w in WORD.findall(text[max(0, start - CONTEXT) : start])][-2:]
-    right = [w.lower() for w in WORD.findall(text[end : end + CONTEXT])][:1]
+    """Lexical patterns of a span: the two words before it, and the word before with the word after it, whole words of which
+    each begins or ends within CONTEXT characters of the span."""
+    near = max(0, start - CONTEXT)
+    while 0 < near and text[near - 1].isalnum() and text[near].isalnum():
+        near -= 1
+    left = [w.lower() for w in WORD.findall(text[near:start])][-2:]
+    after = WORD.search(text, end)
+    right = [after.group().lower()] if after and after.start() < end + CONTEXT else []
     out = []
     if len(left) == 2:
         out.append("B " + " ".join(left))
@@ -115,11 +128,12 @@ def find_personal_data(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     added, and a look-alike's is the chance that not all its patterns err, of those with at least ``least_instances``
     instances that are seeds or reached ``confidence`` in the round before: what a round finds induces the patterns of
     the next. Look-alikes that end at ``confidence`` or above are added, each as its most trusted kind (the first of
-    KINDS on ties); base finds always stay.
+    KINDS on ties); base finds always stay. A pattern's words lie within CONTEXT characters of the span.
 
     Returns doc_id, n_email, n_ip, n_card, n_phone (long, base finds), base and spans (arrays of kind, start, end in
-    code points, by kind as in KINDS and start), a row for each input row. Null or empty text has none; repeated or
-    null ids keep their rows; an empty table gives no rows.
+    code points, by kind as in KINDS and start), a row for each input row; other columns don't matter, whatever their
+    names. Null or empty text has none; very long texts are searched whole; repeated or null ids keep their rows; equal
+    finds are one instance; an empty table gives no rows.
     """
     mention = pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("seed", pa.bool_()), ("instance", pa.int64()), ("patterns", pa.list_(pa.string()))])
     ddl = "array<struct<kind:int,start:bigint,end:bigint,seed:boolean,instance:bigint,patterns:array<string>>>"
