@@ -152,7 +152,7 @@ def fits(rows: DataFrame, key: str, parent: str | None = None, parents: DataFram
         new = sums.select(key, "start", fitted("n", "m", "s", "up_center", "up_cov").alias("f")).select(key, "start", "f.*")
         current = materialize(new.join(before, [key, "start"]), "fits")
         moved = current.agg(F.max(F.abs(F.col("logdet") - F.col("before")))).first()[0]
-        if moved is None or moved < 1e-4:
+        if moved is None or moved < 1e-3:
             break
     best = current.groupBy(key).agg(F.min_by(F.struct("center", "cov", "inverse", "logdet"), F.struct("logdet", "start")).alias("f"))
     return materialize(best.select(key, "f.*"), "fits")

@@ -582,3 +582,46 @@ def test_differencing():
 def test_line_query_is_stable(spark, folder):
     for r in queries.op1_line_dedup(spark, folder).join(documents(spark, folder), "doc_id").where("n_dropped = 0").collect():
         assert r.kept_sha256 == hashlib.sha256(r.text.encode()).hexdigest()
+
+
+def test_personal_data_graph_against_plain_scores(spark):
+    """Rounds of scoring by joins and sums, held against the same rounds over dictionaries."""
+    rng = random.Random(8)
+    lefts = [f"{a} {b}" for a in ("call", "ring", "fax", "bring", "count") for b in ("to", "number", "line")]
+    rows = []
+    for i in range(400):
+        number = f"+1 (555) 01{rng.randint(0, 9)}-{rng.randint(1000, 1400)}" if rng.random() < 0.4 else f"555 01{rng.randint(0, 9)} {rng.randint(1000, 1400)}"
+        rows.append((i, f"x {rng.choice(lefts)} {number} {rng.choice(('now', 'then', 'stones'))} y", "en", "s", 1))
+    got = {r.doc_id: {tuple(s) for s in r.spans} for r in pii.find_personal_data(spark.createDataFrame(rows, H.DOCS)).collect()}
+
+    found, edges = {}, {}
+    for i, text, *_ in rows:
+        base = pii.base_spans(text)
+        for s, seed in [(s, True) for s in base] + [(s, False) for s in pii.loose_spans(text, base)]:
+            instance = (s[0], "".join(text[s[1] : s[2]].lower().split()))
+            found.setdefault(i, []).append((s, seed, instance))
+            for c in pii.contexts(text, s[1], s[2]):
+                edges[(s[0], c, instance)] = edges.get((s[0], c, instance), False) or seed
+    trust = {}
+    for _ in range(3):
+        level = lambda e: 1.0 if edges[e] else trust.get(e[2], 0.0)
+        by_pattern = {}
+        for e in edges:
+            by_pattern.setdefault(e[:2], []).append(level(e))
+        good = {p: sum(v) / (len(v) + 1) for p, v in by_pattern.items() if sum(x >= 0.8 for x in v) >= 3}
+        doubt = {}
+        for e in edges:
+            if not edges[e] and e[:2] in good:
+                doubt[e[2]] = doubt.get(e[2], 1.0) * max(1 - good[e[:2]], 1e-9)
+        trust = {x: 1 - d for x, d in doubt.items()}
+    added = 0
+    for i, spans in found.items():
+        want = {(pii.KINDS[s[0]], *s[1:]) for s, seed, _ in spans if seed}
+        places = {}
+        for s, seed, x in spans:
+            if not seed and trust.get(x, 0.0) >= 0.8:
+                places.setdefault(s[1:], []).append((trust[x], -s[0]))
+        want |= {(pii.KINDS[-max(v)[1]], *at) for at, v in places.items()}
+        added += len(places)
+        assert got[i] == want
+    assert added > 20
