@@ -307,9 +307,9 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, threshold: Fraction | float
     link to it. Every other pair of a region is judged by the differences of its points from the pivot, which have no part
     in what the region has in common: |x - y| is the symmetric difference of the two differences. By the triangle
     inequality partners share part of their differences, so that each shows only a prefix of its own, and points that
-    show one member alike are a region of the next level. Small ones are joined in one task; in large ones a pivot is
-    chosen again, and so on; a region has fewer points than the one before. Regions with no point outside the ball need
-    no join.
+    show one member alike are a region of the next level. Small regions are joined in one task, a pivot's as a whole; in
+    large ones a pivot is chosen again, and so on; a region has fewer points than the one before. Regions with no point
+    outside the ball need no join.
 
     Returns doc_id, n_shingles (long), component_id (the smallest doc_id reachable, itself included) and the columns of
     ``carry`` other than these, and, if any are named, first (boolean: one row of each component, that with the smallest doc_id, those
@@ -372,21 +372,35 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, threshold: Fraction | float
             yield arrow({"region": region, "pivot": pivot, "pivot_n": pivot_n, "x": x, "n": n, "delta": pa.array(delta, pa.int64()), "ball": pa.array(ball, pa.bool_()), "plus": binary(plus), "minus": binary(minus)})
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Links between the points of each small region; its rows follow each other."""
-        group, key = [], None
+        """Links between the points of each small region. Rows (region, share, x, members, ...) of one share follow each
+        other; each of a share's members is a region of the points that show it."""
+        group: list[list] = []
+        key, links = None, []
+
+        def end():
+            cells: dict[int, list] = {}
+            for members, *row in group:
+                for e in members.as_py():
+                    cells.setdefault(e, []).append(row)
+            for cell in cells.values():
+                links.extend(within(cell, regions))
+            group.clear()
+
+        def out():
+            left, right = zip(*links) if links else ((), ())
+            links.clear()
+            return arrow({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
+
         for batch in batches:
-            region, member, *rest = batch.columns
-            left, right = [], []
-            for i, at in enumerate(zip(region.to_pylist(), member.to_pylist())):
+            region, share, *rest = batch.columns
+            for i, at in enumerate(zip(region.to_pylist(), share.to_pylist())):
                 if at != key:
-                    for a, b in within(group, regions):
-                        left.append(a)
-                        right.append(b)
-                    group, key = [], at
+                    end()
+                    key = at
                 group.append([c[i] for c in rest])
-            yield arrow({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
-        left, right = zip(*found) if (found := within(group, regions)) else ((), ())
-        yield arrow({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
+            yield out()
+        end()
+        yield out()
 
     picked = assigned.select(F.col("x").alias("row")).unionByName(assigned.select(F.col("pivot").alias("row"))).distinct()
     texts = materialize(each.select("row", "text").join(picked, "row"), "texts")
@@ -394,15 +408,22 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, threshold: Fraction | float
     balls = materialize(pairs.select("x", "pivot", "text_x", "text_p").mapInArrow(against, BALLS), "balls")
     edges = balls.where("ball").select(F.col("x").alias("a"), F.col("pivot").alias("b"))
 
+    sides = ["n", "ball", "plus", "minus"]
     while True:
-        open_ = balls.groupBy("region").agg(F.count("*").alias("m"), F.count_if(~F.col("ball")).alias("out")).where("m > 1 and out > 0").select("region")
-        cast = balls.join(open_, "region").select("region", "x", "n", "delta", "ball", "pivot_n", "plus", "minus").mapInArrow(shown, "region string, x long, n long, delta long, ball boolean, members array<long>")
+        open_ = balls.groupBy("region").agg(F.count("*").alias("m"), F.count_if(~F.col("ball")).alias("out")).where("m > 1 and out > 0").select("region", "m")
+        held = materialize(balls.join(open_, "region"), "open")
+        whole = held.where(F.col("m") <= SMALL).select("region", F.lit(0).cast("long").alias("share"), F.array(F.lit(0).cast("long")).alias("members"), "x", *sides)
+        wide = held.where(F.col("m") > SMALL)
+        cast = wide.select("region", "x", "n", "delta", "ball", "pivot_n", "plus", "minus").mapInArrow(shown, "region string, x long, n long, delta long, ball boolean, members array<long>")
         cast = materialize(cast.select("region", "x", "n", "delta", "ball", F.explode("members").alias("e")), "shown")
         cells = cast.groupBy("region", "e").agg(F.count("*").alias("m"), F.count_if(~F.col("ball")).alias("out"), F.min(F.struct("delta", "x")).alias("least")).where("m > 1 and out > 0")
         cells = materialize(cells, "cells")
-        some = cast.join(cells.where(F.col("m") <= SMALL), ["region", "e"]).select("region", "e", "x")
-        some = some.join(balls.select("region", "x", "n", "ball", "plus", "minus"), ["region", "x"]).select("region", "e", "x", "n", "ball", "plus", "minus")
-        some = some.repartition("region", "e").sortWithinPartitions("region", "e", "x")
+        # members of a wide region are dealt over shares, so that a point's difference is sent once for each share
+        some = cast.join(cells.where(F.col("m") <= SMALL), ["region", "e"]).select("region", "e", "x").join(open_, "region")
+        share = F.pmod(F.xxhash64("e"), F.ceil(F.col("m") / F.lit(SMALL)))
+        some = some.groupBy("region", share.alias("share"), "x").agg(F.collect_list("e").alias("members"))
+        some = some.join(wide.select("region", "x", *sides), ["region", "x"]).select("region", "share", "members", "x", *sides)
+        some = whole.unionByName(some).repartition("region", "share").sortWithinPartitions("region", "share", "x")
         edges = edges.unionByName(materialize(some.mapInArrow(joined, "a long, b long"), "links"))
         large = cells.where(F.col("m") > SMALL)
         if not large.limit(1).count():
