@@ -152,7 +152,9 @@ def probed(entries: DataFrame, questions: DataFrame, codes: Codes) -> DataFrame:
     return buckets.join(probes, ["table", "value"]).where(apart <= codes.radius).select("question", "entry").distinct()
 
 
-def search(vectors: DataFrame, queries: Column, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, target: float = 0.99) -> DataFrame:
+def search(
+    vectors: DataFrame, queries: Column, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, target: float = 0.99,
+) -> DataFrame:
     """The ``k`` rows with the largest inner product found for each query row, the query's own row aside.
 
     Rotations are learned on a bounded sample (SAMPLE rows with the least hashes of their ids); all rows are coded and
@@ -173,7 +175,9 @@ def search(vectors: DataFrame, queries: Column, *, id_col: str = "vec_id", vecto
     sane = vectors.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v"), F.coalesce(queries, F.lit(False)).alias("asks"))
     sane = sane.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & finite & F.exists("v", lambda x: x != 0))
     spark = vectors.sparkSession
-    usual = sane.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)).alias("norm2")).orderBy(F.desc("n"), "d").first()
+    usual = sane.groupBy(F.size("v").alias("d")).agg(
+        F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)).alias("norm2"),
+    ).orderBy(F.desc("n"), "d").first()
     if usual is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     sane = sane.where(F.size("v") == usual["d"])
@@ -190,13 +194,20 @@ def search(vectors: DataFrame, queries: Column, *, id_col: str = "vec_id", vecto
             subs = [pa.array(list(held.value.substrings(b)), pa.list_(pa.int64())) if len(batch) else pa.array([], pa.list_(pa.int64())) for b in bits]
             yield pa.RecordBatch.from_arrays([ids, vs, asks, *arrays, *subs], names=["ids", "v", "asks", "code", "query_code", "subs", "query_subs"])
 
-    once = sane.groupBy("vec_id").agg(F.min(F.struct(F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(3), "v").alias("h2"), "v", "asks")).alias("r")).select("vec_id", "r.*")
+    once = sane.groupBy("vec_id").agg(F.min(F.struct(
+        F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(3), "v").alias("h2"), "v", "asks",
+    )).alias("r")).select("vec_id", "r.*")
     once = materialize(once, "vectors")
     first = Window.partitionBy("h1", "h2").orderBy("vec_id")
     few = once.withColumn("n", F.row_number().over(first)).where(F.col("n") <= k + 1)
     asked = once.where("asks").select("h1", "h2").distinct().withColumn("asks", F.lit(True))
-    entries = few.groupBy("h1", "h2").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"), F.min_by("v", "vec_id").alias("v")).join(asked, ["h1", "h2"], "left")
-    entries = entries.select("ids", "v", F.coalesce("asks", F.lit(False)).alias("asks")).mapInArrow(coded, "ids array<long>, v array<double>, asks boolean, code array<long>, query_code array<long>, subs array<long>, query_subs array<long>")
+    entries = few.groupBy("h1", "h2").agg(
+        F.sort_array(F.collect_list("vec_id")).alias("ids"), F.min_by("v", "vec_id").alias("v"),
+    ).join(asked, ["h1", "h2"], "left")
+    entries = entries.select("ids", "v", F.coalesce("asks", F.lit(False)).alias("asks")).mapInArrow(
+        coded,
+        "ids array<long>, v array<double>, asks boolean, code array<long>, query_code array<long>, subs array<long>, query_subs array<long>",
+    )
     entries = materialize(entries.withColumn("entry", F.col("ids")[0]), "index")
     questions = entries.where("asks").select(F.col("entry").alias("question"), F.col("v").alias("asked"), "query_code", "query_subs")
 
@@ -216,8 +227,14 @@ def search(vectors: DataFrame, queries: Column, *, id_col: str = "vec_id", vecto
     if n_queries:
         row_blocks, query_blocks = max(1, -(-n_rows // BLOCK_ROWS)), max(1, -(-n_queries // BLOCK_QUERIES))
         dealt = lambda n, c: F.pmod(F.xxhash64(F.lit(n), c), F.lit(n)).cast("int")
-        index = entries.select(dealt(row_blocks, "entry").alias("rows"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("queries"), "entry", "ids", "v")
-        asking = questions.select(dealt(query_blocks, "question").alias("queries"), F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1))).alias("rows"), "question", "asked")
+        index = entries.select(
+            dealt(row_blocks, "entry").alias("rows"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("queries"), "entry",
+            "ids", "v",
+        )
+        asking = questions.select(
+            dealt(query_blocks, "question").alias("queries"), F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1))).alias("rows"),
+            "question", "asked",
+        )
 
         def cell(index: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
             out = {"question": [], "ids": [], "score": []}

@@ -67,7 +67,9 @@ loads = pickle.loads
 def table(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     """Cells as an Arrow batch."""
     block, part, payload = zip(*rows)
-    return pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), pa.array(part, pa.int64()), pa.array(payload, pa.binary())], names=["block", "part", "payload"])
+    return pa.RecordBatch.from_arrays(
+        [pa.array(block, pa.int64()), pa.array(part, pa.int64()), pa.array(payload, pa.binary())], names=["block", "part", "payload"],
+    )
 
 
 def levels_for(df: DataFrame) -> int:

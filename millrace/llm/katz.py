@@ -130,7 +130,10 @@ def katz_scores(docs: DataFrame, train: Column, *, order: int = 3, id_col: str =
     ids keep their rows; without any training row every word is equally unknown and scores 0; an empty table gives no rows.
     """
     levels = blocks.levels_for(docs)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
+    rows = docs.select(
+        F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"),
+        F.coalesce(train, F.lit(False)).alias("train"),
+    )
 
     def counted(block: int, grams: Grams, sizes: np.ndarray, taught: np.ndarray, k: int) -> list:
         """Cells of the grams of order ``k``: training counts, and how often held-out tokens have one as their history."""
@@ -265,11 +268,17 @@ def katz_scores(docs: DataFrame, train: Column, *, order: int = 3, id_col: str =
             weight = np.log10(np.maximum(1 - seen, 1e-12) / np.maximum(1 - lower, 1e-12))
             for doc, name, often in waits:
                 doc_log = doc_log + np.bincount(doc, weight[np.searchsorted(names[0], name)] * often, len(sizes))
-        return pd.DataFrame({"doc_id": pd.array(ids, dtype="Int64"), "n_tokens": sizes, "n_known": known, "train_tokens": total, "base_score": doc_base, "score": doc_log})
+        return pd.DataFrame({
+            "doc_id": pd.array(ids, dtype="Int64"), "n_tokens": sizes, "n_known": known, "train_tokens": total, "base_score": doc_base,
+            "score": doc_log,
+        })
 
     told = blocks.labelled("1", answers[0])
     for k in range(2, order + 1):
         told = told.unionByName(blocks.labelled(str(k), answers[k - 1]))
     partial = materialize(blocks.meet(states, told, seen_part, blocks.CELL), "seen")
     weights = blocks.labelled("weights", blocks.sums(partial.where("part >= 0"), levels)).unionByName(blocks.labelled("names", partial.where("part = -2")))
-    return blocks.meet(partial.where("part = -1"), weights, whole, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return blocks.meet(
+        partial.where("part = -1"), weights, whole,
+        "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double",
+    )

@@ -79,7 +79,10 @@ def learn(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang") ->
                     held[i] = held[i] + c if i in held else c
         for i, c in held.items():
             at = np.nonzero(c)[0]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), i), pa.int32()), pa.array(at, pa.int32()), pa.array(c[at], pa.int64())], names=["language", "bucket", "n"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(at), i), pa.int32()), pa.array(at, pa.int32()), pa.array(c[at], pa.int64())],
+                names=["language", "bucket", "n"],
+            )
 
     counts = rows.mapInArrow(count, "language int, bucket int, n long").groupBy("language", "bucket").agg(F.sum("n").alias("n")).toPandas()
     table = np.zeros((1 << bits, len(languages)))

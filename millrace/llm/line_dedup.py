@@ -46,7 +46,12 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     dropped = held.join(frequent, ["a", "b"]).where(F.col("doc") < F.col("keeper")).groupBy("doc").agg(F.collect_list(F.struct("a", "b")).alias("drop"))
     marked = docs.select(F.struct("*").alias("row"), doc.alias("key")).join(dropped, F.col("key") == F.col("doc"), "left").select("row", "drop")
     whole = F.split(F.coalesce(F.col(f"row.{text_col}"), F.lit("")), "\n", -1)
-    parts = marked.select("row", whole.alias("lines"), "drop").select("row", "lines", F.when(F.col("drop").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x: ~F.coalesce(F.array_contains(F.col("drop"), hashed(x)), F.lit(False)))).alias("stay"))
+    parts = marked.select("row", whole.alias("lines"), "drop").select(
+        "row", "lines",
+        F.when(F.col("drop").isNull(), F.col("lines")).otherwise(F.filter(
+            "lines", lambda x: ~F.coalesce(F.array_contains(F.col("drop"), hashed(x)), F.lit(False)),
+        )).alias("stay"),
+    )
     n_lines, n_stay = F.size("lines").cast("long"), F.size("stay").cast("long")
     same = n_lines == n_stay
     keep = [F.col(f"row.`{c}`").alias(c) if c != text_col else F.when(same, F.col(f"row.`{c}`")).otherwise(F.array_join("stay", "\n")).alias(c) for c in docs.columns if c not in ("n_lines", "n_dropped")]

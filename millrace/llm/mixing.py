@@ -171,7 +171,10 @@ def mix(
     own = ["_source", "_order", "_size", "mix_slot", "mix_block", "mix_start"]
     columns = [c for c in docs.columns if c not in own]
     source = F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("null"))
-    keyed = docs.select(*[F.col(f"`{c}`") for c in columns], source.alias("_source"), F.xxhash64(F.col(id_col)).alias("_order"), F.greatest(F.coalesce(size, F.lit(0)), F.lit(0)).alias("_size"))
+    keyed = docs.select(
+        *[F.col(f"`{c}`") for c in columns], source.alias("_source"), F.xxhash64(F.col(id_col)).alias("_order"),
+        F.greatest(F.coalesce(size, F.lit(0)), F.lit(0)).alias("_size"),
+    )
 
     def running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         so_far: dict[str, int] = {}

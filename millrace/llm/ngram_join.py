@@ -254,13 +254,19 @@ def _sets(rows: DataFrame, k: int, regions: Regions) -> DataFrame:
                     stands += [(i, c, *x[1:]) for c, x in enumerate(regions.keys(s))]
             ids = np.arange(first + made, first + made + n)
             made += n
-            half = lambda at: pa.array([None if x is None else int.from_bytes(x[at : at + 8], "little", signed=True) for x in found], pa.int64())
-            own = {"row": pa.array(ids), "stand": pa.nulls(n, pa.int32()), "n": pa.array(size), "s1": half(0), "s2": half(8), "need": pa.nulls(n, pa.int32())}
+            half = lambda at: pa.array(
+                [None if x is None else int.from_bytes(x[at : at + 8], "little", signed=True) for x in found], pa.int64(),
+            )
+            own = {
+                "row": pa.array(ids), "stand": pa.nulls(n, pa.int32()), "n": pa.array(size), "s1": half(0), "s2": half(8),
+                "need": pa.nulls(n, pa.int32()),
+            }
             yield arrow({"kind": pa.array(np.zeros(n, np.int32))} | own | {"keys": pa.nulls(n, pa.list_(pa.int64()))} | dict(zip(batch.schema.names, batch.columns)))
             if stands:
                 at, stand, needs, keys = zip(*stands)
                 m = len(at)
-                own = {"row": pa.array(ids[list(at)]), "stand": pa.array(stand, pa.int32()), **{c: pa.nulls(m, pa.int64()) for c in ("n", "s1", "s2")}, "need": pa.array(needs, pa.int32()), "keys": lists(keys)}
+                own = {"row": pa.array(ids[list(at)]), "stand": pa.array(stand, pa.int32())} | {c: pa.nulls(m, pa.int64()) for c in ("n", "s1", "s2")}
+                own |= {"need": pa.array(needs, pa.int32()), "keys": lists(keys)}
                 yield arrow({"kind": pa.array(np.ones(m, np.int32))} | own | {f.name: pa.nulls(m, f.type) for f in batch.schema})
 
     return rows.mapInArrow(gather, f"{SETS}, {schema}")
@@ -290,7 +296,9 @@ def _assigned(stands: DataFrame, rows: DataFrame) -> DataFrame:
     strong = found.join(occupied, "key").groupBy("point", "stand").agg(F.count("*").alias("n"), F.sum("points").alias("central"))
     strong = strong.join(needs, ["point", "stand"]).where("n >= need").select("point", "stand", "need", "central")
     alive = materialize(found.join(strong, ["point", "stand"]), "alive")
-    pivots = alive.groupBy("key").agg(F.max(F.struct("central", (-F.col("point")).alias("p"))).alias("best"), F.count("*").alias("points")).where("points > 1")
+    pivots = alive.groupBy("key").agg(
+        F.max(F.struct("central", (-F.col("point")).alias("p"))).alias("best"), F.count("*").alias("points"),
+    ).where("points > 1")
     votes = alive.join(pivots.select("key", (-F.col("best.p")).alias("pivot")), "key").where("point != pivot")
     votes = votes.groupBy("point", "stand", "need", "pivot").agg(F.count("*").alias("n"))
     rising = Window.partitionBy("point", "stand").orderBy("n", "pivot")
@@ -298,7 +306,10 @@ def _assigned(stands: DataFrame, rows: DataFrame) -> DataFrame:
     return materialize(kept.select(F.col("point").alias("x"), "pivot").distinct(), "assigned")
 
 
-def near_duplicates(docs: DataFrame, *, k: int = 5, threshold: Fraction | float = Fraction(4, 5), id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = ()) -> DataFrame:
+def near_duplicates(
+    docs: DataFrame, *, k: int = 5, threshold: Fraction | float = Fraction(4, 5), id_col: str = "doc_id", text_col: str = "text",
+    carry: Sequence[str] = (),
+) -> DataFrame:
     """Components of documents linked by Jaccard similarity of their distinct word ``k``-grams, exactly.
 
     Equal sets (by a 128-bit hash) are one point of the metric space. ``Regions`` tells points that can't have a partner,
@@ -324,7 +335,9 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, threshold: Fraction | float
     carry = [c for c in carry if c not in ("doc_id", "n_shingles", "component_id", "first")]
     others = [c for c in carry if c != text_col]
     rest = [F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)]).alias("rest")] if others else []
-    sets = materialize(_sets(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *rest), k, regions), "sets", by="kind")
+    sets = materialize(_sets(
+        docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *rest), k, regions,
+    ), "sets", by="kind")
     each = sets.where("kind = 0")
     worded = each.where("n > 0").select("row", "id", "n", "s1", "s2")
     points = worded.groupBy("s1", "s2").agg(F.min("row").alias("point"))
@@ -344,7 +357,9 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, threshold: Fraction | float
                 out.append((str(pivot), pivot, len(p), len(s), len(plus) + len(minus), regions.near(len(plus) + len(minus), len(s) + len(p)), plus, minus))
             region, pivot, pivot_n, n, delta, ball, plus, minus = zip(*out) if out else [()] * 8
             ints = lambda v: pa.array(v, pa.int64())
-            yield arrow({"region": pa.array(region, pa.string()), "pivot": ints(pivot), "pivot_n": ints(pivot_n), "x": xs, "n": ints(n), "delta": ints(delta), "ball": pa.array(ball, pa.bool_()), "plus": binary(plus), "minus": binary(minus)})
+            points = {"pivot": ints(pivot), "pivot_n": ints(pivot_n), "x": xs, "n": ints(n), "delta": ints(delta)}
+            sides = {"ball": pa.array(ball, pa.bool_()), "plus": binary(plus), "minus": binary(minus)}
+            yield arrow({"region": pa.array(region, pa.string())} | points | sides)
 
     def shown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The prefix of each difference, in an order that all points of a pivot share: what they have more first."""
@@ -369,7 +384,8 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, threshold: Fraction | float
                 plus, minus = np.sort(np.concatenate((less(px, pp), less(mp, mx)))), np.sort(np.concatenate((less(pp, px), less(mx, mp))))
                 out.append((len(plus) + len(minus), regions.near(len(plus) + len(minus), total), plus, minus))
             delta, ball, plus, minus = zip(*out) if out else [()] * 4
-            yield arrow({"region": region, "pivot": pivot, "pivot_n": pivot_n, "x": x, "n": n, "delta": pa.array(delta, pa.int64()), "ball": pa.array(ball, pa.bool_()), "plus": binary(plus), "minus": binary(minus)})
+            points = {"region": region, "pivot": pivot, "pivot_n": pivot_n, "x": x, "n": n, "delta": pa.array(delta, pa.int64())}
+            yield arrow(points | {"ball": pa.array(ball, pa.bool_()), "plus": binary(plus), "minus": binary(minus)})
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Links between the points of each small region. Rows (region, share, x, members, ...) of one share follow each
@@ -404,19 +420,26 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, threshold: Fraction | float
 
     picked = assigned.select(F.col("x").alias("row")).unionByName(assigned.select(F.col("pivot").alias("row"))).distinct()
     texts = materialize(each.select("row", "text").join(picked, "row"), "texts")
-    pairs = assigned.join(texts.select(F.col("row").alias("x"), F.col("text").alias("text_x")), "x").join(texts.select(F.col("row").alias("pivot"), F.col("text").alias("text_p")), "pivot")
+    pairs = assigned.join(texts.select(F.col("row").alias("x"), F.col("text").alias("text_x")), "x")
+    pairs = pairs.join(texts.select(F.col("row").alias("pivot"), F.col("text").alias("text_p")), "pivot")
     balls = materialize(pairs.select("x", "pivot", "text_x", "text_p").mapInArrow(against, BALLS), "balls")
     edges = balls.where("ball").select(F.col("x").alias("a"), F.col("pivot").alias("b"))
 
     sides = ["n", "ball", "plus", "minus"]
     while True:
-        open_ = balls.groupBy("region").agg(F.count("*").alias("m"), F.count_if(~F.col("ball")).alias("out")).where("m > 1 and out > 0").select("region", "m")
+        open_ = balls.groupBy("region").agg(
+            F.count("*").alias("m"), F.count_if(~F.col("ball")).alias("out"),
+        ).where("m > 1 and out > 0").select("region", "m")
         held = materialize(balls.join(open_, "region"), "open")
-        whole = held.where(F.col("m") <= SMALL).select("region", F.lit(0).cast("long").alias("share"), F.array(F.lit(0).cast("long")).alias("members"), "x", *sides)
+        whole = held.where(F.col("m") <= SMALL).select(
+            "region", F.lit(0).cast("long").alias("share"), F.array(F.lit(0).cast("long")).alias("members"), "x", *sides,
+        )
         wide = held.where(F.col("m") > SMALL)
-        cast = wide.select("region", "x", "n", "delta", "ball", "pivot_n", "plus", "minus").mapInArrow(shown, "region string, x long, n long, delta long, ball boolean, members array<long>")
+        cast = wide.select("region", "x", "n", "delta", "ball", "pivot_n", "plus", "minus")
+        cast = cast.mapInArrow(shown, "region string, x long, n long, delta long, ball boolean, members array<long>")
         cast = materialize(cast.select("region", "x", "n", "delta", "ball", F.explode("members").alias("e")), "shown")
-        cells = cast.groupBy("region", "e").agg(F.count("*").alias("m"), F.count_if(~F.col("ball")).alias("out"), F.min(F.struct("delta", "x")).alias("least")).where("m > 1 and out > 0")
+        outside, least = F.count_if(~F.col("ball")).alias("out"), F.min(F.struct("delta", "x")).alias("least")
+        cells = cast.groupBy("region", "e").agg(F.count("*").alias("m"), outside, least).where("m > 1 and out > 0")
         cells = materialize(cells, "cells")
         # members of a wide region are dealt over shares, so that a point's difference is sent once for each share
         some = cast.join(cells.where(F.col("m") <= SMALL), ["region", "e"]).select("region", "e", "x").join(open_, "region")
@@ -428,11 +451,13 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, threshold: Fraction | float
         large = cells.where(F.col("m") > SMALL)
         if not large.limit(1).count():
             break
-        dealt = cast.join(large.select("region", "e", F.col("least.x").alias("pivot")), ["region", "e"]).where("x != pivot").select("region", "pivot", "x").distinct()
+        dealt = cast.join(large.select("region", "e", F.col("least.x").alias("pivot")), ["region", "e"]).where("x != pivot")
+        dealt = dealt.select("region", "pivot", "x").distinct()
         for end in ("x", "pivot"):
-            side = balls.select("region", F.col("x").alias(end), F.col("n").alias(f"n_{end}"), F.col("plus").alias(f"plus_{end}"), F.col("minus").alias(f"minus_{end}"))
+            side = balls.select("region", F.col("x").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in ("n", "plus", "minus")])
             dealt = dealt.join(side, ["region", end])
-        dealt = dealt.select(F.concat_ws("/", "region", "pivot").alias("region"), "pivot", F.col("n_pivot").alias("pivot_n"), "x", F.col("n_x").alias("n"), "plus_pivot", "minus_pivot", "plus_x", "minus_x")
+        below = [F.concat_ws("/", "region", "pivot").alias("region"), "pivot", F.col("n_pivot").alias("pivot_n"), "x", F.col("n_x").alias("n")]
+        dealt = dealt.select(*below, "plus_pivot", "minus_pivot", "plus_x", "minus_x")
         balls = materialize(dealt.mapInArrow(moved, BALLS), "balls")
         edges = edges.unionByName(balls.where("ball").select(F.col("x").alias("a"), F.col("pivot").alias("b")))
 

@@ -131,7 +131,10 @@ def windows_of(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, int]:
         windows += 1
 
 
-def pack(docs: DataFrame, id_col: str | Column, text_col: str | Column, tokenizer_path: str, *, capacity: int = 1024, fragment: int = 256, group: int = 640, end_id: int = 0, carry: str | None = None) -> DataFrame:
+def pack(
+    docs: DataFrame, id_col: str | Column, text_col: str | Column, tokenizer_path: str, *, capacity: int = 1024, fragment: int = 256,
+    group: int = 640, end_id: int = 0, carry: str | None = None,
+) -> DataFrame:
     """Pack every document's token ids, each followed by ``end_id``, into sequences of at most ``capacity``.
 
     A document gives as many whole windows as it fills; its remainder is cut into fragments of at most ``fragment``
@@ -148,7 +151,10 @@ def pack(docs: DataFrame, id_col: str | Column, text_col: str | Column, tokenize
     as_col = lambda c: F.col(c) if isinstance(c, str) else c
     schema = "doc_id long, start long, length long, tokens binary, doc_tokens long, sequence_id long, offset long"
     names = ["doc_id", "start", "length", "tokens", "doc_tokens", "sequence_id", "offset"]
-    arrow = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("tokens", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
+    arrow = pa.schema([
+        ("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("tokens", pa.binary()), ("doc_tokens", pa.int64()),
+        ("sequence_id", pa.int64()), ("offset", pa.int64()),
+    ])
     if carry:
         schema, names, arrow = f"{schema}, `{carry}` long", [*names, carry], arrow.append(pa.field(carry, pa.int64()))
     if not 1 <= fragment <= capacity:
@@ -208,4 +214,7 @@ def pack(docs: DataFrame, id_col: str | Column, text_col: str | Column, tokenize
             deal()
             yield out()
 
-    return docs.select(as_col(id_col).cast("long").alias("doc_id"), as_col(text_col).cast("string").alias("text"), *[F.col(c).cast("long") for c in [carry] if c]).mapInArrow(run, schema)
+    return docs.select(
+        as_col(id_col).cast("long").alias("doc_id"), as_col(text_col).cast("string").alias("text"),
+        *[F.col(c).cast("long") for c in [carry] if c],
+    ).mapInArrow(run, schema)

@@ -119,7 +119,9 @@ def _is(kind: int):
     return lambda s: s["kind"] == kind
 
 
-def find_personal_data(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rounds: int = 3, least_instances: int = 3, confidence: float = 0.8) -> DataFrame:
+def find_personal_data(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rounds: int = 3, least_instances: int = 3, confidence: float = 0.8,
+) -> DataFrame:
     """Personal data in every whole text: base shapes, and identifiers of looser shapes in contexts those induce.
 
     Every base find is a seed instance (its kind and surface) with confidence 1. The words around finds and around
@@ -135,7 +137,10 @@ def find_personal_data(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     names. Null or empty text has none; very long texts are searched whole; repeated or null ids keep their rows; equal
     finds are one instance; an empty table gives no rows.
     """
-    mention = pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("seed", pa.bool_()), ("instance", pa.int64()), ("patterns", pa.list_(pa.string()))])
+    mention = pa.struct([
+        ("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("seed", pa.bool_()), ("instance", pa.int64()),
+        ("patterns", pa.list_(pa.string())),
+    ])
     ddl = "array<struct<kind:int,start:bigint,end:bigint,seed:boolean,instance:bigint,patterns:array<string>>>"
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,11 +159,20 @@ def find_personal_data(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "mentions")
 
     each = rows.select("row", F.explode("mentions").alias("m")).select("row", "m.*")
-    edges = materialize(each.select("kind", "instance", "seed", F.explode("patterns").alias("pattern")).groupBy("kind", "pattern", "instance").agg(F.max("seed").alias("seed")), "edges")
+    edges = materialize(
+        each.select(
+            "kind", "instance", "seed", F.explode("patterns").alias("pattern"),
+        ).groupBy("kind", "pattern", "instance").agg(F.max("seed").alias("seed")),
+        "edges",
+    )
     trust = edges.where("not seed").select("kind", "instance").distinct().withColumn("trust", F.lit(0.0))
     for _ in range(rounds):
-        weighed = edges.join(trust, ["kind", "instance"], "left").withColumn("trust", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("trust", F.lit(0.0))))
-        patterns = weighed.groupBy("kind", "pattern").agg(F.sum("trust").alias("s"), F.count("*").alias("n"), F.count_if(F.col("trust") >= confidence).alias("trusted")).where(F.col("trusted") >= least_instances)
+        weighed = edges.join(trust, ["kind", "instance"], "left").withColumn(
+            "trust", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("trust", F.lit(0.0))),
+        )
+        patterns = weighed.groupBy("kind", "pattern").agg(
+            F.sum("trust").alias("s"), F.count("*").alias("n"), F.count_if(F.col("trust") >= confidence).alias("trusted"),
+        ).where(F.col("trusted") >= least_instances)
         good = patterns.select("kind", "pattern", (F.col("s") / (F.col("n") + 1)).alias("c"))
         doubt = F.exp(F.sum(F.log(F.greatest(1 - F.col("c"), F.lit(1e-9)))))
         trust = materialize(edges.where("not seed").join(good, ["kind", "pattern"]).groupBy("kind", "instance").agg((1 - doubt).alias("trust")), "trust")
@@ -168,7 +182,13 @@ def find_personal_data(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
     plain = lambda m: F.struct(m["kind"].alias("kind"), m["start"].alias("start"), m["end"].alias("end"))
     base = F.transform(F.filter("mentions", lambda m: m["seed"]), plain)
-    joined = rows.join(added, "row", "left").select("doc_id", F.array_sort(base).alias("base"), F.array_sort(F.concat(base, F.coalesce("added", F.array().cast("array<struct<kind:int,start:bigint,end:bigint>>")))).alias("spans"))
-    named = lambda a: F.transform(a, lambda s: F.struct(F.element_at(F.array(*map(F.lit, KINDS)), s["kind"] + 1).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+    joined = rows.join(added, "row", "left").select(
+        "doc_id", F.array_sort(base).alias("base"),
+        F.array_sort(F.concat(base, F.coalesce("added", F.array().cast("array<struct<kind:int,start:bigint,end:bigint>>")))).alias("spans"),
+    )
+    named = lambda a: F.transform(
+        a,
+        lambda s: F.struct(F.element_at(F.array(*map(F.lit, KINDS)), s["kind"] + 1).alias("kind"), s["start"].alias("start"), s["end"].alias("end")),
+    )
     counts = [F.size(F.filter("base", _is(i))).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
     return joined.select("doc_id", *counts, named("base").alias("base"), named("spans").alias("spans"))

@@ -19,7 +19,10 @@ SYMBOLS = "#*$%&|<>"
 UPPER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: The transformed statistics and the spread below which a difference in each says nothing (added to the covariance).
-FEATURES = {"log_words": 0.3, "log_word_length": 0.05, "root_symbols": 0.04, "root_dup_lines": 0.12, "root_repeats": 0.12, "root_upper": 0.04, "root_punctuation": 0.04}
+FEATURES = {
+    "log_words": 0.3, "log_word_length": 0.05, "root_symbols": 0.04, "root_dup_lines": 0.12, "root_repeats": 0.12, "root_upper": 0.04,
+    "root_punctuation": 0.04,
+}
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
@@ -53,7 +56,10 @@ def statistics(text: str | None) -> tuple[list[int], list[float]]:
         repeats = int(cover.sum())
     share = lambda x: math.sqrt(x / chars)
     upper, punctuation = len(raw) - len(raw.translate(None, UPPER)), len(raw) - len(raw.translate(None, PUNCTUATION))
-    return [n, word_chars, symbols, dup, repeats], [math.log1p(n), math.log(word_chars / n) if n else 0.0, share(symbols), math.sqrt(dup / max(1, lines)), math.sqrt(repeats / max(1, n)), share(upper), share(punctuation)]
+    return [n, word_chars, symbols, dup, repeats], [
+        math.log1p(n), math.log(word_chars / n) if n else 0.0, share(symbols), math.sqrt(dup / max(1, lines)),
+        math.sqrt(repeats / max(1, n)), share(upper), share(punctuation),
+    ]
 
 
 @F.pandas_udf(T.StructType([*(T.StructField(c, T.LongType()) for c in BASE), T.StructField("v", T.ArrayType(T.DoubleType()))]))
@@ -76,7 +82,9 @@ PAIRS = [(i, j) for i in range(P) for j in range(i, P)]
 FIT = "center array<double>, cov array<double>, inverse array<double>, logdet double"
 
 
-def shrunk(n: float, center: np.ndarray, cov: np.ndarray, parent: tuple[np.ndarray, np.ndarray] | None, prior: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+def shrunk(
+    n: float, center: np.ndarray, cov: np.ndarray, parent: tuple[np.ndarray, np.ndarray] | None, prior: float,
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """Center, covariance, its inverse and the log of its determinant: of n rows and ``prior`` rows like the parent's fit.
 
     The floors are added to the rows' own covariance, so that no direction is without spread.
@@ -105,7 +113,10 @@ def _starts(rows: DataFrame, key: str) -> DataFrame:
             m = np.stack([np.asarray(r, float) for r in x])
             both = []
             for start, spread in enumerate((FLOORS, FLOORS + (m[:, 2] - m[:, 0]) ** 2 / 1.82)):
-                both.append({"start": start, "center": m[:, 1], "cov": np.diag(spread).ravel(), "inverse": np.diag(1 / spread).ravel(), "logdet": float(np.log(spread).sum())})
+                both.append({
+                    "start": start, "center": m[:, 1], "cov": np.diag(spread).ravel(), "inverse": np.diag(1 / spread).ravel(),
+                    "logdet": float(np.log(spread).sum()),
+                })
             out.append(both)
         return pd.Series(out, dtype=object)
 
@@ -113,7 +124,10 @@ def _starts(rows: DataFrame, key: str) -> DataFrame:
     return found.select(key, F.explode(made("q")).alias("f")).select(key, "f.*")
 
 
-def fits(rows: DataFrame, key: str, parent: str | None = None, parents: DataFrame | None = None, *, share: float = 0.75, prior: float = 100.0, steps: int = 20) -> DataFrame:
+def fits(
+    rows: DataFrame, key: str, parent: str | None = None, parents: DataFrame | None = None, *, share: float = 0.75, prior: float = 100.0,
+    steps: int = 20,
+) -> DataFrame:
     """(key, center, cov, inverse, logdet): the minimum-covariance-determinant estimate of ``v`` for every value of ``key``.
 
     From each start, concentration steps fit center and covariance to the ``share`` of the group's rows nearest to the last
@@ -215,7 +229,10 @@ def quality_rules(
     Statistics cover all rows that pass the base rules.
     """
     lang, source = F.col(lang_col).cast("string"), F.col(source_col).cast("string")
-    groups = [F.lit("all").alias("k0"), F.to_json(F.struct(lang.alias("l"))).alias("k1"), F.to_json(F.struct(lang.alias("l"), source.alias("s"))).alias("k2")]
+    groups = [
+        F.lit("all").alias("k0"), F.to_json(F.struct(lang.alias("l"))).alias("k1"),
+        F.to_json(F.struct(lang.alias("l"), source.alias("s"))).alias("k2"),
+    ]
     rows = docs.select(F.col(id_col).alias("doc_id"), *groups, _statistics(F.col(text_col).cast("string")).alias("s"))
     failed: Column = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat * F.col("n_words"))
     rows = materialize(rows.select("doc_id", "k0", "k1", "k2", "s.*").withColumn("base_failed", failed), "statistics")

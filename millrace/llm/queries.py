@@ -46,7 +46,9 @@ def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import find_personal_data
 
     found = find_personal_data(documents(spark, sf_dir))
-    joined = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    joined = lambda c: F.array_join(
+        F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",",
+    )
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
 
 
@@ -144,5 +146,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("tokens").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_personal_data, op3_token_counts, op4_nearest, op5_ngram_join, op6_quality_rules, op7_language_id, op8_lm_scoring, op9_mixing, op10_packing)}
+QUERIES = {f.__name__: f for f in (
+    op1_line_dedup, op2_personal_data, op3_token_counts, op4_nearest, op5_ngram_join, op6_quality_rules, op7_language_id, op8_lm_scoring,
+    op9_mixing, op10_packing,
+)}
 ORACLES = {"op1_line_dedup": OP1_SQL, "op5_ngram_join": OP5_SQL}

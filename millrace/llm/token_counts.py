@@ -85,7 +85,9 @@ def token_counts(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id"
 
         def _rows(block, at, word, payload, of):
             listed = pa.array([None if x is None else x.to_pylist() for x in of], pa.list_(id_type))
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(at), block)), at, word, payload, listed], names=["block", "at", "word", "payload", "ids"])
+            return pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(at), block)), at, word, payload, listed], names=["block", "at", "word", "payload", "ids"],
+            )
 
         id_type = None
         for batch in batches:

@@ -45,7 +45,9 @@ def test_empty_table(spark, name):
 
 def test_lines(spark):
     line = "A shared line that is long enough to be counted"
-    rows = [(i, f"{line.upper() if i == 2 else line}\nown {i}\n{line}", "en", "s", 1) for i in range(1, 6)] + [(9, line[:20], "en", "s", 1), (10, None, "en", "s", 1)]
+    rows = [(
+        i, f"{line.upper() if i == 2 else line}\nown {i}\n{line}", "en", "s", 1,
+    ) for i in range(1, 6)] + [(9, line[:20], "en", "s", 1), (10, None, "en", "s", 1)]
     got = {r.doc_id: r for r in line_dedup.line_dedup(spark.createDataFrame(rows, H.DOCS), min_chars=40, min_docs=5).collect()}
     assert got[1].text == "own 1" and got[1].n_dropped == 2 and got[1].n_lines == 3
     assert got[5].n_dropped == 0 and got[5].text == f"{line}\nown 5\n{line}"
@@ -82,7 +84,10 @@ def test_personal_data_bootstraps(spark):
 def test_personal_data_found_in_one_round_induces_the_next(spark):
     rows = [(i, f"you can call my number {'+1 (555) 010-%04d' % i} tonight", "en", "s", 1) for i in range(30)]
     for i in range(100, 112):  # twelve unseen numbers in the seeds' context and, once more each, in one without any seed
-        rows += [(i, f"you can call my number 555 010 7{i} tonight", "en", "s", 1), (i + 100, f"please fax paper to 555 010 7{i} before noon", "en", "s", 1)]
+        rows += [
+            (i, f"you can call my number 555 010 7{i} tonight", "en", "s", 1),
+            (i + 100, f"please fax paper to 555 010 7{i} before noon", "en", "s", 1),
+        ]
     rows += [(300, "please fax paper to 555 010 9999 before noon", "en", "s", 1), (301, "please bring 555 010 9998 stones", "en", "s", 1)]
     got = {r.doc_id: r for r in pii.find_personal_data(spark.createDataFrame(rows, H.DOCS)).collect()}
     assert [s.kind for s in got[300].spans] == ["phone"] and not got[301].spans
@@ -100,7 +105,10 @@ def test_token_counts(spark, folder):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer_file("word_bpe_49k.json"))
-    odd = ["", "  ", "<|endoftext|>Hello’s world's 12345 <|startoftext|><|endoftext|>", "Ａｂｃ İstanbul é ﬁ", "\x00\x1c a b　c", "日本語テキスト१२३", "don'T we'LL", "a" * 3000, "😀👍🏽"]
+    odd = [
+        "", "  ", "<|endoftext|>Hello’s world's 12345 <|startoftext|><|endoftext|>", "Ａｂｃ İstanbul é ﬁ", "\x00\x1c a b　c", "日本語テキスト१२३",
+        "don'T we'LL", "a" * 3000, "😀👍🏽",
+    ]
     rows = [(i, x, "en", "s", 1) for i, x in enumerate(odd)]
     got = {r.doc_id: r for r in token_counts.token_counts(spark.createDataFrame(rows, H.DOCS), tokenizer_file("word_bpe_49k.json")).collect()}
     assert all(got[i].n_tokens == len(t.encode(x, add_special_tokens=False).ids) and got[i].n_bytes == len(x.encode()) for i, x in enumerate(odd))
@@ -175,7 +183,10 @@ def test_nearest_equal_vectors(spark):
 
 
 def test_nearest_few_and_bad_vectors(spark):
-    rows = [(0, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [0.5, 0.5]), (3, [2.0, 0.0]), (4, None), (5, [0.0, 0.0]), (6, [None, 1.0]), (7, [float("nan"), 1.0]), (8, [1.0]), (9, [float("inf"), 0.0])]
+    rows = [
+        (0, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [0.5, 0.5]), (3, [2.0, 0.0]), (4, None), (5, [0.0, 0.0]), (6, [None, 1.0]),
+        (7, [float("nan"), 1.0]), (8, [1.0]), (9, [float("inf"), 0.0]),
+    ]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     got = ann.search(df, F.col("vec_id") == 0, k=20).orderBy("rank").collect()
     assert [(r.vec_id, r.score) for r in got] == [(1, 2.0), (3, 2.0), (2, 0.5)]
@@ -283,7 +294,10 @@ def test_quality_counts(spark):
 
 def test_quality_keeps_good_and_drops_outliers(spark):
     found = queries.op6_quality_rules(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id")
-    r = found.where("not base_failed").agg(F.avg(F.when(F.col("quality") == 1, F.col("kept").cast("int"))).alias("good"), F.avg(F.when(F.col("quality") == 0, F.col("kept").cast("int"))).alias("bad")).first()
+    r = found.where("not base_failed").agg(
+        F.avg(F.when(F.col("quality") == 1, F.col("kept").cast("int"))).alias("good"),
+        F.avg(F.when(F.col("quality") == 0, F.col("kept").cast("int"))).alias("bad"),
+    ).first()
     assert r.good > 0.97 and r.bad < 0.5
 
 
@@ -346,7 +360,9 @@ def test_quality_rejects_every_labelled_bad_document(spark):
 def test_language(spark):
     docs = documents(spark, "/root/testdata/sf0.01")
     found = queries.op7_language_id(spark, "/root/testdata/sf0.01").join(docs.select("doc_id", "lang"), "doc_id")
-    r = found.where("held_out").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int")).alias("right"), F.min("score").alias("low"), F.max("score").alias("high")).first()
+    r = found.where("held_out").agg(
+        F.avg((F.col("lang") == F.col("lang_pred")).cast("int")).alias("right"), F.min("score").alias("low"), F.max("score").alias("high"),
+    ).first()
     assert r.right > 0.98 and 0 <= r.low and r.high <= 1
     one = spark.createDataFrame([(1, "123 !"), (2, None), (3, "")], "doc_id long, text string")
     model = language_id.learn(docs)
@@ -493,7 +509,9 @@ def flow(share, blocks, t):
     return had
 
 
-@pytest.mark.parametrize("blocks", [{"a": 100, "b": 60, "c": 30, "d": 10}, {"a": 7, "b": 150, "c": 33, "d": 9}, {"a": 900, "b": 20, "c": 400, "d": 1}])
+@pytest.mark.parametrize(
+    "blocks", [{"a": 100, "b": 60, "c": 30, "d": 10}, {"a": 7, "b": 150, "c": 33, "d": 9}, {"a": 900, "b": 20, "c": 400, "d": 1}],
+)
 def test_schedule(blocks):
     share = {"a": 50, "b": 30, "c": 15, "d": 5}
     segments = mixing.schedule(blocks, share)
