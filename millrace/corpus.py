@@ -66,7 +66,10 @@ class Corpus:
 
     def _prompt(self, q: str, hits: DataFrame, max_chars: int) -> str:
         none = F.lit(None).cast("string")
-        head = F.concat(titled(F.col("title")), F.lit(" — "), F.coalesce("url", F.lit("")), F.lit("\n"), meta_line(none, none, none, F.col("updated_at")))
+        head = F.concat(
+            titled(F.col("title")), F.lit(" — "), F.coalesce("url", F.lit("")), F.lit("\n"),
+            meta_line(none, none, none, F.col("updated_at")),
+        )
         entries = hits.select(F.lit(1).alias("query_id"), "rank", head.alias("head"), strip_marks(F.col("snippet")).alias("snippet"), "body")
         row = plans.context(entries, max_chars).first()
         return f"Context:\n{row['context'] if row else ''}\nQuestion: {q}"
@@ -75,7 +78,9 @@ class Corpus:
         """The context and the question, as a text within the budget: the one row that comes to the driver."""
         return self._prompt(q, self.search(q, options), max_chars)
 
-    def ask(self, q: str, complete: Callable[[str], str], options: SearchOptions = SearchOptions(), *, max_chars: int = 12000) -> tuple[str, DataFrame]:
+    def ask(
+        self, q: str, complete: Callable[[str], str], options: SearchOptions = SearchOptions(), *, max_chars: int = 12000,
+    ) -> tuple[str, DataFrame]:
         """A model's answer, and its citations, both from one search; its rows, at most 50, are held on the driver."""
         found = self.search(q, options)
         hits = self.sources.sparkSession.createDataFrame(found.collect(), found.schema)

@@ -72,7 +72,9 @@ def human_bytes(n: Column) -> Column:
     out = F.when(n == 0, F.lit("-")).when(n < 1024, F.concat(n.cast("string"), F.lit(" B")))
     for power, unit in enumerate("KMGTPE", 1):
         scaled = F.format_string("%.1f", F.bround(n / F.lit(float(1024**power)), 1))
-        out = out.otherwise(F.concat(scaled, F.lit(f" {unit}B"))) if unit == "E" else out.when(n < 1024 ** (power + 1), F.concat(scaled, F.lit(f" {unit}B")))
+        out = out.otherwise(F.concat(scaled, F.lit(f" {unit}B"))) if unit == "E" else out.when(
+            n < 1024 ** (power + 1), F.concat(scaled, F.lit(f" {unit}B")),
+        )
     return out
 
 
@@ -112,7 +114,10 @@ def titled(c: Column) -> Column:
 def meta_line(status: Column, kind: Column, assignee: Column, updated: Column) -> Column:
     """Status, type, assignee and day of update, those there are, with a line's end; empty if none is."""
     part = lambda label, c: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(f"{label}: "), c))
-    line = F.concat_ws(" | ", part("Status", status), part("Type", kind), part("Assignee", assignee), part("Updated", F.date_format(updated, "yyyy-MM-dd")))
+    line = F.concat_ws(
+        " | ", part("Status", status), part("Type", kind), part("Assignee", assignee),
+        part("Updated", F.date_format(updated, "yyyy-MM-dd")),
+    )
     return F.when(line == "", "").otherwise(F.concat(line, F.lit("\n")))
 
 

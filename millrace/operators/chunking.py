@@ -151,7 +151,10 @@ def _rows(docs: DataFrame, id_col: str, chunks: Column) -> DataFrame:
     return docs.select(id_col, F.posexplode(chunks).alias("chunk_index", "_c")).select(id_col, "chunk_index", "_c.*")
 
 
-def document_chunks(docs: DataFrame, options: ChunkOptions = ChunkOptions(), *, encoder: Encoder = WORDS, id_col: str = "doc_id", title_col: str = "title", body_col: str = "body") -> DataFrame:
+def document_chunks(
+    docs: DataFrame, options: ChunkOptions = ChunkOptions(), *, encoder: Encoder = WORDS, id_col: str = "doc_id", title_col: str = "title",
+    body_col: str = "body",
+) -> DataFrame:
     """Chunks of documents, headings aside: title and body as one if they fit, else packed paragraphs. Blank bodies have
     none."""
 
@@ -161,14 +164,18 @@ def document_chunks(docs: DataFrame, options: ChunkOptions = ChunkOptions(), *,
         for title, body in zip(titles, bodies):
             body = (body or "").strip(SPACE)
             whole = f"# {title or ''}\n\n{body}"
-            texts = [] if not body else [whole] if encoder.count(whole) <= options.max_tokens else packed(pieces(whole, options.max_tokens, encoder), options, encoder)
+            texts = [] if not body else [whole] if encoder.count(whole) <= options.max_tokens else packed(
+                pieces(whole, options.max_tokens, encoder), options, encoder,
+            )
             out.append(_counted([("section", t) for t in texts], encoder))
         return pd.Series(out, dtype=object)
 
     return _rows(docs, id_col, run(F.col(title_col), F.col(body_col)))
 
 
-def page_chunks(docs: DataFrame, options: ChunkOptions = ChunkOptions(), *, encoder: Encoder = WORDS, id_col: str = "doc_id", body_col: str = "body") -> DataFrame:
+def page_chunks(
+    docs: DataFrame, options: ChunkOptions = ChunkOptions(), *, encoder: Encoder = WORDS, id_col: str = "doc_id", body_col: str = "body",
+) -> DataFrame:
     """Chunks of pages: a section each, or its packed paragraphs where it is over the budget."""
 
     @F.pandas_udf(CHUNKS)
@@ -193,7 +200,10 @@ def issue_chunks(issues: DataFrame, options: ChunkOptions = ChunkOptions(4000, 2
     """
     from .feed import comment_text
 
-    head = F.concat(F.lit("# "), F.coalesce("title", F.lit("")), F.lit(" ("), F.col(id_col), F.lit(")\n\n"), F.when(F.coalesce("description", F.lit("")) != "", F.concat(F.regexp_replace("description", r"\n+\z", ""), F.lit("\n"))).otherwise(""))
+    head = F.concat(
+        F.lit("# "), F.coalesce("title", F.lit("")), F.lit(" ("), F.col(id_col), F.lit(")\n\n"),
+        F.when(F.coalesce("description", F.lit("")) != "", F.concat(F.regexp_replace("description", r"\n+\z", ""), F.lit("\n"))).otherwise(""),
+    )
     said = F.transform("comments", comment_text)
 
     @F.pandas_udf(CHUNKS)

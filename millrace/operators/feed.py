@@ -24,9 +24,25 @@ def parsed_issues(feed: DataFrame, json_col: str = "json") -> DataFrame:
     error = F.when(F.col("_i").isNull(), "not JSON").when(key == "", "key is required").when(title == "", "title is required").when(at.isNull(), "updated_at is required")
     project = F.when(blank("_i.project") != "", blank("_i.project")).otherwise(key_prefix(key))
     given = F.coalesce("_i.extra", F.create_map().cast("map<string,string>"))
-    add = F.map_filter(F.create_map(F.lit("status"), F.col("_i.status"), F.lit("issue_type"), F.col("_i.issue_type"), F.lit("comment_count"), F.coalesce(F.size("_i.comments"), F.lit(0)).cast("string")), lambda k, v: v.isNotNull() & (v != "") & ~F.map_contains_key(given, k))
-    links = F.transform(F.coalesce("_i.links", F.array().cast("array<struct<target_type:string,target_key:string,kind:string>>")), lambda x: F.struct(F.when(blank(x["target_type"]) == "", "jira").otherwise(F.trim(x["target_type"])).alias("target_type"), F.trim(x["target_key"]).alias("target_key"), F.trim(x["kind"]).alias("kind")))
-    return rows.select(*feed.columns, key.alias("key"), title.alias("title"), project.alias("project"), at.alias("updated_at"), F.map_concat(given, add).alias("extra"), links.alias("links"), F.col("_i.description").alias("description"), F.col("_i.comments").alias("comments"), error.alias("error"))
+    add = F.map_filter(
+        F.create_map(
+            F.lit("status"), F.col("_i.status"), F.lit("issue_type"), F.col("_i.issue_type"), F.lit("comment_count"),
+            F.coalesce(F.size("_i.comments"), F.lit(0)).cast("string"),
+        ),
+        lambda k, v: v.isNotNull() & (v != "") & ~F.map_contains_key(given, k),
+    )
+    links = F.transform(
+        F.coalesce("_i.links", F.array().cast("array<struct<target_type:string,target_key:string,kind:string>>")),
+        lambda x: F.struct(
+            F.when(blank(x["target_type"]) == "", "jira").otherwise(F.trim(x["target_type"])).alias("target_type"),
+            F.trim(x["target_key"]).alias("target_key"), F.trim(x["kind"]).alias("kind"),
+        ),
+    )
+    return rows.select(
+        *feed.columns, key.alias("key"), title.alias("title"), project.alias("project"), at.alias("updated_at"),
+        F.map_concat(given, add).alias("extra"), links.alias("links"), F.col("_i.description").alias("description"),
+        F.col("_i.comments").alias("comments"), error.alias("error"),
+    )
 
 
 def comment_text(c):
@@ -57,9 +73,16 @@ def extracted_links(issues: DataFrame) -> DataFrame:
 
     edge = lambda k, kind: F.struct(F.trim(k).alias("target_key"), kind.alias("kind"))
     none = F.array().cast("array<struct<target_key:string,kind:string>>")
-    up = F.when(F.col("parent.key").isNotNull(), F.array(edge(F.col("parent.key"), F.when(F.lower("parent.issue_type") == "epic", "epic").otherwise("parent"))))
+    up = F.when(
+        F.col("parent.key").isNotNull(),
+        F.array(edge(F.col("parent.key"), F.when(F.lower("parent.issue_type") == "epic", "epic").otherwise("parent"))),
+    )
     down = F.transform("subtasks", lambda k: edge(k, F.lit("subtask")))
     out = F.transform("links", lambda x: edge(x["outward_key"], link_kind(x["outward"])))
     back = F.transform("links", lambda x: edge(x["inward_key"], link_kind(x["inward"])))
-    each = issues.select(F.col("key").alias("source_id"), F.explode(F.concat(*[F.coalesce(a, none) for a in (up, down, out, back)])).alias("e")).select("source_id", "e.*")
-    return each.where("target_key != '' and kind != '' and target_key != source_id").select("source_id", F.lit("jira").alias("target_type"), "target_key", "kind").distinct()
+    each = issues.select(
+        F.col("key").alias("source_id"), F.explode(F.concat(*[F.coalesce(a, none) for a in (up, down, out, back)])).alias("e"),
+    ).select("source_id", "e.*")
+    return each.where("target_key != '' and kind != '' and target_key != source_id").select(
+        "source_id", F.lit("jira").alias("target_type"), "target_key", "kind",
+    ).distinct()

@@ -95,7 +95,9 @@ def normalized_issues(raw: DataFrame, base_url: str, json_col: str = "json") ->
 
 def _next_state(stored: DataFrame, kind: str, rows: DataFrame, started: Column, failed: Column | None = None) -> DataFrame:
     """The marks after a run: that of ``kind`` moves to the latest time processed, and stays if the run failed or was empty."""
-    new = loads.next_watermark(rows, started, failed=failed).where("next_mark is not null").select(F.lit(kind).alias("source_type"), F.col("next_mark").alias("mark"))
+    new = loads.next_watermark(rows, started, failed=failed).where("next_mark is not null").select(
+        F.lit(kind).alias("source_type"), F.col("next_mark").alias("mark"),
+    )
     return loads.upsert(stored, new, ["source_type"], [F.col("mark")])
 
 
@@ -136,9 +138,14 @@ def normalized_pages(pages: DataFrame, base_url: str) -> DataFrame:
     path = F.transform(F.array_sort(F.collect_list(F.struct("pos", "above_title"))), lambda x: x["above_title"])
     crumbs = chain.join(titles, "above").groupBy("id").agg(F.array_join(path, " / ").alias("breadcrumb"))
     text = F.regexp_replace(F.coalesce(storage_markdown(F.col("storage")), F.lit("")), r"\n+\z", "")
-    head = F.concat(F.lit("# "), "title", F.lit("\n\n"), F.when(F.col("breadcrumb").isNotNull(), F.concat(F.lit("_"), "breadcrumb", F.lit("_\n\n"))).otherwise(""))
+    head = F.concat(
+        F.lit("# "), "title", F.lit("\n\n"),
+        F.when(F.col("breadcrumb").isNotNull(), F.concat(F.lit("_"), "breadcrumb", F.lit("_\n\n"))).otherwise(""),
+    )
     url = F.concat(F.lit(base_url.rstrip("/") + "/spaces/"), "space", F.lit("/pages/"), F.col("id").cast("string"))
-    return pages.join(crumbs, "id", "left").select("id", "title", "space", url.alias("url"), "updated_at", F.concat(head, text, F.lit("\n")).alias("body"))
+    return pages.join(crumbs, "id", "left").select(
+        "id", "title", "space", url.alias("url"), "updated_at", F.concat(head, text, F.lit("\n")).alias("body"),
+    )
 
 
 def ingest_pages(pages: DataFrame, stored: Tables, chunker: Chunker, *, base_url: str, started: Column) -> Tables:
@@ -146,7 +153,9 @@ def ingest_pages(pages: DataFrame, stored: Tables, chunker: Chunker, *, base_url
     last = loads.upsert(pages.limit(0), pages, ["id"], [F.col("updated_at"), F.col("version")])
     fresh = normalized_pages(last, base_url)
     known = fresh.select(F.col("id").cast("string").alias("number"), "space", "title", "url")
-    old = stored.sources.where("source_type = 'confluence'").select(F.col("source_key").alias("number"), F.col("project").alias("space"), "title", "url")
+    old = stored.sources.where("source_type = 'confluence'").select(
+        F.col("source_key").alias("number"), F.col("project").alias("space"), "title", "url",
+    )
     links = known.unionByName(old.join(known.select("number"), "number", "left_anti"))
     done = resolved(fresh, links, id_col="id")
     key = F.col("id").cast("string")
@@ -164,7 +173,9 @@ def document_feed(feed: DataFrame, json_col: str = "json") -> DataFrame:
     d = feed.withColumn("_d", F.from_json(json_col, DOCUMENT, {"mode": "PERMISSIVE"}))
     blank = lambda c: F.coalesce(F.trim(c), F.lit(""))
     error = F.when(blank("_d.id") == "", "id is required").when(blank("_d.text") == "", "text is required")
-    title = F.when(blank("_d.title") != "", F.trim("_d.title")).otherwise(title_of(F.col("_d.text"), F.coalesce("_d.filename", "_d.id"), F.lit("text")))
+    title = F.when(blank("_d.title") != "", F.trim("_d.title")).otherwise(title_of(
+        F.col("_d.text"), F.coalesce("_d.filename", "_d.id"), F.lit("text"),
+    ))
     return d.select(
         *feed.columns, F.trim("_d.id").alias("id"), title.alias("title"), F.nullif(blank("_d.project"), F.lit("")).alias("project"),
         F.col("_d.url").alias("url"), F.col("_d.text").alias("text"), parsed_time(F.col("_d.updated_at")).alias("updated_at"),

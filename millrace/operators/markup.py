@@ -17,7 +17,10 @@ SAME = {
 #: Panels of the storage format with their labels (fixed values).
 PANELS = {"info": "Info", "note": "Note", "warning": "Warning", "tip": "Tip", "success": "Success", "error": "Error"}
 #: Macros and nodes without text of their own (fixed values).
-DROPPED = {"toc", "children", "recently-updated", "contributors", "view-file", "lucidchart", "attachments", "script", "style", "media", "mediaSingle", "mediaGroup", "ac:image"}
+DROPPED = {
+    "toc", "children", "recently-updated", "contributors", "view-file", "lucidchart", "attachments", "script", "style", "media",
+    "mediaSingle", "mediaGroup", "ac:image",
+}
 MARKS = {"code": "`{}`", "strong": "**{}**", "em": "*{}*"}
 VOID = {"br", "hr", "img", "ri:page", "ri:user", "ri:attachment"}
 

@@ -30,7 +30,9 @@ def cover_density(found: DataFrame, terms: list[str], *, id_col: str = "chunk_id
     ends = found.select(id_col, "position", "nth", *[c.alias(f"last_{i}") for i, c in enumerate(last)])
     full = ends.where(" and ".join(f"last_{i} is not null" for i in range(len(terms))))
     start = F.least(*[F.col(f"last_{i}") for i in range(len(terms))]) if len(terms) > 1 else F.col("last_0")
-    covers = full.select(id_col, start.alias("start"), F.struct("position", "nth").alias("end")).groupBy(id_col, "start").agg(F.min("end").alias("end"))
+    covers = full.select(
+        id_col, start.alias("start"), F.struct("position", "nth").alias("end"),
+    ).groupBy(id_col, "start").agg(F.min("end").alias("end"))
     noise = (F.col("end.position") - F.col("start.position")) - (F.col("end.nth") - F.col("start.nth"))
     return covers.groupBy(id_col).agg(F.round(F.sum(F.lit(0.1) / (1 + noise)), PLACES).alias("f_score"))
 
@@ -57,7 +59,10 @@ def fuse(vector: DataFrame, text: DataFrame, weights: tuple[float, float]) -> Da
     one = both.groupBy("chunk_id").agg(F.max("v_score").alias("v_score"), F.max("f_score").alias("f_score"))
     top = F.max("f_score").over(Window.partitionBy())
     score = F.coalesce("v_score", F.lit(0.0)) * weights[0] + F.coalesce(F.col("f_score") / F.nullif(top, F.lit(0.0)), F.lit(0.0)) * weights[1]
-    return one.select("chunk_id", F.coalesce("v_score", F.lit(0.0)).alias("v_score"), F.coalesce("f_score", F.lit(0.0)).alias("f_score"), F.round(score, PLACES).alias("score"))
+    return one.select(
+        "chunk_id", F.coalesce("v_score", F.lit(0.0)).alias("v_score"), F.coalesce("f_score", F.lit(0.0)).alias("f_score"),
+        F.round(score, PLACES).alias("score"),
+    )
 
 
 def allowed(options: SearchOptions) -> Column:
@@ -129,7 +134,10 @@ def context(hits: DataFrame, max_chars: int = 12000, max_body: int = 4000) -> Da
         long = F.concat(head, cut(h["body"]), F.lit("\n\n"))
         entry = F.when((F.coalesce(h["body"], F.lit("")) != "") & (state["used"] + F.length(long) <= max_chars), long).otherwise(short)
         full = state["full"] | (state["used"] + F.length(entry) > max_chars)
-        return F.struct(F.when(full, state["used"]).otherwise(state["used"] + F.length(entry)).alias("used"), full.alias("full"), F.when(full, state["entries"]).otherwise(F.concat(state["entries"], F.array(entry))).alias("entries"))
+        return F.struct(
+            F.when(full, state["used"]).otherwise(state["used"] + F.length(entry)).alias("used"), full.alias("full"),
+            F.when(full, state["entries"]).otherwise(F.concat(state["entries"], F.array(entry))).alias("entries"),
+        )
 
     folded = lists.select("query_id", F.aggregate("hits", start, step).alias("s"))
     return folded.select("query_id", F.size("s.entries").alias("entries"), F.col("s.used").alias("used"), F.array_join("s.entries", "").alias("context"))

@@ -43,7 +43,9 @@ def active_thread(spark: SparkSession, folder: str) -> DataFrame:
 @query("SELECT o_orderkey, CASE WHEN o_custkey = 7 THEN 'renamed' ELSE o_orderpriority END AS title FROM orders")
 def guarded_rename(spark: SparkSession, folder: str) -> DataFrame:
     """A new title only for rows of one owner."""
-    o = table(spark, folder, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("owner"), F.col("o_orderpriority").alias("title"))
+    o = table(spark, folder, "orders").select(
+        F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("owner"), F.col("o_orderpriority").alias("title"),
+    )
     blank = records.owned(o, F.lit(8)).withColumn("title", F.lit(" "))
     changes = o.withColumn("owner", F.lit(7).cast(o.schema["owner"].dataType)).withColumn("title", F.lit(" renamed ")).unionByName(blank)
     return records.renamed(o, changes).select(F.col("id").alias("o_orderkey"), "title")
@@ -84,8 +86,14 @@ def context_assembly(spark: SparkSession, folder: str) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("n_chars", "doc_id"))
     number = F.col("doc_id").cast("string")
     title = F.when(F.col("lang") == "fr", " ").otherwise(F.concat(F.lit("Doc "), number))
-    head = F.concat(titled(title), F.lit(" — u/"), number, F.lit("\n"), meta_line(F.col("lang"), F.lit(None).cast("string"), F.lit(""), F.lit(None).cast("timestamp_ntz")))
-    hits = s.select("query_id", rank.alias("rank"), head.alias("head"), F.substring("body", 1, 300).alias("snippet"), F.when(F.col("lang") == "de", F.col("body")).otherwise("").alias("body")).where("rank <= 50")
+    head = F.concat(
+        titled(title), F.lit(" — u/"), number, F.lit("\n"),
+        meta_line(F.col("lang"), F.lit(None).cast("string"), F.lit(""), F.lit(None).cast("timestamp_ntz")),
+    )
+    hits = s.select(
+        "query_id", rank.alias("rank"), head.alias("head"), F.substring("body", 1, 300).alias("snippet"),
+        F.when(F.col("lang") == "de", F.col("body")).otherwise("").alias("body"),
+    ).where("rank <= 50")
     return context(hits, 3000, 500).select("query_id", "entries", "used", F.md5("context").alias("context_md5"))
 
 
@@ -127,10 +135,17 @@ def chunk_pages(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def chunk_issues(spark: SparkSession, folder: str) -> DataFrame:
-    """Chunks of conversations as issues: the first message is the description, the others comments."""
+    """Chunks of conversations as issues: the first message is the description, the others comments; an issue is one row with
+    all of its comments, as in a feed."""
     m = table(spark, folder, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("m"))
-    said = F.transform(F.slice("m", 2, F.size("m")), lambda x: F.struct(x["role"].alias("author"), F.lit(None).cast("string").alias("created_at"), x["text"].alias("body")))
-    issues = m.select(F.concat(F.lit("C-"), F.col("conv_id").cast("string")).alias("key"), F.lit("Conversation").alias("title"), F.col("m")[0]["text"].alias("description"), F.when(F.size("m") > 1, said).alias("comments"))
+    said = F.transform(
+        F.slice("m", 2, F.size("m")),
+        lambda x: F.struct(x["role"].alias("author"), F.lit(None).cast("string").alias("created_at"), x["text"].alias("body")),
+    )
+    issues = m.select(
+        F.concat(F.lit("C-"), F.col("conv_id").cast("string")).alias("key"), F.lit("Conversation").alias("title"),
+        F.col("m")[0]["text"].alias("description"), F.when(F.size("m") > 1, said).alias("comments"),
+    )
     return chunking.issue_chunks(issues, ChunkOptions(120, 15))
 
 

@@ -42,7 +42,10 @@ def _stored(spark: SparkSession, rows: DataFrame, kind: str, key: Column) -> ing
         F.lit("u").alias("url"), F.lit("old body").alias("body"), at.alias("updated_at"),
     )
     vector = F.array_repeat(F.lit(0.0).cast("float"), 8)
-    chunks = old.select("source_id", F.lit(0).alias("chunk_index"), F.lit("old").alias("text"), F.lit(1).alias("token_count"), F.lit("body").alias("chunk_kind"), vector.alias("embedding"))
+    chunks = old.select(
+        "source_id", F.lit(0).alias("chunk_index"), F.lit("old").alias("text"), F.lit(1).alias("token_count"),
+        F.lit("body").alias("chunk_kind"), vector.alias("embedding"),
+    )
     edges = old.select("source_id", F.lit("jira").alias("target_type"), F.lit("OLD-1").alias("target_key"), F.lit("blocks").alias("kind"))
     return replace(ingest.Tables.empty(spark), sources=sources, chunks=chunks, edges=edges)
 
@@ -52,8 +55,14 @@ def _issues(spark: SparkSession, folder: str) -> tuple[DataFrame, ingest.Tables]
     d = table(spark, folder, "documents").select("doc_id", "lang", "n_chars")
     key = F.concat(F.lit("K-"), _number())
     name = lambda c: F.struct(c.alias("name"))
-    comment = F.struct(F.lit("1").alias("id"), F.struct(F.when(F.col("doc_id") % 2 == 0, "ann").alias("displayName")).alias("author"), F.lit("2024-03-01T10:00:00Z").alias("created"), _text(F.concat(F.lit("said "), _number())).alias("body"))
-    link = F.struct(F.struct(F.lit("is blocked by").alias("inward"), F.lit("blocks").alias("outward")).alias("type"), F.struct(F.concat(F.lit("K-"), _number(1)).alias("key")).alias("outwardIssue"))
+    comment = F.struct(
+        F.lit("1").alias("id"), F.struct(F.when(F.col("doc_id") % 2 == 0, "ann").alias("displayName")).alias("author"),
+        F.lit("2024-03-01T10:00:00Z").alias("created"), _text(F.concat(F.lit("said "), _number())).alias("body"),
+    )
+    link = F.struct(
+        F.struct(F.lit("is blocked by").alias("inward"), F.lit("blocks").alias("outward")).alias("type"),
+        F.struct(F.concat(F.lit("K-"), _number(1)).alias("key")).alias("outwardIssue"),
+    )
     parent = F.when(F.col("doc_id") % 5 == 0, F.struct(F.lit("E-1").alias("key"), F.struct(name(F.lit("Epic")).alias("issuetype")).alias("fields")))
 
     def record(version: int) -> Column:
@@ -82,7 +91,10 @@ def issue_load(spark: SparkSession, folder: str) -> DataFrame:
     """Sources after a load of issues: the last version of each good one, and what was stored."""
     issues, stored = _issues(spark, folder)
     sources = ingest.ingest_issues(issues, stored, CHUNKER, started=F.lit(STARTED).cast("timestamp")).sources
-    return sources.select("source_id", "title", "project", "url", F.md5("body").alias("body_md5"), F.col("updated_at").cast("timestamp_ntz").alias("updated_at"))
+    return sources.select(
+        "source_id", "title", "project", "url", F.md5("body").alias("body_md5"),
+        F.col("updated_at").cast("timestamp_ntz").alias("updated_at"),
+    )
 
 
 @query(ISSUES_SQL + """SELECT source_id, 'jira' AS target_type, 'K-' || (doc_id + 1) AS target_key, 'blocks' AS kind FROM good
@@ -109,7 +121,9 @@ def issue_load_chunks(spark: SparkSession, folder: str) -> DataFrame:
 def load_marks(spark: SparkSession, folder: str) -> DataFrame:
     """Marks after two loads: that of issues, with bad rows among them, stays; that of pages moves."""
     issues, stored = _issues(spark, folder)
-    before = spark.createDataFrame([("jira", "2024-02-01 00:00:00")], "source_type string, mark string").select("source_type", F.col("mark").cast("timestamp").alias("mark"))
+    before = spark.createDataFrame(
+        [("jira", "2024-02-01 00:00:00")], "source_type string, mark string",
+    ).select("source_type", F.col("mark").cast("timestamp").alias("mark"))
     at = F.lit(STARTED).cast("timestamp")
     after = ingest.ingest_issues(issues, replace(stored, state=before), CHUNKER, started=at)
     pages = _pages(spark, folder)
@@ -145,7 +159,10 @@ def page_load(spark: SparkSession, folder: str) -> DataFrame:
 
 def _documents(spark: SparkSession, folder: str) -> ingest.Tables:
     d = table(spark, folder, "documents").select("doc_id", "text", "source", "lang")
-    record = F.struct(_number().alias("id"), F.when(F.col("lang") == "fr", F.concat(F.lit("T "), _number())).alias("title"), F.col("text").alias("text"), F.lit("src").alias("project"))
+    record = F.struct(
+        _number().alias("id"), F.when(F.col("lang") == "fr", F.concat(F.lit("T "), _number())).alias("title"), F.col("text").alias("text"),
+        F.lit("src").alias("project"),
+    )
     feed = d.where("source >= 'src5' or source is null").select(F.to_json(record).alias("json"))
     at = F.lit("2024-01-01 00:00:00").cast("timestamp")
     kept = d.where("source < 'src5' and trim(text) != ''").groupBy(F.sha2("text", 256).alias("sha")).agg(F.min("text").alias("text"))

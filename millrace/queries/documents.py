@@ -154,8 +154,14 @@ def page_link_resolution(spark: SparkSession, folder: str) -> DataFrame:
     """Marks of links to pages by number and by title, resolved where the page is long enough to be stored."""
     d = table(spark, folder, "documents")
     number = lambda n: (F.col("doc_id") + n).cast("string")
-    pages = d.where("n_chars > 3000").select(F.col("doc_id").alias("number"), F.col("lang").alias("space"), F.col("source").alias("title"), F.concat(F.lit("u/"), number(0)).alias("url"))
-    body = F.concat(F.lit("See ⟦pg-id:"), number(1), F.lit("|next⟧ and ⟦pg-title:"), F.col("lang"), F.lit("|"), F.col("source"), F.lit("|"), F.col("source"), F.lit("⟧."))
+    pages = d.where("n_chars > 3000").select(
+        F.col("doc_id").alias("number"), F.col("lang").alias("space"), F.col("source").alias("title"),
+        F.concat(F.lit("u/"), number(0)).alias("url"),
+    )
+    body = F.concat(
+        F.lit("See ⟦pg-id:"), number(1), F.lit("|next⟧ and ⟦pg-title:"), F.col("lang"), F.lit("|"), F.col("source"), F.lit("|"),
+        F.col("source"), F.lit("⟧."),
+    )
     return page_links.resolved(d.select("doc_id", body.alias("body")), pages).select("doc_id", "body")
 
 
@@ -197,10 +203,13 @@ def embedding_cache(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("SELECT conv_id, md5(string_agg(text, '' ORDER BY turn)) AS answer_md5 FROM conversations WHERE role <> 'system' GROUP BY conv_id")
 def token_stream_fold(spark: SparkSession, folder: str) -> DataFrame:
-    """Answers put together from streamed pieces: data lines are parsed, others and the end mark skipped."""
+    """Answers put together from streamed pieces: data lines are parsed, others and the end mark skipped. An answer is one text
+    of one row, which bounds what is gathered."""
     m = table(spark, folder, "conversations")
     line = F.when(F.col("role") == "system", F.lit(": ping")).otherwise(F.concat(F.lit("data: "), F.to_json(F.struct(F.col("text").alias("delta")))))
-    lines = m.select("conv_id", "turn", line.alias("line")).unionByName(m.select("conv_id").distinct().select("conv_id", F.lit(1 << 40).alias("turn"), F.lit("data: [DONE]").alias("line")))
+    lines = m.select("conv_id", "turn", line.alias("line")).unionByName(m.select("conv_id").distinct().select(
+        "conv_id", F.lit(1 << 40).alias("turn"), F.lit("data: [DONE]").alias("line"),
+    ))
     delta = F.get_json_object(F.regexp_extract("line", r"(?s)^data: (\{.*)$", 1), "$.delta")
     pieces = lines.select("conv_id", "turn", delta.alias("delta")).where("delta is not null")
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "delta"))), lambda x: x["delta"]), "")
@@ -212,7 +221,9 @@ def landed_feed(spark: SparkSession, folder: str) -> DataFrame:
     """Orders landed as JSON lines, some broken, read back with a schema and filtered by allowed prefixes."""
     folder_out = shared_folder(spark)
     o = table(spark, folder, "orders")
-    line = F.when(F.col("o_orderstatus") == "P", F.lit("{broken")).otherwise(F.to_json(F.struct(F.col("o_orderkey").alias("number"), F.col("o_orderpriority").alias("key"), F.col("o_custkey").alias("customer"))))
+    line = F.when(F.col("o_orderstatus") == "P", F.lit("{broken")).otherwise(F.to_json(F.struct(
+        F.col("o_orderkey").alias("number"), F.col("o_orderpriority").alias("key"), F.col("o_custkey").alias("customer"),
+    )))
     o.select(line.alias("value")).write.text(folder_out)
     got = feeds.landed(spark, folder_out, "number long, key string, customer long").where("_bad is null")
     return feeds.allowed_prefixes(got, ["1", "3"]).select("number", F.split_part("key", F.lit("-"), F.lit(1)).alias("prefix"), "customer")
@@ -223,6 +234,10 @@ def landed_feed(spark: SparkSession, folder: str) -> DataFrame:
 SELECT p.id, coalesce(max(depth), 0) AS depth, coalesce(sum(top)::BIGINT, 0) AS total FROM p LEFT JOIN c USING (id) GROUP BY p.id""")
 def ancestor_chains(spark: SparkSession, folder: str) -> DataFrame:
     """All ancestors of each page, root first, by doubling joins; half of a page's number is its parent's."""
-    pages = table(spark, folder, "documents").where("doc_id > 0").select(F.col("doc_id").alias("id"), F.expr("nullif(doc_id div 2, 0)").alias("parent_id"))
+    pages = table(spark, folder, "documents").where("doc_id > 0").select(
+        F.col("doc_id").alias("id"), F.expr("nullif(doc_id div 2, 0)").alias("parent_id"),
+    )
     chain = feeds.ancestors(pages)
-    return chain.where("complete").select("id", F.size("path").alias("depth"), F.aggregate("path", F.lit(0).cast("long"), lambda s, x: s + x).alias("total"))
+    return chain.where("complete").select(
+        "id", F.size("path").alias("depth"), F.aggregate("path", F.lit(0).cast("long"), lambda s, x: s + x).alias("total"),
+    )

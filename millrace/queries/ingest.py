@@ -27,7 +27,9 @@ def keyset_page(spark: SparkSession, folder: str) -> DataFrame:
 @query("SELECT doc_id, 'document:' || doc_id || ':' || lang AS id, 'document' AS type, doc_id || ':' || lang AS key FROM documents")
 def id_split(spark: SparkSession, folder: str) -> DataFrame:
     """Result ids made and taken apart at the first colon."""
-    made = table(spark, folder, "documents").select("doc_id", source_id(F.lit("document"), F.concat_ws(":", F.col("doc_id").cast("string"), "lang")).alias("id"))
+    made = table(spark, folder, "documents").select(
+        "doc_id", source_id(F.lit("document"), F.concat_ws(":", F.col("doc_id").cast("string"), "lang")).alias("id"),
+    )
     kind, key = split_source_id(F.col("id"))
     return made.select("doc_id", "id", kind.alias("type"), key.alias("key"))
 
@@ -35,13 +37,17 @@ def id_split(spark: SparkSession, folder: str) -> DataFrame:
 @query("SELECT doc_id AS id, nullif(source, '') AS project, length(text) AS chars, TIMESTAMP '2024-01-01 00:00:00' + to_hours(doc_id) AS updated_at FROM documents WHERE CAST(doc_id AS VARCHAR) = '42'")
 def source_lookup(spark: SparkSession, folder: str) -> DataFrame:
     """One source by its natural key."""
-    return sources(spark, folder).where("source_key = '42'").select(F.col("doc_id").alias("id"), "project", F.length("body").alias("chars"), "updated_at")
+    return sources(spark, folder).where("source_key = '42'").select(
+        F.col("doc_id").alias("id"), "project", F.length("body").alias("chars"), "updated_at",
+    )
 
 
 @query("SELECT min(doc_id) AS doc_id, sha256(text) AS sha, count(*) AS copies FROM documents GROUP BY sha256(text)")
 def sha_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """One document for each content hash."""
-    return table(spark, folder, "documents").groupBy(F.sha2("text", 256).alias("sha")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).select("doc_id", "sha", "copies")
+    return table(spark, folder, "documents").groupBy(F.sha2("text", 256).alias("sha")).agg(
+        F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"),
+    ).select("doc_id", "sha", "copies")
 
 
 def _uploads(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
@@ -74,7 +80,9 @@ def child_count(spark: SparkSession, folder: str) -> DataFrame:
 def _stored_and_incoming(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     e = table(spark, folder, "events").select("user_id", "event_id", "ts", "event_type", "value")
     cut = F.lit(SPLIT).cast("timestamp_ntz")
-    stored = e.where(F.col("ts") < cut).groupBy("user_id").agg(F.max_by(F.struct("event_id", "ts", "event_type", "value"), F.struct("ts", "event_id")).alias("r")).select("user_id", "r.*")
+    stored = e.where(F.col("ts") < cut).groupBy("user_id").agg(F.max_by(
+        F.struct("event_id", "ts", "event_type", "value"), F.struct("ts", "event_id"),
+    ).alias("r")).select("user_id", "r.*")
     return stored, e.where(F.col("ts") >= cut)
 
 
@@ -102,7 +110,10 @@ def replace_edges(spark: SparkSession, folder: str) -> DataFrame:
     """Edges of records: trimmed, blanks dropped, each once."""
     li = table(spark, folder, "lineitem")
     kind = F.when(F.col("l_linestatus") == "O", " needs").otherwise("")
-    e = li.select(F.concat(F.lit("O-"), F.col("l_orderkey").cast("string")).alias("source_id"), F.lit(" part ").alias("target_type"), F.concat(F.lit("P-"), F.col("l_partkey").cast("string")).alias("target_key"), kind.alias("kind"))
+    e = li.select(
+        F.concat(F.lit("O-"), F.col("l_orderkey").cast("string")).alias("source_id"), F.lit(" part ").alias("target_type"),
+        F.concat(F.lit("P-"), F.col("l_partkey").cast("string")).alias("target_key"), kind.alias("kind"),
+    )
     return loads.replace_edges(e.where(F.lit(False)), e)
 
 
@@ -128,7 +139,10 @@ def watermark_next(spark: SparkSession, folder: str) -> DataFrame:
 @query("""SELECT coalesce(event_type, '') AS source, count(*) AS seen, count(*) FILTER (value > 30) AS failed, count(DISTINCT user_id) AS keys, round(sum(value), 2) AS total, max(event_id) AS last_id FROM events GROUP BY 1""")
 def run_counters(spark: SparkSession, folder: str) -> DataFrame:
     """Counts of a run, by source."""
-    return table(spark, folder, "events").groupBy(F.coalesce("event_type", F.lit("")).alias("source")).agg(F.count("*").alias("seen"), F.count_if(F.col("value") > 30).alias("failed"), F.countDistinct("user_id").alias("keys"), F.round(F.sum("value"), 2).alias("total"), F.max("event_id").alias("last_id"))
+    return table(spark, folder, "events").groupBy(F.coalesce("event_type", F.lit("")).alias("source")).agg(
+        F.count("*").alias("seen"), F.count_if(F.col("value") > 30).alias("failed"), F.countDistinct("user_id").alias("keys"),
+        F.round(F.sum("value"), 2).alias("total"), F.max("event_id").alias("last_id"),
+    )
 
 
 def _feed(spark: SparkSession, folder: str) -> DataFrame:
@@ -137,7 +151,12 @@ def _feed(spark: SparkSession, folder: str) -> DataFrame:
     key = F.when(F.col("lang") != "es", F.concat(F.upper("source"), F.lit("-"), F.col("doc_id").cast("string"))).otherwise("")
     title = F.when(F.col("n_chars") >= 200, F.concat(F.lit(" T "), F.col("doc_id").cast("string"))).otherwise(" ")
     at = F.when(F.col("source") != "src3", F.lit("2024-03-01T10:00:00Z"))
-    item = F.struct(key.alias("key"), title.alias("title"), at.alias("updated_at"), F.lit("open").alias("status"), F.array(F.struct(F.lit("").alias("target_type"), F.concat(F.upper("lang"), F.lit("-1")).alias("target_key"), F.lit(" blocks ").alias("kind"))).alias("links"))
+    item = F.struct(
+        key.alias("key"), title.alias("title"), at.alias("updated_at"), F.lit("open").alias("status"),
+        F.array(F.struct(
+            F.lit("").alias("target_type"), F.concat(F.upper("lang"), F.lit("-1")).alias("target_key"), F.lit(" blocks ").alias("kind"),
+        )).alias("links"),
+    )
     return d.select("doc_id", F.when(F.col("source") == "src7", F.lit("{broken")).otherwise(F.to_json(item)).alias("json"))
 
 
@@ -150,7 +169,11 @@ c AS (SELECT *, CASE WHEN broken OR key = '' THEN 'key is required' WHEN title =
 def feed_good(spark: SparkSession, folder: str) -> DataFrame:
     """Normalised records of a feed."""
     good = feed.parsed_issues(_feed(spark, folder)).where("error is null")
-    return good.select("doc_id", "key", "title", "project", F.col("links")[0]["target_type"].alias("target_type"), F.col("links")[0]["target_key"].alias("target_key"), F.col("links")[0]["kind"].alias("kind"), F.col("extra")["status"].alias("status"), F.col("extra")["comment_count"].alias("comment_count"))
+    return good.select(
+        "doc_id", "key", "title", "project", F.col("links")[0]["target_type"].alias("target_type"),
+        F.col("links")[0]["target_key"].alias("target_key"), F.col("links")[0]["kind"].alias("kind"),
+        F.col("extra")["status"].alias("status"), F.col("extra")["comment_count"].alias("comment_count"),
+    )
 
 
 @query(FEED_SQL + "SELECT doc_id, error FROM c WHERE error IS NOT NULL")
@@ -167,9 +190,21 @@ SELECT DISTINCT source_id, 'jira' AS target_type, target_key, kind FROM e""")
 def link_extract(spark: SparkSession, folder: str) -> DataFrame:
     """Edges of nested records: parent or epic, subtasks, named links."""
     text = lambda p, c: F.concat(F.lit(f"{p}-"), F.col(c).cast("string"))
-    li = table(spark, folder, "lineitem").groupBy("l_orderkey").agg(F.collect_list(text("P", "l_partkey")).alias("subtasks"), F.collect_list(F.struct(text("S", "l_suppkey").alias("outward_key"), F.lit(" Is  sent BY ").alias("outward"), text("O", "l_orderkey").alias("inward_key"), F.lit("is sent by").alias("inward"))).alias("links"))
+    li = table(spark, folder, "lineitem").groupBy("l_orderkey").agg(
+        F.collect_list(text("P", "l_partkey")).alias("subtasks"),
+        F.collect_list(F.struct(
+            text("S", "l_suppkey").alias("outward_key"), F.lit(" Is  sent BY ").alias("outward"),
+            text("O", "l_orderkey").alias("inward_key"), F.lit("is sent by").alias("inward"),
+        )).alias("links"),
+    )
     o = table(spark, folder, "orders").join(li, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-    issues = o.select(text("O", "o_orderkey").alias("key"), F.struct(text("C", "o_custkey").alias("key"), F.when(F.col("o_orderstatus") == "F", "EPIC").otherwise("Task").alias("issue_type")).alias("parent"), "subtasks", "links")
+    issues = o.select(
+        text("O", "o_orderkey").alias("key"),
+        F.struct(
+            text("C", "o_custkey").alias("key"), F.when(F.col("o_orderstatus") == "F", "EPIC").otherwise("Task").alias("issue_type"),
+        ).alias("parent"),
+        "subtasks", "links",
+    )
     return feed.extracted_links(issues)
 
 
@@ -178,7 +213,10 @@ def link_resolve_dangling(spark: SparkSession, folder: str) -> DataFrame:
     """Links resolved to the name of their target, or to a label where it is missing."""
     c = table(spark, folder, "customer").where("c_acctbal > 0").select("c_custkey", "c_name")
     o = table(spark, folder, "orders").join(c, F.col("o_custkey") == F.col("c_custkey"), "left")
-    return o.select("o_orderkey", "o_custkey", F.coalesce("c_name", F.concat(F.lit("customer "), F.col("o_custkey").cast("string"))).alias("label"), F.col("c_custkey").isNull().alias("dangling"))
+    return o.select(
+        "o_orderkey", "o_custkey", F.coalesce("c_name", F.concat(F.lit("customer "), F.col("o_custkey").cast("string"))).alias("label"),
+        F.col("c_custkey").isNull().alias("dangling"),
+    )
 
 
 @query("SELECT c_custkey, r_name || ' / ' || n_name AS breadcrumb FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
@@ -186,9 +224,13 @@ def ancestor_breadcrumb(spark: SparkSession, folder: str) -> DataFrame:
     """Titles of a row's ancestors, root first: positions exploded, looked up, gathered in order; missing ones drop out."""
     n = table(spark, folder, "nation")
     region, nation = (lambda k: F.concat(F.lit("r"), k.cast("string"))), (lambda k: F.concat(F.lit("n"), k.cast("string")))
-    titles = table(spark, folder, "region").select(region(F.col("r_regionkey")).alias("id"), F.col("r_name").alias("title")).unionByName(n.select(nation(F.col("n_nationkey")).alias("id"), F.col("n_name").alias("title")))
+    titles = table(spark, folder, "region").select(
+        region(F.col("r_regionkey")).alias("id"), F.col("r_name").alias("title"),
+    ).unionByName(n.select(nation(F.col("n_nationkey")).alias("id"), F.col("n_name").alias("title")))
     c = table(spark, folder, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey"))
-    each = c.select("c_custkey", F.posexplode(F.array(region(F.col("n_regionkey")), nation(F.col("n_nationkey")))).alias("pos", "id")).join(titles, "id")
+    each = c.select(
+        "c_custkey", F.posexplode(F.array(region(F.col("n_regionkey")), nation(F.col("n_nationkey")))).alias("pos", "id"),
+    ).join(titles, "id")
     path = F.transform(F.array_sort(F.collect_list(F.struct("pos", "title"))), lambda x: x["title"])
     return each.groupBy("c_custkey").agg(F.array_join(path, " / ").alias("breadcrumb"))
 
@@ -203,7 +245,9 @@ def prefix_counts(spark: SparkSession, folder: str) -> DataFrame:
 @query("SELECT user_id, CAST(date_trunc('day', ts) AS TIMESTAMP) AS bucket, count(*) AS n FROM events GROUP BY ALL")
 def rate_limit_buckets(spark: SparkSession, folder: str) -> DataFrame:
     """Requests of each user in fixed windows."""
-    return table(spark, folder, "events").groupBy("user_id", F.date_trunc("day", "ts").cast("timestamp_ntz").alias("bucket")).agg(F.count("*").alias("n"))
+    return table(spark, folder, "events").groupBy(
+        "user_id", F.date_trunc("day", "ts").cast("timestamp_ntz").alias("bucket"),
+    ).agg(F.count("*").alias("n"))
 
 
 @query("SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id, date_trunc('day', ts) ORDER BY ts, event_id) <= 3 AS admitted FROM events")

@@ -21,7 +21,9 @@ AS_OF = "2024-01-31 00:00:00"
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, json_extract_string(props, '$.none') AS missing FROM events")
 def json_path(spark: SparkSession, folder: str) -> DataFrame:
     """Fields of JSON objects."""
-    return table(spark, folder, "events").select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"), F.get_json_object("props", "$.none").alias("missing"))
+    return table(spark, folder, "events").select(
+        "event_id", F.get_json_object("props", "$.k").cast("int").alias("k"), F.get_json_object("props", "$.none").alias("missing"),
+    )
 
 
 @query("""SELECT event_id, date_trunc('second', ts) AS a, date_trunc('millisecond', ts) AS b, date_trunc('second', ts) - INTERVAL 2 HOURS AS c, CAST(NULL AS TIMESTAMP) AS d FROM events""")
@@ -29,14 +31,19 @@ def parse_time(spark: SparkSession, folder: str) -> DataFrame:
     """Timestamps in four layouts, and one in none."""
     e = table(spark, folder, "events").withColumn("t", F.col("ts").cast("timestamp"))
     of = lambda pattern, tail: fn.parsed_time(F.concat(F.date_format("t", pattern), F.lit(tail))).cast("timestamp_ntz")
-    return e.select("event_id", of("yyyy-MM-dd'T'HH:mm:ss", "+0000").alias("a"), of("yyyy-MM-dd'T'HH:mm:ss.SSS", "+0000").alias("b"), of("yyyy-MM-dd'T'HH:mm:ss", "+02:00").alias("c"), of("dd/MM/yyyy", "").alias("d"))
+    return e.select(
+        "event_id", of("yyyy-MM-dd'T'HH:mm:ss", "+0000").alias("a"), of("yyyy-MM-dd'T'HH:mm:ss.SSS", "+0000").alias("b"),
+        of("yyyy-MM-dd'T'HH:mm:ss", "+02:00").alias("c"), of("dd/MM/yyyy", "").alias("d"),
+    )
 
 
 @query("SELECT doc_id, md5('m|' || text) AS embedding_key, sha256(text) AS sha, substr(sha256(text), 1, 8) AS short FROM documents")
 def hash_keys(spark: SparkSession, folder: str) -> DataFrame:
     """Cache keys and content hashes."""
     key = F.substring_index(vectors.cache_key("", "m", F.col("text")), ":", -1)
-    return table(spark, folder, "documents").select("doc_id", key.alias("embedding_key"), F.sha2("text", 256).alias("sha"), F.substring(F.sha2("text", 256), 1, 8).alias("short"))
+    return table(spark, folder, "documents").select(
+        "doc_id", key.alias("embedding_key"), F.sha2("text", 256).alias("sha"), F.substring(F.sha2("text", 256), 1, 8).alias("short"),
+    )
 
 
 @query(f"""WITH s AS (SELECT event_id, ts, epoch(TIMESTAMP '{AS_OF}')::BIGINT - floor(epoch(ts))::BIGINT AS s FROM events)
@@ -57,7 +64,9 @@ def human_bytes(spark: SparkSession, folder: str) -> DataFrame:
 @query("SELECT o_orderkey, regexp_replace(lower(trim('  ' || o_orderpriority || '  by  X ')), '\\s+', '_', 'g') AS kind FROM orders")
 def link_kind(spark: SparkSession, folder: str) -> DataFrame:
     """Canonical link kinds."""
-    return table(spark, folder, "orders").select("o_orderkey", fn.link_kind(F.concat(F.lit("  "), F.col("o_orderpriority"), F.lit("  by  X "))).alias("kind"))
+    return table(spark, folder, "orders").select(
+        "o_orderkey", fn.link_kind(F.concat(F.lit("  "), F.col("o_orderpriority"), F.lit("  by  X "))).alias("kind"),
+    )
 
 
 @query("SELECT doc_id, CASE WHEN length(trim(text)) <= 80 THEN trim(text) ELSE substr(trim(text), 1, 80) || '…' END AS short FROM documents")
@@ -71,14 +80,22 @@ def truncate_text(spark: SparkSession, folder: str) -> DataFrame:
 def escape_and_marks(spark: SparkSession, folder: str) -> DataFrame:
     """Escaped text, text without highlight tags, and text with only those."""
     url = F.col("url")
-    return table(spark, folder, "pages").select("page_id", fn.html_escaped(url).alias("escaped"), fn.strip_marks(F.concat(F.lit("a <mark>"), url, F.lit("</mark>"))).alias("plain"), fn.only_marks(F.concat(url, F.lit("<mark>x</mark><b>"))).alias("marked"))
+    return table(spark, folder, "pages").select(
+        "page_id", fn.html_escaped(url).alias("escaped"), fn.strip_marks(F.concat(F.lit("a <mark>"), url, F.lit("</mark>"))).alias("plain"),
+        fn.only_marks(F.concat(url, F.lit("<mark>x</mark><b>"))).alias("marked"),
+    )
 
 
 @query("""SELECT page_id, CAST(page_id AS VARCHAR) AS number, CASE WHEN page_id % 2 = 0 THEN 'https://h/wiki/pages/' || page_id || '/t' ELSE 'https://h/x' END AS link FROM pages WHERE page_id % 2 = 0
 UNION ALL SELECT page_id, NULL, 'https://h/x' FROM pages WHERE page_id % 2 <> 0""")
 def url_page_id(spark: SparkSession, folder: str) -> DataFrame:
     """Links built, and the page number read back."""
-    p = table(spark, folder, "pages").select("page_id", F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("https://h/wiki/pages/"), F.col("page_id").cast("string"), F.lit("/t"))).otherwise("https://h/x").alias("link"))
+    p = table(spark, folder, "pages").select(
+        "page_id",
+        F.when(
+            F.col("page_id") % 2 == 0, F.concat(F.lit("https://h/wiki/pages/"), F.col("page_id").cast("string"), F.lit("/t")),
+        ).otherwise("https://h/x").alias("link"),
+    )
     return p.select("page_id", fn.page_number(F.col("link")).alias("number"), "link")
 
 
@@ -95,7 +112,10 @@ def sniff_kind(spark: SparkSession, folder: str) -> DataFrame:
 @query("SELECT doc_id, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS letters, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) < 10 * 20 AS scanned FROM documents")
 def scanned_test(spark: SparkSession, folder: str) -> DataFrame:
     """Texts of twenty pages that look scanned."""
-    return table(spark, folder, "documents").select("doc_id", F.length(F.regexp_replace("text", "[^A-Za-z]", "")).alias("letters"), fn.looks_scanned(F.col("text"), F.lit(20)).alias("scanned"))
+    return table(spark, folder, "documents").select(
+        "doc_id", F.length(F.regexp_replace("text", "[^A-Za-z]", "")).alias("letters"),
+        fn.looks_scanned(F.col("text"), F.lit(20)).alias("scanned"),
+    )
 
 
 @query("""WITH l AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents),
@@ -116,7 +136,10 @@ def tokens_and_names(spark: SparkSession, folder: str) -> DataFrame:
     user, number = F.col("user_id").cast("string"), F.col("event_id").cast("string")
     header = F.when(F.col("event_type") == "click", F.concat(F.lit("Basic t"), user)).otherwise(F.concat(F.lit(" bearer  t"), user))
     key = F.when(F.col("event_type") == "view", F.concat(F.lit("../k/"), number)).otherwise(F.concat(F.lit(" /k/"), number))
-    return e.select("user_id", "event_id", fn.bearer_token(header).alias("token"), fn.blob_key(key).alias("key"), fn.safe_filename(F.concat(F.lit('a"\n'), number)).alias("name"))
+    return e.select(
+        "user_id", "event_id", fn.bearer_token(header).alias("token"), fn.blob_key(key).alias("key"),
+        fn.safe_filename(F.concat(F.lit('a"\n'), number)).alias("name"),
+    )
 
 
 @query("""SELECT c_custkey, sha256('tok_' || c_name) AS hash, substr(sha256('tok_' || c_name), 1, 8) AS prefix,
@@ -155,7 +178,9 @@ def light_markdown(spark: SparkSession, folder: str) -> DataFrame:
 @query("SELECT c_custkey, c_mktsegment FROM customer WHERE sha256('tok_' || c_name) IN (SELECT sha256('tok_' || c_name) FROM customer WHERE c_acctbal >= 0 AND c_mktsegment = 'BUILDING')")
 def token_lookup(spark: SparkSession, folder: str) -> DataFrame:
     """Owners of presented tokens that aren't revoked: an equi join on hashes."""
-    c = table(spark, folder, "customer").select("c_custkey", "c_mktsegment", "c_acctbal", F.sha2(F.concat(F.lit("tok_"), F.col("c_name")), 256).alias("hash"))
+    c = table(spark, folder, "customer").select(
+        "c_custkey", "c_mktsegment", "c_acctbal", F.sha2(F.concat(F.lit("tok_"), F.col("c_name")), 256).alias("hash"),
+    )
     return c.join(c.where("c_acctbal >= 0 and c_mktsegment = 'BUILDING'").select("hash"), "hash", "left_semi").select("c_custkey", "c_mktsegment")
 
 
@@ -163,7 +188,10 @@ def token_lookup(spark: SparkSession, folder: str) -> DataFrame:
 def vector_checks(spark: SparkSession, folder: str) -> DataFrame:
     """Dimension and norm of stored vectors."""
     e = table(spark, folder, "embeddings")
-    return e.select("vec_id", vectors.right_dimension(F.col("embedding"), 64).alias("usable"), F.round(F.sqrt(vectors.dot(F.col("embedding"), F.col("embedding"))), 5).alias("norm"))
+    return e.select(
+        "vec_id", vectors.right_dimension(F.col("embedding"), 64).alias("usable"),
+        F.round(F.sqrt(vectors.dot(F.col("embedding"), F.col("embedding"))), 5).alias("norm"),
+    )
 
 
 @query("SELECT doc_id, 'Status: ' || lang || CASE WHEN source <> '' THEN ' | Type: ' || source ELSE '' END || ' | Updated: ' || strftime(TIMESTAMP '2024-01-01 00:00:00' + to_hours(doc_id), '%Y-%m-%d') || chr(10) AS meta FROM documents")

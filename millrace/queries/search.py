@@ -120,7 +120,10 @@ def fts_top50(spark: SparkSession, folder: str) -> DataFrame:
 
 #: The words of the tables that have these two lexemes (fixed values).
 ERST = ('erst', 'ersted', 'erstedly', 'erstes', 'ersting', 'erstingly', 'erstly', 'erstlyed', 'erstlying')
-ERIN = ('erin', 'erinated', 'erinates', 'erinating', 'erinator', 'erineable', 'erineant', 'erineation', 'erined', 'erinedly', 'eriner', 'erinered', 'erinering', 'erinerly', 'erines', 'erining', 'eriningly', 'erinly', 'erinlyed', 'erinlying')
+ERIN = (
+    'erin', 'erinated', 'erinates', 'erinating', 'erinator', 'erineable', 'erineant', 'erineation', 'erined', 'erinedly', 'eriner',
+    'erinered', 'erinering', 'erinerly', 'erines', 'erining', 'eriningly', 'erinly', 'erinlyed', 'erinlying',
+)
 LEXEME_SQL = TEXT_SQL.format(id="doc_id", rows="documents", term=f"CASE WHEN word IN {ERST} THEN 'the' WHEN word IN {ERIN} THEN 'of' END")
 
 
@@ -156,7 +159,10 @@ SELECT source_id, chunk_id, round(score, 6) AS score FROM s QUALIFY row_number()
 def best_chunk_per_source(spark: SparkSession, folder: str) -> DataFrame:
     """The chunk of each source nearest to a query vector."""
     v = F.array(*[F.lit(float(x)) for x in query_vector(spark, folder)])
-    scored = table(spark, folder, "embeddings").select(F.col("label").alias("source_id"), F.col("vec_id").alias("chunk_id"), F.round(cosine(F.col("embedding"), v), plans.PLACES).alias("score"))
+    scored = table(spark, folder, "embeddings").select(
+        F.col("label").alias("source_id"), F.col("vec_id").alias("chunk_id"),
+        F.round(cosine(F.col("embedding"), v), plans.PLACES).alias("score"),
+    )
     return plans.best_per_source(scored).select("source_id", "chunk_id", F.round("score", 6).alias("score"))
 
 
@@ -178,7 +184,10 @@ KEYED_SQL = "SELECT doc_id, 'See ' || upper(source) || '-' || doc_id || ', (' ||
 def _keyed(spark: SparkSession, folder: str) -> DataFrame:
     s, n, lang = F.upper("source"), F.col("n_chars").cast("string"), F.upper("lang")
     key = F.concat(s, F.lit("-"), F.col("doc_id").cast("string"))
-    return table(spark, folder, "documents").select("doc_id", F.concat(F.lit("See "), key, F.lit(", ("), lang, F.lit("_X-"), n, F.lit(") and "), key, F.lit("; "), F.col("text")).alias("t"))
+    return table(spark, folder, "documents").select(
+        "doc_id",
+        F.concat(F.lit("See "), key, F.lit(", ("), lang, F.lit("_X-"), n, F.lit(") and "), key, F.lit("; "), F.col("text")).alias("t"),
+    )
 
 
 @query(f"""WITH d AS ({KEYED_SQL}), k AS (SELECT doc_id, unnest(regexp_extract_all(t, '\\b[A-Z][A-Z0-9_]+-[0-9]+\\b')) AS key, unnest(range(len(regexp_extract_all(t, '\\b[A-Z][A-Z0-9_]+-[0-9]+\\b')))) AS pos FROM d),
@@ -198,7 +207,9 @@ SELECT source_id, round(score, 6) AS score FROM a ORDER BY part, ord, score DESC
 def shortcut_merge(spark: SparkSession, folder: str) -> DataFrame:
     """Records named by key first with score 1, then vector hits not among them, ten in all."""
     d = table(spark, folder, "documents")
-    named = d.where(F.col("doc_id").isin(12, 5, 7)).select(F.col("doc_id").alias("source_id"), F.row_number().over(Window.orderBy(F.desc("doc_id"))).alias("ord"))
+    named = d.where(F.col("doc_id").isin(12, 5, 7)).select(
+        F.col("doc_id").alias("source_id"), F.row_number().over(Window.orderBy(F.desc("doc_id"))).alias("ord"),
+    )
     e = table(spark, folder, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
     ranked = plans.vector_hits(e, query_vector(spark, folder)).select(F.col("chunk_id").alias("source_id"), F.col("v_score").alias("score"))
     return plans.merged(named, ranked, 10).select("source_id", F.round("score", 6).alias("score"))

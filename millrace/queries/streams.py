@@ -18,7 +18,9 @@ EVENTS = "{}/events.parque[t]"  # as a pattern, since a stream's path has to be
 @query("SELECT user_id, event_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
 def stream_sync(spark: SparkSession, folder: str) -> DataFrame:
     """Events streamed into a table with the last one of each user."""
-    return sync.synced(spark, EVENTS.format(folder), ["user_id"], [F.col("ts"), F.col("event_id")]).select("user_id", "event_id", "event_type", "value")
+    return sync.synced(
+        spark, EVENTS.format(folder), ["user_id"], [F.col("ts"), F.col("event_id")],
+    ).select("user_id", "event_id", "event_type", "value")
 
 
 @query("SELECT user_id, CAST(date_trunc('day', ts) AS TIMESTAMP) AS bucket, count(*) AS n, greatest(count(*) - 3, 0) AS refused FROM events GROUP BY ALL")

@@ -29,7 +29,9 @@ def sources(spark: SparkSession, folder: str) -> DataFrame:
 def chunks(spark: SparkSession, folder: str) -> DataFrame:
     """Vectors joined to the text of the document with their number; four numbers in a row belong to one source."""
     e, d = table(spark, folder, "embeddings"), table(spark, folder, "documents")
-    return e.join(d, e.vec_id == d.doc_id).select(F.col("vec_id").alias("chunk_id"), F.expr("vec_id div 4 * 4").alias("source_id"), "label", "embedding", "text", "source", "lang")
+    return e.join(d, e.vec_id == d.doc_id).select(
+        F.col("vec_id").alias("chunk_id"), F.expr("vec_id div 4 * 4").alias("source_id"), "label", "embedding", "text", "source", "lang",
+    )
 
 
 def postings(chunks: DataFrame, terms: list[str], *, id_col: str = "chunk_id", text_col: str = "text") -> DataFrame:

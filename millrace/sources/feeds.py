@@ -42,7 +42,10 @@ def uploaded(spark: SparkSession, path: str) -> DataFrame:
     kind = document_kind(F.lit(""), name)
     text = F.decode("content", "UTF-8")
     body = F.when(kind == "html", html_text(text)).when(kind.isin("markdown", "text"), text)
-    return raw.select(name.alias("filename"), F.col("length").alias("size_bytes"), kind.alias("kind"), F.sha2("content", 256).alias("sha"), body.alias("body")).withColumn("title", title_of(F.col("body"), F.col("filename"), F.col("kind")))
+    return raw.select(
+        name.alias("filename"), F.col("length").alias("size_bytes"), kind.alias("kind"), F.sha2("content", 256).alias("sha"),
+        body.alias("body"),
+    ).withColumn("title", title_of(F.col("body"), F.col("filename"), F.col("kind")))
 
 
 def ancestors(pages: DataFrame) -> DataFrame:
@@ -62,6 +65,9 @@ def ancestors(pages: DataFrame) -> DataFrame:
         joined = up.join(above, "top", "left").select("id", "next", path.alias("path"), "round", "above_round")
         again = F.array_contains("path", F.col("id")) | (F.size(F.array_distinct("path")) < F.size("path"))
         stuck = F.col("round") | F.coalesce("above_round", F.lit(False)) | again
-        ended = joined.select("id", F.when(~stuck, F.col("next")).alias("top"), F.when(stuck, none).otherwise(F.col("path")).alias("path"), stuck.alias("round"))
+        ended = joined.select(
+            "id", F.when(~stuck, F.col("next")).alias("top"), F.when(stuck, none).otherwise(F.col("path")).alias("path"),
+            stuck.alias("round"),
+        )
         up = materialize(ended, "ancestors")
     return up.select("id", "path", (~F.col("round")).alias("complete"))

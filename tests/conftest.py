@@ -14,7 +14,9 @@ def spark():
 
     session = (
         SparkSession.builder.master("local[4]").appName("tests").config("spark.ui.enabled", "false").config("spark.driver.memory", "4g")
-        .config("spark.sql.shuffle.partitions", "4").config("spark.sql.session.timeZone", "UTC").config("spark.checkpoint.dir", "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")).getOrCreate()
+        .config("spark.sql.shuffle.partitions", "4").config("spark.sql.session.timeZone", "UTC").config(
+            "spark.checkpoint.dir", "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp"),
+        ).getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session

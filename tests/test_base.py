@@ -24,14 +24,19 @@ def one(spark, column, **values):
 
 @pytest.mark.parametrize(
     "text,keys",
-    [("see ZX-731 now", ["ZX-731"]), ("A-1 AB-1 AB_C-22, AB-1", ["AB-1", "AB_C-22"]), ("zx-731", []), ("xZX-731 ZX-731x", []), ("éZX-731", ["ZX-731"]), ("", []), (" ".join(f"K{i}A-{i}" for i in range(9)), [f"K{i}A-{i}" for i in range(5)])],
+    [
+        ("see ZX-731 now", ["ZX-731"]), ("A-1 AB-1 AB_C-22, AB-1", ["AB-1", "AB_C-22"]), ("zx-731", []), ("xZX-731 ZX-731x", []),
+        ("éZX-731", ["ZX-731"]), ("", []), (" ".join(f"K{i}A-{i}" for i in range(9)), [f"K{i}A-{i}" for i in range(5)]),
+    ],
 )
 def test_keys(spark, text, keys):
     assert one(spark, fn.ticket_keys(F.col("t")), t=text) == keys
 
 
 def test_labels(spark):
-    assert [one(spark, fn.human_bytes(F.col("n")), n=n) for n in (0, 5, 1023, 1024, 1536, 5 * 1024**2, 3 * 1024**4)] == ["-", "5 B", "1023 B", "1.0 KB", "1.5 KB", "5.0 MB", "3.0 TB"]
+    assert [one(spark, fn.human_bytes(F.col("n")), n=n) for n in (0, 5, 1023, 1024, 1536, 5 * 1024**2, 3 * 1024**4)] == [
+        "-", "5 B", "1023 B", "1.0 KB", "1.5 KB", "5.0 MB", "3.0 TB",
+    ]
     assert one(spark, fn.link_kind(F.col("k")), k="  Is Blocked   By ") == "is_blocked_by"
     assert one(spark, fn.titled(F.col("k")), k="  ") == "(untitled)"
     assert one(spark, fn.only_marks(F.col("k")), k="<b><mark>x</mark>") == "&lt;b&gt;<mark>x</mark>"
@@ -39,7 +44,10 @@ def test_labels(spark):
 
 
 def test_stems():
-    for w, s in {"consistency": "consist", "running": "run", "relational": "relat", "hopping": "hop", "happy": "happi", "flies": "fli", "controlling": "control", "dying": "die", "hoping": "hope", "adjustable": "adjust"}.items():
+    for w, s in {
+        "consistency": "consist", "running": "run", "relational": "relat", "hopping": "hop", "happy": "happi", "flies": "fli",
+        "controlling": "control", "dying": "die", "hoping": "hope", "adjustable": "adjust",
+    }.items():
         assert stem(w) == s
     assert query_lexemes("The runners are running and RUNNING") == ["runner", "run"]
 
@@ -55,9 +63,15 @@ def test_cover_density(spark):
 
 def corpus(spark):
     v = lambda *x: [float(i) for i in x]
-    chunks = spark.createDataFrame([(1, "a", v(1, 0), "alpha beta"), (2, "a", v(0.9, 0.1), "beta"), (3, "b", v(0, 1), "alpha alpha"), (4, "c", v(-1, 0), "gamma")], "chunk_id long, source_id string, embedding array<float>, text string")
+    chunks = spark.createDataFrame(
+        [(1, "a", v(1, 0), "alpha beta"), (2, "a", v(0.9, 0.1), "beta"), (3, "b", v(0, 1), "alpha alpha"), (4, "c", v(-1, 0), "gamma")],
+        "chunk_id long, source_id string, embedding array<float>, text string",
+    )
     t = lambda d: dt.datetime(2024, 1, d)
-    sources = spark.createDataFrame([("a", "jira", "P", t(1)), ("b", "document", "Q", t(2)), ("c", "jira", None, t(3))], "source_id string, source_type string, project string, updated_at timestamp_ntz")
+    sources = spark.createDataFrame(
+        [("a", "jira", "P", t(1)), ("b", "document", "Q", t(2)), ("c", "jira", None, t(3))],
+        "source_id string, source_type string, project string, updated_at timestamp_ntz",
+    )
     return chunks, sources
 
 
@@ -67,7 +81,9 @@ def test_hybrid(spark):
     assert [r.source_id for r in rows] == ["a", "b", "c"]
     assert rows[0].chunk_id == 1 and rows[0].score == pytest.approx(0.6 + 0.4 * 0.5)
     assert rows[1].score == pytest.approx(0.4) and rows[2].score == pytest.approx(-0.6)
-    only = search.hybrid(chunks, sources, [1.0, 0.0], ["alpha"], SearchOptions(source_types=("document",), updated_after="2024-01-01 12:00:00")).collect()
+    only = search.hybrid(
+        chunks, sources, [1.0, 0.0], ["alpha"], SearchOptions(source_types=("document",), updated_after="2024-01-01 12:00:00"),
+    ).collect()
     assert [r.source_id for r in only] == ["b"]
     aged = search.hybrid(chunks, sources, [1.0, 0.0], [], SearchOptions(), as_of=F.lit("2024-01-03 00:00:00").cast("timestamp_ntz")).collect()
     assert {r.source_id: r.score for r in aged}["c"] == pytest.approx(-0.6 * 1.05)
@@ -81,7 +97,10 @@ def test_merged(spark):
 
 
 def test_context(spark):
-    hits = spark.createDataFrame([(1, 1, "h\n", "s" * 10, ""), (1, 2, "h\n", "t", "b" * 30), (1, 3, "h\n", "u" * 100, ""), (1, 4, "h\n", "v", "")], ["query_id", "rank", "head", "snippet", "body"])
+    hits = spark.createDataFrame(
+        [(1, 1, "h\n", "s" * 10, ""), (1, 2, "h\n", "t", "b" * 30), (1, 3, "h\n", "u" * 100, ""), (1, 4, "h\n", "v", "")],
+        ["query_id", "rank", "head", "snippet", "body"],
+    )
     row = search.context(hits, 50, 20).first()
     assert row.context.startswith("[1] h\nssssssssss\n\n[2] h\n" + "t") and row.entries == 2
     assert "[truncated]" in search.context(hits, 90, 20).first().context
@@ -140,7 +159,15 @@ def test_chunks_by_a_tokenizer_file(spark):
 
 
 def test_markup():
-    tree = {"type": "doc", "content": [{"type": "heading", "attrs": {"level": 9}, "content": [{"type": "text", "text": "H"}]}, {"type": "bulletList", "content": [{"type": "listItem", "content": [{"type": "paragraph", "content": [{"type": "text", "text": "a", "marks": [{"type": "strong"}, {"type": "link", "attrs": {"href": "u"}}]}]}, {"type": "orderedList", "content": [{"type": "listItem", "content": [{"type": "paragraph", "content": [{"type": "text", "text": "b"}]}]}]}]}]}, {"type": "panel", "attrs": {"panelType": "warning"}, "content": [{"type": "paragraph", "content": [{"type": "text", "text": "w"}]}]}, {"type": "rule"}, {"type": "media"}]}
+    tree = {"type": "doc", "content": [
+        {"type": "heading", "attrs": {"level": 9}, "content": [{"type": "text", "text": "H"}]},
+        {
+            "type": "bulletList",
+            "content": [{"type": "listItem", "content": [{"type": "paragraph", "content": [{"type": "text", "text": "a", "marks": [{"type": "strong"}, {"type": "link", "attrs": {"href": "u"}}]}]}, {"type": "orderedList", "content": [{"type": "listItem", "content": [{"type": "paragraph", "content": [{"type": "text", "text": "b"}]}]}]}]}],
+        },
+        {"type": "panel", "attrs": {"panelType": "warning"}, "content": [{"type": "paragraph", "content": [{"type": "text", "text": "w"}]}]},
+        {"type": "rule"}, {"type": "media"},
+    ]}
     assert markup.markdown(markup.from_json(tree)) == "###### H\n\n- [**a**](u)\n  1. b\n\n> **Warning:** w\n\n---\n"
     page = '<p>x&nbsp;<b>y</b></p><p>&nbsp;</p><ac:structured-macro ac:name="code"><ac:parameter ac:name="language">py</ac:parameter><ac:plain-text-body><![CDATA[a < b]]></ac:plain-text-body></ac:structured-macro><p><ac:link><ri:page ri:content-title="T" ri:space-key="S"/></ac:link></p><table><tr><th>a|b</th><th>c</th></tr><tr><td>1</td></tr></table><ac:structured-macro ac:name="toc"/>'
     assert markup.markdown(markup.from_storage(page)) == "x **y**\n\n```py\na < b\n```\n\n⟦pg-title:S|T|T⟧\n\n| a\\|b | c |\n| --- | --- |\n| 1 |  |\n"
@@ -159,7 +186,10 @@ def test_loads(spark):
     assert sorted(map(tuple, loads.upsert(stored, incoming, ["k"], [F.col("t")]).collect())) == [(1, "a", 1), (2, "d", 3), (3, "e", 1)]
     assert loads.next_watermark(stored.where("k > 9"), F.lit(0), "t").first()[0] is None
     assert loads.next_watermark(stored, F.lit(5), "t").first()[0] == 5
-    edges = spark.createDataFrame([("a", "jira", " b ", "x"), ("a", "jira", "b", "x"), ("a", "jira", "a", "x"), ("a", "", "c", "x")], ["source_id", "target_type", "target_key", "kind"])
+    edges = spark.createDataFrame(
+        [("a", "jira", " b ", "x"), ("a", "jira", "b", "x"), ("a", "jira", "a", "x"), ("a", "", "c", "x")],
+        ["source_id", "target_type", "target_key", "kind"],
+    )
     assert [tuple(r) for r in loads.replace_edges(edges.where("false"), edges).collect()] == [("a", "jira", "b", "x")]
 
 

@@ -25,8 +25,14 @@ ROWS = [
 @pytest.fixture(scope="module")
 def corpus(spark):
     embedder = lambda t: [float(x) for x in hash_vector(t, 16)]
-    sources = spark.createDataFrame(ROWS, "source_id string, source_type string, source_key string, project string, title string, url string, body string, updated_at timestamp_ntz")
-    chunks = spark.createDataFrame([(i, r[0], embedder(r[6]), r[6]) for i, r in enumerate(ROWS)], "chunk_id long, source_id string, embedding array<float>, text string")
+    sources = spark.createDataFrame(
+        ROWS,
+        "source_id string, source_type string, source_key string, project string, title string, url string, body string, updated_at timestamp_ntz",
+    )
+    chunks = spark.createDataFrame(
+        [(i, r[0], embedder(r[6]), r[6]) for i, r in enumerate(ROWS)],
+        "chunk_id long, source_id string, embedding array<float>, text string",
+    )
     return Corpus(sources, chunks, embedder)
 
 
@@ -65,12 +71,20 @@ def test_ask_and_lists(corpus):
 
 def test_filter_text():
     p = parsed("Project:ZOO  broken source:jira after:2024-05-01 login space:X after:soon after:20240501 after:2024-W18")
-    assert (p.text, p.projects, p.sources, p.spaces, p.after) == ("broken login after:soon after:20240501 after:2024-W18", ["ZOO"], ["jira"], ["X"], "2024-05-01 00:00:00")
+    assert (p.text, p.projects, p.sources, p.spaces, p.after) == (
+        "broken login after:soon after:20240501 after:2024-W18", ["ZOO"], ["jira"], ["X"], "2024-05-01 00:00:00",
+    )
     assert parsed("after:2024-05-01T10:00:00+02:00 x").after == "2024-05-01 08:00:00" and parsed("after:2024-05-01T10:00:00.5Z").after == "2024-05-01 10:00:00.500000"
 
 
 def test_feed(spark):
-    rows = spark.createDataFrame([(1, '{"key": " A-B-1 ", "title": "T", "updated_at": "2024-01-01T00:00:00Z", "status": "open", "extra": {"status": "kept"}, "comments": [{"author": "ann"}]}'), (2, "{"), (3, '{"key": "", "title": "T"}'), (4, '{"key": "A-1", "title": "T", "updated_at": "soon"}')], ["n", "json"])
+    rows = spark.createDataFrame(
+        [
+            (1, '{"key": " A-B-1 ", "title": "T", "updated_at": "2024-01-01T00:00:00Z", "status": "open", "extra": {"status": "kept"}, "comments": [{"author": "ann"}]}'),
+            (2, "{"), (3, '{"key": "", "title": "T"}'), (4, '{"key": "A-1", "title": "T", "updated_at": "soon"}'),
+        ],
+        ["n", "json"],
+    )
     got = {r.n: r for r in parsed_issues(rows).collect()}
     assert got[1].project == "A-B" and got[1].extra == {"status": "kept", "comment_count": "1"} and got[1].error is None
     assert [got[n].error for n in (2, 3, 4)] == ["key is required", "key is required", "updated_at is required"] or got[2].error == "not JSON"
@@ -84,7 +98,16 @@ def test_issue_body(spark):
 
 def test_links(spark):
     schema = "key string, parent struct<key:string,issue_type:string>, subtasks array<string>, links array<struct<outward_key:string,outward:string,inward_key:string,inward:string>>"
-    issues = spark.createDataFrame([("A-1", ("E-1", "Epic"), ["A-2", "A-1", " "], [("A-3", "Relates To", None, None), ("A-3", "relates  to", "A-4", ""), (None, "x", "A-5", "is blocked by")]), ("A-6", None, None, None)], schema)
+    issues = spark.createDataFrame(
+        [
+            (
+                "A-1", ("E-1", "Epic"), ["A-2", "A-1", " "],
+                [("A-3", "Relates To", None, None), ("A-3", "relates  to", "A-4", ""), (None, "x", "A-5", "is blocked by")],
+            ),
+            ("A-6", None, None, None),
+        ],
+        schema,
+    )
     got = sorted((r.target_key, r.kind) for r in extracted_links(issues).collect())
     assert got == [("A-2", "subtask"), ("A-3", "relates_to"), ("A-5", "is_blocked_by"), ("E-1", "epic")]
 
