@@ -24,7 +24,7 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
 
     Returns the input's columns with ``text_col`` replaced, and n_lines, n_dropped (long). These two replace input
     columns of the same names. A null or empty text is one empty line and stays as it is. A row without id holds no
-    vote and loses nothing. Rows with equal ids count as one document, and each loses the same lines. An empty table
+    vote and loses nothing. Very long texts are split whole. Rows with equal ids count as one document, and each loses the same lines. An empty table
     gives no rows.
     """
     text, doc = F.coalesce(F.col(text_col), F.lit("")), F.col(id_col)

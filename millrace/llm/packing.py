@@ -143,8 +143,10 @@ def pack(
 
     Returns a row for each piece: doc_id, start, length, tokens (the ids as little-endian uint32 bytes), doc_tokens,
     sequence_id (unique, not consecutive, rising with the partition and the groups within), offset, and the document's
-    value of the whole-number column ``carry`` where one is named. A null or empty text is the end id alone; rows with equal or null
-    ids are packed each for itself; an empty table gives no rows. Sequences aren't filled with padding here.
+    value of the whole-number column ``carry`` where one is named. A null or empty text is the end id alone; very long texts are
+    encoded whole, one at a time, and give a window after the other; rows with equal or null ids are packed each for itself;
+    an empty table gives no rows. Ids are whole numbers; other columns don't matter, whatever their names. Sequences aren't
+    filled with padding here.
     """
     import pyspark.sql.functions as F
 
