@@ -19,7 +19,7 @@ from .common import drop_part, materialize
 CLASS_GROWTH = 1.6
 #: Regions of up to this many points are joined within a task, larger ones are split by pivots. Shared members are
 #: counted in so many columns at a time.
-SMALL, COLUMNS = 256, 16_384
+SMALL, COLUMNS = 1024, 16_384
 #: Regions are looked up in so many passes over their keys, each with as much less on disk.
 PASSES = 2
 MEMO_WORDS, HELD_SHINGLES = 250_000, 2_000_000
@@ -191,9 +191,11 @@ def within(group: list[list], regions: Regions) -> list[tuple[int, int]]:
     members = [np.concatenate((numbers(r[3]), numbers(r[4]))) for r in group]
     size = np.array([len(v) for v in members])
     owner = np.repeat(np.arange(len(group)), size)
-    found, column = np.unique(np.concatenate(members), return_inverse=True)
+    found, column, often = np.unique(np.concatenate(members), return_inverse=True, return_counts=True)
+    some = often[column] > 1  # what only one point has isn't shared
+    owner, column = owner[some], np.cumsum(often > 1)[column[some]] - 1
     order = np.argsort(column, kind="stable")
-    owner, column = owner[order], column[order]
+    owner, column, found = owner[order], column[order], found[often > 1]
     shared = np.zeros((len(group), len(group)), np.float32)
     for at in range(0, len(found), COLUMNS):
         a, b = np.searchsorted(column, (at, at + COLUMNS))
@@ -438,8 +440,8 @@ def near_duplicates(
         cast = wide.select("region", "x", "n", "delta", "ball", "pivot_n", "plus", "minus")
         cast = cast.mapInArrow(shown, "region string, x long, n long, delta long, ball boolean, members array<long>")
         cast = materialize(cast.select("region", "x", "n", "delta", "ball", F.explode("members").alias("e")), "shown")
-        outside, least = F.count_if(~F.col("ball")).alias("out"), F.min(F.struct("delta", "x")).alias("least")
-        cells = cast.groupBy("region", "e").agg(F.count("*").alias("m"), outside, least).where("m > 1 and out > 0")
+        outside = F.count_if(~F.col("ball")).alias("out")
+        cells = cast.groupBy("region", "e").agg(F.count("*").alias("m"), outside).where("m > 1 and out > 0")
         cells = materialize(cells, "cells")
         # members of a wide region are dealt over shares, so that a point's difference is sent once for each share
         some = cast.join(cells.where(F.col("m") <= SMALL), ["region", "e"]).select("region", "e", "x").join(open_, "region")
@@ -451,8 +453,11 @@ def near_duplicates(
         large = cells.where(F.col("m") > SMALL)
         if not large.limit(1).count():
             break
-        dealt = cast.join(large.select("region", "e", F.col("least.x").alias("pivot")), ["region", "e"]).where("x != pivot")
-        dealt = dealt.select("region", "pivot", "x").distinct()
+        # the point that shows most of them is the pivot of as many large regions as it can be
+        shows = cast.join(large.select("region", "e"), ["region", "e"]).select("region", "e", "x")
+        shows = shows.join(shows.groupBy("region", "x").agg(F.count("*").alias("central")), ["region", "x"])
+        heads = shows.groupBy("region", "e").agg((-F.max(F.struct("central", (-F.col("x")).alias("p")))["p"]).alias("pivot"))
+        dealt = shows.join(heads, ["region", "e"]).where("x != pivot").select("region", "pivot", "x").distinct()
         for end in ("x", "pivot"):
             side = balls.select("region", F.col("x").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in ("n", "plus", "minus")])
             dealt = dealt.join(side, ["region", end])

@@ -260,7 +260,7 @@ def test_join_of_many_variants(spark, monkeypatch):
     rows = list(enumerate(texts))
     rng.shuffle(rows)
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    for small, k, bound in ((2, 4, Fraction(85, 100)), (256, 5, Fraction(4, 5))):
+    for small, k, bound in ((2, 4, Fraction(85, 100)), (1024, 5, Fraction(4, 5))):
         monkeypatch.setattr(ngram_join, "SMALL", small)
         want = H.components({i: H.shingles(t, k) for i, t in rows}, bound.numerator, bound.denominator)
         assert len(set(want.values())) > 20
