@@ -131,7 +131,7 @@ def fits(
     """(key, center, cov, inverse, logdet): the minimum-covariance-determinant estimate of ``v`` for every value of ``key``.
 
     From each start, concentration steps fit center and covariance to the ``share`` of the group's rows nearest to the last
-    fit, until no determinant moves any more; the start that ends with the least determinant counts. A group's estimate is
+    fit, until no determinant moves by more than a hundredth; the start that ends with the least determinant counts. A group's estimate is
     shrunk towards its parent's, ``prior`` rows strong, in every step (a regularised determinant, which steps don't
     raise either). Rows are read as often as there are steps; groups are sums and mergeable sketches, never gathered.
     """
@@ -166,7 +166,7 @@ def fits(
         new = sums.select(key, "start", fitted("n", "m", "s", "up_center", "up_cov").alias("f")).select(key, "start", "f.*")
         current = materialize(new.join(before, [key, "start"]), "fits")
         moved = current.agg(F.max(F.abs(F.col("logdet") - F.col("before")))).first()[0]
-        if moved is None or moved < 1e-3:
+        if moved is None or moved < 1e-2:
             break
     best = current.groupBy(key).agg(F.min_by(F.struct("center", "cov", "inverse", "logdet"), F.struct("logdet", "start")).alias("f"))
     return materialize(best.select(key, "f.*"), "fits")
