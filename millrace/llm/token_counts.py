@@ -17,7 +17,7 @@ from .common import materialize
 #: How the word-end vocabulary splits normalised text before merges (fixed value, from the tokenizer's file).
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"""
 #: Characters of text in a block of documents.
-BLOCK_CHARS = 12_000_000
+BLOCK_CHARS = 32_000_000
 _loaded: dict[str, tuple] = {}
 
 
@@ -131,7 +131,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id"
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     cells = materialize(rows.mapInArrow(gather, f"block long, at int, word string, payload binary, ids array<{kind}>"), "pretokens")
     held = cells.where("word is not null").select("block", "at", "word")
-    counted = held.select("word").distinct().mapInArrow(encode, "word string, n int")
-    known = held.join(counted, "word").select(F.col("block").alias("of"), "at", "n")
+    counted = materialize(held.select("word").distinct().mapInArrow(encode, "word string, n int"), "pieces")
+    known = materialize(held.join(counted, "word").select(F.col("block").alias("of"), "at", "n"), "known")
     states = cells.where("at < 0").select("block", "payload", "ids")
     return states.groupBy("block").cogroup(known.groupBy("of")).applyInArrow(total, f"doc_id {kind}, n_bytes long, n_tokens long")
