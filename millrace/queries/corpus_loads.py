@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 from dataclasses import replace
+from datetime import UTC, datetime
 from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import html_escaped
-from ..operators import ingest
+from ..operators import ingest, runs
 from ..operators.embed import hash_batch
 from ..options import ChunkOptions
+from ..sources import remote
 from ..sources.corpus import table
+from ..tables import new_folder
 from .registry import register
 
 QUERIES: dict = {}
@@ -20,6 +23,9 @@ SQL: dict = {}
 query = register(QUERIES, SQL)
 
 CHUNKER = ingest.Chunker(partial(hash_batch, dimension=8), 8, ChunkOptions(1_000_000, 0))
+#: Texts are cut in chunks of so many words, which repeat so many of the chunk before.
+BUDGET, OVERLAP = 200, 20
+CUTTER = replace(CHUNKER, options=ChunkOptions(BUDGET, OVERLAP))
 STARTED = "2024-03-05 00:00:00"
 
 
@@ -27,6 +33,14 @@ def _number(extra: int = 0) -> Column:
     return (F.col("doc_id") + extra).cast("string")
 
 
+def _words() -> Column:
+    """A document's whole text with single spaces, so that SQL can tell how markup leaves it."""
+    return F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[ \t\n\x0B\f\r]+", " "))
+
+
+WORDS_SQL = r"trim(regexp_replace(coalesce(text, ''), '[ \t\n\x0B\f\r]+', ' ', 'g'))"
+
+
 def _text(c: Column) -> Column:
     """A rich text of one paragraph."""
     words = F.array(F.struct(F.lit("text").alias("type"), c.alias("text")))
@@ -39,7 +53,7 @@ def _stored(spark: SparkSession, rows: DataFrame, kind: str, key: Column) -> ing
     at = F.lit("2024-01-01 00:00:00").cast("timestamp")
     sources = old.select(
         "source_id", F.lit(kind).alias("source_type"), key.alias("source_key"), F.lit("P").alias("project"), F.lit("old").alias("title"),
-        F.lit("u").alias("url"), F.lit("old body").alias("body"), at.alias("updated_at"),
+        F.lit("u").alias("url"), F.lit("old body").alias("body"), at.alias("updated_at"), F.parse_json(F.lit('{"status": "Old"}')).alias("extra"),
     )
     vector = F.array_repeat(F.lit(0.0).cast("float"), 8)
     chunks = old.select(
@@ -50,9 +64,10 @@ def _stored(spark: SparkSession, rows: DataFrame, kind: str, key: Column) -> ing
     return replace(ingest.Tables.empty(spark), sources=sources, chunks=chunks, edges=edges)
 
 
-def _issues(spark: SparkSession, folder: str) -> tuple[DataFrame, ingest.Tables]:
-    """English and German documents come in as issues, twice in part; an issue without a title is bad."""
-    d = table(spark, folder, "documents").select("doc_id", "lang", "n_chars")
+def _issue_records(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents as a tracker's issues (doc_id, version, json) with their whole texts; every fourth comes twice. An issue of
+    a German document has no title."""
+    d = table(spark, folder, "documents").select("doc_id", "lang", "source", _words().alias("words"))
     key = F.concat(F.lit("K-"), _number())
     name = lambda c: F.struct(c.alias("name"))
     comment = F.struct(
@@ -67,53 +82,80 @@ def _issues(spark: SparkSession, folder: str) -> tuple[DataFrame, ingest.Tables]
 
     def record(version: int) -> Column:
         fields = F.struct(
-            F.when(F.col("lang") == "de", " ").otherwise(F.concat(F.lit(f"v{version} of "), _number())).alias("summary"), _text(F.concat(F.lit("about "), _number())).alias("description"),
+            F.when(F.col("lang") == "de", " ").otherwise(F.concat(F.lit(f"v{version} of "), _number())).alias("summary"),
+            _text(F.concat_ws(" ", F.concat(F.lit("about "), _number()), F.nullif("words", F.lit("")))).alias("description"),
             F.lit(f"2024-03-0{version}T00:00:00.000+0000").alias("updated"), name(F.lit("Open")).alias("status"), F.array(F.lit("a"), F.lit("b")).alias("labels"),
             F.struct(F.array(comment).alias("comments")).alias("comment"), parent.alias("parent"), F.array(link).alias("issuelinks"),
+            F.when(F.col("source").isNotNull(), F.struct(F.col("source").alias("displayName"))).alias("assignee"),
         )
         return F.to_json(F.struct(key.alias("key"), fields.alias("fields")))
 
-    some = d.where("lang in ('en', 'de')")
-    feed = some.select("doc_id", record(1).alias("json")).unionByName(some.where("doc_id % 4 = 1").select("doc_id", record(2).alias("json")))
-    return ingest.normalized_issues(feed, "https://tracker/"), _stored(spark, d, "jira", key)
+    one = d.select("doc_id", F.lit(1).alias("version"), record(1).alias("json"))
+    return one.unionByName(d.where("doc_id % 4 = 1").select("doc_id", F.lit(2).alias("version"), record(2).alias("json")))
 
 
-ISSUES_SQL = """WITH good AS (
-  SELECT doc_id, 'jira:K-' || doc_id AS source_id, CASE WHEN doc_id % 4 = 1 THEN 2 ELSE 1 END AS v FROM documents WHERE lang = 'en'
-) """
+def _issues(spark: SparkSession, folder: str) -> tuple[DataFrame, ingest.Tables]:
+    d = table(spark, folder, "documents").select("doc_id")
+    return ingest.normalized_issues(_issue_records(spark, folder), "https://tracker/"), _stored(spark, d, "jira", F.concat(F.lit("K-"), _number()))
+
 
+GOOD_SQL = f"""good AS (
+  SELECT doc_id, 'jira:K-' || doc_id AS source_id, source, v, 'v' || v || ' of ' || doc_id AS title,
+         'about ' || doc_id || CASE WHEN words <> '' THEN ' ' || words ELSE '' END AS about,
+         chr(10) || chr(10) || '## Comment by ' || CASE WHEN doc_id % 2 = 0 THEN 'ann' ELSE 'unknown' END || ' on 2024-03-01' || chr(10) || chr(10) || 'said ' || doc_id AS comment
+  FROM (SELECT *, {WORDS_SQL} AS words, CASE WHEN doc_id % 4 = 1 THEN 2 ELSE 1 END AS v FROM documents WHERE lang IS DISTINCT FROM 'de')
+)"""
+ISSUES_SQL = f"WITH {GOOD_SQL} "
+LEFT_SQL = "FROM documents WHERE doc_id % 3 = 0 AND doc_id NOT IN (SELECT doc_id FROM good)"
 
-@query(ISSUES_SQL + """SELECT source_id, 'v' || v || ' of ' || doc_id AS title, 'K' AS project, 'https://tracker/browse/K-' || doc_id AS url,
-  md5('about ' || doc_id || chr(10) || chr(10) || chr(10) || '## Comment by ' || CASE WHEN doc_id % 2 = 0 THEN 'ann' ELSE 'unknown' END
-      || ' on 2024-03-01' || chr(10) || chr(10) || 'said ' || doc_id || chr(10)) AS body_md5, TIMESTAMP '2024-03-01' + to_days(v - 1) AS updated_at FROM good
-UNION ALL SELECT 'jira:K-' || doc_id, 'old', 'P', 'u', md5('old body'), TIMESTAMP '2024-01-01' FROM documents WHERE doc_id % 3 = 0 AND doc_id NOT IN (SELECT doc_id FROM good)""")
+
+@query(ISSUES_SQL + f"""SELECT source_id, title, 'K' AS project, 'https://tracker/browse/K-' || doc_id AS url, md5(about || chr(10) || comment || chr(10)) AS body_md5,
+  TIMESTAMP '2024-03-01' + to_days(v - 1) AS updated_at, 'Open' AS status, source AS assignee, '["a","b"]' AS labels, 1 AS comments FROM good
+UNION ALL SELECT 'jira:K-' || doc_id, 'old', 'P', 'u', md5('old body'), TIMESTAMP '2024-01-01', 'Old', NULL, NULL, NULL {LEFT_SQL}""")
 def issue_load(spark: SparkSession, folder: str) -> DataFrame:
-    """Sources after a load of issues: the last version of each good one, and what was stored."""
+    """Sources after a load of issues with their open attributes: the last version of each good one, and what was stored."""
     issues, stored = _issues(spark, folder)
-    sources = ingest.ingest_issues(issues, stored, CHUNKER, started=F.lit(STARTED).cast("timestamp")).sources
+    sources = ingest.ingest_issues(issues, stored, CUTTER, started=F.lit(STARTED).cast("timestamp")).sources
     return sources.select(
-        "source_id", "title", "project", "url", F.md5("body").alias("body_md5"),
-        F.col("updated_at").cast("timestamp_ntz").alias("updated_at"),
+        "source_id", "title", "project", "url", F.md5("body").alias("body_md5"), F.col("updated_at").cast("timestamp_ntz").alias("updated_at"),
+        ingest.attribute("status").alias("status"), ingest.attribute("assignee").alias("assignee"), ingest.attribute("labels").alias("labels"),
+        F.try_variant_get("extra", "$.comment_count", "int").alias("comments"),
     )
 
 
-@query(ISSUES_SQL + """SELECT source_id, 'jira' AS target_type, 'K-' || (doc_id + 1) AS target_key, 'blocks' AS kind FROM good
+@query(ISSUES_SQL + f"""SELECT source_id, 'jira' AS target_type, 'K-' || (doc_id + 1) AS target_key, 'blocks' AS kind FROM good
 UNION ALL SELECT source_id, 'jira', 'E-1', 'epic' FROM good WHERE doc_id % 5 = 0
-UNION ALL SELECT 'jira:K-' || doc_id, 'jira', 'OLD-1', 'blocks' FROM documents WHERE doc_id % 3 = 0 AND doc_id NOT IN (SELECT doc_id FROM good)""")
+UNION ALL SELECT 'jira:K-' || doc_id, 'jira', 'OLD-1', 'blocks' {LEFT_SQL}""")
 def issue_load_edges(spark: SparkSession, folder: str) -> DataFrame:
     """Edges after a load of issues: those of issues that came in are replaced."""
     issues, stored = _issues(spark, folder)
-    return ingest.ingest_issues(issues, stored, CHUNKER, started=F.lit(STARTED).cast("timestamp")).edges
-
-
-@query(ISSUES_SQL + """, t AS (SELECT source_id, '# v' || v || ' of ' || doc_id || ' (K-' || doc_id || ')' || chr(10) || chr(10) || 'about ' || doc_id || chr(10) || chr(10) || chr(10)
-  || '## Comment by ' || CASE WHEN doc_id % 2 = 0 THEN 'ann' ELSE 'unknown' END || ' on 2024-03-01' || chr(10) || chr(10) || 'said ' || doc_id AS text FROM good)
-SELECT source_id, 0 AS chunk_index, md5(text) AS text_md5, len(regexp_extract_all(text, '\\S+')) AS token_count, 'body' AS chunk_kind, 8 AS dimension FROM t
-UNION ALL SELECT 'jira:K-' || doc_id, 0, md5('old'), 1, 'body', 8 FROM documents WHERE doc_id % 3 = 0 AND doc_id NOT IN (SELECT doc_id FROM good)""")
+    return ingest.ingest_issues(issues, stored, CUTTER, started=F.lit(STARTED).cast("timestamp")).edges
+
+
+#: A head over the budget is cut in runs of words, each with the last words of the one before; the comment follows the last
+#: run as it is, if it fits, or opens a chunk of its own after the last words of that run.
+CHUNKS_SQL = f"""texts AS (SELECT source_id, '# ' || title || ' (K-' || doc_id || ')' || chr(10) || chr(10) || about || chr(10) AS head, comment FROM good),
+counted AS (
+  SELECT *, regexp_extract_all(head, '[^ \t\n\x0B\f\r]+') AS w, regexp_extract_all(comment, '[^ \t\n\x0B\f\r]+') AS c FROM texts
+), sized AS (
+  SELECT *, CASE WHEN len(w) <= {BUDGET} THEN 1 ELSE 1 + ceil((len(w) - {BUDGET}) / {BUDGET - OVERLAP})::INT END AS k FROM counted
+), cut AS (
+  SELECT *, CASE WHEN len(w) <= {BUDGET} THEN head ELSE array_to_string(w[i * {BUDGET - OVERLAP} + 1 : i * {BUDGET - OVERLAP} + {BUDGET}], ' ') END AS run,
+         least(len(w) - i * {BUDGET - OVERLAP}, {BUDGET}) AS size FROM (SELECT *, unnest(range(k)) AS i FROM sized)
+), chunked AS (
+  SELECT source_id, i AS chunk_index, CASE WHEN i = k - 1 AND size + len(c) <= {BUDGET} THEN run || comment ELSE run END AS text, 'body' AS chunk_kind FROM cut
+  UNION ALL
+  SELECT source_id, k, array_to_string((regexp_extract_all(run, '[^ \t\n\x0B\f\r]+'))[-{OVERLAP} :] || c, ' '), 'comment' FROM cut WHERE i = k - 1 AND size + len(c) > {BUDGET}
+)"""
+
+
+@query(ISSUES_SQL + f""", {CHUNKS_SQL}
+SELECT source_id, chunk_index::INT AS chunk_index, md5(text) AS text_md5, len(regexp_extract_all(text, '[^ \t\n\x0B\f\r]+')) AS token_count, chunk_kind, 8 AS dimension FROM chunked
+UNION ALL SELECT 'jira:K-' || doc_id, 0, md5('old'), 1, 'body', 8 {LEFT_SQL}""")
 def issue_load_chunks(spark: SparkSession, folder: str) -> DataFrame:
-    """Chunks with their vectors after a load of issues."""
+    """Chunks with their vectors after a load of issues, cut to a budget."""
     issues, stored = _issues(spark, folder)
-    chunks = ingest.ingest_issues(issues, stored, CHUNKER, started=F.lit(STARTED).cast("timestamp")).chunks
+    chunks = ingest.ingest_issues(issues, stored, CUTTER, started=F.lit(STARTED).cast("timestamp")).chunks
     return chunks.select("source_id", "chunk_index", F.md5("text").alias("text_md5"), "token_count", "chunk_kind", F.size("embedding").alias("dimension"))
 
 
@@ -126,38 +168,79 @@ def load_marks(spark: SparkSession, folder: str) -> DataFrame:
     ).select("source_type", F.col("mark").cast("timestamp").alias("mark"))
     at = F.lit(STARTED).cast("timestamp")
     after = ingest.ingest_issues(issues, replace(stored, state=before), CHUNKER, started=at)
-    pages = _pages(spark, folder)
+    pages = _pages(spark, folder, 1)
     done = ingest.ingest_pages(pages, replace(stored, state=after.state), CHUNKER, base_url="w", started=at)
     return done.state.select("source_type", F.col("mark").cast("timestamp_ntz").alias("mark"))
 
 
-def _pages(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents as pages below the page with half their number, each with a link to the next and one to a lost title."""
-    d = table(spark, folder, "documents").where("doc_id > 0").select("doc_id", "source", "lang")
+def _pages(spark: SparkSession, folder: str, version: int) -> DataFrame:
+    """Documents as pages below the page with half their number, with their whole texts, a link to the next and one to a lost title.
+    In version 2 every tenth comes again under a new title."""
+    d = table(spark, folder, "documents").where("doc_id > 0").select("doc_id", "source", _words().alias("words"))
+    d = d if version == 1 else d.where("doc_id % 10 = 3")
     storage = F.concat(
         F.lit("<p>On "), html_escaped(F.coalesce("source", F.lit(""))), F.lit(' <ac:link><ri:page ri:content-id="'), _number(1), F.lit('"/></ac:link>'),
-        F.lit(' <ac:link><ri:page ri:content-title="Lost" ri:space-key="S"/></ac:link></p>'),
+        F.lit(' <ac:link><ri:page ri:content-title="Lost" ri:space-key="S"/></ac:link></p><pre>'), html_escaped(F.col("words")), F.lit("</pre>"),
     )
     return d.select(
-        F.col("doc_id").alias("id"), F.concat(F.lit("Page "), _number()).alias("title"), F.lit("S").alias("space"), F.expr("nullif(doc_id div 2, 0)").alias("parent_id"),
-        storage.alias("storage"), F.lit(1).alias("version"), F.lit("2024-03-01 00:00:00").cast("timestamp").alias("updated_at"),
+        F.col("doc_id").alias("id"), F.concat(F.lit("Page "), _number(), F.lit(" again" if version == 2 else "")).alias("title"), F.lit("S").alias("space"),
+        F.expr("nullif(doc_id div 2, 0)").alias("parent_id"), storage.alias("storage"), F.lit(version).cast("long").alias("version"),
+        F.lit(f"2024-03-0{version} 00:00:00").cast("timestamp").alias("updated_at"),
     )
 
 
-@query("""WITH RECURSIVE p AS (SELECT doc_id AS id, doc_id // 2 AS parent, source FROM documents WHERE doc_id > 0), c AS (
-  SELECT id, parent AS top, 1 AS depth FROM p WHERE parent > 0
-  UNION ALL SELECT c.id, p.parent, depth + 1 FROM c JOIN p ON p.id = c.top WHERE p.parent > 0
-), b AS (SELECT c.id, string_agg('Page ' || top, ' / ' ORDER BY depth DESC) AS crumbs FROM c JOIN p ON p.id = c.top GROUP BY c.id)
-SELECT 'confluence:' || p.id AS source_id, 'w/spaces/S/pages/' || p.id AS url, md5('# Page ' || p.id || chr(10) || chr(10) || coalesce('_' || crumbs || '_' || chr(10) || chr(10), '')
-  || 'On ' || coalesce(p.source, '') || ' ' || CASE WHEN n.id IS NOT NULL THEN '[page ' || n.id || '](w/spaces/S/pages/' || n.id || ')' ELSE 'page ' || (p.id + 1) END || ' Lost' || chr(10)) AS body_md5
+@query(f"""WITH RECURSIVE p AS (
+  SELECT doc_id AS id, doc_id // 2 AS parent, source, {WORDS_SQL} AS words, doc_id % 10 = 3 AS twice FROM documents WHERE doc_id > 0
+), c AS (
+  SELECT id, twice, parent AS top, 1 AS depth FROM p WHERE parent > 0
+  UNION ALL SELECT c.id, c.twice, p.parent, depth + 1 FROM c JOIN p ON p.id = c.top WHERE p.parent > 0
+), b AS (
+  SELECT c.id, string_agg('Page ' || top || CASE WHEN c.twice AND p.twice THEN ' again' ELSE '' END, ' / ' ORDER BY depth DESC) AS crumbs FROM c JOIN p ON p.id = c.top GROUP BY c.id
+)
+SELECT 'confluence:' || p.id AS source_id, 'w/spaces/S/pages/' || p.id AS url, md5('# Page ' || p.id || CASE WHEN p.twice THEN ' again' ELSE '' END || chr(10) || chr(10)
+  || coalesce('_' || crumbs || '_' || chr(10) || chr(10), '') || 'On ' || coalesce(p.source, '') || ' ' || CASE WHEN n.id IS NOT NULL THEN '[page ' || n.id || '](w/spaces/S/pages/' || n.id || ')' ELSE 'page ' || (p.id + 1) END
+  || ' Lost' || CASE WHEN p.words <> '' THEN chr(10) || chr(10) || '```' || chr(10) || p.words || chr(10) || '```' ELSE '' END || chr(10)) AS body_md5,
+  CASE WHEN p.twice THEN 2 ELSE 1 END AS version
 FROM p LEFT JOIN b USING (id) LEFT JOIN p n ON n.id = p.id + 1""")
 def page_load(spark: SparkSession, folder: str) -> DataFrame:
-    """Sources after a load of pages: titles of their ancestors above, links resolved in a second pass."""
-    done = ingest.ingest_pages(_pages(spark, folder), ingest.Tables.empty(spark), CHUNKER, base_url="w/", started=F.lit(STARTED).cast("timestamp"))
-    return done.sources.select("source_id", "url", F.md5("body").alias("body_md5"))
+    """Sources after a load of pages and one of a tenth of them: titles of their ancestors above, those that didn't come in from what is stored;
+    links resolved in a second pass."""
+    at = F.lit(STARTED).cast("timestamp")
+    first = ingest.ingest_pages(_pages(spark, folder, 1), ingest.Tables.empty(spark), CHUNKER, base_url="w/", started=at)
+    done = ingest.ingest_pages(_pages(spark, folder, 2), first, CHUNKER, base_url="w/", started=at)
+    return done.sources.select("source_id", "url", F.md5("body").alias("body_md5"), F.try_variant_get("extra", "$.version", "int").alias("version"))
+
+
+def _keyed(spark: SparkSession, folder: str) -> ingest.Tables:
+    """All documents under keys of their own, and every third again with more text; German ones lack a title."""
+    d = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    title = F.when(~F.col("lang").eqNullSafe("de"), F.concat(F.lit("T "), _number()))
+    given = F.when(F.col("lang") == "fr", F.struct(F.lit("mail").alias("source"), F.struct(_number().alias("number")).alias("of")))
+
+    def feed(rows: DataFrame, content: Column, day: int) -> DataFrame:
+        record = F.struct(_number().alias("key"), title.alias("title"), content.alias("content"), F.lit(f"2024-03-0{day}T00:00:00Z").alias("updated_at"), given.alias("extra"))
+        return ingest.document_feed(rows.select(F.to_json(record).alias("json")))
+
+    first = ingest.ingest_documents(feed(d, F.col("text"), 1), ingest.Tables.empty(spark), CUTTER)
+    return ingest.ingest_documents(feed(d.where("doc_id % 3 = 0"), F.concat(F.lit("again "), F.coalesce("text", F.lit(""))), 2), first, CUTTER)
+
+
+@query(r"""WITH d AS (
+  SELECT doc_id, lang, CASE WHEN doc_id % 3 = 0 THEN 'again ' || coalesce(text, '') ELSE text END AS text, doc_id % 3 = 0 AS twice FROM documents WHERE lang IS DISTINCT FROM 'de'
+)
+SELECT 'document:' || doc_id AS source_id, 'T ' || doc_id AS title, md5(text) AS body_md5, TIMESTAMP '2024-03-01' + to_days(twice::INT) AS updated_at,
+  CASE WHEN lang = 'fr' THEN 'mail' ELSE 'ingest_api' END AS origin, CASE WHEN lang = 'fr' THEN doc_id::VARCHAR END AS number, sha256(text) AS sha
+FROM d WHERE regexp_matches(text, '[^ 	
+]')""")
+def document_load(spark: SparkSession, folder: str) -> DataFrame:
+    """Sources after two loads of documents: the last text under each key, with what came along."""
+    return _keyed(spark, folder).sources.select(
+        "source_id", "title", F.md5("body").alias("body_md5"), F.col("updated_at").cast("timestamp_ntz").alias("updated_at"), ingest.attribute("source").alias("origin"),
+        F.try_variant_get("extra", "$.of.number", "string").alias("number"), ingest.attribute("content_sha256").alias("sha"),
+    )
 
 
-def _documents(spark: SparkSession, folder: str) -> ingest.Tables:
+def _uploads(spark: SparkSession, folder: str) -> ingest.Tables:
     d = table(spark, folder, "documents").select("doc_id", "text", "source", "lang")
     record = F.struct(
         _number().alias("id"), F.when(F.col("lang") == "fr", F.concat(F.lit("T "), _number())).alias("title"), F.col("text").alias("text"),
@@ -168,10 +251,10 @@ def _documents(spark: SparkSession, folder: str) -> ingest.Tables:
     kept = d.where("source < 'src5' and trim(text) != ''").groupBy(F.sha2("text", 256).alias("sha")).agg(F.min("text").alias("text"))
     sources = kept.select(
         F.concat(F.lit("document:"), "sha").alias("source_id"), F.lit("document").alias("source_type"), F.col("sha").alias("source_key"), F.lit("old").alias("project"),
-        F.lit("old").alias("title"), F.lit("u").alias("url"), F.col("text").alias("body"), at.alias("updated_at"),
+        F.lit("old").alias("title"), F.lit("u").alias("url"), F.col("text").alias("body"), at.alias("updated_at"), F.lit(None).cast("variant").alias("extra"),
     )
     stored = replace(ingest.Tables.empty(spark), sources=sources)
-    return ingest.ingest_documents(ingest.document_feed(feed), stored, CHUNKER, now=F.lit(STARTED).cast("timestamp"))
+    return ingest.ingest_uploads(ingest.upload_feed(feed), stored, CHUNKER, now=F.lit(STARTED).cast("timestamp"))
 
 
 DOCUMENTS_SQL = """WITH d AS (SELECT doc_id, text, sha256(text) AS sha, source FROM documents WHERE trim(text) <> ''),
@@ -179,15 +262,82 @@ old AS (SELECT DISTINCT sha FROM d WHERE source < 'src5'), new AS (SELECT DISTIN
 
 
 @query(DOCUMENTS_SQL + "SELECT 'document:' || sha AS source_id, 'old' AS project, 'u' AS url FROM old UNION ALL SELECT 'document:' || sha, 'src', 'document/' || substr(sha, 1, 32) FROM new")
-def document_load(spark: SparkSession, folder: str) -> DataFrame:
-    """Sources after a load of documents: of each content one, and none that is stored."""
-    return _documents(spark, folder).sources.select("source_id", "project", "url")
+def upload_load(spark: SparkSession, folder: str) -> DataFrame:
+    """Sources after a load of uploaded texts: of each content one, and none that is stored."""
+    return _uploads(spark, folder).sources.select("source_id", "project", "url")
 
 
 @query(DOCUMENTS_SQL + """, t AS (SELECT sha, min(trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) AS body FROM d WHERE source < 'src5' GROUP BY sha)
 SELECT 'document:' || sha AS source_id, md5('# old' || chr(10) || chr(10) || body) AS text_md5 FROM t WHERE body <> ''""")
 def rechunk_stored(spark: SparkSession, folder: str) -> DataFrame:
     """Chunks of the stored documents cut and embedded anew."""
-    stored = _documents(spark, folder)
+    stored = _uploads(spark, folder)
     old = replace(stored, sources=stored.sources.where("project = 'old'"), chunks=stored.chunks.limit(0))
     return ingest.rechunked(old, CHUNKER).chunks.select("source_id", F.md5("text").alias("text_md5"))
+
+
+NOW = datetime(2024, 3, 5, tzinfo=UTC)
+
+
+def _scanned(spark: SparkSession, folder: str) -> tuple[dict[str, str], object]:
+    """Issues landed as pages of a thousand, and a scan of them."""
+    records = _issue_records(spark, folder).where("version = 1 or doc_id % 8 = 1")
+    at = F.to_timestamp(F.format_string("2024-03-%02d", "version")) + F.make_dt_interval(mins=F.col("doc_id").cast("int") % 1000)
+    path = new_folder(spark, "pages")
+    rows = records.select(F.concat(F.lit("K-"), _number()).alias("key"), F.concat(F.lit("P"), (F.col("doc_id") % 7).cast("string")).alias("project"), at.alias("updated_at"), "json")
+    remote.land_pages(rows, path, 1000)
+    return {"path": path, "splits": "4", "cap": "1000000000"}, path
+
+
+@query(r"""SELECT 'K-' || doc_id AS key, 'P' || doc_id % 7 AS project, TIMESTAMP '2024-03-01' + to_minutes(doc_id % 1000) AS updated_at FROM documents
+WHERE doc_id % 7 IN (1, 3) AND doc_id % 1000 >= 100 UNION ALL
+SELECT 'K-' || doc_id, 'P' || doc_id % 7, TIMESTAMP '2024-03-02' + to_minutes(doc_id % 1000) FROM documents WHERE doc_id % 7 IN (1, 3) AND doc_id % 8 = 1""")
+def remote_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Issues of two projects and from a time on: both filters reach the source, which opens pages that can hold such issues only."""
+    options, _ = _scanned(spark, folder)
+    rows = remote.scan(spark, remote.Tracker, options, ["P1", "P3"], datetime(2024, 3, 1, 1, 40, tzinfo=UTC))
+    return rows.select("key", "project", F.col("updated_at").cast("timestamp_ntz").alias("updated_at"))
+
+
+def _synced(spark: SparkSession, folder: str) -> tuple[runs.Store, list[runs.Report]]:
+    """A store after a run over all issues of the first day and one from its mark on."""
+    options, _ = _scanned(spark, folder)
+    store = runs.open_store(spark, new_folder(spark, "store"), 16)
+    day = F.lit(datetime(2024, 3, 2, tzinfo=UTC))
+    done = [
+        runs.sync_issues(store, lambda mark: remote.scan(spark, remote.Tracker, options, since=mark).where(F.col("updated_at") < day), CUTTER, base_url="https://tracker/", now=datetime(2024, 3, 1, tzinfo=UTC)),
+        runs.sync_issues(store, lambda mark: remote.scan(spark, remote.Tracker, options, since=mark), CUTTER, base_url="https://tracker/", now=NOW),
+    ]
+    return store, done
+
+
+SYNCED_SQL = f"WITH {GOOD_SQL.replace('doc_id % 4 = 1', 'doc_id % 8 = 1')}, {CHUNKS_SQL} "
+
+
+@query(SYNCED_SQL + """, c AS (SELECT source_id, count(*) AS chunks, md5(string_agg(text, '|' ORDER BY chunk_index)) AS chunks_md5 FROM chunked GROUP BY source_id)
+SELECT source_id, title, md5(about || chr(10) || comment || chr(10)) AS body_md5, chunks, chunks_md5, CASE WHEN doc_id % 5 = 0 THEN 2 ELSE 1 END AS edges FROM good JOIN c USING (source_id)""")
+def synced_corpus(spark: SparkSession, folder: str) -> DataFrame:
+    """Sources with their chunks and edges in the snapshot that two runs have committed."""
+    t = runs.tables(_synced(spark, folder)[0])
+    text = F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "text"))), lambda c: c["text"])
+    chunks = t.chunks.groupBy("source_id").agg(F.count("*").alias("chunks"), F.md5(F.array_join(text, "|")).alias("chunks_md5"))
+    edges = t.edges.groupBy("source_id").agg(F.count("*").alias("edges"))
+    return t.sources.join(chunks, "source_id").join(edges, "source_id").select("source_id", "title", F.md5("body").alias("body_md5"), "chunks", "chunks_md5", "edges")
+
+
+@query(SYNCED_SQL + """, d AS (SELECT *, lang IS DISTINCT FROM 'de' AS fine FROM documents), again AS (SELECT * FROM d WHERE doc_id % 8 = 1),
+first AS (SELECT count(*) AS n, count_if(NOT fine) AS failed FROM d), second AS (SELECT (SELECT count(*) FROM d) + count(*) AS n, (SELECT count_if(NOT fine) FROM d) + count_if(NOT fine) AS failed FROM again)
+SELECT 1 AS run, n AS fetched, n - failed AS sources, failed, 0 AS skipped, 1 AS snapshot, failed > 0 AS held FROM first
+UNION ALL SELECT 2, n, (SELECT n - failed FROM first), failed, (SELECT count_if(fine) FROM again), 2, failed > 0 FROM second""")
+def run_reports(spark: SparkSession, folder: str) -> DataFrame:
+    """What the two runs count while they write: a run with rejected records holds the mark, so that the next takes all again."""
+    _, done = _synced(spark, folder)
+    rows = [(i, r.fetched, r.sources, r.failed, r.skipped, r.number, r.mark is None) for i, r in enumerate(done, 1)]
+    return spark.createDataFrame(rows, "run int, fetched long, sources long, failed long, skipped long, snapshot int, held boolean")
+
+
+@query("""SELECT 'jira:K-' || doc_id AS source_id, 'title is required' AS error, 2 AS run FROM documents WHERE lang = 'de'""")
+def rejected_records(spark: SparkSession, folder: str) -> DataFrame:
+    """Records that the runs could not load, with the reason."""
+    store, _ = _synced(spark, folder)
+    return store.read("rejected").select("source_id", "error", F.col("run").cast("int").alias("run"))

@@ -1,10 +1,7 @@
-"""Landed feeds and files, and the predicates that go to a remote system with them."""
+"""Landed feeds and files, and ancestors of pages."""
 
 from __future__ import annotations
 
-import math
-from datetime import datetime, timedelta
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,17 +10,6 @@ from ..operators.convert import html_text
 from ..tables import materialize
 
 
-def remote_predicate(projects: list[str], mark: datetime | None, now: datetime) -> str:
-    """The query a remote tracker gets: its projects, and what changed since a minute before the mark, in whole minutes."""
-    parts = [f"project in ({', '.join(chr(34) + p + chr(34) for p in projects)})"] if projects else []
-    if mark is not None:
-        minutes = max(1, math.ceil((now - (mark - timedelta(minutes=1))).total_seconds() / 60))
-        parts.append(f"updated >= -{minutes}m")
-    elif not projects:
-        parts.append('updated >= "1970-01-01"')
-    return " AND ".join(parts) + " ORDER BY updated ASC"
-
-
 def landed(spark: SparkSession, path: str, schema: str, *, array: bool = False) -> DataFrame:
     """Records of landed JSON, a line each or (``array``) whole files of arrays; what doesn't parse is in ``_bad``."""
     reader = spark.read.schema(f"{schema}, _bad string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad")

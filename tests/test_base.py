@@ -14,7 +14,7 @@ from millrace.functions.headline import snippet
 from millrace.operators import chunking, embed, loads, markup, page_links
 from millrace.options import ChunkOptions, SearchOptions, checked_query
 from millrace.plans import search
-from millrace.sources import feeds
+from millrace.sources import feeds, remote
 from millrace.streaming import sync
 
 
@@ -195,8 +195,8 @@ def test_loads(spark):
 
 def test_feeds(spark):
     now = dt.datetime(2026, 1, 1, 12)
-    assert feeds.remote_predicate(["A", "B"], now - dt.timedelta(minutes=5), now) == 'project in ("A", "B") AND updated >= -6m ORDER BY updated ASC'
-    assert "1970" in feeds.remote_predicate([], None, now)
+    assert remote.remote_predicate(["A", "B"], now - dt.timedelta(minutes=5), now) == 'project in ("A", "B") AND updated >= -6m ORDER BY updated ASC'
+    assert "1970" in remote.remote_predicate([], None, now)
 
 
 def test_files(spark, tmp_path):
