@@ -64,8 +64,13 @@ def _stored(spark: SparkSession, rows: DataFrame, kind: str, key: Column) -> ing
     return replace(ingest.Tables.empty(spark), sources=sources, chunks=chunks, edges=edges)
 
 
+def _landed_at(day: Column) -> Column:
+    """A minute of a day for each document."""
+    return F.to_timestamp(F.format_string("2024-03-%02d", day)) + F.make_dt_interval(mins=F.col("doc_id").cast("int") % 1000)
+
+
 def _issue_records(spark: SparkSession, folder: str) -> DataFrame:
-    """All documents as a tracker's issues (doc_id, version, json) with their whole texts; every fourth comes twice. An issue of
+    """All documents as a tracker's issues (doc_id, lang, version, json) with their whole texts; every fourth comes twice. An issue of
     a German document has no title."""
     d = table(spark, folder, "documents").select("doc_id", "lang", "source", _words().alias("words"))
     key = F.concat(F.lit("K-"), _number())
@@ -84,19 +89,19 @@ def _issue_records(spark: SparkSession, folder: str) -> DataFrame:
         fields = F.struct(
             F.when(F.col("lang") == "de", " ").otherwise(F.concat(F.lit(f"v{version} of "), _number())).alias("summary"),
             _text(F.concat_ws(" ", F.concat(F.lit("about "), _number()), F.nullif("words", F.lit("")))).alias("description"),
-            F.lit(f"2024-03-0{version}T00:00:00.000+0000").alias("updated"), name(F.lit("Open")).alias("status"), F.array(F.lit("a"), F.lit("b")).alias("labels"),
+            F.date_format(_landed_at(F.lit(version)), "yyyy-MM-dd'T'HH:mm:ss.SSS'+0000'").alias("updated"), name(F.lit("Open")).alias("status"), F.array(F.lit("a"), F.lit("b")).alias("labels"),
             F.struct(F.array(comment).alias("comments")).alias("comment"), parent.alias("parent"), F.array(link).alias("issuelinks"),
             F.when(F.col("source").isNotNull(), F.struct(F.col("source").alias("displayName"))).alias("assignee"),
         )
         return F.to_json(F.struct(key.alias("key"), fields.alias("fields")))
 
-    one = d.select("doc_id", F.lit(1).alias("version"), record(1).alias("json"))
-    return one.unionByName(d.where("doc_id % 4 = 1").select("doc_id", F.lit(2).alias("version"), record(2).alias("json")))
+    one = d.select("doc_id", "lang", F.lit(1).alias("version"), record(1).alias("json"))
+    return one.unionByName(d.where("doc_id % 4 = 1").select("doc_id", "lang", F.lit(2).alias("version"), record(2).alias("json")))
 
 
 def _issues(spark: SparkSession, folder: str) -> tuple[DataFrame, ingest.Tables]:
     d = table(spark, folder, "documents").select("doc_id")
-    return ingest.normalized_issues(_issue_records(spark, folder), "https://tracker/"), _stored(spark, d, "jira", F.concat(F.lit("K-"), _number()))
+    return ingest.normalized_issues(_issue_records(spark, folder).select("json"), "https://tracker/"), _stored(spark, d, "jira", F.concat(F.lit("K-"), _number()))
 
 
 GOOD_SQL = f"""good AS (
@@ -110,7 +115,7 @@ LEFT_SQL = "FROM documents WHERE doc_id % 3 = 0 AND doc_id NOT IN (SELECT doc_id
 
 
 @query(ISSUES_SQL + f"""SELECT source_id, title, 'K' AS project, 'https://tracker/browse/K-' || doc_id AS url, md5(about || chr(10) || comment || chr(10)) AS body_md5,
-  TIMESTAMP '2024-03-01' + to_days(v - 1) AS updated_at, 'Open' AS status, source AS assignee, '["a","b"]' AS labels, 1 AS comments FROM good
+  TIMESTAMP '2024-03-01' + to_days(v - 1) + to_minutes(doc_id % 1000) AS updated_at, 'Open' AS status, source AS assignee, '["a","b"]' AS labels, 1 AS comments FROM good
 UNION ALL SELECT 'jira:K-' || doc_id, 'old', 'P', 'u', md5('old body'), TIMESTAMP '2024-01-01', 'Old', NULL, NULL, NULL {LEFT_SQL}""")
 def issue_load(spark: SparkSession, folder: str) -> DataFrame:
     """Sources after a load of issues with their open attributes: the last version of each good one, and what was stored."""
@@ -231,7 +236,8 @@ def _keyed(spark: SparkSession, folder: str) -> ingest.Tables:
 SELECT 'document:' || doc_id AS source_id, 'T ' || doc_id AS title, md5(text) AS body_md5, TIMESTAMP '2024-03-01' + to_days(twice::INT) AS updated_at,
   CASE WHEN lang = 'fr' THEN 'mail' ELSE 'ingest_api' END AS origin, CASE WHEN lang = 'fr' THEN doc_id::VARCHAR END AS number, sha256(text) AS sha
 FROM d WHERE regexp_matches(text, '[^ 	
-]')""")
+
+]')""")
 def document_load(spark: SparkSession, folder: str) -> DataFrame:
     """Sources after two loads of documents: the last text under each key, with what came along."""
     return _keyed(spark, folder).sources.select(
@@ -279,36 +285,42 @@ def rechunk_stored(spark: SparkSession, folder: str) -> DataFrame:
 NOW = datetime(2024, 3, 5, tzinfo=UTC)
 
 
-def _scanned(spark: SparkSession, folder: str) -> tuple[dict[str, str], object]:
-    """Issues landed as pages of a thousand, and a scan of them."""
-    records = _issue_records(spark, folder).where("version = 1 or doc_id % 8 = 1")
-    at = F.to_timestamp(F.format_string("2024-03-%02d", "version")) + F.make_dt_interval(mins=F.col("doc_id").cast("int") % 1000)
+def _scanned(spark: SparkSession, folder: str) -> dict[str, str]:
+    """Issues landed as pages of a thousand: those with a title on the first day; every eighth of them again, and those without one, on the second."""
+    german = F.col("lang").eqNullSafe("de")
+    day = F.when((F.col("version") == 1) & ~german, 1).when((F.col("version") == 1) | (~german & (F.col("doc_id") % 8 == 1)), 2)
+    at = _landed_at(F.col("day"))
+    project = F.concat(F.lit("P"), (F.col("doc_id") % 7).cast("string"))
+    rows = _issue_records(spark, folder).withColumn("day", day).where("day is not null")
     path = new_folder(spark, "pages")
-    rows = records.select(F.concat(F.lit("K-"), _number()).alias("key"), F.concat(F.lit("P"), (F.col("doc_id") % 7).cast("string")).alias("project"), at.alias("updated_at"), "json")
-    remote.land_pages(rows, path, 1000)
-    return {"path": path, "splits": "4", "cap": "1000000000"}, path
+    remote.land_pages(rows.select(F.concat(F.lit("K-"), _number()).alias("key"), project.alias("project"), at.alias("updated_at"), "json"), path, 1000)
+    return {"path": path, "splits": "4", "cap": "1000000000"}
+
 
+LANDED_SQL = """SELECT doc_id, doc_id % 1000 AS m, 1 AS day, true AS fine FROM documents WHERE lang IS DISTINCT FROM 'de'
+UNION ALL SELECT doc_id, doc_id % 1000, 2, lang IS DISTINCT FROM 'de' FROM documents WHERE lang = 'de' OR doc_id % 8 = 1"""
 
-@query(r"""SELECT 'K-' || doc_id AS key, 'P' || doc_id % 7 AS project, TIMESTAMP '2024-03-01' + to_minutes(doc_id % 1000) AS updated_at FROM documents
-WHERE doc_id % 7 IN (1, 3) AND doc_id % 1000 >= 100 UNION ALL
-SELECT 'K-' || doc_id, 'P' || doc_id % 7, TIMESTAMP '2024-03-02' + to_minutes(doc_id % 1000) FROM documents WHERE doc_id % 7 IN (1, 3) AND doc_id % 8 = 1""")
+
+@query(f"""SELECT 'K-' || doc_id AS key, 'P' || doc_id % 7 AS project, TIMESTAMP '2024-03-01' + to_days(day - 1) + to_minutes(m) AS updated_at FROM ({LANDED_SQL})
+WHERE doc_id % 7 IN (1, 3) AND (day = 2 OR m >= 100)""")
 def remote_scan(spark: SparkSession, folder: str) -> DataFrame:
     """Issues of two projects and from a time on: both filters reach the source, which opens pages that can hold such issues only."""
-    options, _ = _scanned(spark, folder)
-    rows = remote.scan(spark, remote.Tracker, options, ["P1", "P3"], datetime(2024, 3, 1, 1, 40, tzinfo=UTC))
+    rows = remote.scan(spark, remote.Tracker, _scanned(spark, folder), ["P1", "P3"], datetime(2024, 3, 1, 1, 40, tzinfo=UTC))
     return rows.select("key", "project", F.col("updated_at").cast("timestamp_ntz").alias("updated_at"))
 
 
 def _synced(spark: SparkSession, folder: str) -> tuple[runs.Store, list[runs.Report]]:
-    """A store after a run over all issues of the first day and one from its mark on."""
-    options, _ = _scanned(spark, folder)
+    """A store after a run over all issues of the first day and one from its mark on, which finds rejected ones."""
+    options = _scanned(spark, folder)
     store = runs.open_store(spark, new_folder(spark, "store"), 16)
-    day = F.lit(datetime(2024, 3, 2, tzinfo=UTC))
-    done = [
-        runs.sync_issues(store, lambda mark: remote.scan(spark, remote.Tracker, options, since=mark).where(F.col("updated_at") < day), CUTTER, base_url="https://tracker/", now=datetime(2024, 3, 1, tzinfo=UTC)),
-        runs.sync_issues(store, lambda mark: remote.scan(spark, remote.Tracker, options, since=mark), CUTTER, base_url="https://tracker/", now=NOW),
-    ]
-    return store, done
+    second = F.lit(datetime(2024, 3, 2, tzinfo=UTC))
+
+    def run(until: Column, now: datetime) -> runs.Report:
+        done = runs.sync_issues(store, lambda mark: remote.scan(spark, remote.Tracker, options, since=mark).where(F.col("updated_at") < until), CUTTER, base_url="https://tracker/", now=now)
+        store.vacuum(keep=1)
+        return done
+
+    return store, [run(second, datetime(2024, 3, 1, tzinfo=UTC)), run(second + F.expr("interval 1 day"), datetime(2024, 3, 5, tzinfo=UTC))]
 
 
 SYNCED_SQL = f"WITH {GOOD_SQL.replace('doc_id % 4 = 1', 'doc_id % 8 = 1')}, {CHUNKS_SQL} "
@@ -325,15 +337,20 @@ def synced_corpus(spark: SparkSession, folder: str) -> DataFrame:
     return t.sources.join(chunks, "source_id").join(edges, "source_id").select("source_id", "title", F.md5("body").alias("body_md5"), "chunks", "chunks_md5", "edges")
 
 
-@query(SYNCED_SQL + """, d AS (SELECT *, lang IS DISTINCT FROM 'de' AS fine FROM documents), again AS (SELECT * FROM d WHERE doc_id % 8 = 1),
-first AS (SELECT count(*) AS n, count_if(NOT fine) AS failed FROM d), second AS (SELECT (SELECT count(*) FROM d) + count(*) AS n, (SELECT count_if(NOT fine) FROM d) + count_if(NOT fine) AS failed FROM again)
-SELECT 1 AS run, n AS fetched, n - failed AS sources, failed, 0 AS skipped, 1 AS snapshot, failed > 0 AS held FROM first
-UNION ALL SELECT 2, n, (SELECT n - failed FROM first), failed, (SELECT count_if(fine) FROM again), 2, failed > 0 FROM second""")
+@query(SYNCED_SQL + f""", landed AS ({LANDED_SQL}), last AS (SELECT max(m) AS m FROM landed WHERE day = 1),
+again AS (SELECT * FROM landed WHERE day = 2 OR m >= (SELECT m FROM last) - 1),
+n AS (SELECT source_id, count(*) AS n FROM chunked GROUP BY source_id), first AS (SELECT doc_id, n FROM good JOIN n USING (source_id))
+SELECT 1 AS run, count(*) AS fetched, count(*) AS sources, sum(n)::BIGINT AS chunks, 0::BIGINT AS failed, 0::BIGINT AS skipped, 1 AS snapshot,
+  (SELECT TIMESTAMP '2024-03-01' + to_minutes(m) FROM last) AS mark FROM landed JOIN first USING (doc_id) WHERE day = 1
+UNION ALL SELECT 2, count(*), count(DISTINCT doc_id) FILTER (fine), (SELECT sum(n) FROM n WHERE source_id IN (SELECT 'jira:K-' || doc_id FROM again WHERE fine))::BIGINT,
+  count_if(NOT fine)::BIGINT, (count_if(fine) - count(DISTINCT doc_id) FILTER (fine))::BIGINT, 2,
+  (SELECT CASE WHEN (SELECT bool_and(fine) FROM again) THEN TIMESTAMP '2024-03-05' ELSE TIMESTAMP '2024-03-01' + to_minutes(m) END FROM last) FROM again""")
 def run_reports(spark: SparkSession, folder: str) -> DataFrame:
-    """What the two runs count while they write: a run with rejected records holds the mark, so that the next takes all again."""
+    """What two runs count while they write. The second goes on a minute before the mark; its rejected records hold the mark."""
     _, done = _synced(spark, folder)
-    rows = [(i, r.fetched, r.sources, r.failed, r.skipped, r.number, r.mark is None) for i, r in enumerate(done, 1)]
-    return spark.createDataFrame(rows, "run int, fetched long, sources long, failed long, skipped long, snapshot int, held boolean")
+    rows = [(i, r.fetched, r.sources, r.chunks, r.failed, r.skipped, r.number, r.mark) for i, r in enumerate(done, 1)]
+    names = "run int, fetched long, sources long, chunks long, failed long, skipped long, snapshot int, mark timestamp"
+    return spark.createDataFrame(rows, names).withColumn("mark", F.col("mark").cast("timestamp_ntz"))
 
 
 @query("""SELECT 'jira:K-' || doc_id AS source_id, 'title is required' AS error, 2 AS run FROM documents WHERE lang = 'de'""")

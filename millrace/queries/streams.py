@@ -19,7 +19,7 @@ EVENTS = "{}/events.parque[t]"  # as a pattern, since a stream's path has to be
 def stream_sync(spark: SparkSession, folder: str) -> DataFrame:
     """Events streamed into a table with the last one of each user."""
     return sync.synced(
-        spark, EVENTS.format(folder), ["user_id"], [F.col("ts"), F.col("event_id")],
+        spark, EVENTS.format(folder), "user_id", [F.col("ts"), F.col("event_id")],
     ).select("user_id", "event_id", "event_type", "value")
 
 

@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
+from ..tables import tidy
+
 ISSUES = "key string, project string, updated_at timestamp, json string, note string"
 PAGES = "id string, title string, space string, parent_id string, storage string, version long, updated_at timestamp, note string"
 #: Records that one split reads at most, a page of a search, and pages of a list, as the remote services' clients have it.
@@ -387,7 +389,8 @@ def land_pages(records: DataFrame, path: str, size: int = PAGE) -> None:
     """Write (key, project, updated_at, json) as pages of at most ``size`` records, each of one project and a range of times."""
     order = ["project", "updated_us", "key"]
     rows = records.select("key", "project", F.unix_micros("updated_at").alias("updated_us"), "json").repartitionByRange(*order).sortWithinPartitions(*order)
-    rows.write.option("maxRecordsPerFile", size).partitionBy("project").parquet(path)
+    with tidy(records.sparkSession):
+        rows.write.option("maxRecordsPerFile", size).option("compression", "zstd").partitionBy("project").parquet(path)
 
 
 def refetched(keys: DataFrame, options: dict[str, str], key_col: str = "key") -> DataFrame:

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..tables import tidy
+
 #: Buckets of a table; a load rewrites those that its keys fall into.
 BUCKETS = 64
 
@@ -85,7 +88,9 @@ class Snapshot:
 
 @dataclass(frozen=True)
 class Change:
-    """Rows that come in; those stored under their keys, or under the keys of ``touched`` (a column named as the table's key), go."""
+    """Rows that come in; those stored under their keys, or under the keys of ``touched`` (a column named as the table's key), go.
+
+    With ``touched`` the rows are computed once, as they are written."""
 
     rows: DataFrame
     touched: DataFrame | None = None
@@ -137,13 +142,14 @@ class Store:
         bucket = self.spark.range(1).select(bucket_of(F.lit(key), self.buckets)).first()[0]
         return self.read(name, at, {bucket}).where(c == key)
 
-    def commit(self, base: Snapshot, changes: dict[str, Change], report: dict | None = None) -> Snapshot:
-        """The snapshot after some changes. Only buckets that a changed key falls into are read and written again."""
+    def commit(self, base: Snapshot, changes: dict[str, Change], report: dict | Callable[[], dict] | None = None) -> Snapshot:
+        """The snapshot after some changes. Only buckets that a changed key falls into are read and written again. A report that
+        is a function is asked when the tables are written, so that it can tell what was counted there."""
         run = f"{base.number + 1:012d}-{uuid.uuid4().hex[:8]}"
         tables = dict(base.tables)
         for name, change in changes.items():
             tables[name] = self._written(name, base, change, run)
-        done = Snapshot(base.number + 1, tables, report or {})
+        done = Snapshot(base.number + 1, tables, (report() if callable(report) else report) or {})
         self.publish(done, run)
         return done
 
@@ -160,7 +166,8 @@ class Store:
         rows = rest.select(*names).unionByName(change.rows.select(*names)).withColumn("_bucket", bucket_of(F.col(table.key), self.buckets))
         dealt = rows.repartition(len(hit), "_bucket").sortWithinPartitions("_bucket", table.key)
         writer = dealt.write.partitionBy("_bucket").option(f"parquet.bloom.filter.enabled#{table.key}", "true").option("compression", "zstd")
-        writer.parquet(f"{self.folder.path}/{name}/_run={run}")
+        with tidy(self.spark):
+            writer.parquet(f"{self.folder.path}/{name}/_run={run}")
         new = [int(n.partition("=")[2]) for n in self.folder.names(f"{name}/_run={run}") if n.startswith("_bucket=")]
         return kept | dict.fromkeys(new, run)  # a bucket without rows has no files
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.loads import upsert
-from ..tables import new_folder
+from ..sources.store import Change, Store, Table
+from ..tables import materialize, new_folder
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -15,50 +16,40 @@ def shared_folder(spark: SparkSession) -> str:
     return new_folder(spark, "sync")
 
 
-def latest_version(spark: SparkSession, folder: str, empty: DataFrame, before: int | None = None) -> DataFrame:
-    """The table's last complete version (before a number, if one is given), or an empty one."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    found = [int(s.getPath().getName()[2:]) for s in (fs.listStatus(path) if fs.exists(path) else []) if s.getPath().getName().startswith("v=") and fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-    found = [n for n in found if before is None or n < before]
-    return spark.read.schema(empty.schema).parquet(f"{folder}/v={max(found)}") if found else empty
+def stream_store(spark: SparkSession, folder: str, schema: T.StructType, key: str) -> Store:
+    """The store of one table, by the name ``rows``, that a stream of this schema is taken into."""
+    columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema.fields)
+    return Store(spark, f"{folder}/table", {"rows": Table(columns, key)})
 
 
-def drop_versions(spark: SparkSession, folder: str, before: int) -> None:
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    for s in fs.listStatus(path):
-        name = s.getPath().getName()
-        if name.startswith("v=") and int(name[2:]) < before:
-            fs.delete(s.getPath(), True)
+def sync(stream: DataFrame, folder: str, key: str, order: list[Column]) -> Store:
+    """Take what a stream has now into the table in ``folder``: of each key the last row of the latest batch with one.
 
-
-def sync(stream: DataFrame, folder: str, keys: list[str], order: list[Column]) -> None:
-    """Take what a stream has now into the next versions of the table in ``folder``.
-
-    Every batch is upserted by key into the version before it and written under its own number, so a batch that is
-    replayed after a failure rewrites the same version. The stream's checkpoint is the high-water mark; it moves only
-    when a batch is written.
+    A batch rewrites the buckets that its keys fall into and commits them with its number. One that is replayed after a
+    failure finds its number committed, or nothing of it. The stream's checkpoint is the high-water mark; it moves only
+    when a batch is committed. Rows without a key are added, as no other row is theirs.
     """
-    spark = stream.sparkSession
-    empty = spark.createDataFrame([], stream.schema)
+    store = stream_store(stream.sparkSession, folder, stream.schema, key)
 
     def load(batch: DataFrame, number: int) -> None:
-        before = latest_version(spark, f"{folder}/table", empty, number)
-        upsert(before, batch, keys, order).write.mode("overwrite").parquet(f"{folder}/table/v={number}")
-        drop_versions(spark, f"{folder}/table", number - 1)  # the one before stays, for a batch that is replayed
+        base = store.snapshot()
+        if base.report.get("batch", -1) < number:
+            none = F.col(key).isNull()
+            last = upsert(batch.limit(0), batch.where(~none), [key], order).unionByName(batch.where(none))
+            store.commit(base, {"rows": Change(materialize(last, "batch"))}, {"batch": number})
+            store.vacuum()
 
     writer = stream.writeStream.foreachBatch(load).option("checkpointLocation", f"{folder}/progress")
     writer.trigger(availableNow=True).start().awaitTermination()
+    return store
 
 
-def synced(spark: SparkSession, path: str, keys: list[str], order: list[Column], files_per_batch: int = 4, folder: str | None = None) -> DataFrame:
+def synced(spark: SparkSession, path: str, key: str, order: list[Column], files_per_batch: int = 4, folder: str | None = None) -> DataFrame:
     """The table after all files of ``path`` came in as a stream. A later run with the same ``folder`` goes on from the mark
     kept there and takes new files only."""
     schema = spark.read.parquet(path).schema
-    folder = folder or shared_folder(spark)
-    sync(spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path), folder, keys, order)
-    return latest_version(spark, f"{folder}/table", spark.createDataFrame([], schema))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+    return sync(stream, folder or shared_folder(spark), key, order).read("rows")
 
 
 def drained(spark: SparkSession, result: DataFrame, keys: list[str]) -> DataFrame:
@@ -78,8 +69,3 @@ def drained(spark: SparkSession, result: DataFrame, keys: list[str]) -> DataFram
     rows = spark.read.schema(kept).parquet(f"{folder}/rows")
     last = rows.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in columns if c not in keys]), "_batch").alias("_last"))
     return last.select(*[F.col(c) if c in keys else F.col(f"_last.{c}").alias(c) for c in columns])
-
-
-def hours_old(mark: Column, as_of: Column) -> Column:
-    """Age of a mark, for the warning that a source has gone stale."""
-    return (F.unix_seconds(as_of.cast("timestamp")) - F.unix_seconds(mark.cast("timestamp"))) / 3600

@@ -183,7 +183,7 @@ def test_page_links(spark):
 def test_loads(spark):
     stored = spark.createDataFrame([(1, "a", 1), (2, "b", 1)], ["k", "v", "t"])
     incoming = spark.createDataFrame([(2, "c", 2), (2, "d", 3), (3, "e", 1)], ["k", "v", "t"])
-    assert sorted(map(tuple, loads.upsert(stored, incoming, ["k"], [F.col("t")]).collect())) == [(1, "a", 1), (2, "d", 3), (3, "e", 1)]
+    assert sorted(map(tuple, loads.upsert(stored, incoming, "k", [F.col("t")]).collect())) == [(1, "a", 1), (2, "d", 3), (3, "e", 1)]
     assert loads.next_watermark(stored.where("k > 9"), F.lit(0), "t").first()[0] is None
     assert loads.next_watermark(stored, F.lit(5), "t").first()[0] == 5
     edges = spark.createDataFrame(
@@ -228,12 +228,12 @@ def test_stream_replay(spark, tmp_path):
     spark.createDataFrame([(1, "a", 1), (2, "b", 1)], schema).coalesce(1).write.parquet(str(tmp_path / "in"))
     read = lambda: spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
     out = f"file://{tmp_path}/out"
-    sync.sync(read(), out, ["k"], [F.col("t")])
+    sync.sync(read(), out, "k", [F.col("t")])
     spark.createDataFrame([(2, "c", 2)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    sync.sync(read(), out, ["k"], [F.col("t")])
-    sync.sync(read(), out, ["k"], [F.col("t")])
-    got = sync.latest_version(spark, f"{out}/table", spark.createDataFrame([], schema))
-    assert sorted(map(tuple, got.collect())) == [(1, "a", 1), (2, "c", 2)]
+    sync.sync(read(), out, "k", [F.col("t")])
+    sync.sync(read(), out, "k", [F.col("t")])
+    store = sync.stream_store(spark, out, read().schema, "k")
+    assert sorted(map(tuple, store.read("rows").collect())) == [(1, "a", 1), (2, "c", 2)] and store.snapshot().report == {"batch": 1}
 
 
 def test_ancestors_of_any_depth_and_cycles(spark):
@@ -262,9 +262,9 @@ def test_a_later_run_goes_on_from_the_kept_mark(spark, tmp_path):
     schema = "k long, v string, t long"
     spark.createDataFrame([(1, "a", 1)], schema).coalesce(1).write.parquet(str(tmp_path / "in"))
     out = f"file://{tmp_path}/out"
-    assert [tuple(r) for r in sync.synced(spark, str(tmp_path / "in"), ["k"], [F.col("t")], folder=out).collect()] == [(1, "a", 1)]
+    assert [tuple(r) for r in sync.synced(spark, str(tmp_path / "in"), "k", [F.col("t")], folder=out).collect()] == [(1, "a", 1)]
     for n in (2, 3):
         spark.createDataFrame([(n, "b", n)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-        got = sync.synced(spark, str(tmp_path / "in"), ["k"], [F.col("t")], folder=out)
+        got = sync.synced(spark, str(tmp_path / "in"), "k", [F.col("t")], folder=out)
         assert got.count() == n
-    assert len([p for p in os.listdir(tmp_path / "out" / "table") if p.startswith("v=")]) == 2  # older versions are gone
+    assert len([p for p in os.listdir(tmp_path / "out" / "table" / "manifests") if p.endswith(".json")]) == 2  # older versions are gone
