@@ -12,20 +12,28 @@ from .filters import parsed
 from .functions.english import query_lexemes
 from .functions.headline import headline
 from .functions.text import meta_line, source_id, split_source_id, strip_marks, titled
+from .operators.ingest import attribute
 from .options import SearchOptions, checked_query
 from .plans import search as plans
 from .sources.corpus import stored_postings
+from .sources.vector_index import VectorIndex
+from .tables import materialize
 
 KEY = re.compile(r"(?<![A-Za-z0-9_])[A-Z][A-Z0-9_]+-[0-9]+(?![A-Za-z0-9_])")
 
 
 class Corpus:
-    """``sources`` has source_id, source_type, source_key, project, title, url, body, updated_at; ``chunks`` has chunk_id,
+    """``sources`` has source_id, source_type, source_key, project, title, url, body, updated_at and, where they are kept, open attributes
+    in extra, which hits and prompts show; ``chunks`` has chunk_id,
     source_id, embedding, text. ``embedder`` turns a question into a vector. ``postings`` is the place of the chunks'
-    stored lexemes (``sources.corpus.write_postings``); without it each question reads all texts."""
+    stored lexemes (``sources.corpus.write_postings``), ``index`` one of their vectors and ``probes`` how many of its lists a question reads;
+    without them each question reads all texts and vectors, and without ``probes`` all lists that may have a hit."""
 
-    def __init__(self, sources: DataFrame, chunks: DataFrame, embedder: Callable[[str], list[float]], postings: str | None = None):
-        self.sources, self.chunks, self.embedder, self.postings = sources, chunks, embedder, postings
+    def __init__(
+        self, sources: DataFrame, chunks: DataFrame, embedder: Callable[[str], list[float]], postings: str | None = None,
+        index: VectorIndex | None = None, probes: int | None = None,
+    ):
+        self.sources, self.chunks, self.embedder, self.postings, self.index, self.probes = sources, chunks, embedder, postings, index, probes
 
     def named(self, q: str, most: int = 5) -> DataFrame:
         """Records whose keys a question names, in its order; filters don't hold for them."""
@@ -53,38 +61,36 @@ class Corpus:
         else:
             stored = stored_postings(self.chunks.sparkSession, self.postings, terms) if self.postings and terms else None
             of = self.sources.select("source_id", "source_type", "project", "updated_at")
-            ranked = plans.hybrid(self.chunks, of, self.embedder(text), terms, options, as_of=as_of, stemmed=True, stored=stored)
+            question = self.embedder(text)
+            near = self.index.hits(question, options.candidates, self.probes) if self.index else None
+            ranked = plans.hybrid(self.chunks, of, question, terms, options, as_of=as_of, stemmed=True, stored=stored, vector=near)
             hits = plans.merged(named, ranked.select("source_id", "chunk_id", "score"), options.limit)
             hits = hits.join(self.chunks.select("chunk_id", "text"), "chunk_id", "left").select("source_id", "score", "part", "ord", "text")
         hits = hits.join(self.sources, "source_id")
         is_named = F.col("part") == 0
         rank = F.row_number().over(Window.orderBy("part", "ord", F.desc("score"), "source_id"))
         shown = F.when(is_named, F.coalesce(F.nullif("body", F.lit("")), "title")).otherwise(F.col("text"))
-        columns = ["source_id", "source_type", "source_key", "project", "title", "url", "updated_at"]
+        columns = ["source_id", "source_type", "source_key", "project", "title", "url", "updated_at", *({"extra"} & set(self.sources.columns))]
         snippet = headline(shown, terms, stemmed=True).alias("snippet")
         return hits.select(rank.alias("rank"), *columns, snippet, "score", F.when(is_named, F.col("body")).alias("body"))
 
-    def _prompt(self, q: str, hits: DataFrame, max_chars: int) -> str:
-        none = F.lit(None).cast("string")
-        head = F.concat(
-            titled(F.col("title")), F.lit(" — "), F.coalesce("url", F.lit("")), F.lit("\n"),
-            meta_line(none, none, none, F.col("updated_at")),
-        )
+    def _prompt(self, q: str, hits: DataFrame, max_bytes: int) -> str:
+        kept = [attribute(n) if "extra" in hits.columns else F.lit(None).cast("string") for n in ("status", "issue_type", "assignee")]
+        head = F.concat(titled(F.col("title")), F.lit(" — "), F.coalesce("url", F.lit("")), F.lit("\n"), meta_line(*kept, F.col("updated_at")))
         entries = hits.select(F.lit(1).alias("query_id"), "rank", head.alias("head"), strip_marks(F.col("snippet")).alias("snippet"), "body")
-        row = plans.context(entries, max_chars).first()
+        row = plans.context(entries, max_bytes).first()
         return f"Context:\n{row['context'] if row else ''}\nQuestion: {q}"
 
-    def prompt(self, q: str, options: SearchOptions = SearchOptions(), *, max_chars: int = 12000) -> str:
+    def prompt(self, q: str, options: SearchOptions = SearchOptions(), *, max_bytes: int = 12000) -> str:
         """The context and the question, as a text within the budget: the one row that comes to the driver."""
-        return self._prompt(q, self.search(q, options), max_chars)
+        return self._prompt(q, self.search(q, options), max_bytes)
 
     def ask(
-        self, q: str, complete: Callable[[str], str], options: SearchOptions = SearchOptions(), *, max_chars: int = 12000,
+        self, q: str, complete: Callable[[str], str], options: SearchOptions = SearchOptions(), *, max_bytes: int = 12000,
     ) -> tuple[str, DataFrame]:
-        """A model's answer, and its citations, both from one search; its rows, at most 50, are held on the driver."""
-        found = self.search(q, options)
-        hits = self.sources.sparkSession.createDataFrame(found.collect(), found.schema)
-        return complete(self._prompt(q, hits, max_chars)), hits.drop("body")
+        """A model's answer, and its citations, both from one search; its rows, at most 50, are written once in between."""
+        hits = materialize(self.search(q, options), "hits")
+        return complete(self._prompt(q, hits, max_bytes)), hits.drop("body")
 
     def projects(self, source_type: str | None = None) -> DataFrame:
         rows = self.sources.where(F.col("project").isNotNull())

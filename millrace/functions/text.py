@@ -40,17 +40,27 @@ def link_kind(c: Column) -> Column:
     return F.regexp_replace(F.lower(F.trim(c)), r"\s+", "_")
 
 
+def cut_bytes(c: Column, most: int) -> Column:
+    """The longest start of whole characters with at most ``most`` bytes."""
+    b = c.cast("binary")
+    whole = F.lit("")
+    for n in range(max(0, most - 3), most + 1):  # a character has four bytes at most; those after its first are 80 to BF
+        inside = F.hex(F.substring(b, n + 1, 1)).between("80", "BF")
+        whole = F.when(~inside, F.decode(F.substring(b, 1, n), "UTF-8")).otherwise(whole)
+    return F.when(F.octet_length(c) <= most, c).otherwise(whole)
+
+
 def first_line(body: Column) -> Column:
     """The first line with more than white space, trimmed; null if there is none."""
     return F.element_at(F.filter(F.transform(F.split(body, "\n"), F.trim), lambda x: x != ""), 1)
 
 
 def title_of(body: Column, filename: Column, kind: Column) -> Column:
-    """Of markdown and HTML the first level-1 heading; else the first non-blank line, at most 200 characters; else the
+    """Of markdown and HTML the first level-1 heading; else the first non-blank line, at most 200 bytes; else the
     file's stem; else a fixed text."""
     heading = F.nullif(F.trim(F.regexp_extract(body, r"(?dm)^#\s+(.+?)\s*$", 1)), F.lit(""))
     stem = F.nullif(F.regexp_replace(F.regexp_extract(filename, r"([^/]*)$", 1), r"\.[^.]*$", ""), F.lit(""))
-    return F.coalesce(F.when(kind.isin("markdown", "html"), heading), F.substring(first_line(body), 1, 200), stem, F.lit("Untitled document"))
+    return F.coalesce(F.when(kind.isin("markdown", "html"), heading), cut_bytes(first_line(body), 200), stem, F.lit("Untitled document"))
 
 
 def document_kind(content_type: Column, filename: Column) -> Column:
@@ -86,9 +96,9 @@ def relative_age(at: Column, as_of: Column) -> Column:
 
 
 def truncated(c: Column, most: int) -> Column:
-    """Trimmed, and cut after ``most`` characters with an ellipsis."""
+    """Trimmed, and cut at a whole character after ``most`` bytes with an ellipsis."""
     t = F.trim(c)
-    return F.when(F.length(t) <= most, t).otherwise(F.concat(F.substring(t, 1, most), F.lit("…")))
+    return F.when(F.octet_length(t) <= most, t).otherwise(F.concat(cut_bytes(t, most), F.lit("…")))
 
 
 def strip_marks(c: Column) -> Column:

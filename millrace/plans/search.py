@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import cut_bytes
 from ..functions.vectors import cosine
 from ..options import SearchOptions
 from ..sources.corpus import lexeme_table, ordered, postings
@@ -93,13 +94,13 @@ def recency(score: Column, updated: Column, as_of: Column, decay_days: float) ->
 
 def hybrid(
     chunks: DataFrame, sources: DataFrame, query: list[float], terms: list[str], options: SearchOptions, *,
-    as_of: Column | None = None, stemmed: bool = False, stored: DataFrame | None = None,
+    as_of: Column | None = None, stemmed: bool = False, stored: DataFrame | None = None, vector: DataFrame | None = None,
 ) -> DataFrame:
-    """Ranked hits, one for each source. ``chunks`` has chunk_id, source_id, embedding, text; ``sources`` source_id,
+    """Ranked hits, one for each source. ``vector`` gives the nearest chunks where an index has them (``sources.vector_index``). ``chunks`` has chunk_id, source_id, embedding, text; ``sources`` source_id,
     updated_at and what the filters name. Only the candidates are joined to chunks and sources. Newer sources are raised,
     as of now unless ``as_of`` says otherwise."""
     text = text_hits(chunks, terms, options.candidates, stemmed=stemmed, stored=stored)
-    fused = fuse(vector_hits(chunks, query, options.candidates), text, options.weights())
+    fused = fuse(vector_hits(chunks, query, options.candidates) if vector is None else vector, text, options.weights())
     of = fused.join(chunks.select("chunk_id", "source_id"), "chunk_id").join(sources, "source_id").where(allowed(options))
     best = best_per_source(of).orderBy(F.desc("score"), "source_id").limit(options.candidates)
     now = F.current_timestamp() if as_of is None else as_of
@@ -117,25 +118,25 @@ def merged(named: DataFrame, ranked: DataFrame, limit: int, key: str = "source_i
     return first.unionByName(rest, allowMissingColumns=True).orderBy("part", "ord", F.desc("score"), key).limit(limit)
 
 
-def context(hits: DataFrame, max_chars: int = 12000, max_body: int = 4000) -> DataFrame:
-    """Entries of a prompt for each ``query_id``, in ``rank`` order while they fit the budget, numbered from 1.
+def context(hits: DataFrame, max_bytes: int = 12000, max_body: int = 4000) -> DataFrame:
+    """Entries of a prompt for each ``query_id``, in ``rank`` order while they fit the budget in bytes, numbered from 1.
 
-    An entry is head and snippet, or head and body where there is a body and it still fits. The first entry that
+    An entry is head and snippet, or head and body where there is a body, cut at a whole character, and it still fits. The first entry that
     doesn't fit ends the context. The fold runs inside a row over the at most 50 hits of a query.
     """
-    hit = F.struct("rank", "head", "snippet", "body")
-    lists = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(hit)).alias("hits"))
-    cut = lambda b: F.when(F.length(b) <= max_body, b).otherwise(F.concat(F.substring(b, 1, max_body), F.lit("\n[truncated]")))
+    cut = F.when(F.octet_length("body") <= max_body, F.col("body")).otherwise(F.concat(cut_bytes(F.col("body"), max_body), F.lit("\n[truncated]")))
+    hit = F.struct("rank", "head", "snippet", F.nullif("body", F.lit("")).alias("body"))
+    lists = hits.withColumn("body", cut).groupBy("query_id").agg(F.array_sort(F.collect_list(hit)).alias("hits"))
     start = F.struct(F.lit(0).alias("used"), F.lit(False).alias("full"), F.array().cast("array<string>").alias("entries"))
 
     def step(state: Column, h: Column) -> Column:
         head = F.concat(F.lit("["), h["rank"].cast("string"), F.lit("] "), h["head"])
         short = F.concat(head, h["snippet"], F.lit("\n\n"))
-        long = F.concat(head, cut(h["body"]), F.lit("\n\n"))
-        entry = F.when((F.coalesce(h["body"], F.lit("")) != "") & (state["used"] + F.length(long) <= max_chars), long).otherwise(short)
-        full = state["full"] | (state["used"] + F.length(entry) > max_chars)
+        long = F.concat(head, h["body"], F.lit("\n\n"))
+        entry = F.when(h["body"].isNotNull() & (state["used"] + F.octet_length(long) <= max_bytes), long).otherwise(short)
+        full = state["full"] | (state["used"] + F.octet_length(entry) > max_bytes)
         return F.struct(
-            F.when(full, state["used"]).otherwise(state["used"] + F.length(entry)).alias("used"), full.alias("full"),
+            F.when(full, state["used"]).otherwise(state["used"] + F.octet_length(entry)).alias("used"), full.alias("full"),
             F.when(full, state["entries"]).otherwise(F.concat(state["entries"], F.array(entry))).alias("entries"),
         )
 

@@ -67,21 +67,21 @@ def conversation_append(spark: SparkSession, folder: str) -> DataFrame:
 CONTEXT_SQL = r"""WITH RECURSIVE h AS (
   SELECT source AS query_id, row_number() OVER (PARTITION BY source ORDER BY n_chars, doc_id) AS rank, text, doc_id, lang FROM documents
 ), l AS (SELECT query_id, CAST(rank AS INTEGER) AS rank, '[' || rank || '] ' || CASE WHEN lang = 'fr' THEN '(untitled)' ELSE 'Doc ' || doc_id END || ' — u/' || doc_id || chr(10) || 'Status: ' || lang || chr(10) AS head, substr(text, 1, 300) AS snippet, CASE WHEN lang = 'de' THEN text ELSE '' END AS body FROM h WHERE rank <= 50
-), e AS (SELECT query_id, rank, head || snippet || chr(10) || chr(10) AS short, CASE WHEN body <> '' THEN head || CASE WHEN length(body) <= 500 THEN body ELSE substr(body, 1, 500) || chr(10) || '[truncated]' END || chr(10) || chr(10) END AS long FROM l
+), e AS (SELECT query_id, rank, head || snippet || chr(10) || chr(10) AS short, CASE WHEN body <> '' THEN head || CASE WHEN strlen(body) <= 500 THEN body ELSE left(body, list_max(list_filter(range(497 // 4, 501), lambda n: strlen(left(body, n)) <= 500))) || chr(10) || '[truncated]' END || chr(10) || chr(10) END AS long FROM l
 ), f AS (
   SELECT query_id, 0 AS rank, 0::BIGINT AS used, 0::BIGINT AS entries, '' AS context FROM (SELECT DISTINCT query_id FROM e)
   UNION ALL
-  SELECT f.query_id, e.rank, f.used + length(x.entry), f.entries + 1, f.context || x.entry
+  SELECT f.query_id, e.rank, f.used + strlen(x.entry), f.entries + 1, f.context || x.entry
   FROM f JOIN e ON e.query_id = f.query_id AND e.rank = f.rank + 1,
-       LATERAL (SELECT CASE WHEN e.long IS NOT NULL AND f.used + length(e.long) <= 3000 THEN e.long ELSE e.short END AS entry) x
-  WHERE f.used + length(x.entry) <= 3000
+       LATERAL (SELECT CASE WHEN e.long IS NOT NULL AND f.used + strlen(e.long) <= 3000 THEN e.long ELSE e.short END AS entry) x
+  WHERE f.used + strlen(x.entry) <= 3000
 )
 SELECT query_id, max(entries)::INTEGER AS entries, max(used)::INTEGER AS used, md5(arg_max(context, rank)) AS context_md5 FROM f GROUP BY query_id"""
 
 
 @query(CONTEXT_SQL)
 def context_assembly(spark: SparkSession, folder: str) -> DataFrame:
-    """A prompt's context for each site: the shortest documents in rank order while they fit 3000 characters."""
+    """A prompt's context for each site: the shortest documents in rank order while they fit 3000 bytes."""
     s = sources(spark, folder).join(table(spark, folder, "documents").select("doc_id", "n_chars", F.col("source").alias("query_id")), "doc_id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("n_chars", "doc_id"))
     number = F.col("doc_id").cast("string")

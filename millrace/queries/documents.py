@@ -165,9 +165,35 @@ def page_link_resolution(spark: SparkSession, folder: str) -> DataFrame:
     return page_links.resolved(d.select("doc_id", body.alias("body")), pages).select("doc_id", "body")
 
 
-@query()
+#: The rules of a snippet: covers of both words, each cut to 40 words or stretched to 20 and on to a word that is long enough or matches.
+HEADLINE_SQL = r"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, text, regexp_extract_all(text, '[^ \t\n\x0B\f\r]+') AS w FROM documents),
+words AS (SELECT r, len(w) AS size, unnest(w) AS word, unnest(range(len(w))) AS i FROM d),
+said AS (SELECT *, regexp_extract_all(lower(word), '[a-z0-9]+') AS t FROM words),
+marked AS (SELECT r, size, i, list_contains(t, 'the') AS x, list_contains(t, 'of') AS y, length(word) > 3 OR list_contains(t, 'the') OR list_contains(t, 'of') AS good FROM said),
+lasts AS (
+  SELECT r, size, i, max(CASE WHEN x THEN i END) OVER w AS px, max(CASE WHEN y THEN i END) OVER w AS py, x OR y AS hit
+  FROM marked WINDOW w AS (PARTITION BY r ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+), cover AS (
+  SELECT r, size, least(px, py) AS a, min(i) AS b FROM lasts WHERE hit AND px IS NOT NULL AND py IS NOT NULL GROUP BY r, size, least(px, py)
+), lists AS (SELECT r, list(i ORDER BY i) FILTER (good) AS g, list(i ORDER BY i) FILTER (x OR y) AS h FROM marked GROUP BY r
+), near AS (
+  SELECT c.*, list_filter(g, lambda j: j >= greatest(a - 40, 0) AND j <= b + 40) AS g, h FROM cover c JOIN lists USING (r)
+), stretched AS (
+  SELECT r, size, a, h, g, CASE WHEN b - a + 1 > 40 THEN coalesce(list_max(list_filter(g, lambda j: j >= a + 19 AND j <= a + 39)), a + 19)
+    ELSE coalesce(list_min(list_filter(g, lambda j: j >= greatest(b, a + 19) AND j < least(a + 40, size))), least(a + 40, size) - 1) END AS e FROM near
+), spans AS (
+  SELECT r, h, e, CASE WHEN e - a + 1 >= 20 THEN a ELSE coalesce(list_max(list_filter(g, lambda j: j <= least(a, greatest(e - 19, 0)) AND j >= greatest(e - 39, 0))), greatest(e - 39, 0)) END AS s FROM stretched
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY r ORDER BY len(list_filter(h, lambda j: j >= s AND j <= e)) DESC, s, e) AS n FROM spans
+)
+SELECT doc_id, CASE WHEN text IS NOT NULL THEN coalesce(array_to_string(list_transform(w[coalesce(s, 0) + 1 : coalesce(e, 19) + 1],
+    lambda x, i: CASE WHEN list_has_any(regexp_extract_all(lower(x), '[a-z0-9]+'), ['the', 'of']) THEN '<mark>' || x || '</mark>' ELSE x END), ' '), '') END AS snippet
+FROM d LEFT JOIN ranked ON ranked.r = d.r AND n = 1"""
+
+
+@query(HEADLINE_SQL)
 def headlines(spark: SparkSession, folder: str) -> DataFrame:
-    """Snippets of all documents for two words."""
+    """Snippets of all documents around covers of two words."""
     return table(spark, folder, "documents").select("doc_id", headline(F.col("text"), ["the", "of"]).alias("snippet"))
 
 

@@ -69,7 +69,8 @@ def link_kind(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@query("SELECT doc_id, CASE WHEN length(trim(text)) <= 80 THEN trim(text) ELSE substr(trim(text), 1, 80) || '…' END AS short FROM documents")
+@query("""SELECT doc_id, CASE WHEN strlen(t) <= 80 THEN t ELSE left(t, list_max(list_filter(range(81), lambda n: strlen(left(t, n)) <= 80))) || '…' END AS short
+FROM (SELECT doc_id, trim(text) AS t FROM documents)""")
 def truncate_text(spark: SparkSession, folder: str) -> DataFrame:
     """Texts cut with an ellipsis."""
     return table(spark, folder, "documents").select("doc_id", fn.truncated(F.col("text"), 80).alias("short"))
@@ -120,7 +121,7 @@ def scanned_test(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("""WITH l AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents),
 f AS (SELECT doc_id, arg_min(trim(line), n) AS line FROM l WHERE trim(line) <> '' GROUP BY doc_id)
-SELECT d.doc_id, CASE WHEN d.lang = 'de' THEN 'T' || d.doc_id ELSE coalesce(substr(f.line, 1, 200), 'file ' || d.doc_id) END AS title FROM documents d LEFT JOIN f USING (doc_id)""")
+SELECT d.doc_id, CASE WHEN d.lang = 'de' THEN 'T' || d.doc_id ELSE coalesce(left(f.line, list_max(list_filter(range(201), lambda n: strlen(left(f.line, n)) <= 200))), 'file ' || d.doc_id) END AS title FROM documents d LEFT JOIN f USING (doc_id)""")
 def derive_title(spark: SparkSession, folder: str) -> DataFrame:
     """Titles of documents: a heading where the kind has headings, else the first line, else the file's stem."""
     d, number = table(spark, folder, "documents"), F.col("doc_id").cast("string")

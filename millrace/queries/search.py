@@ -9,8 +9,10 @@ from ..functions.english import query_lexemes
 from ..functions.text import ticket_keys, tokens
 from ..functions.vectors import cosine
 from ..options import SearchOptions
+from ..plans import questions as many
 from ..plans import search as plans
 from ..sources.corpus import chunks, postings, sources, stored_postings, table, write_postings
+from ..sources.vector_index import VectorIndex, write_index
 from ..tables import new_folder
 from .registry import register
 
@@ -111,6 +113,65 @@ def vector_top50(spark: SparkSession, folder: str) -> DataFrame:
     return plans.vector_hits(chunks(spark, folder), query_vector(spark, folder)).select("chunk_id", F.round("v_score", 6).alias("v_score"))
 
 
+@query(f"WITH {CORPUS_SQL} SELECT chunk_id, round(v_score, 6) AS v_score FROM vector_hits")
+def indexed_top50(spark: SparkSession, folder: str) -> DataFrame:
+    """The same from an index, of the lists alone that can hold one of the 50."""
+    path = new_folder(spark, "index")
+    write_index(chunks(spark, folder), path, lists=16)
+    found = VectorIndex.open(spark, path).hits(query_vector(spark, folder))
+    return found.select("chunk_id", F.round("v_score", 6).alias("v_score"))
+
+
+# Vectors that stand for embedded questions: 100 of them, whatever the tables' size. Their terms are two words of seven letters or more.
+QUESTIONS_SQL = """WITH chunk AS (
+  SELECT vec_id AS chunk_id, vec_id // 4 * 4 AS source_id, CAST(embedding AS DOUBLE[]) AS e, d.text, regexp_extract_all(lower(d.text), '[a-z0-9]+') AS w
+  FROM embeddings JOIN documents d ON vec_id = d.doc_id
+), q AS (
+  SELECT chunk_id AS question_id, e, list_distinct(list_filter(w, lambda x: length(x) >= 7)[1:2]) AS terms FROM chunk WHERE chunk_id % 5 = 0 AND chunk_id < 500
+), v AS (
+  SELECT question_id, chunk_id, round(list_cosine_similarity(q.e, c.e), 9) AS v_score FROM q CROSS JOIN chunk c
+), vtop AS (
+  SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY v_score DESC, chunk_id) <= 50
+), asked AS (SELECT question_id, unnest(terms) AS term, len(terms) AS m FROM q),
+tok AS (SELECT chunk_id, unnest(w) AS term, unnest(range(len(w))) AS position FROM chunk),
+post AS (
+  SELECT question_id, chunk_id, m, term, position, row_number() OVER (PARTITION BY question_id, chunk_id ORDER BY position) AS nth,
+         term = min(term) OVER (PARTITION BY question_id, chunk_id) AS is_a
+  FROM tok JOIN asked USING (term)
+), lasts AS (
+  SELECT *, max(CASE WHEN is_a THEN position END) OVER w AS p0, max(CASE WHEN is_a THEN nth END) OVER w AS n0,
+         max(CASE WHEN NOT is_a THEN position END) OVER w AS p1, max(CASE WHEN NOT is_a THEN nth END) OVER w AS n1
+  FROM post WINDOW w AS (PARTITION BY question_id, chunk_id ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+), covers AS (
+  SELECT question_id, chunk_id, least(p0, p1) AS ps, least(n0, n1) AS ns, min(position) AS pe, min(nth) AS ne
+  FROM lasts WHERE p0 IS NOT NULL AND (m = 1 OR p1 IS NOT NULL) GROUP BY ALL
+), f AS (
+  SELECT question_id, chunk_id, round(sum(0.1::DOUBLE / (1 + (pe - ps) - (ne - ns))), 9) AS f_score FROM covers GROUP BY ALL
+), ftop AS (
+  SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY f_score DESC, chunk_id) <= 50
+), fused AS (
+  SELECT question_id, chunk_id, coalesce(v_score, 0) AS v_score, coalesce(f_score, 0) AS f_score,
+         round(coalesce(v_score, 0) * 0.6::DOUBLE + coalesce(f_score / max(f_score) OVER (PARTITION BY question_id), 0) * 0.4::DOUBLE, 9) AS score
+  FROM vtop FULL JOIN ftop USING (question_id, chunk_id)
+), best AS (
+  SELECT f.*, c.source_id FROM fused f JOIN chunk c USING (chunk_id) JOIN documents d ON d.doc_id = c.source_id
+  QUALIFY row_number() OVER (PARTITION BY question_id, c.source_id ORDER BY score DESC, chunk_id) = 1
+)
+SELECT question_id, (row_number() OVER (PARTITION BY question_id ORDER BY score DESC, source_id))::INT AS rank, source_id, chunk_id, round(v_score, 6) AS v_score,
+  round(f_score, 6) AS f_score, round(score, 6) AS score FROM best QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY score DESC, source_id) <= 50"""
+
+
+@query(QUESTIONS_SQL)
+def hybrid_questions(spark: SparkSession, folder: str) -> DataFrame:
+    """Hybrid search for a hundred questions at once."""
+    c = chunks(spark, folder)
+    long = F.slice(F.filter(tokens(F.col("text")), lambda w: F.length(w) >= 7), 1, 2)
+    questions = c.where("chunk_id % 5 = 0 and chunk_id < 500").select(F.col("chunk_id").alias("question_id"), F.col("embedding").alias("vector"), F.array_distinct(long).alias("terms"))
+    of = sources(spark, folder).select(F.col("doc_id").alias("source_id"), "source_type", "project", "updated_at")
+    hits = many.hybrid(c, of, questions, SearchOptions(decay_days=0))
+    return hits.select("question_id", "rank", "source_id", "chunk_id", *[F.round(x, 6).alias(x) for x in ("v_score", "f_score", "score")])
+
+
 @query(f"WITH {TEXT_SQL.format(id='doc_id', rows='documents', term='word')} SELECT doc_id, round(f_score, 6) AS f_score FROM fts_hits")
 def fts_top50(spark: SparkSession, folder: str) -> DataFrame:
     """The 50 documents with the highest cover density of two words."""

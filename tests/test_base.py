@@ -217,10 +217,18 @@ def test_embedding(spark):
 
 
 def test_snippet():
-    text = " ".join(f"w{i}" for i in range(100)) + " cat dog"
-    s = snippet(text, frozenset({"cat", "dog"}), 10, 3)
-    assert s == "w97 w98 w99 <mark>cat</mark> <mark>dog</mark>"
-    assert snippet("a b", frozenset({"z"}), 10, 3) == "a b"
+    both = frozenset({"cat", "dog"})
+    words = [f"word{i}" for i in range(60)]
+    words[30], words[33], words[50], words[51], words[52] = "Cat,", "dog's", "cat", "dog", "cat"
+    best = snippet(" ".join(words), both, 5, 10)
+    assert best == "<mark>cat</mark> <mark>dog</mark> <mark>cat</mark> word53 word54"
+    assert snippet(" ".join(words[:40]), both, 5, 10) == "<mark>Cat,</mark> word31 word32 <mark>dog's</mark> word34"
+    assert snippet(" ".join(words[:34]), both, 6, 10) == "word28 word29 <mark>Cat,</mark> word31 word32 <mark>dog's</mark>"  # stretched to the left where the text ends
+    far = ["cat", *["x"] * 6, "long", "y", "z", "y", "dog"]
+    assert snippet(" ".join(far), both, 4, 10) == "<mark>cat</mark> x x x x x x long"  # cut after ten words, and back over short ones
+    assert snippet("cat dog to be or not to think of", both, 3, 9) == "<mark>cat</mark> <mark>dog</mark> to be or not to think"  # on to a longer word
+    assert snippet("only the cat is here", both, 3, 9) == "only the <mark>cat</mark>" and snippet("", both) == ""  # no cover: the first words
+    assert snippet("a b", frozenset(), 1, 2) == "a"
 
 
 def test_stream_replay(spark, tmp_path):
