@@ -41,13 +41,13 @@ def link_kind(c: Column) -> Column:
 
 
 def cut_bytes(c: Column, most: int) -> Column:
-    """The longest start of whole characters with at most ``most`` bytes."""
+    """The longest start of whole characters with at most ``most`` bytes; null for a null text."""
     b = c.cast("binary")
     whole = F.lit("")
     for n in range(max(0, most - 3), most + 1):  # a character has four bytes at most; those after its first are 80 to BF
         inside = F.hex(F.substring(b, n + 1, 1)).between("80", "BF")
         whole = F.when(~inside, F.decode(F.substring(b, 1, n), "UTF-8")).otherwise(whole)
-    return F.when(F.octet_length(c) <= most, c).otherwise(whole)
+    return F.when(F.octet_length(c) <= most, c).when(c.isNotNull(), whole)
 
 
 def first_line(body: Column) -> Column:
