@@ -1,29 +1,117 @@
-"""Markup to markdown-like text. HTML goes through built-in functions alone."""
+"""Readable text of web pages."""
 
 from __future__ import annotations
 
+from html.parser import HTMLParser
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Named entities that are resolved (fixed values); the ampersand comes last.
-ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#34;": '"', "&#39;": "'", "&apos;": "'", "&amp;": "&"}
+#: Elements without readable text; those that are taken whole; and those that end an open paragraph (fixed by the markup's standard).
+DROPPED = frozenset(("script", "style", "noscript", "template"))
+HEADINGS = frozenset(f"h{n}" for n in range(1, 7))
+WHOLE = HEADINGS | {"p", "li", "pre", "code"}
+BLOCKS = HEADINGS | frozenset((
+    "address", "article", "aside", "blockquote", "body", "center", "details", "dialog", "dir", "div", "dl", "fieldset", "figcaption", "figure", "footer",
+    "form", "header", "hgroup", "hr", "html", "li", "main", "menu", "nav", "ol", "p", "pre", "section", "summary", "table", "ul",
+))
+LISTS = frozenset(("ul", "ol", "menu"))
+
+
+class _Page(HTMLParser):
+    """Writes a page as its tags come. An element that is taken whole collects its text until it ends, be it by its own tag, by one that
+    can't stand in it, or by the end of what it is in."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.out: list[str] = []
+        self.title: str | None = None
+        self.text: list[str] = []
+        self.dropped = self.whole = ""
+        self.inner = self.lists = 0
+        self.in_title = False
+
+    def written(self) -> str:
+        self.close()
+        self._end()
+        head = (self.title or "").strip()
+        return ((f"# {head}\n\n" if head else "") + "".join(self.out)).strip() + "\n"
+
+    def _flush(self) -> None:
+        """Text between two tags, outside of what is taken whole."""
+        if not self.whole and not self.in_title:
+            t = "".join(self.text).strip()
+            self.out += [t, " "] if t else []
+            self.text.clear()
+
+    def _end(self) -> None:
+        """What was open is complete."""
+        self._flush()
+        text, tag = "".join(self.text), self.whole
+        if self.in_title:
+            self.title = text if self.title is None else self.title
+        elif tag in HEADINGS:
+            self.out.append(f"\n\n{'#' * int(tag[1])} {text.strip()}\n\n")
+        elif tag == "p":
+            self.out.append(f"\n\n{text.strip()}\n\n")
+        elif tag == "li":
+            self.out.append(f"- {text.strip()}\n")
+        elif tag:
+            self.out.append(f"\n```\n{text.removeprefix(chr(10)) if tag == 'pre' else text}\n```\n\n")
+        self.text.clear()
+        self.whole, self.in_title, self.inner, self.lists = "", False, 0, 0
+
+    def _ends(self, tag: str) -> bool:
+        """Whether a start tag can't stand in what is open."""
+        return (self.whole == "p" and tag in BLOCKS) or (self.whole in HEADINGS and tag in HEADINGS) or (self.whole == tag == "li" and not self.lists)
+
+    def handle_starttag(self, tag: str, attrs) -> None:
+        if self.dropped or self.in_title:
+            return
+        if tag in DROPPED:
+            self._flush()
+            self.dropped = tag
+        elif self.whole and not self._ends(tag):
+            self.inner += tag == self.whole
+            self.lists += tag in LISTS
+        else:
+            self._end()
+            self.in_title = tag == "title"
+            self.whole = tag if tag in WHOLE else ""
+            if tag == "br":
+                self.out.append("  \n")
+
+    def handle_endtag(self, tag: str) -> None:
+        if self.dropped:
+            self.dropped = "" if tag == self.dropped else self.dropped
+        elif self.in_title:
+            self._end() if tag == "title" else None
+        elif tag == self.whole and self.inner:
+            self.inner -= 1
+        elif tag in LISTS and self.lists:
+            self.lists -= 1
+        elif tag == self.whole or (self.whole == "p" and tag in BLOCKS) or (self.whole == "li" and tag in LISTS):
+            self._end()
+        else:
+            self._flush()
+
+    def handle_data(self, data: str) -> None:
+        if not self.dropped:
+            self.text.append(data)
+
+
+def page_text(html: str) -> str:
+    page = _Page()
+    page.feed(html)
+    return page.written()
 
 
 def html_text(html: Column) -> Column:
-    """Readable text of a page: title and headings as markdown headings, paragraphs apart, list items as dashes, code in
-    fences; script, style, noscript, template and comments dropped; other tags give way to their content."""
-    title = F.trim(F.regexp_replace(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1), r"\s+", " "))
-    c = F.regexp_replace(html, r"(?is)<!--.*?-->|<(script|style|noscript|template|title)\b[^>]*>.*?</\1\s*>", "")
-    c = F.regexp_replace(c, r"\s+", " ")
-    for level in range(1, 7):
-        c = F.regexp_replace(c, rf"(?i) ?<h{level}\b[^>]*> ?", "\n\n" + "#" * level + " ")
-    c = F.regexp_replace(c, r"(?i) ?</h[1-6]\s*> ?", "\n\n")
-    c = F.regexp_replace(c, r"(?i) ?</?(p|pre|blockquote|article|section|table|div|ul|ol)\b[^>]*> ?", "\n\n")
-    c = F.regexp_replace(c, r"(?i) ?<li\b[^>]*> ?", "\n- ")
-    c = F.regexp_replace(c, r"(?i) ?<(br|tr)\b[^>]*> ?", "\n")
-    c = F.regexp_replace(c, r"(?i)</?code\b[^>]*>", "`")
-    c = F.regexp_replace(c, r"<[^>]*>", "")
-    whole = F.concat(F.when(title != "", F.concat(F.lit("# "), title, F.lit("\n\n"))).otherwise(""), c)
-    for a, b in ENTITIES.items():
-        whole = F.replace(whole, F.lit(a), F.lit(b))
-    return F.concat(F.regexp_replace(F.regexp_replace(whole, r"[ \t]*\n[ \t]*(\n\s*)?\n\s*", "\n\n"), r"\A\s+|\s+\z", ""), F.lit("\n"))
+    """Readable text of a page: its title and headings as headings, paragraphs apart, list items as dashes, code in fences, line
+    breaks; script, style, noscript, template and comments dropped; other elements give way to their content. Null for null."""
+    @F.pandas_udf("string")
+    def run(pages: pd.Series) -> pd.Series:
+        return pages.map(page_text, na_action="ignore")
+
+    return run(html)

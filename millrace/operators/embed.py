@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cache_key, right_dimension
+from ..tables import materialize
 
 
 def hash_vector(text: str, dimension: int) -> np.ndarray:
@@ -51,3 +52,19 @@ def with_cached(rows: DataFrame, cache: DataFrame, *, model: str, dimension: int
     """Add ``key`` and ``cached``, the vector found in ``cache`` (key, vector); one of another dimension is a miss."""
     keyed = rows.withColumn("key", cache_key("", model, F.col(text_col)))
     return keyed.join(cache.where(right_dimension(F.col("vector"), dimension)).withColumnRenamed("vector", "cached"), "key", "left")
+
+
+def through_cache(
+    rows: DataFrame, cache: DataFrame, embedder: Callable[[list[str]], list], *, model: str, dimension: int, text_col: str = "text", batch: int = 96,
+) -> tuple[DataFrame, DataFrame]:
+    """Rows with ``key``, ``hit`` and ``embedding``, and the next version of the cache (key, vector).
+
+    Each missing text is embedded once, however many rows have it, and written before both results read it. Vectors of another
+    dimension go from the cache; null texts have no vector.
+    """
+    found = with_cached(rows, cache.dropDuplicates(["key"]), model=model, dimension=dimension, text_col=text_col)
+    missing = found.where(F.col("cached").isNull() & F.col(text_col).isNotNull()).groupBy("key").agg(F.min(text_col).alias("text"))
+    new = materialize(embed(missing, embedder, dimension=dimension, batch=batch).select("key", F.col("embedding").alias("vector")), "vectors")
+    whole = found.join(new, "key", "left").withColumns({"hit": F.col("cached").isNotNull(), "embedding": F.coalesce("cached", "vector")}).drop("cached", "vector")
+    kept = cache.where(right_dimension(F.col("vector"), dimension)).select("key", F.col("vector").cast("array<float>").alias("vector"))
+    return whole, kept.unionByName(new)

@@ -149,7 +149,29 @@ def chunk_issues(spark: SparkSession, folder: str) -> DataFrame:
     return chunking.issue_chunks(issues, ChunkOptions(120, 15))
 
 
-@query()
+#: The given pages have one body with list items, a heading, paragraphs (some open until the next) and loose text in other elements.
+HTML_SQL = r"""WITH b AS (
+  SELECT page_id, trim(regexp_extract(html, '<title>(.*?)</title>', 1, 's')) AS title,
+    regexp_replace(regexp_replace(regexp_extract(html, '<body>(.*?)(</body>|$)', 1, 's'), '<!--.*?-->', '', 'gs'), '</?(a|b|br)( [^>]*)?>', '', 'g') AS body FROM pages
+), parts AS (
+  SELECT page_id, title, unnest(string_split(body, '<p>')) AS part, generate_subscripts(string_split(body, '<p>'), 1) AS n FROM b
+), cut AS (
+  SELECT *, CASE WHEN n = 1 THEN '' ELSE regexp_extract(part, '^([^<]*)', 1) END AS para, CASE WHEN n = 1 THEN part ELSE regexp_replace(part, '^[^<]*', '') END AS rest FROM parts
+), pieces AS (
+  SELECT page_id, title, n, para, unnest(regexp_extract_all(rest, '<(?:h1|li)>[^<]*|<[^>]*>[^<]*')) AS piece, generate_subscripts(regexp_extract_all(rest, '<(?:h1|li)>[^<]*|<[^>]*>[^<]*'), 1) AS k FROM cut
+), told AS (
+  SELECT page_id, n, string_agg(CASE WHEN piece LIKE '<h1>%' THEN chr(10) || chr(10) || '# ' || trim(substr(piece, 5)) || chr(10) || chr(10)
+    WHEN piece LIKE '<li>%' THEN '- ' || trim(substr(piece, 5)) || chr(10)
+    WHEN trim(regexp_replace(piece, '^<[^>]*>', ''), ' ' || chr(10)) <> '' THEN trim(regexp_replace(piece, '^<[^>]*>', ''), ' ' || chr(10)) || ' ' ELSE '' END, '' ORDER BY k) AS said
+  FROM pieces GROUP BY page_id, n
+), whole AS (
+  SELECT c.page_id, any_value(c.title) AS title, string_agg(CASE WHEN c.n > 1 THEN chr(10) || chr(10) || trim(c.para, ' ' || chr(10)) || chr(10) || chr(10) ELSE '' END || coalesce(said, ''), '' ORDER BY c.n) AS text
+  FROM cut c LEFT JOIN told USING (page_id, n) GROUP BY c.page_id
+)
+SELECT page_id, trim(replace(replace(replace(replace(CASE WHEN title <> '' THEN '# ' || title || chr(10) || chr(10) ELSE '' END || text, '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), ' ' || chr(10)) || chr(10) AS text FROM whole"""
+
+
+@query(HTML_SQL)
 def html_to_text(spark: SparkSession, folder: str) -> DataFrame:
     """Readable text of all pages."""
     return table(spark, folder, "pages").select("page_id", html_text(F.col("html")).alias("text"))

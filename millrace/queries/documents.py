@@ -216,15 +216,17 @@ def hash_embeddings(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("""WITH c AS (SELECT DISTINCT md5('m|' || text) AS key FROM documents WHERE lang = 'en')
-SELECT doc_id, md5('m|' || text) IN (SELECT key FROM c) AS hit FROM documents""")
+SELECT doc_id, md5('m|' || text) IN (SELECT key FROM c) AS hit, 8 AS dimension, 1 AS kept FROM documents WHERE text IS NOT NULL""")
 def embedding_cache(spark: SparkSession, folder: str) -> DataFrame:
-    """Which documents have a cached vector of the right length: those that some English document equals."""
+    """Documents embedded through a cache, which has English ones and, of another length, French ones; and what it keeps of each afterwards."""
     from ..functions.vectors import cache_key
 
-    d = table(spark, folder, "documents")
+    d = table(spark, folder, "documents").where("text is not null")
     vector = F.when(F.col("lang") == "en", F.array_repeat(F.lit(0.5), 8)).otherwise(F.array_repeat(F.lit(0.5), 3))
     cache = d.where("lang in ('en', 'fr')").select(cache_key("", "m", F.col("text")).alias("key"), vector.alias("vector")).distinct()
-    return embed.with_cached(d, cache, model="m", dimension=8).select("doc_id", F.col("cached").isNotNull().alias("hit"))
+    whole, after = embed.through_cache(d.select("doc_id", "text"), cache, partial(embed.hash_batch, dimension=8), model="m", dimension=8)
+    kept = after.groupBy("key").agg(F.count("*").cast("int").alias("kept"))
+    return whole.join(kept, "key", "left").select("doc_id", "hit", F.size("embedding").alias("dimension"), "kept")
 
 
 @query("SELECT conv_id, md5(string_agg(text, '' ORDER BY turn)) AS answer_md5 FROM conversations WHERE role <> 'system' GROUP BY conv_id")

@@ -11,7 +11,7 @@ from millrace.functions import text as fn
 from millrace.functions.english import query_lexemes, stem
 from millrace.functions import vectors
 from millrace.functions.headline import snippet
-from millrace.operators import chunking, embed, loads, markup, page_links
+from millrace.operators import chunking, convert, embed, loads, markup, page_links
 from millrace.options import ChunkOptions, SearchOptions, checked_query
 from millrace.plans import search
 from millrace.sources import feeds, remote
@@ -276,3 +276,51 @@ def test_a_later_run_goes_on_from_the_kept_mark(spark, tmp_path):
         got = sync.synced(spark, str(tmp_path / "in"), "k", [F.col("t")], folder=out)
         assert got.count() == n
     assert len([p for p in os.listdir(tmp_path / "out" / "table" / "manifests") if p.endswith(".json")]) == 2  # older versions are gone
+
+
+def test_page_text():
+    assert convert.page_text("1 < 2 and <code>k</code>") == "1 < 2 and \n```\nk\n```\n"
+    html = "<title> A &amp; B </title><style>p{}</style><body><h1>H&eacute;<h2>I</h2><p>a<b>b</b><br>c<p>d &#8217;&mdash;</div>loose<!-- no --><br><ul><li>one<ul><li>in</ul><li>two</ul><pre>\nx\n  y</pre>"
+    assert convert.page_text(html) == (
+        "# A & B\n\n\n\n# Hé\n\n\n\n## I\n\n\n\nabc\n\n\n\nd ’—\n\nloose   \n- onein\n- two\n\n```\nx\n  y\n```\n"
+    )
+    assert convert.page_text("") == "\n" and convert.page_text("<script>if (a<b) {}</script><template><p>no</template>x") == "x\n"
+
+
+def test_vectors_go_through_the_cache(spark):
+    cached = spark.createDataFrame([(vectors_key(t), v) for t, v in (("a", [1.0, 2.0]), ("b", [1.0]))], "key string, vector array<float>")
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (4, "c"), (5, None)], "k int, text string")
+    whole, after = embed.through_cache(rows, cached, lambda texts: [[float(ord(t)), 0.0] for t in texts], model="m", dimension=2)
+    got = {r.k: (r.hit, r.embedding) for r in whole.collect()}
+    assert got == {1: (True, [1.0, 2.0]), 2: (False, [98.0, 0.0]), 3: (False, [99.0, 0.0]), 4: (False, [99.0, 0.0]), 5: (False, None)}
+    assert sorted(r.key for r in after.collect()) == sorted(map(vectors_key, "abc")) and all(len(r.vector) == 2 for r in after.collect())
+    again, _ = embed.through_cache(rows, after, lambda t: 1 / 0, model="m", dimension=2)
+    assert all(r.hit for r in again.where("text is not null").collect())
+
+
+def vectors_key(text):
+    import hashlib
+
+    return "emb:v1:" + hashlib.md5(f"m|{text}".encode()).hexdigest()
+
+
+def test_kept_vectors_expire(spark, tmp_path):
+    import time
+
+    from millrace.streaming import cache
+
+    source = f"{tmp_path}/in"
+
+    def ask(*texts):
+        spark.createDataFrame([(t,) for t in texts], "text string").withColumn("asked_at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema("text string, asked_at timestamp").parquet(source)
+        found = cache.answered(spark, cache.cached_vectors(stream, lambda t: embed.hash_batch(t, 4), model="m", dimension=4, seconds=30), f"file://{tmp_path}/out")
+        last = found.agg(F.max("batch")).first()[0]
+        return sorted((r.text, r.hit) for r in found.where(F.col("batch") == last).collect())
+
+    begun = time.time()
+    assert ask("a", "a", "b", None) == [("a", False), ("a", True), ("b", False)]
+    again = ask("a", "c")
+    assert again == [("a", time.time() - begun < 30 or again[0][1]), ("c", False)]
+    time.sleep(31)
+    assert ask("a", "a") == [("a", False), ("a", True)]
