@@ -22,6 +22,12 @@ from .tables import materialize
 KEY = re.compile(r"(?<![A-Za-z0-9_])[A-Z][A-Z0-9_]+-[0-9]+(?![A-Za-z0-9_])")
 
 
+#: What a model is told before the context and the question.
+RULES = """You answer questions from the numbered excerpts that you are given, and from nothing else.
+If they don't hold the answer, say that you don't know. After each statement name its excerpts as [^1], [^2].
+Be brief, don't repeat the question, and use simple markdown where it helps."""
+
+
 class Corpus:
     """``sources`` has source_id, source_type, source_key, project, title, url, body, updated_at and, where they are kept, open attributes
     in extra, which hits and prompts show; ``chunks`` has chunk_id,
@@ -85,6 +91,10 @@ class Corpus:
         """The context and the question, as a text within the budget: the one row that comes to the driver."""
         return self._prompt(q, self.search(q, options), max_bytes)
 
+    def messages(self, q: str, options: SearchOptions = SearchOptions(), *, max_bytes: int = 12000, rules: str = RULES) -> list[dict[str, str]]:
+        """What a chat model gets: the rules, then the context and the question."""
+        return [{"role": "system", "content": rules}, {"role": "user", "content": self.prompt(q, options, max_bytes=max_bytes)}]
+
     def ask(
         self, q: str, complete: Callable[[str], str], options: SearchOptions = SearchOptions(), *, max_bytes: int = 12000,
     ) -> tuple[str, DataFrame]:

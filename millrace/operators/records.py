@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: A piece of a streamed answer.
+CHUNK = "choices array<struct<delta:struct<content:string>>>, error struct<message:string>"
+
 
 def append_messages(conversations: DataFrame, messages: DataFrame, incoming: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The next versions of (conversations, messages): incoming messages (conv_id, role, text, created_at) are added where
@@ -30,14 +33,30 @@ def owned(rows: DataFrame, who: Column, owner: str = "owner") -> DataFrame:
 def by_unique_prefix(rows: DataFrame, prefixes: DataFrame, *, key: str, prefix: str = "prefix") -> DataFrame:
     """For each prefix, not blank, the one row whose key starts with it; none where there are several or none.
 
-    Prefixes are few words of a caller; both sides meet by their first character, then by the prefix itself.
+    Keys meet prefixes of each length that occurs, by equality; the lengths are few whatever the number of prefixes.
     """
-    asked = prefixes.where(F.trim(prefix) != "").select(F.trim(prefix).alias(prefix)).distinct().withColumn("_c", F.substring(prefix, 1, 1))
-    met = rows.withColumn("_c", F.substring(key, 1, 1)).join(asked, "_c").where(F.startswith(F.col(key), F.col(prefix)))
+    asked = prefixes.select(F.trim(prefix).alias(prefix)).where(F.col(prefix) != "").distinct()
+    lengths = sorted(r[0] for r in asked.select(F.length(prefix)).distinct().collect())
+    starts = F.array(*[F.when(F.length(key) >= n, F.substring(key, 1, n)) for n in lengths]).cast("array<string>")
+    met = rows.select(key, F.explode(starts).alias(prefix)).join(asked, prefix)
     found = met.groupBy(prefix).agg(F.count("*").alias("_n"), F.min(key).alias(key)).where("_n = 1")
     return found.select(prefix, key)
 
 
+def folded(lines: DataFrame, *, key: str, order: str, line: str = "line") -> DataFrame:
+    """(key, text, error): streamed answers put together from the lines of each, in order. Lines that aren't data, the end mark and what
+    isn't JSON are passed over; an error object ends an answer, and what came before stays. An answer is one text of one row,
+    which bounds what is gathered."""
+    payload = F.trim(F.regexp_extract(F.trim(line), r"(?s)\Adata:(.*)", 1))
+    pieces = lines.select(key, F.col(order).alias("_at"), F.from_json(F.when(~payload.isin("", "[DONE]"), payload), CHUNK).alias("_c")).where("_c is not null")
+    said = F.transform(F.coalesce("_c.choices", F.array().cast("array<struct<delta:struct<content:string>>>")), lambda c: F.coalesce(c["delta"]["content"], F.lit("")))
+    each = F.array_sort(F.collect_list(F.struct("_at", F.array_join(said, "").alias("text"), F.col("_c.error.message").alias("error"))))
+    lists = pieces.groupBy(key).agg(each.alias("_each"))
+    failed = F.get(F.filter("_each", lambda e: e["error"].isNotNull()), 0)
+    kept = F.filter("_each", lambda e: F.col("_failed").isNull() | (e["_at"] < F.col("_failed._at")))
+    return lists.withColumn("_failed", failed).select(key, F.array_join(F.transform(kept, lambda e: e["text"]), "").alias("text"), F.col("_failed.error").alias("error"))
+
+
 def revoked(tokens: DataFrame, gone: DataFrame, now: Column, *, key: str = "id") -> DataFrame:
     """Tokens with those of ``gone`` revoked as of now; a token that was revoked before keeps its time."""
     marked = gone.select(key).distinct().withColumn("_gone", F.lit(True))

@@ -7,7 +7,7 @@ from dataclasses import dataclass, replace
 
 @dataclass(frozen=True)
 class SearchOptions:
-    """Weights hold unless both are 0; a decay of 0 or less switches the recency factor off."""
+    """Weights hold unless both are 0; a decay of 0 or less switches the recency factor off; a limit of 0 or less is 10."""
 
     vector_weight: float = 0.0
     text_weight: float = 0.0
@@ -27,8 +27,10 @@ class SearchOptions:
         return replace(self, source_types=(*self.source_types, *source_types), projects=(*self.projects, *projects), updated_after=later)
 
     def __post_init__(self):
-        if not 1 <= self.limit <= 50:
-            raise ValueError("limit must be from 1 to 50")
+        if self.limit <= 0:
+            object.__setattr__(self, "limit", 10)
+        if self.limit > 50:
+            raise ValueError("limit must be at most 50")
 
 
 def checked_query(q: str) -> str:

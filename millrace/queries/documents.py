@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.english import lexemes, query_lexemes
 from ..functions.headline import headline
 from ..functions.text import tokens
-from ..operators import embed, markup, page_links
+from ..operators import embed, markup, page_links, records
 from ..sources import feeds
 from ..sources.corpus import table
 from ..streaming.sync import shared_folder
@@ -229,19 +229,18 @@ def embedding_cache(spark: SparkSession, folder: str) -> DataFrame:
     return whole.join(kept, "key", "left").select("doc_id", "hit", F.size("embedding").alias("dimension"), "kept")
 
 
-@query("SELECT conv_id, md5(string_agg(text, '' ORDER BY turn)) AS answer_md5 FROM conversations WHERE role <> 'system' GROUP BY conv_id")
+@query("""SELECT conv_id, md5(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role <> 'system' AND (conv_id % 5 > 0 OR turn < 2)), '')) AS answer_md5,
+  CASE WHEN conv_id % 5 = 0 AND max(turn) >= 2 THEN 'overloaded' END AS error FROM conversations GROUP BY conv_id HAVING count(*) FILTER (role <> 'system' OR turn = 2 AND conv_id % 5 = 0) > 0""")
 def token_stream_fold(spark: SparkSession, folder: str) -> DataFrame:
-    """Answers put together from streamed pieces: data lines are parsed, others and the end mark skipped. An answer is one text
-    of one row, which bounds what is gathered."""
+    """Answers put together from streamed pieces; every fifth ends with an error at its third turn."""
     m = table(spark, folder, "conversations")
-    line = F.when(F.col("role") == "system", F.lit(": ping")).otherwise(F.concat(F.lit("data: "), F.to_json(F.struct(F.col("text").alias("delta")))))
-    lines = m.select("conv_id", "turn", line.alias("line")).unionByName(m.select("conv_id").distinct().select(
-        "conv_id", F.lit(1 << 40).alias("turn"), F.lit("data: [DONE]").alias("line"),
-    ))
-    delta = F.get_json_object(F.regexp_extract("line", r"(?s)^data: (\{.*)$", 1), "$.delta")
-    pieces = lines.select("conv_id", "turn", delta.alias("delta")).where("delta is not null")
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "delta"))), lambda x: x["delta"]), "")
-    return pieces.groupBy("conv_id").agg(F.md5(text).alias("answer_md5"))
+    piece = F.to_json(F.struct(F.array(F.struct(F.struct(F.col("text").alias("content")).alias("delta"))).alias("choices")))
+    failed = F.to_json(F.struct(F.struct(F.lit("overloaded").alias("message")).alias("error")))
+    line = F.when((F.col("conv_id") % 5 == 0) & (F.col("turn") >= 2), F.concat(F.lit("data:"), failed)).when(
+        F.col("role") == "system", F.lit(": ping")).otherwise(F.concat(F.lit("data: "), piece))
+    ends = m.select("conv_id").distinct().select("conv_id", F.lit(1 << 40).alias("turn"), F.lit("data: [DONE]").alias("line"))
+    found = records.folded(m.select("conv_id", "turn", line.alias("line")).unionByName(ends), key="conv_id", order="turn")
+    return found.select("conv_id", F.md5("text").alias("answer_md5"), "error")
 
 
 @query("SELECT o_orderkey AS number, split_part(o_orderpriority, '-', 1) AS prefix, o_custkey AS customer FROM orders WHERE o_orderstatus <> 'P' AND split_part(o_orderpriority, '-', 1) IN ('1', '3')")

@@ -112,7 +112,9 @@ def test_an_index_and_attributes_in_a_corpus(spark, clustered, index):
     plain, indexed = (Corpus(sources, df.where("chunk_id < 700"), embed, index=i) for i in (None, index))
     want = [(r.source_id, r.score) for r in plain.search("alpha beta", as_of=F.lit(AS_OF).cast("timestamp_ntz")).orderBy("rank").collect()]
     assert [(r.source_id, r.score) for r in indexed.search("alpha beta", as_of=F.lit(AS_OF).cast("timestamp_ntz")).orderBy("rank").collect()] == want
-    prompt = indexed.prompt("what of ZZ-2")
+    rules, asked = indexed.messages("what of ZZ-2")
+    assert rules["role"] == "system" and "[^1]" in rules["content"]
+    prompt = asked["content"]
     assert "[1] title 2 — u\nStatus: Open | Type: Bug | Assignee: ann | Updated: 2024-01-01\nbody é" in prompt
 
 
