@@ -121,13 +121,50 @@ def paragraph_split(spark: SparkSession, folder: str) -> DataFrame:
     return p.groupBy("doc_id").agg(F.count("*").alias("paragraphs"), F.sum(F.length("x")).alias("chars"))
 
 
-@query()
+WORDS_SQL = "regexp_extract_all({}, '[^ \\t\\n\\x0B\\f\\r]+')"
+STRIP_SQL = "trim({}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+#: Texts (id, part, text): paragraphs, of those over 200 words the sentences, of those over it runs of 200; packed one by one, a chunk that is full
+#: giving its last 20 words to the next. A text that fits is one chunk.
+PACKED_SQL = f"""para AS (
+  SELECT id, part, text, {STRIP_SQL.format("unnest(string_split_regex(text, '\\n[ \\t\\n\\r\\x0B\\f]*\\n'))")} AS p, generate_subscripts(string_split_regex(text, '\\n[ \\t\\n\\r\\x0B\\f]*\\n'), 1) AS i FROM texts
+), sentence AS (
+  SELECT id, part, i, 0 AS j, p AS s FROM para WHERE len({WORDS_SQL.format("p")}) <= 200
+  UNION ALL SELECT id, part, i, generate_subscripts(x, 1), {STRIP_SQL.format("unnest(x)")} FROM (
+    SELECT id, part, i, string_split(regexp_replace(p, '([.?!][)\\]"'']*)[ \\n\\t]', '\\1' || chr(1), 'g'), chr(1)) AS x FROM para WHERE len({WORDS_SQL.format("p")}) > 200)
+), run AS (
+  SELECT id, part, i, j, 0 AS k, s FROM sentence WHERE s <> '' AND len({WORDS_SQL.format("s")}) <= 200
+  UNION ALL SELECT id, part, i, j, k, array_to_string(w[k * 200 + 1 : k * 200 + 200], ' ') FROM (
+    SELECT id, part, i, j, w, unnest(range((len(w) + 199) // 200)) AS k FROM (SELECT *, {WORDS_SQL.format("s")} AS w FROM sentence) WHERE len(w) > 200)
+), unit AS (
+  SELECT id, part, s, len({WORDS_SQL.format("s")}) AS n, row_number() OVER (PARTITION BY id, part ORDER BY i, j, k) AS u FROM run
+), fold AS (
+  SELECT id, part, u, s AS held, n AS size, NULL::VARCHAR AS done FROM unit WHERE u = 1
+  UNION ALL
+  SELECT f.id, f.part, x.u, CASE WHEN f.size + x.n + 2 > 200 THEN array_to_string(({WORDS_SQL.format("f.held")})[-20:], ' ') || chr(10) || chr(10) || x.s ELSE f.held || chr(10) || chr(10) || x.s END,
+         CASE WHEN f.size + x.n + 2 > 200 THEN least(20, len({WORDS_SQL.format("f.held")})) + x.n ELSE f.size + x.n END, CASE WHEN f.size + x.n + 2 > 200 THEN f.held END
+  FROM fold f JOIN unit x ON x.id = f.id AND x.part = f.part AND x.u = f.u + 1
+), packed AS (
+  SELECT id, part, u, done AS content FROM fold WHERE done IS NOT NULL
+  UNION ALL SELECT id, part, u + 1, held FROM fold QUALIFY u = max(u) OVER (PARTITION BY id, part)
+), chunk AS (
+  SELECT id, part, 0 AS u, text AS content FROM texts WHERE len({WORDS_SQL.format("text")}) <= 200 AND {STRIP_SQL.format("text")} <> ''
+  UNION ALL SELECT packed.* FROM packed JOIN texts USING (id, part) WHERE len({WORDS_SQL.format("text")}) > 200
+)
+SELECT id AS doc_id, (row_number() OVER (PARTITION BY id ORDER BY part, u) - 1)::INT AS chunk_index, content, len({WORDS_SQL.format("content")})::INT AS token_count, 'section' AS chunk_kind FROM chunk"""
+MARKED_UP_SQL = "replace(text, chr(10), chr(10) || chr(10)) || chr(10) || chr(10) || '## End of ' || doc_id || chr(10) || 'last words'"
+
+
+@query(f"""WITH RECURSIVE texts AS (SELECT doc_id AS id, 0 AS part, '# Doc ' || doc_id || chr(10) || chr(10) || {STRIP_SQL.format(MARKED_UP_SQL)} AS text FROM documents WHERE text IS NOT NULL), {PACKED_SQL}""")
 def chunk_documents(spark: SparkSession, folder: str) -> DataFrame:
     """Chunks of all documents within 200 tokens, 20 of overlap."""
     return chunking.document_chunks(_marked_up(spark, folder), ChunkOptions(200, 20))
 
 
-@query()
+@query(f"""WITH RECURSIVE cut AS (
+  SELECT doc_id, string_split(regexp_replace({MARKED_UP_SQL}, '(?m)^(#{{1,3}}[ \\t\\n\\r\\x0B\\f]+.)', chr(1) || '\\1', 'g'), chr(1)) AS x FROM documents WHERE text IS NOT NULL
+), texts AS (
+  SELECT doc_id AS id, generate_subscripts(x, 1) AS part, rtrim(unnest(x), chr(10)) AS text FROM cut
+), {PACKED_SQL}""")
 def chunk_pages(spark: SparkSession, folder: str) -> DataFrame:
     """Chunks of all documents as pages, by section."""
     return chunking.page_chunks(_marked_up(spark, folder), ChunkOptions(200, 20))

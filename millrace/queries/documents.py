@@ -208,11 +208,15 @@ def fts_stemmed(spark: SparkSession, folder: str) -> DataFrame:
     return found.where(F.col("n") == len(wanted)).select("doc_id")
 
 
-@query()
+@query("""WITH h AS (SELECT doc_id, sha256(text) AS a, sha256(unhex(sha256(text))) AS b FROM documents), hh AS (SELECT doc_id, a || b AS x, sha256(unhex(b)) AS c FROM h),
+s AS (SELECT doc_id, x || c || sha256(unhex(c)) AS x FROM hh),
+v AS (SELECT doc_id, list_transform(range(32), lambda i: ('0x' || substr(x, 8 * i + 7, 2) || substr(x, 8 * i + 5, 2) || substr(x, 8 * i + 3, 2) || substr(x, 8 * i + 1, 2))::BIGINT / 2147483648::DOUBLE - 1) AS v FROM s)
+SELECT doc_id, unnest(range(32))::INT AS position, round(unnest(list_transform(v, lambda y: (y / sqrt(list_sum(list_transform(v, lambda z: z * z))))::FLOAT::DOUBLE)), 5) AS value FROM v""")
 def hash_embeddings(spark: SparkSession, folder: str) -> DataFrame:
-    """Test vectors of all documents."""
-    d = table(spark, folder, "documents").select("doc_id", "text")
-    return embed.embed(d, partial(embed.hash_batch, dimension=32), dimension=32).drop("text")
+    """Test vectors of all documents, a row for each component."""
+    d = table(spark, folder, "documents").where("text is not null").select("doc_id", "text")
+    found = embed.embed(d, partial(embed.hash_batch, dimension=32), dimension=32)
+    return found.select("doc_id", F.posexplode("embedding").alias("position", "value")).withColumn("value", F.round(F.col("value").cast("double"), 5))
 
 
 @query("""WITH c AS (SELECT DISTINCT md5('m|' || text) AS key FROM documents WHERE lang = 'en')
