@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -69,21 +69,54 @@ class Folder:
         self._fs.delete(self._at(name), True)
 
 
+@dataclass(frozen=True)
+class Version:
+    """An earlier schema of a table, and the steps from it to the next one and back."""
+
+    schema: str
+    up: Callable[[DataFrame], DataFrame]
+    down: Callable[[DataFrame], DataFrame]
+
+
 @dataclass(frozen=True)
 class Table:
-    """Columns of a table, and the one whose hash gives a row's bucket. Columns that older files lack are null there."""
+    """Columns of a table, the one whose hash gives a row's bucket, and its earlier schemas from the first on.
+
+    Files are read by the schema that they were written under and taken up to the present one, step by step; buckets that a load
+    rewrites are of the present one from then on. Columns that files lack otherwise are null.
+    """
 
     schema: str
     key: str
+    before: tuple[Version, ...] = ()
+
+    @property
+    def version(self) -> int:
+        return len(self.before) + 1
+
+    def schema_of(self, version: int) -> str:
+        return self.schema if version == self.version else self.before[version - 1].schema
+
+    def names(self, version: int) -> list[str]:
+        return [c.strip().split(" ")[0] for c in self.schema_of(version).split(", ")]
+
+    def moved(self, df: DataFrame, old: int, new: int) -> DataFrame:
+        """Rows of one version as those of another."""
+        for v in range(old, new):
+            df = self.before[v - 1].up(df).select(*self.names(v + 1))
+        for v in range(old, new, -1):
+            df = self.before[v - 2].down(df).select(*self.names(v - 1))
+        return df
 
 
 @dataclass(frozen=True)
 class Snapshot:
-    """Which run wrote each bucket of each table, under the number of the last load. 0 is the empty corpus."""
+    """Which run wrote each bucket of each table, under the number of the last load, and the schema versions of runs. 0 is the empty corpus."""
 
     number: int
     tables: dict[str, dict[int, str]]
     report: dict
+    versions: dict[str, dict[str, int]] = field(default_factory=dict)
 
 
 @dataclass(frozen=True)
@@ -122,19 +155,22 @@ class Store:
         m = json.loads(self.folder.read(f"manifests/{number:012d}.json"))
         if m["buckets"] != self.buckets:
             raise ValueError(f"the store has {m['buckets']} buckets")
-        return Snapshot(number, {t: {int(b): r for b, r in runs.items()} for t, runs in m["tables"].items()}, m["report"])
-
-    def read(self, name: str, at: Snapshot | None = None, buckets: set[int] | None = None) -> DataFrame:
-        """A table of a snapshot, or some buckets of it. Files of the buckets alone are listed."""
-        return self._files(name, at or self.snapshot(), buckets).drop("_run", "_bucket")
-
-    def _files(self, name: str, at: Snapshot, buckets: set[int] | None = None) -> DataFrame:
-        table = self.tables[name]
-        schema = f"{table.schema}, _run string, _bucket int"
-        paths = [f"{self.folder.path}/{name}/_run={r}/_bucket={b}" for b, r in sorted(at.tables.get(name, {}).items()) if buckets is None or b in buckets]
-        if not paths:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).option("basePath", f"{self.folder.path}/{name}").parquet(*paths)
+        return Snapshot(number, {t: {int(b): r for b, r in runs.items()} for t, runs in m["tables"].items()}, m["report"], m["versions"])
+
+    def read(self, name: str, at: Snapshot | None = None, buckets: set[int] | None = None, version: int | None = None) -> DataFrame:
+        """A table of a snapshot, or some buckets of it, whose files alone are listed; under its present schema or that of another version."""
+        table, at = self.tables[name], at or self.snapshot()
+        wanted = version or table.version
+        paths: dict[int, list[str]] = {}
+        for b, r in sorted(at.tables.get(name, {}).items()):
+            if buckets is None or b in buckets:
+                paths.setdefault(at.versions.get(name, {}).get(r, table.version), []).append(f"{self.folder.path}/{name}/_run={r}/_bucket={b}")
+        found = None
+        for v, files in sorted(paths.items()):
+            rows = self.spark.read.schema(f"{table.schema_of(v)}, _run string, _bucket int").option("basePath", f"{self.folder.path}/{name}").parquet(*files)
+            part = table.moved(rows.drop("_run", "_bucket"), v, wanted)
+            found = part if found is None else found.unionByName(part)
+        return self.spark.createDataFrame([], table.schema_of(wanted)) if found is None else found
 
     def lookup(self, name: str, key: str, at: Snapshot | None = None) -> DataFrame:
         """Rows of one key: of one bucket's files, whose rows are sorted by key and have a Bloom filter for it."""
@@ -149,7 +185,8 @@ class Store:
         tables = dict(base.tables)
         for name, change in changes.items():
             tables[name] = self._written(name, base, change, run)
-        done = Snapshot(base.number + 1, tables, (report() if callable(report) else report) or {})
+        runs = {t: {r: base.versions.get(t, {}).get(r, self.tables[t].version) for r in set(of.values())} for t, of in tables.items()}
+        done = Snapshot(base.number + 1, tables, (report() if callable(report) else report) or {}, runs)
         self.publish(done, run)
         return done
 
@@ -161,7 +198,7 @@ class Store:
         kept = {b: r for b, r in old.items() if b not in hit}
         if not hit:
             return kept
-        names = [c.strip().split(" ")[0] for c in table.schema.split(", ")]
+        names = table.names(table.version)
         rest = self.read(name, base, hit).join(keys, table.key, "left_anti")
         rows = rest.select(*names).unionByName(change.rows.select(*names)).withColumn("_bucket", bucket_of(F.col(table.key), self.buckets))
         dealt = rows.repartition(len(hit), "_bucket").sortWithinPartitions("_bucket", table.key)
@@ -173,7 +210,7 @@ class Store:
 
     def publish(self, new: Snapshot, run: str) -> None:
         """Make a snapshot the last one, or raise where its number is taken."""
-        text = json.dumps({"number": new.number, "buckets": self.buckets, "tables": new.tables, "report": new.report}, default=str)
+        text = json.dumps({"number": new.number, "buckets": self.buckets, "tables": new.tables, "report": new.report, "versions": new.versions}, default=str)
         self.folder.write(f"manifests/.{run}", text)
         if not self.folder.rename(f"manifests/.{run}", f"manifests/{new.number:012d}.json"):
             self.folder.delete(f"manifests/.{run}")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from millrace.operators import ingest, runs
 from millrace.operators.embed import hash_batch
 from millrace.options import ChunkOptions
-from millrace.sources.store import Change, Conflict, Store, Table
+from millrace.sources.store import Change, Conflict, Store, Table, Version
 
 UTC = dt.UTC
 NOW = dt.datetime(2024, 5, 1, tzinfo=UTC)
@@ -89,6 +89,23 @@ def test_columns_that_older_files_lack_are_null(spark, store, tmp_path):
         Store(spark, f"file://{tmp_path}/store", {}, buckets=9).snapshot()
 
 
+def test_older_files_are_taken_up_to_the_present_schema(spark, tmp_path):
+    one = Version("k string, name string", lambda d: d.withColumnRenamed("name", "title"), lambda d: d.withColumnRenamed("title", "name"))
+    two = Version("k string, title string", lambda d: d.withColumn("n", F.length("title")), lambda d: d)
+    three = Version("k string, title string, n int", lambda d: d.withColumn("n", F.col("n").cast("long") * 10), lambda d: d.withColumn("n", (F.col("n") / 10).cast("int")))
+    at = lambda schema, *before: Store(spark, f"file://{tmp_path}/v", {"t": Table(schema, "k", before)}, 4)
+    first = at("k string, name string")
+    first.commit(first.snapshot(), {"t": Change(spark.createDataFrame([(f"k{i}", "x" * i) for i in range(12)], "k string, name string"))})
+    now = at("k string, title string, n long", one, two, three)
+    assert sorted(map(tuple, now.read("t").collect())) == sorted((f"k{i}", "x" * i, 10 * i) for i in range(12))
+    done = now.commit(now.snapshot(), {"t": Change(spark.createDataFrame([("k3", "new", 7)], "k string, title string, n long"))})
+    assert sorted(done.versions["t"].values()) == [1, 4]  # one bucket is written back, the others stay as they are
+    assert {r.k: (r.title, r.n) for r in now.read("t").collect()} == {f"k{i}": ("x" * i, 10 * i) for i in range(12)} | {"k3": ("new", 7)}
+    assert now.lookup("t", "k5").first().n == 50
+    assert now.read("t", version=1).columns == ["k", "name"] and {r.k: r.name for r in now.read("t", version=1).collect()}["k3"] == "new"
+    assert {r.k: r.n for r in now.read("t", version=3).collect()}["k5"] == 5
+
+
 def issue(n, at, title="t", body="text"):
     doc = {"type": "doc", "content": [{"type": "paragraph", "content": [{"type": "text", "text": body}]}]}
     fields = {"summary": title, "updated": at.isoformat(), "description": doc, "status": {"name": "Open"}, "assignee": {"displayName": "ann"}, "subtasks": [{"key": f"A-{n + 1}"}]}
