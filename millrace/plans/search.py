@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import cut_bytes
 from ..functions.vectors import cosine
 from ..options import SearchOptions
-from ..sources.corpus import lexeme_table, ordered, postings
+from ..sources.corpus import counted_postings, lexeme_table, ordered, postings
 
 PLACES = 9  # scores are rounded before they are compared, so that ties don't hang on the order of a sum
 
@@ -50,6 +52,34 @@ def text_hits(chunks: DataFrame, terms: list[str], k: int = 50, *, stemmed: bool
     return cover_density(found, terms).orderBy(F.desc("f_score"), "chunk_id").limit(k)
 
 
+def bounded_text_hits(spark: SparkSession, path: str, terms: list[str], k: int = 50) -> DataFrame:
+    """What ``text_hits`` gives for lexemes, from counted postings (``sources.corpus.write_counted_postings``), without decoding the positions of
+    chunks that cannot be among the ``k``.
+
+    A minimal cover holds the rarest term of its chunk, and at most as many covers as there are terms share one occurrence; so the score is at most
+    0.1 x terms x the least count. The chunks with the largest bounds are scored first; of the others only those are read whose counts let
+    them reach the k-th score: a filter on counts, which the scan takes.
+    """
+    terms = sorted(set(terms))
+    if not terms:
+        return spark.createDataFrame([], "chunk_id long, f_score double")
+    most = F.min("count").alias("least")
+
+    def all_terms(least: int) -> DataFrame:
+        rows = counted_postings(spark, path, terms, least).select("chunk_id", "term", "count")
+        return rows.groupBy("chunk_id").agg(F.count("*").alias("n"), most).where(F.col("n") == len(terms))
+
+    def best(of: DataFrame, least: int) -> DataFrame:
+        rows = counted_postings(spark, path, terms, least).join(of.select("chunk_id"), "chunk_id", "left_semi")
+        found = ordered(rows.select("chunk_id", "term", F.explode("positions").alias("position")))
+        return cover_density(found, terms).orderBy(F.desc("f_score"), "chunk_id").limit(k)
+
+    first = all_terms(1).orderBy(F.desc("least"), "chunk_id").limit(2 * k)
+    reached = best(first, 1).agg(F.count("*").alias("n"), F.min("f_score").alias("score")).first()
+    least = math.ceil(reached.score / (0.1 * len(terms)) - 1e-6) if reached.n == k else 1
+    return best(all_terms(max(1, least)), max(1, least))
+
+
 def fuse(vector: DataFrame, text: DataFrame, weights: tuple[float, float]) -> DataFrame:
     """Weighted sum over both lists; a chunk missing from one counts 0 there. Text scores are over their maximum.
 

@@ -11,7 +11,7 @@ from ..functions.vectors import cosine
 from ..options import SearchOptions
 from ..plans import questions as many
 from ..plans import search as plans
-from ..sources.corpus import chunks, postings, sources, stored_postings, table, write_postings
+from ..sources.corpus import chunks, postings, sources, stored_postings, table, write_counted_postings, write_postings
 from ..sources.vector_index import VectorIndex, write_index
 from ..tables import new_folder
 from .registry import register
@@ -199,6 +199,15 @@ def fts_lexemes(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.col("chunk_id").alias("doc_id"), F.round("f_score", 6).alias("f_score"))
 
 
+@query(f"WITH {LEXEME_SQL} SELECT doc_id, round(f_score, 6) AS f_score FROM fts_hits")
+def fts_bounded(spark: SparkSession, folder: str) -> DataFrame:
+    """The same from postings with counts, whose bounds leave most chunks unread."""
+    path = new_folder(spark, "postings")
+    write_counted_postings(table(spark, folder, "documents").select(F.col("doc_id").alias("chunk_id"), "text"), path)
+    found = plans.bounded_text_hits(spark, path, query_lexemes("the ersted and the erines of erst"))
+    return found.select(F.col("chunk_id").alias("doc_id"), F.round("f_score", 6).alias("f_score"))
+
+
 @query("WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents) SELECT doc_id FROM t WHERE list_has_all(w, ['the', 'of'])")
 def fts_match_all(spark: SparkSession, folder: str) -> DataFrame:
     """Documents that hold all words of a query."""

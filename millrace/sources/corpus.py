@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.english import lexemes
 from ..functions.text import first_line, tokens
+from ..tables import tidy
 
 EPOCH = "2024-01-01 00:00:00"
 #: Parts of a stored lexeme table.
@@ -74,6 +75,25 @@ def stored_postings(spark: SparkSession, path: str, terms: list[str]) -> DataFra
     return spark.read.parquet(path).where(keep).select("chunk_id", "term", "position")
 
 
+def write_counted_postings(chunks: DataFrame, path: str) -> None:
+    """Store a row for each lexeme and chunk, with its count and positions, in parts by lexeme and within them the largest counts first: the
+    statistics of a file's row groups then bound the counts, and a filter on them skips groups."""
+    places = F.array_sort(F.collect_list("position")).alias("positions")
+    rows = lexeme_table(chunks).groupBy("term", "chunk_id").agg(places).withColumns({"count": F.size("positions"), "part": _part(F.col("term"))})
+    dealt = rows.repartition("part", "term").sortWithinPartitions("part", "term", F.desc("count"), "chunk_id")
+    with tidy(chunks.sparkSession):
+        dealt.write.mode("overwrite").partitionBy("part").option("parquet.block.size", 1 << 20).option("compression", "zstd").parquet(path)
+
+
+def counted_postings(spark: SparkSession, path: str, terms: list[str], least: int = 1) -> DataFrame:
+    """(chunk_id, term, count, positions) of some lexemes in chunks that have them ``least`` times."""
+    keep = F.lit(False)
+    for t in terms:
+        keep = keep | ((F.col("part") == _part(F.lit(t))) & (F.col("term") == t))
+    schema = "term string, chunk_id long, positions array<int>, count int, part int"
+    return spark.read.schema(schema).parquet(path).where(keep & (F.col("count") >= least)).drop("part")
+
+
 def ordered(found: DataFrame, *, id_col: str = "chunk_id") -> DataFrame:
     """Postings with ``nth``, their number among those of a question in their chunk."""
     return found.withColumn("nth", F.row_number().over(Window.partitionBy(id_col).orderBy("position")) - 1)

@@ -12,6 +12,7 @@ from millrace.functions.text import cut_bytes, title_of, truncated
 from millrace.options import SearchOptions
 from millrace.plans import questions as many
 from millrace.plans import search as plans
+from millrace.sources.corpus import counted_postings, write_counted_postings
 from millrace.sources.vector_index import VectorIndex, write_index
 
 ROWS = "chunk_id long, source_id string, embedding array<float>, text string"
@@ -104,6 +105,25 @@ def test_terms_beyond_the_list_are_joined(spark, clustered, monkeypatch):
     assert sorted(map(tuple, many.text_hits(clustered[0], questions).collect())) == want and want
 
 
+def test_bounds_leave_postings_unread(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(400):  # one word everywhere, another in few texts and mostly once
+        words = list(rng.choice(["apple", "stone", "river"], 60)) + ["zebra"] * (int(rng.integers(3, 9)) if i % 40 == 0 else i % 4 == 0)
+        rng.shuffle(words)
+        rows.append((i, " ".join(words)))
+    df = spark.createDataFrame([*rows, (900, None), (901, "zebra")], "chunk_id long, text string")
+    path = f"file://{tmp_path}/p"
+    write_counted_postings(df, path)
+    for terms in (["appl", "zebra"], ["zebra"], ["river", "stone", "appl"], ["none", "appl"], []):
+        want = [tuple(r) for r in plans.text_hits(df, terms, 10, stemmed=True).collect()]
+        assert [tuple(r) for r in plans.bounded_text_hits(spark, path, terms, 10).collect()] == want
+    got = plans.bounded_text_hits(spark, path, ["appl", "zebra"], 10)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    least = int(re.search(r"GreaterThanOrEqual\(count,(\d+)\)", plan)[1])
+    assert least > 1 and counted_postings(spark, path, ["zebra"], least).count() < 0.2 * counted_postings(spark, path, ["zebra"]).count()
+
+
 def test_an_index_and_attributes_in_a_corpus(spark, clustered, index):
     df, rows = clustered
     sources = spark.createDataFrame([(f"s{i}", "jira", f"ZZ-{i}", "ZZ", f"title {i}", "u", "body é" if i == 2 else "b", dt.datetime(2024, 1, 1)) for i in range(200)], "source_id string, source_type string, source_key string, project string, title string, url string, body string, updated_at timestamp_ntz")
