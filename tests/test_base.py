@@ -205,7 +205,7 @@ def test_files(spark, tmp_path):
     (tmp_path / "c.pdf").write_bytes(b"%PDF")
     got = {r.filename: r for r in feeds.uploaded(spark, str(tmp_path)).collect()}
     assert got["a.md"].title == "Head" and got["b.html"].title == "T" and got["c.pdf"].body is None
-    assert got["b.html"].body == "# T\n\n# H\n\np & q\n- i\n"
+    assert got["b.html"].body == "# T\n\n\n\n# H\n\n\n\np & q\n\n- i\n"
 
 
 def test_embedding(spark):
