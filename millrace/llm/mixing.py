@@ -6,12 +6,15 @@ import bisect
 import heapq
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from fractions import Fraction
+from functools import partial
 from typing import NamedTuple
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -127,22 +130,28 @@ def schedule(blocks: dict[str, int], share: dict[str, int]) -> list[Segment]:
     return [*segments, Segment(begun, out, 1)] if out else segments
 
 
-def slots(spark: SparkSession, segments: list[Segment]) -> DataFrame:
-    """(_source, mix_block, mix_slot) of a schedule; what recurs is expanded by Spark."""
+def places(segments: list[Segment]) -> dict[str, Callable[[np.ndarray], np.ndarray]]:
+    """For each source the slots of its blocks; what recurs is counted out, so the size is that of the schedule."""
     done: Counter = Counter()
-    rows = []
+    rows: dict[str, list[tuple]] = {}
     for at, pattern, repeats in segments:
-        places: dict[str, list[int]] = {}
+        where: dict[str, list[int]] = {}
         for j, s in enumerate(pattern):
-            places.setdefault(s, []).append(j)
-        rows += [(s, done[s], at, len(pattern), repeats, p) for s, p in places.items()]
-        for s, p in places.items():
+            where.setdefault(s, []).append(j)
+        for s, p in where.items():
+            rows.setdefault(s, []).append((done[s], at, len(pattern), np.array(p)))
             done[s] += len(p) * repeats
-    plan = spark.createDataFrame(rows, "_source string, first long, slot long, length long, repeats long, places array<int>")
-    each = plan.withColumn("each", F.size("places")).withColumn("r", F.explode(F.sequence(F.lit(0), F.col("repeats") - 1)))
-    each = each.select("*", F.posexplode("places").alias("j", "place"))
-    block = F.col("first") + F.col("r") * F.col("each") + F.col("j")
-    return each.select("_source", block.alias("mix_block"), (F.col("slot") + F.col("r") * F.col("length") + F.col("place")).alias("mix_slot"))
+    return {s: partial(_slots, np.array([r[0] for r in own]), own) for s, own in rows.items()}
+
+
+def _slots(first: np.ndarray, own: list[tuple], blocks: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(blocks), np.int64)
+    of = np.searchsorted(first, blocks, "right") - 1
+    for k in np.unique(of):
+        begin, at, length, p = own[k]
+        again, j = np.divmod(blocks[of == k] - begin, len(p))
+        out[of == k] = at + again * length + p[j]
+    return out
 
 
 def mix(
@@ -157,16 +166,15 @@ def mix(
     Weights are rounded to whole ``shares``. Nothing is dropped or repeated: when a source ends, the others go on by their
     shares.
 
-    Running sums come from range partitions over (source, hash), so a source with most rows is spread over many tasks. A
-    row for each source, and the periods of the schedule, are on the driver: their number follows the number of sources,
-    not of rows.
+    Running sums come from range partitions over (source, hash), so a source with most rows is spread over many tasks. Texts are
+    shuffled once, for these. A number for each source and partition that meet (partitions and sources together, at most) and the periods of the schedule
+    are on the driver and go to the tasks, which count out the slots of their rows.
 
     Returns the input's columns and mix_slot, mix_block, mix_start (long; replacing such columns): by (mix_slot,
     mix_start) is the mixed order, mix_start being bytes from the start of the block. ``size_col`` gives bytes if the text is
     not at hand. Null sizes count 0, a null source is a source, rows with null or equal ids stay each; long texts may be
     longer than their block; an empty table gives no rows.
     """
-    spark = docs.sparkSession
     size = F.col(size_col).cast("long") if size_col else F.octet_length(F.col(text_col)).cast("long")
     own = ["_source", "_order", "_size", "mix_slot", "mix_block", "mix_start"]
     columns = [c for c in docs.columns if c not in own]
@@ -193,19 +201,28 @@ def mix(
 
     sums = dealt.groupBy("_source", "_part").agg(F.sum("_size").alias("n"))
     earlier = Window.partitionBy("_source").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select("_source", "_part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_offset"))
-    totals = {r["_source"]: r["n"] for r in sums.groupBy("_source").agg(F.sum("n").alias("n")).collect()}
+    offsets, totals = {}, Counter()
+    for r in sums.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).collect():
+        offsets[r["_source"], r["_part"]] = r["before"]
+        totals[r["_source"]] += r["n"]
     if weights is None:
         target = {s: max(n, 1) ** (1 / temperature) for s, n in totals.items()}
     else:
         least = min((w for w in weights.values() if w > 0), default=1.0)
         target = {s: max(weights.get(s[1:], least) if s != "null" else least, least * 1e-6) for s in totals}
-    plan = slots(spark, schedule({s: max(1, -(-n // block)) for s, n in totals.items()}, shares(target) if target else {}))
-
-    at = F.col("_offset") + F.col("_before")
-    number = F.expr(f"_at div {block}L")
-    ends = spark.createDataFrame([(s, max(0, -(-n // block) - 1)) for s, n in totals.items()], "_source string, _last long")
-    placed = dealt.join(offsets, ["_source", "_part"]).withColumn("_at", at).join(ends, "_source")
-    placed = placed.withColumn("mix_block", F.least(number, F.col("_last")))  # an empty document may start where its source ends
-    placed = placed.join(plan, ["_source", "mix_block"], "left")
-    return placed.select(*[F.col(f"`{c}`") for c in columns], "mix_slot", "mix_block", (F.col("_at") - F.col("mix_block") * F.lit(block)).alias("mix_start"))
+    number = {s: max(1, -(-n // block)) for s, n in totals.items()}
+    plan = places(schedule(number, shares(target) if target else {}))
+
+    @F.pandas_udf("mix_slot long, mix_block long, mix_start long")
+    def placed(sources: pd.Series, parts: pd.Series, before: pd.Series) -> pd.DataFrame:
+        offset = np.array([offsets[key] for key in zip(sources, parts)], np.int64)
+        at = offset + before.to_numpy()
+        last = np.array([number[s] - 1 for s in sources], np.int64)
+        own = np.minimum(at // block, last)  # an empty document may start where its source ends
+        slot = np.zeros(len(at), np.int64)
+        for s, rows in sources.groupby(sources).indices.items():
+            slot[rows] = plan[s](own[rows])
+        return pd.DataFrame({"mix_slot": slot, "mix_block": own, "mix_start": at - own * block})
+
+    found = dealt.withColumn("_placed", placed("_source", "_part", "_before"))
+    return found.select(*[F.col(f"`{c}`") for c in columns], "_placed.mix_slot", "_placed.mix_block", "_placed.mix_start")
