@@ -170,7 +170,31 @@ def chunk_pages(spark: SparkSession, folder: str) -> DataFrame:
     return chunking.page_chunks(_marked_up(spark, folder), ChunkOptions(200, 20))
 
 
-@query()
+#: Units (head, then comments) fill a chunk of 120 words whole or, where one doesn't fit, word by word in new chunks that begin with the last 15 words of the one before.
+ISSUE_CHUNKS_SQL = f"""WITH RECURSIVE m AS (SELECT conv_id AS id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS u FROM conversations),
+unit AS (
+  SELECT id, u, CASE WHEN u = 1 THEN 'body' ELSE 'comment' END AS kind, t, {WORDS_SQL.format("t")} AS w FROM (
+    SELECT id, u, CASE WHEN u = 1 THEN '# Conversation (C-' || id || ')' || chr(10) || chr(10) || CASE WHEN text <> '' THEN rtrim(text, chr(10)) || chr(10) ELSE '' END
+      ELSE chr(10) || chr(10) || '## Comment by ' || role || chr(10) || chr(10) || rtrim(text, chr(10)) END AS t FROM m)
+), fold AS (
+  SELECT id, 1::BIGINT AS u, 0::BIGINT AS off, false AS cutting, '' AS cur, 0::BIGINT AS size, 'body' AS kind, NULL::VARCHAR AS done, NULL::VARCHAR AS done_kind, 0::BIGINT AS step FROM (SELECT DISTINCT id FROM m)
+  UNION ALL
+  SELECT id, CASE WHEN fits OR (cutting AND NOT turns AND take = n) THEN u + 1 ELSE u END, CASE WHEN cutting AND NOT turns AND take < n THEN off + take WHEN turns THEN off ELSE 0 END,
+    CASE WHEN fits THEN false WHEN turns THEN true ELSE take < n END,
+    CASE WHEN fits THEN cur || t WHEN turns THEN array_to_string(last, ' ') WHEN cur = '' THEN array_to_string(rem[1:take], ' ') ELSE cur || ' ' || array_to_string(rem[1:take], ' ') END,
+    CASE WHEN fits THEN size + n WHEN turns THEN len(last) ELSE size + take END, CASE WHEN turns THEN unit_kind ELSE kind END,
+    CASE WHEN turns AND cur <> '' THEN ltrim(cur, chr(10)) END, CASE WHEN turns AND cur <> '' THEN kind END, step + 1
+  FROM (
+    SELECT *, NOT cutting AND size + n <= 120 AS fits, (NOT cutting AND size + n > 120) OR (cutting AND size >= 120) AS turns, least(120 - size, n) AS take FROM (
+      SELECT f.*, x.kind AS unit_kind, x.t, x.w[f.off + 1 :] AS rem, len(x.w) - f.off AS n, ({WORDS_SQL.format("f.cur")})[-15:] AS last FROM fold f JOIN unit x ON x.id = f.id AND x.u = f.u))
+), made AS (
+  SELECT id, step, done AS content, done_kind AS chunk_kind FROM fold WHERE done IS NOT NULL
+  UNION ALL SELECT id, step + 1, ltrim(cur, chr(10)), kind FROM fold WHERE cur <> '' QUALIFY step = max(step) OVER (PARTITION BY id)
+)
+SELECT 'C-' || id AS key, (row_number() OVER (PARTITION BY id ORDER BY step) - 1)::INT AS chunk_index, content, len({WORDS_SQL.format("content")})::INT AS token_count, chunk_kind FROM made"""
+
+
+@query(ISSUE_CHUNKS_SQL)
 def chunk_issues(spark: SparkSession, folder: str) -> DataFrame:
     """Chunks of conversations as issues: the first message is the description, the others comments; an issue is one row with
     all of its comments, as in a feed."""
