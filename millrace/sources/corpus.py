@@ -64,7 +64,7 @@ def _part(term: Column) -> Column:
 def write_postings(chunks: DataFrame, path: str) -> None:
     """Store the lexeme table of a corpus in parts by lexeme, so that a question reads those of its words only."""
     table = lexeme_table(chunks).withColumn("part", _part(F.col("term")))
-    table.repartition("part", "term").sortWithinPartitions("part", "term").write.mode("overwrite").partitionBy("part").parquet(path)
+    table.hint("rebalance", "part", "term").sortWithinPartitions("part", "term").write.mode("overwrite").partitionBy("part").parquet(path)
 
 
 def stored_postings(spark: SparkSession, path: str, terms: list[str]) -> DataFrame:
@@ -80,7 +80,7 @@ def write_counted_postings(chunks: DataFrame, path: str) -> None:
     statistics of a file's row groups then bound the counts, and a filter on them skips groups."""
     places = F.array_sort(F.collect_list("position")).alias("positions")
     rows = lexeme_table(chunks).groupBy("term", "chunk_id").agg(places).withColumns({"count": F.size("positions"), "part": _part(F.col("term"))})
-    dealt = rows.repartition("part", "term").sortWithinPartitions("part", "term", F.desc("count"), "chunk_id")
+    dealt = rows.hint("rebalance", "part", "term").sortWithinPartitions("part", "term", F.desc("count"), "chunk_id")  # a frequent lexeme is split
     with tidy(chunks.sparkSession):
         dealt.write.mode("overwrite").partitionBy("part").option("parquet.block.size", 1 << 20).option("compression", "zstd").parquet(path)
 
