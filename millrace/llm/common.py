@@ -49,7 +49,17 @@ def materialize(df: DataFrame, name: str = "table", by: str | None = None) -> Da
     finally:
         spark.conf.set(tidy, before)
     _written.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.written_at = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``materialize`` that nothing reads any more."""
+    for t in tables:
+        _delete(t.sparkSession, t.written_at)
+        if t.written_at in _written:
+            _written.remove(t.written_at)
 
 
 def mark() -> int:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import blocks
-from .common import drop_part, materialize
+from .common import discard, drop_part, materialize
 
 #: Sizes of sets fall into classes whose bounds grow by this factor.
 CLASS_GROWTH = 1.6
@@ -135,6 +135,7 @@ def components(edges: DataFrame) -> DataFrame:
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b").distinct()
     both = materialize(both, "edges")
     labels = materialize(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("comp")).select(F.col("a").alias("v"), "comp"), "labels")
+    before = labels
     while True:
         near = both.join(labels, both.b == labels.v).groupBy("a").agg(F.min("comp").alias("near"))
         step = labels.join(near, labels.v == near.a).select("v", "comp", F.least("comp", "near").alias("new"))
@@ -142,7 +143,10 @@ def components(edges: DataFrame) -> DataFrame:
         new = materialize(step.join(jump, "new").select("v", F.col("comp").alias("old"), F.least("new", "next").alias("comp")), "labels")
         changed = new.where("old != comp").limit(1).count()
         labels = new.select("v", "comp")
+        discard(before)
+        before = new
         if not changed:
+            discard(both)
             return labels
 
 
@@ -282,16 +286,19 @@ def _assigned(stands: DataFrame, rows: DataFrame) -> DataFrame:
     belongs to the pivot that it shares most regions with and, as partners may have another, to every pivot but those that
     have fewer than half of what partners must share: whatever two partners leave out, a region of both stays.
     """
-    members = None
+    members, gone = None, []
     for part in range(PASSES):
         of_part = F.filter("keys", lambda key: F.pmod(key, F.lit(PASSES)) == part) if PASSES > 1 else F.col("keys")
         keyed = stands.select((F.col("row") * 2 + F.col("stand")).alias("at"), F.explode(of_part).alias("key"))
         often = materialize(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "often")
         held = materialize(keyed.join(often.hint("shuffle_hash"), "key"), "members")
+        discard(often)
+        gone.append(held)
         members = held if members is None else members.unionByName(held)
     row_of = members.select("key", F.expr("at div 2").alias("row"), F.expr("cast(at % 2 as int)").alias("stand"))
     found = row_of.join(rows.select("row", "point"), "row").select("key", "point", "stand").distinct()
     found = materialize(found, "standing")
+    discard(*gone)
     occupied = found.groupBy("key").agg(F.count("*").alias("points")).where("points > 1")
     needs = stands.select(F.col("row").alias("point"), "stand", "need")
     needs = materialize(needs.join(found.select("point", "stand").distinct(), ["point", "stand"]), "needs")
@@ -305,7 +312,9 @@ def _assigned(stands: DataFrame, rows: DataFrame) -> DataFrame:
     votes = votes.groupBy("point", "stand", "need", "pivot").agg(F.count("*").alias("n"))
     rising = Window.partitionBy("point", "stand").orderBy("n", "pivot")
     kept = votes.withColumn("left_out", F.sum("n").over(rising)).where("left_out > (need - 1) div 2")
-    return materialize(kept.select(F.col("point").alias("x"), "pivot").distinct(), "assigned")
+    done = materialize(kept.select(F.col("point").alias("x"), "pivot").distinct(), "assigned")
+    discard(found, needs, alive)
+    return done
 
 
 def near_duplicates(
@@ -425,7 +434,9 @@ def near_duplicates(
     pairs = assigned.join(texts.select(F.col("row").alias("x"), F.col("text").alias("text_x")), "x")
     pairs = pairs.join(texts.select(F.col("row").alias("pivot"), F.col("text").alias("text_p")), "pivot")
     balls = materialize(pairs.select("x", "pivot", "text_x", "text_p").mapInArrow(against, BALLS), "balls")
-    edges = balls.where("ball").select(F.col("x").alias("a"), F.col("pivot").alias("b"))
+    discard(texts)
+    near = lambda balls: materialize(balls.where("ball").select(F.col("x").alias("a"), F.col("pivot").alias("b")), "links")
+    edges = near(balls)
 
     sides = ["n", "ball", "plus", "minus"]
     while True:
@@ -452,6 +463,7 @@ def near_duplicates(
         edges = edges.unionByName(materialize(some.mapInArrow(joined, "a long, b long"), "links"))
         large = cells.where(F.col("m") > SMALL)
         if not large.limit(1).count():
+            discard(balls, held, cast, cells)
             break
         # the point that shows most of them is the pivot of as many large regions as it can be
         shows = cast.join(large.select("region", "e"), ["region", "e"]).select("region", "e", "x")
@@ -463,8 +475,10 @@ def near_duplicates(
             dealt = dealt.join(side, ["region", end])
         below = [F.concat_ws("/", "region", "pivot").alias("region"), "pivot", F.col("n_pivot").alias("pivot_n"), "x", F.col("n_x").alias("n")]
         dealt = dealt.select(*below, "plus_pivot", "minus_pivot", "plus_x", "minus_x")
-        balls = materialize(dealt.mapInArrow(moved, BALLS), "balls")
-        edges = edges.unionByName(balls.where("ball").select(F.col("x").alias("a"), F.col("pivot").alias("b")))
+        below = materialize(dealt.mapInArrow(moved, BALLS), "balls")
+        discard(balls, held, cast, cells)  # a level is done when the next one is written
+        balls = below
+        edges = edges.unionByName(near(balls))
 
     same = rows.where("id is not null").groupBy("id").agg(F.min("point").alias("a"), F.max("point").alias("b")).where("a != b").select("id", "a")
     edges = edges.unionByName(rows.join(same, "id").select("a", F.col("point").alias("b")))
