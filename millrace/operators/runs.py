@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 from dataclasses import asdict, dataclass
 from datetime import UTC, datetime, timedelta
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,6 +75,14 @@ def seen(df: DataFrame, name: str, **counts: Column) -> tuple[DataFrame, Observa
     return df.observe(observation, F.count(F.lit(1)).alias("n"), *[c.alias(k) for k, c in counts.items()]), observation
 
 
+def _taken(observation: Observation) -> dict:
+    """What was counted; nothing where the frame is empty by its plan, which then leaves out the counts as well."""
+    try:
+        return observation.get
+    except Py4JJavaError:
+        return Counter()
+
+
 def _run(
     store: Store, kind: str, now: datetime, scan: Callable[[datetime | None], DataFrame], normalized: Callable[[DataFrame], DataFrame],
     increment: Callable[[DataFrame, DataFrame], ingest.Increment],
@@ -110,7 +120,7 @@ def _run(
             changes["state"] = Change(store.spark.createDataFrame([(kind, moved)], "source_type string, mark timestamp"))
 
         def report() -> dict:
-            s, c, e = of_sources.get["n"], of_chunks.get, of_edges.get["n"]
+            s, c, e = _taken(of_sources)["n"], _taken(of_chunks), _taken(of_edges)["n"]
             return asdict(Report(fetched, s, c["n"], c["embeddings"], e, n["failed"], fetched - n["failed"] - s, notes, moved, False, base.number + 1))
 
         if ids.limit(1).count() == 0:  # nothing was good: only what was rejected is kept
@@ -169,5 +179,5 @@ def rebuild_links(store: Store, options: dict[str, str]) -> Report:
             return Report(**counts, number=base.number)
         found = extracted_links(whole).withColumn("source_id", own("source_id"))
         edges, of_edges = seen(loads.replace_edges(found.limit(0), found), "edges")
-        done = store.commit(base, {"edges": Change(edges, touched)}, lambda: asdict(Report(**counts, links=of_edges.get["n"], number=base.number + 1)))
+        done = store.commit(base, {"edges": Change(edges, touched)}, lambda: asdict(Report(**counts, links=_taken(of_edges)["n"], number=base.number + 1)))
         return Report(**done.report)
