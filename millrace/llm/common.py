@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: The white space that separates words and is stripped from lines: space and U+0009 to U+000D.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
+#: Bytes of a row group of the tables written: a task that writes or reads one holds its columns.
+ROW_GROUP_BYTES = 16 << 20
 
 _written: list[str] = []
 
@@ -45,7 +47,8 @@ def materialize(df: DataFrame, name: str = "table", by: str | None = None) -> Da
     before = spark.conf.get(tidy, "false")
     spark.conf.set(tidy, "true")  # the shuffles behind a written table aren't read again
     try:
-        (df.write.partitionBy(by) if by else df.write).option("compression", "zstd").parquet(path)
+        written = df.write.options(**{"compression": "zstd", "parquet.block.size": ROW_GROUP_BYTES})
+        (written.partitionBy(by) if by else written).parquet(path)
     finally:
         spark.conf.set(tidy, before)
     _written.append(path)

@@ -317,6 +317,17 @@ def _assigned(stands: DataFrame, rows: DataFrame) -> DataFrame:
     return done
 
 
+def _shown(full: DataFrame) -> DataFrame:
+    """(region, x, ball, e): the prefix of each difference, in an order that all points of a region share: the rarest members
+    first, so that what most points differ in from their pivot, such as a word that it alone has changed, comes last. What
+    one point alone has fills its prefix, but meets nothing and is left out."""
+    each = full.select("region", "x", "ball", "length", F.explode("members").alias("e"))
+    often = each.groupBy("region", "e").agg(F.count("*").alias("often"))
+    rising = Window.partitionBy("region", "x").orderBy("often", "e")
+    ranked = each.join(often, ["region", "e"]).withColumn("rank", F.row_number().over(rising))
+    return ranked.where("rank <= length and often > 1").select("region", "x", "ball", "e")
+
+
 def near_duplicates(
     docs: DataFrame, *, k: int = 5, threshold: Fraction | float = Fraction(4, 5), id_col: str = "doc_id", text_col: str = "text",
     carry: Sequence[str] = (),
@@ -328,8 +339,8 @@ def near_duplicates(
     pivots, on a border to several. A point is measured against its pivot once: those within the distance are its ball and
     link to it. Every other pair of a region is judged by the differences of its points from the pivot, which have no part
     in what the region has in common: |x - y| is the symmetric difference of the two differences. By the triangle
-    inequality partners share part of their differences, so that each shows only a prefix of its own, and points that
-    show one member alike are a region of the next level. Small regions are joined in one task, a pivot's as a whole; in
+    inequality partners share part of their differences, so that each shows only a prefix of its own, rare
+    members first, and points that show one member alike are a region of the next level. Small regions are joined in one task, a pivot's as a whole; in
     large ones a pivot is chosen again, and so on; a region has fewer points than the one before. Regions with no point
     outside the ball need no join.
 
@@ -372,17 +383,14 @@ def near_duplicates(
             sides = {"ball": pa.array(ball, pa.bool_()), "plus": binary(plus), "minus": binary(minus)}
             yield arrow({"region": pa.array(region, pa.string())} | points | sides)
 
-    def shown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The prefix of each difference, in an order that all points of a pivot share: what they have more first."""
+    def differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The members of each difference, and how many of them, the rarest of the region first, it has to show."""
         for batch in batches:
-            *same, center, plus, minus = batch.columns
-            n, delta, ball = (same[i].to_pylist() for i in (2, 3, 4))
-            out = []
-            for i, c in enumerate(center.to_pylist()):
-                length = regions.prefix(n[i], c, delta[i], ball[i])
-                more, less = numbers(plus[i]), numbers(minus[i])
-                out.append(np.concatenate((more[:length], less[: max(0, length - len(more))])))
-            yield arrow(dict(zip(("region", "x", "n", "delta", "ball"), same)) | {"members": lists(out)})
+            region, x, *same, ball, center, plus, minus = batch.columns
+            sizes = zip(*(c.to_pylist() for c in (same[0], center, same[1], ball)))
+            length = pa.array([regions.prefix(*size) for size in sizes], pa.int64())
+            members = [np.concatenate((numbers(more), numbers(less))) for more, less in zip(plus, minus)]
+            yield arrow({"region": region, "x": x, "ball": ball, "length": length, "members": lists(members)})
 
     def moved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Differences from a new pivot, from both points' differences from the old one."""
@@ -448,9 +456,9 @@ def near_duplicates(
             "region", F.lit(0).cast("long").alias("share"), F.array(F.lit(0).cast("long")).alias("members"), "x", *sides,
         )
         wide = held.where(F.col("m") > SMALL)
-        cast = wide.select("region", "x", "n", "delta", "ball", "pivot_n", "plus", "minus")
-        cast = cast.mapInArrow(shown, "region string, x long, n long, delta long, ball boolean, members array<long>")
-        cast = materialize(cast.select("region", "x", "n", "delta", "ball", F.explode("members").alias("e")), "shown")
+        full = wide.select("region", "x", "n", "delta", "ball", "pivot_n", "plus", "minus")
+        full = materialize(full.mapInArrow(differences, "region string, x long, ball boolean, length long, members array<long>"), "differences")
+        cast = materialize(_shown(full), "shown")
         outside = F.count_if(~F.col("ball")).alias("out")
         cells = cast.groupBy("region", "e").agg(F.count("*").alias("m"), outside).where("m > 1 and out > 0")
         cells = materialize(cells, "cells")
@@ -463,7 +471,7 @@ def near_duplicates(
         edges = edges.unionByName(materialize(some.mapInArrow(joined, "a long, b long"), "links"))
         large = cells.where(F.col("m") > SMALL)
         if not large.limit(1).count():
-            discard(balls, held, cast, cells)
+            discard(balls, held, full, cast, cells)
             break
         # the point that shows most of them is the pivot of as many large regions as it can be
         shows = cast.join(large.select("region", "e"), ["region", "e"]).select("region", "e", "x")
@@ -476,7 +484,7 @@ def near_duplicates(
         below = [F.concat_ws("/", "region", "pivot").alias("region"), "pivot", F.col("n_pivot").alias("pivot_n"), "x", F.col("n_x").alias("n")]
         dealt = dealt.select(*below, "plus_pivot", "minus_pivot", "plus_x", "minus_x")
         below = materialize(dealt.mapInArrow(moved, BALLS), "balls")
-        discard(balls, held, cast, cells)  # a level is done when the next one is written
+        discard(balls, held, full, cast, cells)  # a level is done when the next one is written
         balls = below
         edges = edges.unionByName(near(balls))
 

@@ -268,6 +268,24 @@ def test_join_of_many_variants(spark, monkeypatch):
         assert {r.doc_id: r.component_id for r in got} == want
 
 
+def test_join_of_variants_takes_few_levels(spark, monkeypatch):
+    """What a pivot alone has changed, all others have more: shown first, it would keep a region together at every level."""
+    rng = random.Random(9)
+    vocab, base = [f"n{i}" for i in range(9000)], [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(120):
+        w = list(base)
+        for at in rng.sample(range(120), rng.choice([1, 2, 3, 4])):
+            w[at] = rng.choice(vocab)
+        rows.append((i, " ".join(w)))
+    written, write = [], ngram_join.materialize
+    monkeypatch.setattr(ngram_join, "materialize", lambda df, name="table", by=None: written.append(name) or write(df, name, by))
+    monkeypatch.setattr(ngram_join, "SMALL", 60)
+    got = ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=5, threshold=Fraction(4, 5)).collect()
+    assert {r.doc_id: r.component_id for r in got} == H.components({i: H.shingles(t, 5) for i, t in rows}, 4, 5)
+    assert written.count("balls") <= 2
+
+
 def test_join_keeps_one_row_of_each_component(spark):
     t = [" ".join(f"{p}{i}" for i in range(30)) for p in "abc"]
     rows = [(2, t[0], 1), (1, t[0], 2), (1, t[1], 3), (None, t[1], 4), (None, t[2], 5), (None, t[2], 6), (7, None, 7), (7, "", 8)]
