@@ -1,6 +1,7 @@
 """Every operator on awkward rows, empty tables, and against plain versions."""
 
 import functools
+import glob
 import hashlib
 import math
 import random
@@ -13,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.llm import ann, katz, language_id, line_dedup, mixing, ngram_join, packing, pii, quality, queries, token_counts
-from millrace.llm.common import documents, tokenizer_file
+from millrace.llm.common import documents, materialize, tokenizer_file
 
 from . import helpers as H
 
@@ -346,6 +347,18 @@ def test_quality_fits_against_plain_estimate(spark):
     assert np.allclose(got.center, center, atol=0.02) and np.allclose(np.reshape(got["cov"], cov.shape), cov, atol=0.02)
 
 
+def test_written_tables_have_small_row_groups(spark):
+    """A task holds the columns of the row group that it writes or reads."""
+    import pyarrow.parquet as pq
+
+    df = spark.range(0, 600, 1, 1).select("id", F.expr("transform(sequence(1, 2500), i -> uuid())").alias("x"))
+    path = materialize(df, "groups").written_at.removeprefix("file:")
+    files = [pq.ParquetFile(f).metadata for f in glob.glob(f"{path}/part-*")]
+    sizes = [m.row_group(i).total_byte_size for m in files for i in range(m.num_row_groups)]
+    assert len(sizes) > 1 and max(sizes) < 40 << 20
+    assert spark.read.parquet(path).count() == 600
+
+
 def test_quality_small_groups_are_drawn_to_their_language(spark):
     rng = np.random.default_rng(2)
     rows = [("all", "en", "big", x) for x in rng.normal(size=(2000, quality.P))] + [("all", "en", "small", x) for x in rng.normal(0.5, 1, size=(12, quality.P))]
