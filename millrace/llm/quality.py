@@ -8,7 +8,7 @@ from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -96,10 +96,13 @@ def shrunk(
     return center, cov, np.linalg.inv(cov), float(np.linalg.slogdet(cov)[1])
 
 
-def distance(v: Column, center: Column, inverse: Column) -> Column:
-    """The squared Mahalanobis distance, written out so that it is compiled."""
-    d = [v[i] - center[i] for i in range(P)]
-    return sum((d[i] * d[j] * inverse[i * P + j] * F.lit(1.0 if i == j else 2.0) for i, j in PAIRS), F.lit(0.0))
+def away(rows: DataFrame) -> DataFrame:
+    """Add ``d0_``, ``d1_``, ..., what each statistic lies above the center, and ``d2``, the squared Mahalanobis distance, written
+    out so that it is compiled. The differences are columns of their own, so that plans don't repeat them in every term."""
+    d = [F.col(f"d{i}_") for i in range(P)]
+    terms = (d[i] * d[j] * F.col("inverse")[i * P + j] * F.lit(1.0 if i == j else 2.0) for i, j in PAIRS)
+    there = rows.withColumns({f"d{i}_": F.col("v")[i] - F.col("center")[i] for i in range(P)})
+    return there.withColumn("d2", sum(terms, F.lit(0.0)))
 
 
 def _starts(rows: DataFrame, key: str) -> DataFrame:
@@ -138,12 +141,13 @@ def fits(
     current = materialize(_starts(rows, key), "fits")
     for _ in range(steps):
         with_fit = rows.join(current.select(key, "start", "center", "inverse"), key)
-        near = with_fit.withColumn("d2", distance(F.col("v"), F.col("center"), F.col("inverse"))).drop("center", "inverse")
+        near = away(with_fit)
         limit = near.groupBy(key, "start").agg(F.percentile_approx("d2", F.lit(share), F.lit(2000)).alias("limit"))
         inner = near.join(limit, [key, "start"]).where(F.col("d2") <= F.col("limit"))
-        x = [F.col("v")[i] for i in range(P)]
-        own = [F.count("*").alias("n"), F.array(*[F.avg(c) for c in x]).alias("m"), F.array(*[F.covar_pop(x[i], x[j]) for i, j in PAIRS]).alias("s")]
-        sums = inner.groupBy(key, "start").agg(*own, *([F.first(parent).alias("_parent")] if parent else []))
+        # plain sums around the last center: a far smaller plan than that of as many covariances
+        d = [F.col(f"d{i}_") for i in range(P)]
+        own = [F.count("*").alias("n"), F.array(*[F.sum(c) for c in d]).alias("m"), F.array(*[F.sum(d[i] * d[j]) for i, j in PAIRS]).alias("s")]
+        sums = inner.groupBy(key, "start").agg(*own, F.first("center").alias("at"), *([F.first(parent).alias("_parent")] if parent else []))
         if parents is not None:
             up = parents.select(F.col(parent).alias("_parent"), F.col("center").alias("up_center"), F.col("cov").alias("up_cov"))
             sums = sums.join(up, "_parent")
@@ -151,21 +155,24 @@ def fits(
             sums = sums.withColumns({"up_center": F.lit(None).cast("array<double>"), "up_cov": F.lit(None).cast("array<double>")})
 
         @F.pandas_udf(FIT)
-        def fitted(n: pd.Series, m: pd.Series, s: pd.Series, up_center: pd.Series, up_cov: pd.Series) -> pd.DataFrame:
+        def fitted(n: pd.Series, m: pd.Series, s: pd.Series, at: pd.Series, up_center: pd.Series, up_cov: pd.Series) -> pd.DataFrame:
             out = []
-            for count, center, values, uc, us in zip(n, m, s, up_center, up_cov):
-                cov = np.zeros((P, P))
+            for count, total, values, old, uc, us in zip(n, m, s, at, up_center, up_cov):
+                mean, cov = np.asarray(total, float) / count, np.zeros((P, P))
                 for (i, j), value in zip(PAIRS, values):
-                    cov[i, j] = cov[j, i] = value
+                    cov[i, j] = cov[j, i] = value / count - mean[i] * mean[j]
+                center = np.asarray(old, float) + mean
                 over = None if uc is None else (np.asarray(uc, float), np.asarray(us, float).reshape(P, P))
-                center, cov, inverse, logdet = shrunk(count, np.asarray(center, float), cov, over, prior)
+                center, cov, inverse, logdet = shrunk(count, center, cov, over, prior)
                 out.append((center, cov.ravel(), inverse.ravel(), logdet))
             return pd.DataFrame(out, columns=["center", "cov", "inverse", "logdet"])
 
         before = current.select(key, "start", F.col("logdet").alias("before"))
-        new = sums.select(key, "start", fitted("n", "m", "s", "up_center", "up_cov").alias("f")).select(key, "start", "f.*")
-        current = materialize(new.join(before, [key, "start"]), "fits")
-        moved = current.agg(F.max(F.abs(F.col("logdet") - F.col("before")))).first()[0]
+        new = sums.select(key, "start", fitted("n", "m", "s", "at", "up_center", "up_cov").alias("f")).select(key, "start", "f.*")
+        seen = Observation()  # taken while the table is written: no job of its own
+        new = new.join(before, [key, "start"]).observe(seen, F.max(F.abs(F.col("logdet") - F.col("before"))).alias("moved"))
+        current = materialize(new, "fits")
+        moved = seen.get.get("moved")  # none where no row passes the base rules
         if moved is None or moved < 1e-2:
             break
     best = current.groupBy(key).agg(F.min_by(F.struct("center", "cov", "inverse", "logdet"), F.struct("logdet", "start")).alias("f"))
@@ -186,7 +193,7 @@ def robust_distance(rows: DataFrame, keys: list[str], *, share: float = 0.75, pr
         parents, up = fits(rows, key, up, parents, share=share, prior=prior), key
     columns, own = rows.columns, keys[-1]
     judged = rows.join(parents.select(own, "center", "inverse"), own)
-    judged = judged.withColumn("d2", distance(F.col("v"), F.col("center"), F.col("inverse"))).select(*columns, "d2")
+    judged = away(judged).select(*columns, "d2")
     reach = NormalDist().inv_cdf(1 - tail) / NormalDist().inv_cdf(0.75)
 
     def fitted(part: DataFrame) -> DataFrame:

@@ -359,6 +359,24 @@ def test_written_tables_have_small_row_groups(spark):
     assert spark.read.parquet(path).count() == 600
 
 
+def test_quality_fits_far_from_zero(spark):
+    """Sums are taken around the last center, so that a spread far from zero keeps its digits."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(500, quality.P))
+    fit = lambda off: quality.fits(spark.createDataFrame([("all", r.tolist()) for r in x + off], "k0 string, v array<double>"), "k0").first()
+    near, far = fit(0.0), fit(1e6)
+    assert np.allclose(np.array(far.center) - 1e6, near.center, atol=1e-3) and np.allclose(far.cov, near.cov, atol=1e-3)
+
+
+def test_quality_steps_have_small_plans(spark, monkeypatch):
+    """Every step writes one table, without a job for its end; the plan is a few sums."""
+    plans, write = [], quality.materialize
+    monkeypatch.setattr(quality, "materialize", lambda df, *a: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or write(df, *a))
+    x = np.random.default_rng(7).normal(size=(200, quality.P))
+    quality.fits(spark.createDataFrame([("all", r.tolist()) for r in x], "k0 string, v array<double>"), "k0").collect()
+    assert len(plans) > 2 and all("covar_pop" not in p and "CollectMetrics" in p for p in plans[1:-1])
+
+
 def test_quality_small_groups_are_drawn_to_their_language(spark):
     rng = np.random.default_rng(2)
     rows = [("all", "en", "big", x) for x in rng.normal(size=(2000, quality.P))] + [("all", "en", "small", x) for x in rng.normal(0.5, 1, size=(12, quality.P))]
