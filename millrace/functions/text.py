@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 #: Ticket keys: ASCII word boundaries are spelled out, since Java's differ for other letters.
 KEY_PATTERN = r"(?<![A-Za-z0-9_])([A-Z][A-Z0-9_]+-[0-9]+)(?![A-Za-z0-9_])"
 TOKEN_PATTERN = r"([a-z0-9]+)"
+#: Characters that only take up space (Unicode's class Zs).
+SPACES = " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
 
 
 def ticket_keys(text: Column, most: int = 5) -> Column:
@@ -50,9 +52,14 @@ def cut_bytes(c: Column, most: int) -> Column:
     return F.when(F.octet_length(c) <= most, c).when(c.isNotNull(), whole)
 
 
+def trimmed_lines(body: Column) -> Column:
+    """Lines with more than spaces, without those at their ends. (``F.trim`` itself would take a line's index for what to cut.)"""
+    return F.filter(F.transform(F.split(body, "\n"), lambda x: F.trim(x, F.lit(SPACES))), lambda x: x != "")
+
+
 def first_line(body: Column) -> Column:
-    """The first line with more than white space, trimmed; null if there is none."""
-    return F.element_at(F.filter(F.transform(F.split(body, "\n"), F.trim), lambda x: x != ""), 1)
+    """The first line with more than spaces, trimmed; null if there is none."""
+    return F.get(trimmed_lines(body), F.lit(0))
 
 
 def title_of(body: Column, filename: Column, kind: Column) -> Column:

@@ -44,3 +44,28 @@ def test_entry(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).count() > 0
+
+
+#: Lines that begin or end in their number, or in spaces of several kinds; and a text without any.
+NUMBERED = ["0 first 100", "00", "  a\n1 b 1\n2\n  c 22", "\n1\n \u00a0d\u3000 ", "0" * 30 + "\nx", "one\n\n\n3 three 3", " \n\n "]
+
+
+def same_as_sql(spark, name, folder, **tables):
+    """A query against its SQL over small tables, which are written to ``folder``."""
+    db = duckdb.connect()
+    db.sql("SET TimeZone='UTC'")
+    for t, rows in tables.items():
+        rows.coalesce(1).write.parquet(f"{folder}/{t}.parquet")
+        db.sql(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet/*.parquet'")
+    got, want = base.queries()[name](spark, str(folder)), db.sql(base.oracle_sql()[name])
+    theirs = [dict(zip(want.columns, r)) for r in want.fetchall()]
+    assert plain([r.asDict() for r in got.collect()], want.columns) == plain(theirs, want.columns)
+
+
+def numbered(spark):
+    rows = [(i, t, lang, "src1", len(t)) for i, (t, lang) in enumerate((t, lang) for t in NUMBERED for lang in ("en", "de"))]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+
+
+def test_titles_keep_digits_at_their_ends(spark, tmp_path):
+    same_as_sql(spark, "derive_title", tmp_path, documents=numbered(spark))
