@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.english import lexemes, query_lexemes
 from ..functions.headline import headline
-from ..functions.text import tokens
+from ..functions.text import tokens, trimmed_lines
 from ..operators import embed, markup, page_links, records
 from ..sources import feeds
 from ..sources.corpus import table
@@ -122,8 +122,7 @@ def _with_number(text: str):
 
 
 def _paragraphs(spark: SparkSession, folder: str) -> DataFrame:
-    lines = F.filter(F.transform(F.split("text", "\n"), F.trim), lambda x: x != "")
-    return table(spark, folder, "documents").select("doc_id", lines.alias("lines"))
+    return table(spark, folder, "documents").select("doc_id", trimmed_lines(F.col("text")).alias("lines"))
 
 
 @query(LINES_SQL + f"SELECT doc_id, md5({_numbered(TREE_TEXT)} || string_agg(line, chr(10) || chr(10) ORDER BY n) || chr(10)) AS markdown_md5 FROM p GROUP BY doc_id")
