@@ -73,3 +73,7 @@ def test_titles_keep_digits_at_their_ends(spark, tmp_path):
 
 def test_storage_keeps_digits_at_ends_of_lines(spark, tmp_path):
     same_as_sql(spark, "storage_to_markdown", tmp_path, documents=numbered(spark))
+
+
+def test_trees_keep_digits_at_ends_of_lines(spark, tmp_path):
+    same_as_sql(spark, "tree_to_markdown", tmp_path, documents=numbered(spark))
