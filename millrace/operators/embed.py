@@ -60,11 +60,12 @@ def through_cache(
     """Rows with ``key``, ``hit`` and ``embedding``, and the next version of the cache (key, vector).
 
     Each missing text is embedded once, however many rows have it, and written before both results read it. Vectors of another
-    dimension go from the cache; null texts have no vector.
+    dimension go from the cache, also where their key has one that stays; of several that could stay it is the least. Null texts
+    have no vector.
     """
-    found = with_cached(rows, cache.dropDuplicates(["key"]), model=model, dimension=dimension, text_col=text_col)
+    one = cache.where(right_dimension(F.col("vector"), dimension)).groupBy("key").agg(F.min("vector").alias("vector"))
+    found = with_cached(rows, one, model=model, dimension=dimension, text_col=text_col)
     missing = found.where(F.col("cached").isNull() & F.col(text_col).isNotNull()).groupBy("key").agg(F.min(text_col).alias("text"))
     new = materialize(embed(missing, embedder, dimension=dimension, batch=batch).select("key", F.col("embedding").alias("vector")), "vectors")
     whole = found.join(new, "key", "left").withColumns({"hit": F.col("cached").isNotNull(), "embedding": F.coalesce("cached", "vector")}).drop("cached", "vector")
-    kept = cache.where(right_dimension(F.col("vector"), dimension)).select("key", F.col("vector").cast("array<float>").alias("vector"))
-    return whole, kept.unionByName(new)
+    return whole, one.select("key", F.col("vector").cast("array<float>").alias("vector")).unionByName(new)

@@ -77,3 +77,10 @@ def test_storage_keeps_digits_at_ends_of_lines(spark, tmp_path):
 
 def test_trees_keep_digits_at_ends_of_lines(spark, tmp_path):
     same_as_sql(spark, "tree_to_markdown", tmp_path, documents=numbered(spark))
+
+
+def test_a_vector_of_another_length_under_the_same_key_hides_none(spark, tmp_path):
+    rows = [(2 * i + j, f"text {i}", lang, "src1", 6) for i in range(40) for j, lang in enumerate(("en", "fr") if i % 2 else ("fr", "en"))]
+    rows += [(100, "only", "fr", "src1", 4), (101, "other", "de", "src1", 5)]
+    documents = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    same_as_sql(spark, "embedding_cache", tmp_path, documents=documents)
